@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from kinespark.session import ship_package
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -48,6 +50,7 @@ def id_bucket(modulus: int, name: str = "doc_id") -> Column:
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """fn makes columns from each record batch; a batch's rows never leave their partition."""
+    ship_package(df.sparkSession)
     out = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

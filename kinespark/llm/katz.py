@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from kinespark.llm.common import id_bucket, materialise, words_of
+from kinespark.session import ship_package
 
 BLOCK, KEYS, K = 1_000_000, 1_000_000, 5
 #: Neither can be a word: words hold no line feed.
@@ -269,6 +270,7 @@ def _discount(answers: DataFrame) -> Discount:
 def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; learns from the rest."""
     spark = docs.sparkSession
+    ship_package(spark)
     held = F.coalesce(id_bucket(modulus) == held_out, F.lit(False))
     blocks = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text").mapInArrow(_blocks, _BLOCKS), "blocks")
     words, pairs = (x or 0 for x in blocks.agg(F.sum("n_words"), F.sum("n_pairs")).first())
