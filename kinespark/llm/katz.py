@@ -12,8 +12,8 @@ that is in every text counts once for a block, and what is sent grows with the c
 P1(w) = d(c) c / N, and what the discounts free is the probability of the one unknown word, so P1 adds up to one over
 V known words and one unknown. P(w | v) = d(r) r / c(v) for a bigram of the training texts, else a(v) P1(w) with
 a(v) = (1 - sum of d(r) r / c(v)) / (1 - sum of P1 over v's followers); a context that was never seen has a(v) = 1.
-Counts over ``K`` are not discounted; where the counts of counts give no sound Good-Turing discount for each r up to K,
-an absolute discount takes its place, for all counts. The tables of answers are partitioned by block.
+Counts over ``K`` are not discounted. Where the counts of counts give no sound Good-Turing discount for each r up to K,
+they are smoothed by a line in logarithms; where that has none either (tiny inputs), the discount is absolute. The tables of answers are partitioned by block.
 
 Null text is empty and has one token, its end. A null id is a training text. Repeated rows count each time and get equal
 scores. Without training texts every token has probability one. Other columns are ignored; an empty table gives an empty
@@ -31,6 +31,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.taskcontext import TaskContext
 
 from kinespark.llm.common import id_bucket, materialise, words_of
@@ -59,11 +61,8 @@ def _pack(block: int, docs: list, held: list, ends: list[int], index: dict[bytes
     return row
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema, part, number = to_arrow_schema(_parse_datatype_string(_BLOCKS)), TaskContext.get().partitionId(), 0
+def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    part, number = TaskContext.get().partitionId(), 0
     docs, held, sizes, index, tokens, total = [], [], [], {}, [], 0
 
     def full() -> pa.RecordBatch:
@@ -182,14 +181,23 @@ class Discount:
         n = [0.0, *map(float, stats[: K + 1])]
         self.n, self.keys, self.total = n, int(stats[K + 1]), int(stats[K + 2])
         self.by, self.flat = np.ones(K + 1), 0.0
-        if all(n[1:]):
-            most = (K + 1) * n[K + 1] / n[1]
-            by = [1.0] + [((r + 1) * n[r + 1] / (r * n[r]) - most) / (1 - most) if most != 1 else 0.0 for r in range(1, K + 1)]
-            if all(0 < d < 1 for d in by[1:]):
-                self.by = np.array(by)
-                return
+        for counts in (n, self._smoothed(n)):
+            if all(counts[1:]) and (most := (K + 1) * counts[K + 1] / counts[1]) != 1:
+                by = [((r + 1) * counts[r + 1] / (r * counts[r]) - most) / (1 - most) for r in range(1, K + 1)]
+                if all(0 < d < 1 for d in by):
+                    self.by = np.array([1.0, *by])
+                    return
         self.flat = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
 
+    @staticmethod
+    def _smoothed(n: list[float]) -> list[float]:
+        """Counts of counts on a straight line in logarithms, as copies of documents make the raw ones uneven."""
+        there = [r for r in range(1, K + 2) if n[r]]
+        if len(there) < 2:
+            return [0.0] * (K + 2)
+        slope, level = np.polyfit(np.log(there), np.log([n[r] for r in there]), 1)
+        return [0.0, *np.exp(level + slope * np.log(np.arange(1, K + 2)))]
+
     def kept(self, r: np.ndarray) -> np.ndarray:
         """d(r) r."""
         r = r.astype(np.float64)
@@ -271,8 +279,9 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> Dat
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; learns from the rest."""
     spark = docs.sparkSession
     ship_package(spark)
+    schema = to_arrow_schema(T._parse_datatype_string(_BLOCKS))
     held = F.coalesce(id_bucket(modulus) == held_out, F.lit(False))
-    blocks = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text").mapInArrow(_blocks, _BLOCKS), "blocks")
+    blocks = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text").mapInArrow(lambda x: _blocks(x, schema), _BLOCKS), "blocks")
     words, pairs = (x or 0 for x in blocks.agg(F.sum("n_words"), F.sum("n_pairs")).first())
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     word_parts, pair_parts = (max(least, -(-n // KEYS)) for n in (words, pairs))
