@@ -11,7 +11,8 @@ that is in every text counts once for a block, and what is sent grows with the c
 
 P1(w) = d(c) c / N, and what the discounts free is the probability of the one unknown word, so P1 adds up to one over
 V known words and one unknown. P(w | v) = d(r) r / c(v) for a bigram of the training texts, else a(v) P1(w) with
-a(v) = (1 - sum of d(r) r / c(v)) / (1 - sum of P1 over v's followers); a context that was never seen has a(v) = 1.
+a(v) = (1 - sum of d(r) r / c(v)) / (1 - sum of P1 over v's followers); a context that was never seen has a(v) = 1. A
+context whose followers all have counts over K frees nothing; it counts as seen once more, which leaves 1 / (c(v) + 1).
 Counts over ``K`` are not discounted. Where the counts of counts give no sound Good-Turing discount for each r up to K,
 they are smoothed by a line in logarithms; where that has none either (tiny inputs), the discount is absolute. The tables of answers are partitioned by block.
 
@@ -255,6 +256,7 @@ def _scores(blocks: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
         b, c, p1, r, context = _known(row, told, model)
         kept, p = _joined(told, 2, "counts", np.float64), _joined(told, 2, "extra", np.float64)
         seen = context > 0
+        context = np.where(seen & (kept >= context * (1 - 1e-12)), context + 1, context)
         back = np.where(seen, (1 - kept / np.where(seen, context, 1)) / np.where(seen, np.maximum(1 - p, 1e-300), 1), 1.0)
         of = b.first
         likely = np.where(r > 0, model.pairs.kept(r) / np.where(seen[of], context[of], 1), back[of] * p1[b.second])
