@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinespark.llm import bpe, fingerprints, katz, mixing, simhash, topk, toxicity
+from kinespark.llm import bpe, fingerprints, katz, language_id, line_dedup, mixing, simhash, topk, toxicity, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.digest(_table(spark, sf_dir, "documents"), bpe.vocabulary_path())
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -43,8 +51,15 @@ def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_document_fingerprints, op3_mix_sources, op4_toxicity_chain, op6_simhash_near_dedup, op7_bpe_round_trip, op8_exact_top_k, op9_katz_scores)
+    every = (
+        op1_language_id, op2_document_fingerprints, op3_mix_sources, op4_toxicity_chain, op5_training_order,
+        op6_simhash_near_dedup, op7_bpe_round_trip, op8_exact_top_k, op9_katz_scores, op10_line_dedup,
+    )
     return {f.__name__: f for f in every}
 
 

@@ -4,8 +4,8 @@ The categories are predicted one after the other; each later linear model also g
 ones. In training those come from models that did not see the row (out of fold), so a later model learns how far an
 earlier one can be trusted on new texts; in use they come from models fitted on all of the sample.
 
-Features are the presence of each word and of each word's first four and first six letters, hashed: stems count whatever
-their endings, and the length of a text doesn't. The models are logistic regressions fitted by Spark on a bounded sample
+Features are the presence of each word and of each word's first four and first six letters, hashed: stems count
+whatever their endings, and a text's length doesn't. A model scales them by their log-odds in its own training rows. The models are logistic regressions fitted by Spark on a bounded sample
 of labelled rows: ``sample`` rows at most in expectation, chosen by hash of the id. Every text is scored whole.
 
 Null and empty texts have no feature, so they get the base rates and are not rejected. Labels that are null are not
@@ -16,15 +16,20 @@ gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from functools import reduce
+
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import ElementwiseProduct, HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.llm.common import materialise, whole_text
 
-SAMPLE, FOLDS, BITS = 12_000, 3, 17
+SAMPLE, FOLDS, BITS, PENALTY, STEPS, PARTS = 8_000, 3, 17, 0.003, 25, 6
 
 
 def features(text: Column) -> Column:
@@ -38,52 +43,58 @@ def _hashed(docs: DataFrame, *keep: str) -> DataFrame:
     return HashingTF(inputCol="terms", outputCol="hashed", numFeatures=1 << BITS, binary=True).transform(rows).drop("terms")
 
 
-class Chain:
-    """Fitted models in order; None for a category of one value, whose share is kept."""
+class Linear:
+    """A logistic regression on features scaled by their log-odds between the two classes of its rows."""
 
-    def __init__(self, names: list[str]):
-        self.names, self.models, self.shares = names, [], []
+    def __init__(self, rows: DataFrame, label: str, earlier: list[str]):
+        """rows: hashed, the label and the probabilities of earlier categories."""
+        self.label, self.earlier, self.model = label, earlier, None
+        told = {r[label]: r for r in rows.groupBy(label).agg(F.count("*").alias("n"), Summarizer.sum(F.col("hashed")).alias("sums")).collect()}
+        n = sum(r["n"] for r in told.values())
+        self.share = told[1.0]["n"] / n if 1.0 in told else 0.0
+        if len(told) < 2:
+            return
+        yes, no = ((told[v]["sums"].toArray() + 0.5) / (told[v]["n"] + 1.0) for v in (1.0, 0.0))
+        self.scale = ElementwiseProduct(scalingVec=Vectors.dense(np.log(yes / no)), inputCol="hashed", outputCol="scaled")
+        learner = LogisticRegression(featuresCol="inputs", labelCol=label, regParam=PENALTY, maxIter=STEPS, standardization=False, rawPredictionCol="raw", probabilityCol="p", predictionCol="said")
+        self.model = learner.fit(self._inputs(rows))
+
+    def _inputs(self, rows: DataFrame) -> DataFrame:
+        return VectorAssembler(inputCols=["scaled", *self.earlier], outputCol="inputs").transform(self.scale.transform(rows)).drop("scaled")
 
-    def _with_inputs(self, rows: DataFrame, earlier: list[str]) -> DataFrame:
-        if not earlier:
-            return rows.withColumn("inputs", F.col("hashed"))
-        return VectorAssembler(inputCols=["hashed", *earlier], outputCol="inputs").transform(rows)
+    def score(self, rows: DataFrame, name: str) -> DataFrame:
+        if self.model is None:
+            return rows.withColumn(name, F.lit(float(self.share)))
+        return self.model.transform(self._inputs(rows)).withColumn(name, vector_to_array("p")[1]).drop("raw", "p", "said", "inputs")
 
-    def _fit(self, rows: DataFrame, label: str) -> LogisticRegressionModel | None:
-        lowest, highest = rows.agg(F.min(label), F.max(label)).first()
-        if lowest is None or lowest == highest:
-            return None
-        return LogisticRegression(featuresCol="inputs", labelCol=label, regParam=0.02, maxIter=40, standardization=False, rawPredictionCol="raw", probabilityCol="p", predictionCol="said").fit(rows)
 
-    def _score(self, rows: DataFrame, model: LogisticRegressionModel | None, share: float, name: str) -> DataFrame:
-        if model is None:
-            return rows.withColumn(name, F.lit(float(share))).drop("inputs")
-        return model.transform(rows).withColumn(name, vector_to_array("p")[1]).drop("raw", "p", "said", "inputs")
+class Chain:
+    """One model for each category, in order."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.models = names, []
 
     def fit(self, sample: DataFrame) -> Chain:
         """sample: doc_id, hashed and a double 0 or 1 for each name."""
         fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))
-        rows, earlier = sample.withColumn("fold", fold), []
+        rows, earlier = sample.withColumn("fold", fold).coalesce(PARTS).persist(), []
         for k, name in enumerate(self.names):
-            ready = self._with_inputs(rows, earlier).persist()
-            share = ready.agg(F.avg(name)).first()[0] or 0.0
-            self.shares.append(share)
-            self.models.append(self._fit(ready, name))
+            self.models.append(Linear(rows, name, list(earlier)))
             if k + 1 < len(self.names):
-                apart = [self._score(ready.filter(F.col("fold") == f), self._fit(ready.filter(F.col("fold") != f), name), share, f"p_{name}") for f in range(FOLDS)]
-                rows = apart[0]
-                for other in apart[1:]:
-                    rows = rows.unionByName(other)
-                rows = materialise(rows, "out-of-fold")
+                apart = [Linear(rows.filter(F.col("fold") != f), name, list(earlier)).score(rows.filter(F.col("fold") == f), f"p_{name}") for f in range(FOLDS)]
+                told = materialise(reduce(DataFrame.unionByName, apart), "out-of-fold")
+                rows.unpersist()
+                rows = told.coalesce(PARTS).persist()
                 earlier.append(f"p_{name}")
-            ready.unpersist()
+        rows.unpersist()
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        earlier: list[str] = []
-        for name, model, share in zip(self.names, self.models, self.shares, strict=True):
-            rows = self._score(self._with_inputs(rows, earlier), model, share, f"p_{name}")
-            earlier.append(f"p_{name}")
+        for name, model in zip(self.names, self.models, strict=True):
+            rows = model.score(rows, f"p_{name}")
+        for name in ("low_quality", "toxic"):
+            if name not in self.names:
+                rows = rows.withColumn(f"p_{name}", F.lit(0.0))
         return rows.drop("hashed")
 
 
@@ -94,6 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     share = min(1.0, sample / max(1, known.count()))
     picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    if not known.count():
+        return Chain([])
     return Chain(["low_quality", "toxic"]).fit(materialise(_hashed(own, "doc_id", "low_quality", "toxic"), "sample"))
 
 
