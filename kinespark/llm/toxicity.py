@@ -4,11 +4,13 @@ The categories are predicted one after the other; each later linear model also g
 ones. In training those come from models that did not see the row (out of fold), so a later model learns how far an
 earlier one can be trusted on new texts; in use they come from models fitted on all of the sample.
 
-Features are the presence of each word and of each word's first four and first six letters, hashed: stems count
-whatever their endings, and a text's length doesn't. A model scales them by their log-odds in its own training rows. The models are logistic regressions fitted by Spark on a bounded sample
-of labelled rows: ``sample`` rows at most in expectation, chosen by hash of the id. Every text is scored whole.
+Features are the presence of each word and of each word's first four and six letters, hashed: stems count whatever their
+endings, and a text's length doesn't. A model takes the features whose log-odds between the classes of its own training
+rows stand ``SIGNIFICANT`` standard errors from zero, scaled by them, and fits a penalised logistic regression. It is fitted on a
+bounded sample, ``SAMPLE`` labelled rows in expectation, chosen by hash of the id; that sample's hashed features go to the
+driver. Every text is scored whole, on the executors.
 
-Null and empty texts have no feature, so they get the base rates and are not rejected. Labels that are null are not
+Null and empty texts have no feature, so they get the base rate, and are not rejected. Labels that are null are not
 learnt from; several labels of an id count as its largest. A category with one value only is a constant. Without labels
 every probability is 0. Ids that repeat or are null are scored like others; other columns stay out. An empty table
 gives an empty result.
@@ -16,56 +18,127 @@ gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import ElementwiseProduct, HashingTF, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinespark.llm.common import materialise, whole_text
+from kinespark.llm.common import map_arrow, whole_text
+from kinespark.session import ship_package
 
-SAMPLE, FOLDS, BITS, PENALTY, STEPS, PARTS = 8_000, 3, 17, 0.003, 25, 6
+SAMPLE, FOLDS, BITS, PENALTY, SIGNIFICANT, STEPS = 8_000, 3, 18, 2.0, 3.0, 60
 
 
 def features(text: Column) -> Column:
+    """Hashed words and stems of a text; a place may come twice."""
     words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""))
-    stems = [F.transform(words, lambda w, n=n: F.concat(F.lit(f"{n}:"), F.substring(w, 1, n))) for n in (4, 6)]
-    return F.concat(words, *stems)
-
 
-def _hashed(docs: DataFrame, *keep: str) -> DataFrame:
-    rows = docs.select(*keep, features(whole_text()).alias("terms"))
-    return HashingTF(inputCol="terms", outputCol="hashed", numFeatures=1 << BITS, binary=True).transform(rows).drop("terms")
+    def hashed(letters: int) -> Column:
+        stem = lambda w: F.substring(w, 1, letters) if letters else w
+        return F.transform(words, lambda w: F.pmod(F.xxhash64(F.lit(letters), stem(w)), F.lit(1 << BITS)).cast("int"))
+
+    return F.concat(*map(hashed, (0, 4, 6)))
+
+
+def _minimised(loss, x: np.ndarray, steps: int = STEPS, memory: int = 8) -> np.ndarray:
+    """Limited-memory quasi-Newton descent with halved steps; loss gives value and gradient."""
+    value, slope = loss(x)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        way, kept = slope.copy(), []
+        for s, y in reversed(moves):
+            a = s @ way / (s @ y)
+            way -= a * y
+            kept.append(a)
+        if moves:
+            s, y = moves[-1]
+            way *= s @ y / (y @ y)
+        for (s, y), a in zip(moves, reversed(kept), strict=True):
+            way += (a - y @ way / (s @ y)) * s
+        step = 1.0 if moves else 1.0 / max(1.0, np.abs(slope).sum())
+        while step > 1e-10:
+            after, after_slope = loss(x - step * way)
+            if after <= value - 1e-4 * step * (way @ slope):
+                break
+            step /= 2
+        else:
+            break
+        s, y = -step * way, after_slope - slope
+        if s @ y > 1e-12:
+            moves = [*moves[1 - memory :], (s, y)]
+        done = value - after < 1e-9 * max(1.0, abs(value))
+        x, value, slope = x + s, after, after_slope
+        if done:
+            break
+    return x
 
 
 class Linear:
-    """A logistic regression on features scaled by their log-odds between the two classes of its rows."""
-
-    def __init__(self, rows: DataFrame, label: str, earlier: list[str]):
-        """rows: hashed, the label and the probabilities of earlier categories."""
-        self.label, self.earlier, self.model = label, earlier, None
-        told = {r[label]: r for r in rows.groupBy(label).agg(F.count("*").alias("n"), Summarizer.sum(F.col("hashed")).alias("sums")).collect()}
-        n = sum(r["n"] for r in told.values())
-        self.share = told[1.0]["n"] / n if 1.0 in told else 0.0
-        if len(told) < 2:
-            return
-        yes, no = ((told[v]["sums"].toArray() + 0.5) / (told[v]["n"] + 1.0) for v in (1.0, 0.0))
-        self.scale = ElementwiseProduct(scalingVec=Vectors.dense(np.log(yes / no)), inputCol="hashed", outputCol="scaled")
-        learner = LogisticRegression(featuresCol="inputs", labelCol=label, regParam=PENALTY, maxIter=STEPS, standardization=False, rawPredictionCol="raw", probabilityCol="p", predictionCol="said")
-        self.model = learner.fit(self._inputs(rows))
-
-    def _inputs(self, rows: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=["scaled", *self.earlier], outputCol="inputs").transform(self.scale.transform(rows)).drop("scaled")
+    """Weights of hashed features and of earlier categories' probabilities; a constant where there is one class."""
 
-    def score(self, rows: DataFrame, name: str) -> DataFrame:
-        if self.model is None:
-            return rows.withColumn(name, F.lit(float(self.share)))
-        return self.model.transform(self._inputs(rows)).withColumn(name, vector_to_array("p")[1]).drop("raw", "p", "said", "inputs")
+    def __init__(self, rows: Rows, label: np.ndarray, earlier: np.ndarray):
+        n, yes = len(label), label.sum()
+        self.weights, self.more, self.base = np.zeros(1 << BITS), np.zeros(earlier.shape[1]), None
+        self.share = yes / n if n else 0.0
+        if not 0 < yes < n:
+            return
+        there, with_ = rows.column_sums(np.ones(n)), rows.column_sums(label)
+        without = there - with_
+        odds = np.log((with_ + 0.5) / (yes + 1)) - np.log((without + 0.5) / (n - yes + 1))
+        odds[np.abs(odds) < SIGNIFICANT * np.sqrt(1 / (with_ + 0.5) + 1 / (without + 0.5))] = 0
+        used = np.flatnonzero(odds)
+        place = np.full(1 << BITS, -1)
+        place[used] = np.arange(len(used))
+        small = rows.only(place)
+
+        def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+            w, more, base = x[: len(used)], x[len(used) : -1], x[-1]
+            z = small.row_sums(w * odds[used]) + earlier @ more + base
+            p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+            value = np.logaddexp(0, z).sum() - label @ z + PENALTY * (w @ w) / 2 + 1e-3 * (more @ more)
+            off = p - label
+            return float(value), np.r_[small.column_sums(off, len(used)) * odds[used] + PENALTY * w, earlier.T @ off + 2e-3 * more, off.sum()]
+
+        x = _minimised(loss, np.r_[np.zeros(len(used) + earlier.shape[1]), np.log(yes / (n - yes))])
+        self.weights[used], self.more, self.base = x[: len(used)] * odds[used], x[len(used) : -1], float(x[-1])
+
+    def probability(self, rows: Rows, earlier: np.ndarray) -> np.ndarray:
+        if self.base is None:
+            return np.full(len(earlier), float(self.share))
+        z = rows.row_sums(self.weights) + earlier @ self.more + self.base
+        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+class Rows:
+    """Rows of hashed features, each place once."""
+
+    def __init__(self, places: np.ndarray, offsets: np.ndarray):
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        keys = np.unique((row.astype(np.int64) << BITS) | places)
+        self.n, self.row, self.place = len(offsets) - 1, keys >> BITS, keys & ((1 << BITS) - 1)
+
+    @classmethod
+    def of(cls, column: pa.ListArray) -> Rows:
+        return cls(column.flatten().to_numpy().astype(np.int64), np.r_[0, np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
+
+    def only(self, new_place: np.ndarray) -> Rows:
+        out = object.__new__(Rows)
+        kept = new_place[self.place] >= 0
+        out.n, out.row, out.place = self.n, self.row[kept], new_place[self.place[kept]]
+        return out
+
+    def take(self, mask: np.ndarray) -> Rows:
+        out = object.__new__(Rows)
+        kept, number = mask[self.row], np.cumsum(mask) - 1
+        out.n, out.row, out.place = int(mask.sum()), number[self.row[kept]], self.place[kept]
+        return out
+
+    def row_sums(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights[self.place], self.n)
+
+    def column_sums(self, of_rows: np.ndarray, size: int = 1 << BITS) -> np.ndarray:
+        return np.bincount(self.place, of_rows[self.row], size)
 
 
 class Chain:
@@ -74,28 +147,28 @@ class Chain:
     def __init__(self, names: list[str]):
         self.names, self.models = names, []
 
-    def fit(self, sample: DataFrame) -> Chain:
-        """sample: doc_id, hashed and a double 0 or 1 for each name."""
-        fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))
-        rows, earlier = sample.withColumn("fold", fold).coalesce(PARTS).persist(), []
-        for k, name in enumerate(self.names):
-            self.models.append(Linear(rows, name, list(earlier)))
-            if k + 1 < len(self.names):
-                apart = [Linear(rows.filter(F.col("fold") != f), name, list(earlier)).score(rows.filter(F.col("fold") == f), f"p_{name}") for f in range(FOLDS)]
-                told = materialise(reduce(DataFrame.unionByName, apart), "out-of-fold")
-                rows.unpersist()
-                rows = told.coalesce(PARTS).persist()
-                earlier.append(f"p_{name}")
-        rows.unpersist()
+    def fit(self, rows: Rows, labels: list[np.ndarray], fold: np.ndarray) -> Chain:
+        earlier = np.zeros((rows.n, 0))
+        for k, label in enumerate(labels):
+            self.models.append(Linear(rows, label, earlier))
+            if k + 1 < len(labels):
+                out = np.zeros(rows.n)
+                for f in range(FOLDS):
+                    apart = fold == f
+                    model = Linear(rows.take(~apart), label[~apart], earlier[~apart])
+                    out[apart] = model.probability(rows.take(apart), earlier[apart])
+                earlier = np.column_stack([earlier, out])
         return self
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        for name, model in zip(self.names, self.models, strict=True):
-            rows = model.score(rows, f"p_{name}")
-        for name in ("low_quality", "toxic"):
-            if name not in self.names:
-                rows = rows.withColumn(f"p_{name}", F.lit(0.0))
-        return rows.drop("hashed")
+    def predict(self, rows: Rows) -> np.ndarray:
+        """A column for each category."""
+        out = np.zeros((rows.n, 0))
+        for model in self.models:
+            out = np.column_stack([out, model.probability(rows, out)])
+        return out
+
+
+CATEGORIES = ["low_quality", "toxic"]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
@@ -104,22 +177,42 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("double").alias("low_quality"), F.max("toxic").cast("double").alias("toxic"))
     share = min(1.0, sample / max(1, known.count()))
     picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    if not known.count():
+    got = own.select(fold, *CATEGORIES, features(whole_text()).alias("places")).toArrow().combine_chunks()
+    if not got.num_rows:
         return Chain([])
-    return Chain(["low_quality", "toxic"]).fit(materialise(_hashed(own, "doc_id", "low_quality", "toxic"), "sample"))
+    places = got["places"].combine_chunks()
+    columns = [got[c].to_numpy() for c in CATEGORIES]
+    return Chain(CATEGORIES).fit(Rows.of(places), columns, got["fold"].to_numpy())
+
+
+def _scored(batch: pa.RecordBatch, chain: Chain) -> list[np.ndarray]:
+    column = batch.column(batch.num_columns - 1)
+    told = chain.predict(Rows.of(column)) if chain.models else np.zeros((batch.num_rows, len(CATEGORIES)))
+    return list(told.T)
 
 
 def score(docs: DataFrame, chain: Chain, cut: float = 0.5) -> DataFrame:
     """doc_id, p_low_quality, p_toxic and toxic of each row."""
-    rows = _hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
-    return chain.predict(rows).withColumn("toxic", F.col("p_toxic") >= cut)
+    state = docs.sparkSession.sparkContext.broadcast(chain)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        low, toxic = _scored(batch, state.value)
+        return {"doc_id": batch.column(0), "p_low_quality": low, "p_toxic": toxic, "toxic": toxic >= cut}
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), features(whole_text()).alias("places"))
+    return map_arrow(rows, run, "doc_id long, p_low_quality double, p_toxic double, toxic boolean")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """The rows of docs, as they were, that are not toxic."""
-    chain = train(docs, labels)
-    place = "_hashed_terms"
-    rows = docs.withColumn(place, features(whole_text()))
-    hashed = HashingTF(inputCol=place, outputCol="hashed", numFeatures=1 << BITS, binary=True).transform(rows).drop(place)
-    return chain.predict(hashed).filter(F.col("p_toxic") < cut).select(*docs.columns)
+    ship_package(docs.sparkSession)
+    state = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scored(batch, state.value)[1] < cut)).select(list(range(batch.num_columns - 1)))
+
+    rows = docs.withColumn("_places", features(whole_text()))
+    return rows.mapInArrow(run, T.StructType(docs.schema.fields))
