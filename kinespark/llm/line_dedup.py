@@ -153,7 +153,8 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows of docs, with columns deleted (places of lines) and partners; text is what is left."""
     gone = materialise(deletions(docs, min_words), "deleted").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "deleted", "partners")
-    joined = docs.join(gone, (docs["doc_id"].cast("long") == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left")
+    # always by shuffle, so the plan is the same at any size; the small side is hashed, the texts are not sorted
+    joined = docs.join(gone.hint("shuffle_hash"), (docs["doc_id"].cast("long") == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left")
     left = F.array_join(F.filter(_lines(docs["text"]), lambda _, i: ~F.array_contains("deleted", i)), "\n")
     text = F.when(F.col("deleted").isNull(), docs["text"]).otherwise(left)
     empty = lambda kind: F.array().cast(f"array<{kind}>")
