@@ -33,7 +33,7 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 _PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: A space before a character that isn't white space begins a new pretoken whatever came before.
 _ODD, _CUT = re.compile(r" (?!\S)"), re.compile(r" (?=\S)")
-MEMO_PIECES, MEMO_CHARS = 600_000, 48
+MEMO_PIECES, MEMO_BYTES, TEXTS = 600_000, 64, 256
 
 
 def _printable() -> dict[str, int]:
@@ -135,28 +135,6 @@ class Transducer:
                 out += self._settle()
         return out
 
-    def whole(self, data: bytes) -> list[int]:
-        """What feed() and finish() give for data that ends within the lookahead, without the window."""
-        ids, known, longest, last = self.table.ids.get, self.table._may.get, self.table.longest, [-1]
-        for end in range(1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids(data[start:end])
-                if token is None:
-                    continue
-                prior = last[start]
-                if prior >= 0 and (fits := known((prior, token))) is None:
-                    fits = self.table.may_follow(prior, token)
-                if prior < 0 or fits:
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary has no token for a byte")
-        out, end, text = [], len(data), self.table.text
-        while end > 0:
-            out.append(last[end])
-            end -= len(text[last[end]])
-        return out[::-1]
-
     def _advance(self, data: bytes) -> None:
         """last[i]: the token that ends the encoding of what lies before i."""
         ids, may, longest, last = self.table.ids.get, self.table.may_follow, self.table.longest, self.last
@@ -204,59 +182,170 @@ class Transducer:
         return out
 
 
-class _Memo(dict):
-    """Encodings of short pieces as little-endian unsigned 32-bit integers; emptied when full."""
+class _Lookup:
+    """Whole numbers to small ones in arrays, by open addressing; -1 for what isn't there."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values, self.size = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        out = self.values[at]
+        todo = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            out[todo] = self.values[at[todo]]
+            todo = todo[(out[todo] >= 0) & (self.keys[at[todo]] != keys[todo])]
+        return out
 
-    def __init__(self, encoder: Encoder, before: str):
-        super().__init__()
-        self.encoder, self.before = encoder, before
+    def put(self, keys: np.ndarray, values: list[int]) -> None:
+        if self.size + len(keys) > self.mask // 2:
+            self.values[:], self.size = -1, 0
+        for at, key, value in zip(self._slot(keys).tolist(), keys, values, strict=True):
+            while self.values[at] >= 0 and self.keys[at] != key:
+                at = (at + 1) & self.mask
+            self.keys[at], self.values[at] = key, value
+        self.size += len(keys)
 
-    def __missing__(self, piece: str) -> bytes:
-        made = self.encoder._fresh(self.before + piece)
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
-            self[piece] = made
-        return made
+
+class Batch:
+    """The machine for many short pretokens at once, position by position. Substrings are told by a polynomial hash."""
+
+    FACTOR = np.uint64(0x5851F42D4C957F2D)
+
+    def __init__(self, table: MergeTable):
+        self.table, self.tokens, self.pairs = table, _Lookup(18), _Lookup(22)
+        with np.errstate(over="ignore"):
+            self.powers = np.cumprod(np.r_[np.uint64(1), np.full(256, self.FACTOR)], dtype=np.uint64)
+            self.tokens.put(np.array([self._hash(b) for b in table.ids], np.uint64), [*table.ids.values()])
+        self.length = np.zeros(max(table.text) + 1, np.int64)
+        for i, b in table.text.items():
+            self.length[i] = len(b)
+
+    def _hash(self, data: bytes) -> np.uint64:
+        h = 0
+        for x in data:
+            h = (h * int(self.FACTOR) + x + 1) & (2**64 - 1)
+        return np.uint64(h)
+
+    def _fits(self, prior: np.ndarray, token: np.ndarray) -> np.ndarray:
+        keys = (prior.astype(np.uint64) << np.uint64(20)) | token.astype(np.uint64)
+        out = self.pairs.get(keys)
+        if (out < 0).any():
+            new = np.unique(keys[out < 0])
+            self.pairs.put(new, [int(not self.table._crossed(int(k) >> 20, int(k) & 0xFFFFF)) for k in new])
+            out = self.pairs.get(keys)
+        return out > 0
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+        for at in range(0, len(order), 1 << 14):
+            some = order[at : at + (1 << 14)]
+            for i, ids in zip(some, self._sorted([words[i] for i in some]), strict=True):
+                out[i] = ids
+        return out
+
+    def _sorted(self, words: list[bytes]) -> list[bytes]:
+        """Longest first, so those that reach a position stand together."""
+        sizes = np.array([*map(len, words)])
+        n, most = len(words), int(sizes[0])
+        text = np.frombuffer(b"".join(w.ljust(most, b"\0") for w in words), np.uint8).reshape(n, most).astype(np.uint64) + np.uint64(1)
+        last = np.full((most + 1, n), -1, np.int64)
+        prefix = np.zeros((most + 1, n), np.uint64)
+        for i in range(most):
+            prefix[i + 1] = prefix[i] * self.FACTOR + text[:, i]
+        for end in range(1, most + 1):
+            open_ = np.arange(int(np.searchsorted(-sizes, -end, "right")))
+            for start in range(max(0, end - self.table.longest), end):
+                token = self.tokens.get(prefix[end][open_] - prefix[start][open_] * self.powers[end - start])
+                hit = token >= 0
+                if start and hit.any():
+                    hit[hit] = self._fits(last[start][open_[hit]], token[hit])
+                if hit.any():
+                    last[end][open_[hit]] = token[hit]
+                    open_ = open_[~hit]
+                    if not len(open_):
+                        break
+        made = np.zeros((n, most), "<u4")
+        at, place, rows = sizes.copy(), np.full(n, most), np.arange(n)
+        while len(rows):
+            token = last[at[rows], rows]
+            place[rows] -= 1
+            made[rows, place[rows]] = token
+            at[rows] -= self.length[token]
+            rows = rows[at[rows] > 0]
+        return [made[i, k:].tobytes() for i, k in enumerate(place.tolist())]
 
 
 class Encoder:
+    """Encodes texts. Pieces and words met before are looked up; both memories are bounded and emptied when full."""
+
     def __init__(self, table: MergeTable):
-        self.table, self.machine = table, Transducer(table)
-        self.first, self.later = _Memo(self, ""), _Memo(self, " ")
+        self.table, self.machine, self.batch = table, Transducer(table), Batch(table)
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.special = re.compile("|".join(map(re.escape, table.special))) if table.special else None
         self.bytes_of = [table.text.get(i, b"") for i in range(max(table.text) + 1)]
 
-    def _fresh(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for word in _PRETOKEN.findall(piece):
+    def _learn(self, memory: dict[str, bytes], pieces: set[str], before: str) -> None:
+        """Fills memory with the encodings of the pieces, each with what stands before it."""
+        if len(memory) + len(pieces) > MEMO_PIECES:
+            memory.clear()
+        if len(self.words) > MEMO_PIECES:
+            self.words.clear()
+        cut = {p: [before + p] if p.isalpha() else _PRETOKEN.findall(before + p) for p in pieces}
+        new = {w for words in cut.values() for w in words} - self.words.keys()
+        short: dict[str, bytes] = {}
+        for word in new:
             data = word.encode("utf-8", "replace")
             token = self.table.ids.get(data)
             if token is not None:
-                ids.append(token)
-            elif len(data) <= self.table.lookahead:
-                ids += self.machine.whole(data)
+                self.words[word] = token.to_bytes(4, "little")
+            elif len(data) <= MEMO_BYTES:
+                short[word] = data
             else:
-                ids += [*self.machine.feed(data), *self.machine.finish()]
-        return np.asarray(ids, "<u4").tobytes()
+                self.words[word] = np.asarray([*self.machine.feed(data), *self.machine.finish()], "<u4").tobytes()
+        self.words.update(zip(short, self.batch.encode([*short.values()]), strict=True))
+        get = self.words.__getitem__
+        memory.update((p, b"".join(map(get, words))) for p, words in cut.items())
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; strings of special tokens in a text become those
+        tokens. Null gives none."""
+        spans: list[list[tuple[bytes, str, list[str]]]] = []
+        for text in texts:
+            own, at = [], 0
+            for m in self.special.finditer(text) if text and self.special else ():
+                own.append(self._split(text[at : m.start()]))
+                own.append((self.table.special[m[0]].to_bytes(4, "little"), "", []))
+                at = m.end()
+            spans.append([*own, self._split((text or "")[at:])])
+        firsts = {first for own in spans for _, first, _ in own}
+        laters: set[str] = set()
+        for own in spans:
+            for _, _, rest in own:
+                laters.update(rest)
+        for memory, pieces, before in ((self.first, firsts, ""), (self.later, laters, " ")):
+            if len(memory) > MEMO_PIECES // 2 and len(pieces - memory.keys()) + len(memory) > MEMO_PIECES:
+                memory.clear()
+            if new := pieces - memory.keys():
+                self._learn(memory, new, before)
+        get = self.later.__getitem__
+        return [b"".join([known or self.first[first] + b"".join(map(get, rest)) for known, first, rest in own]) for own in spans]
 
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
+    @staticmethod
+    def _split(text: str) -> tuple[bytes, str, list[str]]:
         parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
+        return b"", parts[0], parts[1:]
 
     def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; strings of special tokens in the text become those tokens."""
-        if not text:
-            return b""
-        if not self.special or not (found := [*self.special.finditer(text)]):
-            return self._plain(text)
-        out, at = [], 0
-        for m in found:
-            out += [self._plain(text[at : m.start()]), np.asarray([self.table.special[m[0]]], "<u4").tobytes()]
-            at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return self.encode_many([text])[0]
 
     def decode_stream(self, ids: Iterable[np.ndarray]) -> Iterator[str]:
         """Text as soon as its bytes are whole: the state is the unfinished character, three bytes at most. Bytes that are no
@@ -273,6 +362,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(merge_table(path))
 
 
+def encoded(texts: pa.Array, path: str) -> Iterator[bytes]:
+    """Ids of each text, some hundred texts at a time."""
+    for at in range(0, len(texts), TEXTS):
+        yield from encoder(path).encode_many(texts.slice(at, TEXTS).to_pylist())
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     """The installed vocabulary file; it is read where it lies and never copied."""
     try:
@@ -286,8 +381,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """One row of (id, ids binary) for each row of docs."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        enc = encoder(path)
-        return {"doc_id": batch.column(0), "ids": [enc.encode(t) for t in batch.column(1).to_pylist()]}
+        return {"doc_id": batch.column(0), "ids": [*encoded(batch.column(1), path)]}
 
     return map_arrow(docs.select(docs[id_col].cast("long"), docs[text_col]), run, "doc_id long, ids binary")
 
@@ -298,8 +392,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batch: pa.RecordBatch) -> dict:
         enc = encoder(path)
         out: dict = {"doc_id": batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for text in batch.column(1):
-            ids = enc.encode(text.as_py())
+        for ids in encoded(batch.column(1), path):
             numbers, said = np.frombuffer(ids, "<u4"), hashlib.sha256()
             for part in enc.decode_stream(numbers[i : i + step] for i in range(0, len(numbers), step)):
                 said.update(part.encode())

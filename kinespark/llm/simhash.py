@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespark.llm.common import map_arrow, materialise, words_of
@@ -165,3 +165,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
     smallest = materialise(members.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     classes = materialise(members.join(smallest, "root").select("fp", "component_id"), "classes")
     return own.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
+    """The rows of docs that stand for their component: those of the smallest id. Rows that repeat an id are one document,
+    of which the text with the smallest hash stays. Rows with a null id all stay."""
+    groups = near_duplicates(docs, size, bits)
+    stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    own = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    kept = own.join(stays.hint("shuffle_hash"), "_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))
+    return kept.withColumn("_place", place).filter("_place = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))

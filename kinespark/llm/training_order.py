@@ -1,19 +1,23 @@
 """Training-order materialisation of token ids.
 
 Each text becomes its token ids and an end token, cut into sequences of ``length`` tokens; the last of a text is filled
-up. The N sequences are numbered in the order of the input's partitions, and a keyed Feistel network on the next power of
-four, walked until it falls below N, permutes the numbers: a sequence's slot is where training meets it. Slots are dealt
-by ranges into shards of ``shard_records`` records. A shard is a file of records of one fixed stride: a header (id of the
-text, place of the sequence in it, tokens that count), the ids as little-endian unsigned 16-bit integers, a line feed. So
-slot s is record s % shard_records of shard s // shard_records, at a known byte, and a reader goes on where it stopped.
-
-The first pass counts sequences by partition; the driver keeps one number for each. The second makes them and checks the
-count, so an input whose partitions changed in between is an error and never a wrong slot. One shuffle, of the records.
-Spark's commit protocol writes the files, so lost tasks and executors leave no half shard.
-
-A null or empty text is one sequence with the end token alone. Rows with a null id have id -1 and are marked by header
-flag. Repeated rows are sequences of their own. Vocabularies of over 65,536 ids are refused. Other columns are ignored;
-an empty table writes nothing and gives an empty result.
+up. A text of n bytes has n tokens at most, so n // length + 1 numbers are reserved for it before it is encoded: a scan of
+text lengths alone gives the range of numbers 0 .. D - 1 and each partition's share. A keyed Feistel network on the next
+power of four, walked until it falls below D, permutes the numbers; sequences follow each other in training by permuted
+number. Numbers that no sequence has leave no gap: a sequence's slot is how many sequences come before it.
+
+Permuted numbers are dealt by ranges of ``span`` into shards. A shard is a file of records of one fixed stride: a header
+(id of the text, place of the sequence in it, tokens that count), the ids as little-endian unsigned 16-bit integers, a
+line feed. Shard s begins at the slot that is the sum of the sizes of those before it, over the stride; so each slot has a
+known byte, and a reader goes on where it stopped. Texts are encoded once and records move once.
+
+The driver keeps one number for each partition. Encoding checks it, so an input whose partitions changed in between is
+an error and never a wrong slot. Spark's commit protocol writes the files, so lost tasks and executors leave no half
+shard.
+
+A null or empty text is one sequence with the end token alone. Rows with a null id are marked in the header. Repeated
+rows are sequences of their own. Vocabularies of over 65,536 ids are refused. Other columns are ignored; an empty table
+writes nothing and gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from kinespark.llm.bpe import encoder, merge_table
+from kinespark.llm.bpe import TEXTS, encoded, merge_table
 from kinespark.llm.common import new_path
 from kinespark.session import ship_package
 
-LENGTH, SHARD_RECORDS, ROUNDS = 256, 16_384, 6
+LENGTH, SPAN, ROUNDS = 256, 65_536, 6
 _HEAD = np.dtype([("doc_id", "<i8"), ("part", "<u4"), ("tokens", "<u2"), ("known", "u1"), ("spare", "u1")])
 
 
@@ -86,68 +90,74 @@ def _sequences(ids: bytes, end: int, length: int) -> np.ndarray:
     return np.pad(tokens, (0, rows * length - len(tokens)), constant_values=end).reshape(rows, length)
 
 
-def materialise_order(docs: DataFrame, path: str, vocabulary: str, key: str = "kinespark", length: int = LENGTH, shard_records: int = SHARD_RECORDS, end_token: str = "<|endoftext|>") -> int:
-    """Writes the shards below path; gives N."""
+def materialise_order(docs: DataFrame, path: str, vocabulary: str, key: str = "kinespark", length: int = LENGTH, span: int = SPAN, end_token: str = "<|endoftext|>") -> bool:
+    """Writes the shards below path; false if there is nothing to write."""
     spark = docs.sparkSession
     ship_package(spark)
     table = merge_table(vocabulary)
     if max(table.text) >= 1 << 16:
         raise ValueError("ids don't fit 16 bits")
     end = table.special[end_token]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, n = encoder(vocabulary), 0
-        for batch in batches:
-            n += sum(-(-(len(enc.encode(t.as_py())) // 4 + 1) // length) for t in batch.column(1))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
-
-    counts = {r["part"]: r["n"] for r in texts.mapInArrow(count, "part int, n long").collect()}
+    reserved = F.expr(f"coalesce(octet_length(text), 0) div {length} + 1").alias("reserved")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", reserved)
+    counts = {r["part"]: r["n"] for r in texts.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("reserved").alias("n")).collect()}
     total = sum(counts.values())
     if not total:
-        return 0
+        return False
     firsts, at = {}, 0
     for part in sorted(counts):
         firsts[part], at = at, at + counts[part]
     state, kind = spark.sparkContext.broadcast((firsts, counts)), record_type(length)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, order, n = encoder(vocabulary), TaskContext.get().partitionId(), Permutation(total, key), 0
+        part, order = TaskContext.get().partitionId(), Permutation(total, key)
         first, there = (x.get(part, 0) for x in state.value)
+        n = 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                some, made = batch.slice(k, 500), []
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1), strict=True):
-                    rows = _sequences(ids := enc.encode(text.as_py()), end, length)
+            for k in range(0, batch.num_rows, TEXTS):
+                some, made, numbers = batch.slice(k, TEXTS), [], []
+                for doc, ids, kept in zip(some.column(0).to_pylist(), encoded(some.column(1), vocabulary), some.column(2).to_pylist(), strict=True):
+                    rows = _sequences(ids, end, length)
                     out = np.zeros(len(rows), kind)
                     out["head"]["doc_id"], out["head"]["known"] = (-1, 0) if doc is None else (doc, 1)
                     out["head"]["part"] = np.arange(len(rows))
                     out["head"]["tokens"] = np.minimum(length, len(ids) // 4 + 1 - length * np.arange(len(rows)))
                     out["ids"], out["line"] = rows, b"\n"
                     made.append(out)
+                    numbers.append(first + n + np.arange(len(rows)))
+                    n += kept
                 records = np.concatenate(made)
-                slots = order.slot(first + n + np.arange(len(records)))
-                n += len(records)
-                body = records.view(np.uint8).reshape(len(records), kind.itemsize)[:, :-1]
-                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(kind.itemsize - 1), len(records), [None, pa.py_buffer(np.ascontiguousarray(body))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(slots), data], ["slot", "value"])
+                body = np.ascontiguousarray(records.view(np.uint8).reshape(len(records), kind.itemsize)[:, :-1])
+                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(kind.itemsize - 1), len(records), [None, pa.py_buffer(body)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(order.slot(np.concatenate(numbers))), data], ["place", "value"])
         if n != there:
-            raise RuntimeError(f"partition {part} had {there} sequences and now has {n}: its input isn't stable")
+            raise RuntimeError(f"partition {part} had {there} numbers and now needs {n}: its input isn't stable")
 
-    placed = texts.mapInArrow(place, "slot long, value binary").withColumn("shard", F.expr(f"slot div {shard_records}"))
-    shards = -(-total // shard_records)
-    dealt = placed.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "slot")
+    placed = texts.mapInArrow(place, "place long, value binary").withColumn("shard", F.expr(f"place div {span}"))
+    shards = -(-total // span)
+    dealt = placed.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "place")
     # a binary is its bytes as a string too, and the text sink ends each with a line feed
     dealt.select(F.col("value").cast("string").alias("value"), "shard").write.partitionBy("shard").option("compression", "none").text(path)
-    return total
+    return True
+
+
+def shard_starts(spark: SparkSession, path: str, length: int = LENGTH) -> dict[int, int]:
+    """The first slot of each shard, from the files' sizes."""
+    files = spark.read.format("binaryFile").load(path).groupBy(F.col("shard").cast("long").alias("shard")).agg(F.sum("length").alias("bytes"))
+    out, at = {}, 0
+    for r in sorted(files.collect()):
+        out[r["shard"]], at = at, at + r["bytes"] // record_type(length).itemsize
+    return out
 
 
-def read_order(spark: SparkSession, path: str, from_slot: int = 0, length: int = LENGTH, shard_records: int = SHARD_RECORDS) -> DataFrame:
+def read_order(spark: SparkSession, path: str, from_slot: int = 0, length: int = LENGTH) -> DataFrame:
     """slot, shard, record, doc_id, part, ids of all records from a slot on; earlier shards aren't opened."""
     ship_package(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
-    files = files.filter(F.col("shard") >= from_slot // shard_records).select(F.col("shard").cast("long").alias("shard"), "content")
-    kind = record_type(length)
+    starts = shard_starts(spark, path, length)
+    first_shard = max((s for s, at in starts.items() if at <= from_slot), default=0)
+    files = spark.read.format("binaryFile").load(path)
+    files = files.filter(F.col("shard") >= first_shard).select(F.col("shard").cast("long").alias("shard"), "content")
+    state, kind = spark.sparkContext.broadcast(starts), record_type(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,11 +166,11 @@ def read_order(spark: SparkSession, path: str, from_slot: int = 0, length: int =
                 for at in range(0, len(records), 2000):
                     some = records[at : at + 2000]
                     number = at + np.arange(len(some))
-                    kept = shard * shard_records + number >= from_slot
+                    kept = state.value[shard] + number >= from_slot
                     some, number = some[kept], number[kept]
                     head = some["head"]
                     yield pa.RecordBatch.from_pydict({
-                        "slot": pa.array(shard * shard_records + number), "shard": pa.array(np.full(len(some), shard)), "record": pa.array(number),
+                        "slot": pa.array(state.value[shard] + number), "shard": pa.array(np.full(len(some), shard)), "record": pa.array(number),
                         "doc_id": pa.array(head["doc_id"], mask=head["known"] == 0), "part": pa.array(head["part"].astype(np.int64)),
                         "ids": pa.array([ids[:n].tobytes() for ids, n in zip(some["ids"], head["tokens"], strict=True)], pa.binary()),
                     })
