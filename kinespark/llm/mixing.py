@@ -46,7 +46,8 @@ def water_fill(sources: DataFrame, max_epochs: float = 3.0, share: float = 1.0)
     left = F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum(cap).over(before), F.lit(0.0))
     level = F.try_divide(left, F.sum("weight").over(after))
     free = sources.withColumn("cap", cap).withColumn("level", F.when(level * F.col("weight") <= cap, level))
-    level = F.min("level").over(Window.orderBy("cap").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # of the levels that keep the next source below its cap, the first in order is the highest
+    level = F.max("level").over(Window.orderBy("cap").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     filled = free.withColumn("level", level)
     return filled.withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("level")), F.col("cap"))).drop("cap", "level")
 
@@ -107,7 +108,7 @@ with sized as (
      / sum(weight) over (order by 3.0::double * source_size / weight, source nulls last rows between current row and unbounded following) as level
   from weighed
 ), leveled as (
-  select *, min(case when level * weight <= 3.0::double * source_size then level end) over () as fill from tried
+  select *, max(case when level * weight <= 3.0::double * source_size then level end) over () as fill from tried
 ), targets as (
   select source, source_size, coalesce(least(3.0::double * source_size, weight * fill), 3.0::double * source_size) as target from leveled
 ), needs as (
