@@ -182,7 +182,7 @@ class Transducer:
         return out
 
 
-class _Lookup:
+class Lookup:
     """Whole numbers to small ones in arrays, by open addressing; -1 for what isn't there."""
 
     def __init__(self, bits: int):
@@ -218,7 +218,7 @@ class Batch:
     FACTOR = np.uint64(0x5851F42D4C957F2D)
 
     def __init__(self, table: MergeTable):
-        self.table, self.tokens, self.pairs = table, _Lookup(18), _Lookup(22)
+        self.table, self.tokens, self.pairs = table, Lookup(18), Lookup(22)
         with np.errstate(over="ignore"):
             self.powers = np.cumprod(np.r_[np.uint64(1), np.full(256, self.FACTOR)], dtype=np.uint64)
             self.tokens.put(np.array([self._hash(b) for b in table.ids], np.uint64), [*table.ids.values()])

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinespark.llm.bpe import vocabulary_path
+from kinespark.llm.bpe import Lookup, vocabulary_path
 from kinespark.llm.common import id_bucket, map_arrow, materialise
 
 SAMPLE, ROUNDS, SMOOTH = 800, 3, 0.01
-MEMO = 400_000
+MEMO, WORD, TEXTS = 1_000_000, 24, 256
 #: Fixed value: the mark that the vocabulary file puts before words.
 MARK = "▁"
 
@@ -146,35 +146,99 @@ def train(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS
     return LanguageModel(languages, table, path)
 
 
-class _Words(dict):
-    """Log probabilities of the words met, one row each, and how many of their runs are letters; emptied when full."""
+class Batch:
+    """The forward algorithm for many words and all languages at once, place by place."""
+
+    FACTOR = np.uint64(0x5851F42D4C957F2D)
+
+    def __init__(self, model: LanguageModel):
+        self.known, self.p = pieces(model.path), model.table
+        self.longest, self.unknown, self.found = max(map(len, self.known)), len(self.known), Lookup(17)
+        with np.errstate(over="ignore"):
+            self.powers = np.cumprod(np.r_[np.uint64(1), np.full(WORD + 2, self.FACTOR)], dtype=np.uint64)
+            self.found.put(np.array([self._hash(x) for x in self.known], np.uint64), [*self.known.values()])
+
+    def _hash(self, piece: str) -> np.uint64:
+        h = 0
+        for c in piece:
+            h = (h * int(self.FACTOR) + ord(c) + 1) & (2**64 - 1)
+        return np.uint64(h)
+
+    def logs(self, words: list[str]) -> np.ndarray:
+        """A row of log probabilities for each word of WORD letters at most, mark included."""
+        out = np.zeros((len(words), len(self.p)))
+        order = np.array(sorted(range(len(words)), key=lambda i: -len(words[i])), np.int64)
+        for at in range(0, len(order), 1 << 13):
+            some = order[at : at + (1 << 13)]
+            out[some] = self._sorted([words[i] for i in some])
+        return out
+
+    def _sorted(self, words: list[str]) -> np.ndarray:
+        sizes = np.array([*map(len, words)])
+        most, n = int(sizes[0]), len(words)
+        text = np.frombuffer("".join(w.ljust(most, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, most).astype(np.uint64) + np.uint64(1)
+        prefix, alpha = np.zeros((most + 1, n), np.uint64), np.zeros((most + 1, len(self.p), n))
+        alpha[0] = 1
+        for i in range(most):
+            prefix[i + 1] = prefix[i] * self.FACTOR + text[:, i]
+        for end in range(1, most + 1):
+            open_ = int(np.searchsorted(-sizes, -end, "right"))
+            for start in range(max(0, end - self.longest), end):
+                piece = self.found.get(prefix[end][:open_] - prefix[start][:open_] * self.powers[end - start])
+                if start == end - 1:
+                    piece[piece < 0] = self.unknown
+                hit = np.flatnonzero(piece >= 0)
+                if len(hit):
+                    alpha[end][:, hit] += alpha[start][:, hit] * self.p[:, piece[hit]]
+        return np.log(alpha[sizes, :, np.arange(n)])
+
+
+class _Words:
+    """Rows of log probabilities, and of how many words they stand for: one for each word met and each token of several
+    words. Emptied when full."""
 
     def __init__(self, model: LanguageModel):
-        super().__init__()
-        self.lattice, self.p = Lattice(pieces(model.path)), model.table.tolist()
-        self.rows = np.zeros((1024, len(self.p) + 1))
+        self.lattice, self.p, self.batch = Lattice(pieces(model.path)), model.table.tolist(), Batch(model)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.tokens: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.rows, self.size = np.zeros((4096, len(self.p) + 1)), 1
 
-    def __missing__(self, token: str) -> int:
-        row = len(self)
-        if row >= len(self.rows):
+    def _add(self, rows: np.ndarray) -> range:
+        while self.size + len(rows) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        words = [token] if token.isalpha() else _letters(token)
-        self.rows[row] = 0
-        for word in words:
-            arcs = self.lattice.arcs(MARK + word)
-            self.rows[row, :-1] += [_forward(arcs, p)[1] for p in self.p]
-        self.rows[row, -1] = len(words)
-        self[token] = row
-        return row
-
-    def of(self, text: str) -> np.ndarray:
-        if len(self) > MEMO:
-            self.clear()
-        total, tokens = np.zeros(self.rows.shape[1]), text.lower().split()
-        for at in range(0, len(tokens), 1 << 16):
-            places = [*map(self.__getitem__, tokens[at : at + (1 << 16)])]
-            total += self.rows[places].sum(axis=0)
-        return total
+        self.rows[self.size : self.size + len(rows)] = rows
+        self.size += len(rows)
+        return range(self.size - len(rows), self.size)
+
+    def _learn(self, tokens: set[str]) -> None:
+        cut = {t: [t] if t.isalpha() else _letters(t) for t in tokens}
+        new = [*({w for own in cut.values() for w in own} - self.words.keys())]
+        logs = np.ones((len(new), len(self.p) + 1))
+        short = [i for i, w in enumerate(new) if len(w) < WORD]
+        if short:
+            logs[short, :-1] = self.batch.logs([MARK + new[i] for i in short])
+        for i, w in enumerate(new):
+            if len(w) >= WORD:
+                logs[i, :-1] = [_forward(self.lattice.arcs(MARK + w), p)[1] for p in self.p]
+        if new:
+            self.words.update(zip(new, self._add(logs), strict=True))
+        for token, own in cut.items():
+            if len(own) < 2:
+                self.tokens[token] = self.words[own[0]] if own else 0
+            else:
+                self.tokens[token] = self._add(self.rows[[self.words[w] for w in own]].sum(axis=0)[None, :])[0]
+
+    def totals(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text the sums of its words' rows."""
+        cut = [(t or "").lower().split() for t in texts]
+        if self.size > MEMO:
+            self._empty()
+        if new := set().union(*cut) - self.tokens.keys():
+            self._learn(new)
+        return [self.rows[[*map(self.tokens.__getitem__, own)]].sum(axis=0) if own else self.rows[0] for own in cut]
 
 
 _OPEN: dict[str, _Words] = {}
@@ -191,16 +255,16 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             _OPEN.clear()
             _OPEN[own.uid] = _Words(own)
         words, said, score = _OPEN[own.uid], [], []
-        for text in batch.column(1):
-            text = text.as_py()
-            total = words.of(text) if text and names else None
-            if total is None or total[-1] < 1:
-                said.append("und")
-                score.append(0.0)
-                continue
-            best = int(np.argmax(total[:-1]))
-            said.append(names[best])
-            score.append(float(1 / np.exp(total[:-1] - total[best]).sum()))
+        for at in range(0, batch.num_rows, TEXTS):
+            texts = batch.column(1).slice(at, TEXTS).to_pylist()
+            for total in words.totals(texts) if names else [np.zeros(1)] * len(texts):
+                if total[-1] < 1:
+                    said.append("und")
+                    score.append(0.0)
+                    continue
+                best = int(np.argmax(total[:-1]))
+                said.append(names[best])
+                score.append(float(1 / np.exp(total[:-1] - total[best]).sum()))
         return {"doc_id": batch.column(0), "lang_pred": said, "score": score}
 
     return map_arrow(docs.select(docs["doc_id"].cast("long"), docs["text"]), run, "doc_id long, lang_pred string, score double")

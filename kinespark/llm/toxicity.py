@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from kinespark.llm.common import map_arrow, whole_text
 from kinespark.session import ship_package
 
-SAMPLE, FOLDS, BITS, PENALTY, SIGNIFICANT, STEPS = 8_000, 3, 18, 2.0, 3.0, 60
+SAMPLE, FOLDS, BITS, PENALTY, SIGNIFICANT, STEPS = 6_000, 3, 18, 2.0, 3.0, 60
 
 
 def features(text: Column) -> Column:
@@ -119,8 +119,16 @@ class Rows:
         self.n, self.row, self.place = len(offsets) - 1, keys >> BITS, keys & ((1 << BITS) - 1)
 
     @classmethod
-    def of(cls, column: pa.ListArray) -> Rows:
-        return cls(column.flatten().to_numpy().astype(np.int64), np.r_[0, np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
+    def of(cls, column: pa.ListArray, step: int = 500) -> Rows:
+        """Some hundred rows at a time, so sorting takes little memory."""
+        out, rows, places = object.__new__(cls), [], []
+        for at in range(0, len(column), step):
+            some = column.slice(at, step)
+            one = cls(some.flatten().to_numpy().astype(np.int64), np.r_[0, np.cumsum(some.value_lengths().fill_null(0).to_numpy())])
+            rows.append((one.row + at).astype(np.int32))
+            places.append(one.place.astype(np.int32))
+        out.n, out.row, out.place = len(column), np.concatenate(rows or [np.zeros(0, np.int32)]), np.concatenate(places or [np.zeros(0, np.int32)])
+        return out
 
     def only(self, new_place: np.ndarray) -> Rows:
         out = object.__new__(Rows)
@@ -182,15 +190,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     got = own.select(fold, *CATEGORIES, features(whole_text()).alias("places")).toArrow().combine_chunks()
     if not got.num_rows:
         return Chain([])
-    places = got["places"].combine_chunks()
-    columns = [got[c].to_numpy() for c in CATEGORIES]
-    return Chain(CATEGORIES).fit(Rows.of(places), columns, got["fold"].to_numpy())
+    rows = Rows.of(got["places"].combine_chunks())
+    columns, fold = [got[c].to_numpy() for c in CATEGORIES], got["fold"].to_numpy()
+    del got
+    return Chain(CATEGORIES).fit(rows, columns, fold)
 
 
 def _scored(batch: pa.RecordBatch, chain: Chain) -> list[np.ndarray]:
     column = batch.column(batch.num_columns - 1)
-    told = chain.predict(Rows.of(column)) if chain.models else np.zeros((batch.num_rows, len(CATEGORIES)))
-    return list(told.T)
+    if not chain.models or not batch.num_rows:
+        return [np.zeros(batch.num_rows)] * len(CATEGORIES)
+    return list(np.concatenate([chain.predict(Rows.of(column.slice(at, 500))) for at in range(0, batch.num_rows, 500)]).T)
 
 
 def score(docs: DataFrame, chain: Chain, cut: float = 0.5) -> DataFrame:
