@@ -59,7 +59,7 @@ def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     order's total as target; status by order status; flagged tracking where the first line was returned."""
     lines = table(spark, sf_dir, "lineitem")
     sums = lines.groupBy("l_orderkey").agg(
-        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("measured"), F.min_by("l_returnflag", "l_linenumber").alias("flag"),
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("measured"), F.min_by("l_returnflag", F.struct("l_linenumber", "l_returnflag")).alias("flag"),
         F.avg("l_discount").alias("discount"), F.avg("l_quantity").alias("quantity"), F.avg("l_tax").alias("tax"), F.count("*").alias("lines"),
     )
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")

@@ -4,16 +4,486 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kinespark.functions import exprs as X
+from kinespark.operators import candidates, evaluators, fits, gates, masks, scoring, sensitivity, windows
+from kinespark.plans import adapters as A
+from kinespark.plans import oracle as O
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+USER = ["object_id"]
+AFFECTED = ("1-URGENT", "2-HIGH")
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def r6(c, digits: int = 6) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, digits) + F.lit(0.0)
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: r6(c, digits) for c in columns})
+
+
+# --- fits and windows over event tracks
+
+
+@query
+def velocity_fit(spark, d):
+    f = fits.linear_fit(A.event_tracks(spark, d), USER, "t", "x").select("object_id", "n", F.abs("slope").alias("speed"), "r2", X.status_from_r2("r2").alias("status"), F.coalesce(X.reason_from_r2("r2"), F.lit("")).alias("reason"))
+    return rounded(f, "speed", "r2")
+
+
+def _quadratic(spark, d, s):
+    f = fits.quadratic_fit(A.event_tracks(spark, d), USER, "t", s)
+    return f.select("object_id", "n", (2 * F.col("a")).alias("acceleration"), "r2", X.status_from_r2("r2").alias("status"))
+
+
+@query
+def acceleration_fit(spark, d):
+    return rounded(_quadratic(spark, d, "x"), "acceleration", "r2")
+
+
+@query
+def gravity_fit(spark, d):
+    return rounded(_quadratic(spark, d, "y").withColumn("acceleration", F.abs("acceleration")), "acceleration", "r2")
+
+
+@query
+def pca_axis_speed(spark, d):
+    t = A.event_tracks(spark, d)
+    axis = fits.principal_axis(t, USER).select("object_id", "axis_x", "axis_y")
+    along = t.join(axis, USER).withColumn("q", F.col("x") * F.col("axis_x") + F.col("y") * F.col("axis_y"))
+    return rounded(fits.linear_fit(along, USER, "t", "q").select("object_id", F.abs("slope").alias("speed"), "r2"), "speed", "r2")
+
+
+@query
+def one_dim_score(spark, d):
+    return rounded(fits.principal_axis(A.event_tracks(spark, d), USER).select("object_id", "n", "one_dim"), "one_dim")
+
+
+@query
+def gradient_velocity(spark, d):
+    t = A.event_tracks(spark, d)
+    return rounded(t.select("object_id", "frame", windows.gradient("x", "t", windows.ordered(USER)).alias("v")), "v", digits=4)
+
+
+@query
+def moving_average5(spark, d):
+    t = A.event_tracks(spark, d)
+    return rounded(t.select("object_id", "frame", windows.moving_average("x", USER).alias("smooth")), "smooth")
+
+
+@query
+def primary_object(spark, d):
+    t = A.event_tracks(spark, d)
+    best = windows.primary(t, ["event_type"])
+    return best.groupBy("event_type", "object_id").agg(F.count("*").alias("n"))
+
+
+@query
+def two_objects(spark, d):
+    t = A.event_tracks(spark, d)
+    return windows.primary(t, ["event_type"], k=2).groupBy("event_type", "object_id", "place").agg(F.count("*").alias("n")).withColumn("place", F.col("place").cast("long"))
+
+
+@query
+def size_cv(spark, d):
+    return rounded(A.event_tracks(spark, d).groupBy("object_id").agg(fits.variation("area").alias("cv"), fits.median_positive("area").alias("median")), "cv", "median")
+
+
+@query
+def coverage(spark, d):
+    t = A.event_tracks(spark, d).filter("valid")
+    return rounded(t.groupBy("object_id").agg(fits.coverage().alias("coverage")), "coverage")
+
+
+def _stretch(spark, d):
+    return windows.middle(windows.numbered(A.event_tracks(spark, d), USER))
+
+
+@query
+def middle_window_stats(spark, d):
+    m = _stretch(spark, d).withColumn("jump", windows.log_jump("area", windows.ordered(USER)))
+    out = m.groupBy("object_id").agg(F.count("*").alias("n"), F.percentile("area", F.lit(0.05)).alias("p05"), F.percentile("area", F.lit(0.5)).alias("p50"), F.percentile("area", F.lit(0.95)).alias("p95"), F.max("jump").alias("max_jump"))
+    return rounded(out, "p05", "p50", "p95", "max_jump")
+
+
+@query
+def centroid_steps(spark, d):
+    t = A.event_tracks(spark, d).withColumn("x", F.when(F.col("valid"), F.col("x")))
+    s = t.withColumn("step", windows.step("x", "y", windows.ordered(USER)))
+    return rounded(s.groupBy("object_id").agg(F.count("step").alias("n"), F.max("step").alias("longest"), F.sum("step").alias("path")), "longest", "path")
+
+
+@query
+def frame_details(spark, d):
+    t = A.event_tracks(spark, d).withColumn("cx", F.when(F.col("valid"), F.col("x"))).withColumn("cy", F.when(F.col("valid"), F.col("y")))
+    return rounded(masks.frame_details(t, USER).select("object_id", "frame", "step", "step_norm"), "step", "step_norm")
+
+
+@query
+def scan_frame_sampling(spark, d):
+    return windows.uniform_sample(A.event_tracks(spark, d), USER, 20).select("object_id", "frame")
+
+
+@query
+def stride_sample(spark, d):
+    return windows.stride_sample(A.event_tracks(spark, d), USER, 5).select("object_id", "frame")
+
+
+@query
+def densify_frames(spark, d):
+    t = A.event_tracks(spark, d).filter("valid").select("object_id", "frame", "x")
+    return windows.densified(t, USER).select("object_id", "frame", "x", F.col("x").isNotNull().alias("there"))
+
+
+@query
+def steady_velocity(spark, d):
+    """The late steady stretch of each user's smoothed values."""
+    t = windows.numbered(A.event_tracks(spark, d), USER).withColumn("v", windows.moving_average("x", USER))
+    a = t.groupBy("object_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("s"), F.first("n").alias("n")).filter("n >= 10")
+    b = a.withColumn("best", evaluators.steadiest(F.col("s"), F.col("n")))
+    return rounded(b.select("object_id", F.col("best.start").cast("long").alias("start"), F.col("best.mean").alias("mean"), F.col("best.rel").alias("rel")), "mean", "rel")
+
+
+# --- estimates
+
+
+@query
+def golden_estimates(spark, d):
+    """The ten analytic controls."""
+    t, m = A.golden(spark)
+    return rounded(evaluators.estimate(t, m).select("metric", F.col("measured").alias("measured"), "status", "reason"), "measured", digits=9)
+
+
+@query
+def event_estimates(spark, d):
+    """Speed, acceleration, fall, friction and ratio of bounce from the events of each user: one metric a user, in turn."""
+    metrics = ["velocity", "acceleration", "gravity", "friction_coefficient", "restitution_coefficient", "mechanical_energy_conservation", "spring_constant"]
+    t = A.event_tracks(spark, d).select(F.col("object_id").cast("string").alias("video"), F.lit("1").alias("object_id"), "frame", "t", F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(10.0).alias("diameter"), F.lit(10.0).alias("box_w"), F.lit(10.0).alias("box_h"))
+    place = F.pmod(F.col("video").cast("long"), F.lit(len(metrics))).cast("int")
+    meta = t.select("video").distinct().select("video", F.array(*map(F.lit, metrics))[place].alias("metric"))
+    none = F.lit(None).cast("double")
+    meta = meta.select("video", "metric", F.lit("x").alias("motion_axis"), F.lit("object_diameter").alias("scale_mode"), F.lit("").alias("calibration_dimension"), F.lit(0.1).alias("calibration_value"), F.lit(1.0).alias("target_value"), F.lit(9.8).alias("g"), F.lit(9.8).alias("reference_g"), none.alias("liquid_density"), none.alias("solid_density"), F.lit(0.2).alias("mass"), none.alias("m1"), none.alias("m2"))
+    return rounded(evaluators.estimate(t, meta).select("video", "metric", "measured", "fit_r2", "status", "reason"), "measured", "fit_r2")
+
+
+@query
+def track_normalize(spark, d):
+    """Events written as tracking documents and read again."""
+    from kinespark.sources import tracking
+
+    t = A.event_tracks(spark, d)
+    frame = F.struct(F.col("frame").alias("frame_idx"), F.col("t").alias("time_sec"), "x", "y", "area", "valid")
+    docs = t.groupBy("object_id").agg(F.sort_array(F.collect_list(frame)).alias("frames")).select(F.col("object_id").cast("string").alias("path"), F.to_json(F.struct(F.col("object_id").cast("string").alias("object_id"), "frames")).alias("text"))
+    p = tracking.normalised(tracking.records(docs))
+    return rounded(p.select(F.col("video").cast("long").alias("object_id"), F.col("frame").cast("long").alias("frame"), "t", "cx", "cy", "diameter"), "t", "cx", "cy", "diameter")
+
+
+@query
+def scale_modes(spark, d):
+    t = A.event_tracks(spark, d)
+    mode = F.element_at(F.array(*map(F.lit, ["none", "object_diameter", "explicit_object_size", "explicit_height", "other"])), (F.pmod(F.col("object_id"), F.lit(5)) + 1).cast("int"))
+    sizes = t.groupBy("object_id").agg(fits.median_positive(F.sqrt(4 * F.col("area") / F.pi())).alias("diameter_px"), F.lit(None).cast("double").alias("box_px"), fits.median_positive("x").alias("side_w"), fits.median_positive("y").alias("side_h"))
+    sizes = sizes.withColumns({"scale_mode": mode, "calibration_dimension": F.lit("side_length"), "calibration_value": F.lit(0.5)})
+    return rounded(evaluators.scale(sizes).select("object_id", "scale_mode", "scale", F.coalesce("scale_reason", F.lit("")).alias("reason")), "scale", digits=9)
+
+
+# --- gates and masks
+
+
+@query
+def tracking_gate(spark, d):
+    t = A.event_tracks(spark, d).select(F.col("event_type").alias("video"), "object_id", "frame", "x", "y", (F.col("x") > 50).alias("valid"), F.sqrt("area").alias("diameter"))
+    g = gates.tracking_gate(t, 1)
+    return rounded(g.select("video", "frames", "counted", "primary_object", "path_norm", "extent_norm", F.concat_ws(";", "reasons").alias("reasons"), "status"), "path_norm", "extent_norm")
+
+
+def _diagnostics(spark, d):
+    t = A.event_tracks(spark, d).withColumn("there", F.col("valid"))
+    pick = lambda c: F.when(F.col("there"), F.col(c))
+    rows = t.select("object_id", "frame", pick("area").alias("area"), pick("x").alias("box_w"), (pick("y") + 1).alias("box_h"), pick("x").alias("cx"), pick("y").alias("cy"))
+    return masks.diagnostics(rows, USER)
+
+
+@query
+def mask_reasons_decision(spark, d):
+    out = _diagnostics(spark, d).select("object_id", "n_middle", "n_valid", "middle_coverage", "area_ratio_p95_p05", "area_cv", "bbox_width_cv", "max_log_jump", "trend_scale_ratio", "trend_r2", "max_centroid_step_norm_by_diameter", F.concat_ws(";", "reasons").alias("reasons"), "decision", "status")
+    return rounded(out, "middle_coverage", "area_ratio_p95_p05", "area_cv", "bbox_width_cv", "max_log_jump", "trend_scale_ratio", "trend_r2", "max_centroid_step_norm_by_diameter")
+
+
+def _grid_pixels(spark):
+    """Squares of 10 pixels that move and, in every third frame, are 4 pixels wider."""
+    f = spark.range(30).withColumn("video", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    x0 = (F.col("id") * F.col("video")).cast("int")
+    wide = F.when(F.col("id") % 3 == 0, 4 * (F.col("video") - 1)).otherwise(0)
+    runs = f.select("video", F.col("id").cast("int").alias("frame"), x0.alias("x0"), (x0 + 9 + wide).cast("int").alias("x1")).withColumn("y", F.explode(F.sequence(F.lit(5), F.lit(14))))
+    return masks.pixels(runs, ["video"])
+
+
+@query
+def mask_run_iou(spark, d):
+    return rounded(masks.aligned_iou(_grid_pixels(spark), ["video"]), "iou")
+
+
+@query
+def mask_geometry(spark, d):
+    return rounded(masks.mask_geometry(_grid_pixels(spark), ["video"]).withColumns({c: F.col(c).cast("long") for c in ("x1", "y1", "x2", "y2")}), "cx", "cy")
+
+
+def _line_objects(spark, d):
+    """Lines of orders as objects, their numbers stretched over the components' ranges."""
+    li = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    share = {"area_ratio_p95_p05": F.col("l_quantity") / 50, "area_cv": F.col("l_discount") * 10, "max_log_jump": F.col("l_tax") * 10, "translation_aligned_iou_median": F.col("l_quantity") / 60, "middle_coverage": F.col("l_discount") * 5}
+    out = li.withColumns({n: (F.lit(g) + (F.lit(b) - F.lit(g)) * share[n] if n in share else F.lit(None).cast("double")) for n, (g, b, _) in masks.COMPONENTS.items()})
+    return out.withColumn("reasons", F.when(F.col("l_quantity") > 45, F.array(F.lit("large_area_ratio"))).otherwise(F.array().cast("array<string>")))
+
+
+@query
+def component_scores(spark, d):
+    s = masks.component_scores(_line_objects(spark, d), ["l_orderkey", "l_linenumber"]).filter("score is not null")
+    return rounded(s.groupBy("component").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.min("score").alias("least"), F.count_if(F.col("score") >= 1).alias("perfect")), "mean", "least")
+
+
+@query
+def qmask_min(spark, d):
+    q = masks.video_quality(_line_objects(spark, d), ["l_orderkey"])
+    return rounded(q.select("l_orderkey", "objects", "score", "status", F.concat_ws(";", "reasons").alias("reasons")), "score")
+
+
+# --- scores
+
+
+def _results(spark, d):
+    r = A.order_results(spark, d)
+    rel = X.relative_error("measured", "target")
+    q = X.component_score(F.col("quantity") / 50, F.lit(0.2), F.lit(0.9), F.lit(True), F.lit(0.35))
+    return r.withColumns({"rel_error": rel, "qmask": q, "mask_status": F.when(q >= 0.999, "pass").when(q <= 0, "fail").otherwise("weak")})
+
+
+def _scored(spark, d, **options):
+    return scoring.score_videos(_results(spark, d), **options)
+
+
+def _video_columns(df):
+    out = df.select("model", "metric", "prompt_id", "relative_error", "base_score", "status_multiplier", "tracking_multiplier", "mask_score", "measurement_status", "measurement_multiplier", "discard_overlap", "exclusion_reasons", "effective", "adjusted_score")
+    return rounded(out, "relative_error", "base_score", "mask_score", "measurement_multiplier", "adjusted_score")
+
+
+@query
+def relative_error_rules(spark, d):
+    r = A.order_results(spark, d)
+    unit = F.when(F.col("lines") % 3 == 0, "relative_error").otherwise("m")
+    energy = F.col("lines") % 2 == 0
+    target = F.when(F.col("lines") % 4 == 0, F.lit(None)).otherwise(F.col("target"))
+    err = X.relative_error("measured", target, F.when(F.col("lines") == 7, F.lit(0.5)), unit, F.lit("m"), energy)
+    return rounded(r.select("prompt_id", err.alias("scoring_error"), X.estimate_error("measured", "target").alias("estimate_error")), "scoring_error", "estimate_error", digits=4)
+
+
+@query
+def video_scores(spark, d):
+    return _video_columns(_scored(spark, d))
+
+
+@query
+def policy_penalty(spark, d):
+    return _video_columns(_scored(spark, d, policy="penalty", flag_multiplier=0.5))
+
+
+@query
+def policy_ignore(spark, d):
+    return _video_columns(_scored(spark, d, policy="ignore"))
+
+
+SUMMARY = ["effective_score", "effective_base_score", "end_to_end_score", "mean_mask_score", "mean_measurement_multiplier", "median_error_effective", "median_error_both_gates", "p90_error_effective", "effective_rate", "tracking_pass_rate"]
+
+
+@query
+def metric_summary(spark, d):
+    s = scoring.summarise(_scored(spark, d), ["model", "metric"])
+    return rounded(s.select("model", "metric", "n_total", "n_both_gates_pass", "n_physics_pass", "n_tracking_pass", "n_mask_pass", "n_measurement_pass", "n_effective", *SUMMARY), *SUMMARY)
+
+
+@query
+def model_macro_summary(spark, d):
+    return rounded(scoring.macro(_scored(spark, d)), "effective_rate", "mean_mask_score", "overall_effective_score", "overall_end_to_end_score")
+
+
+@query
+def reason_token_counts(spark, d):
+    both = F.when(F.col("exclusion_reasons") == "", "").otherwise(F.concat("exclusion_reasons", F.lit(";excluded;")))
+    return scoring.token_counts(_scored(spark, d).withColumn("exclusion_reasons", both), "exclusion_reasons")
+
+
+@query
+def discard_overlap(spark, d):
+    out = scoring.overlap_counts(_scored(spark, d), ["model"])
+    return rounded(out, *[f"{o}_rate" for o in scoring.OVERLAPS])
+
+
+@query
+def status_histogram(spark, d):
+    return scoring.histogram(_scored(spark, d), "status", ["metric"])
+
+
+@query
+def completeness_problems(spark, d):
+    """Orders' customers against customers: who has no order, and who has several."""
+    c = scoring.completeness(A.table(spark, d, "orders"), A.table(spark, d, "customer"), "o_custkey", "c_custkey", canonical=False)
+    return c
+
+
+@query
+def task_defaults_lookup(spark, d):
+    names = F.array(*map(F.lit, [*evaluators.TASKS, "unknown"]))
+    m = A.table(spark, d, "orders").select("o_orderkey", F.element_at(names, (F.col("o_orderkey") % 11 + 1).cast("int")).alias("Metric"))
+    return evaluators.with_task_defaults(m).groupBy("Metric", "Evaluator", "Measurement_Method").agg(F.count("*").alias("n"))
+
+
+@query
+def tolerance_lookup(spark, d):
+    r = A.table(spark, d, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, [*scoring.TOLERANCES, "other"])), (F.col("p_partkey") % 20 + 1).cast("int")).alias("metric"))
+    return r.select("p_partkey", "metric", scoring.tolerance().alias("tau"))
+
+
+@query
+def known_params_json(spark, d):
+    e = A.table(spark, d, "events")
+    return e.select("event_id", F.try_variant_get(F.try_parse_json(X.clean_json("props")), "$.k", "double").alias("k"))
+
+
+@query
+def g_lookup(spark, d):
+    env = F.element_at(F.array(*map(F.lit, ["earth", "on the Moon", "mars", "zero_g", ""])), (F.col("p_size") % 5 + 1).cast("int"))
+    p = A.table(spark, d, "part").withColumn("env", env).withColumn("given", F.when(F.col("p_partkey") % 7 == 0, F.col("p_size").cast("double")))
+    return p.select("p_partkey", X.gravity("given", None, None, "env").alias("g"))
+
+
+@query
+def canonical_ids(spark, d):
+    c = A.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("model-"), F.upper(F.substring("c_mktsegment", 1, 3)), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0")).alias("name"))
+    return c.select("c_custkey", X.canonical_id("name").alias("id"), X.slug(F.concat(F.lit(" "), "name", F.lit("!"))).alias("slug"))
+
+
+@query
+def pair_alignment(spark, d):
+    """Two users' events paired by frame, with their distance and the frame where they are nearest."""
+    t = A.event_tracks(spark, d).withColumn("pair", F.floor(F.col("object_id") / 2)).withColumn("side", F.col("object_id") % 2)
+    pick = lambda c, k: F.max(F.when(F.col("side") == k, F.col(c)))
+    both = t.groupBy("pair", "frame").agg(*[pick(c, k).alias(f"{c}{k}") for c in ("x", "y") for k in (0, 1)]).dropna()
+    dist = X.distance("x0", "y0", "x1", "y1")
+    near = both.withColumn("d", dist).groupBy("pair").agg(F.count("*").alias("n"), F.min_by("frame", F.struct("d", "frame")).alias("frame"), F.min("d").alias("d"))
+    return rounded(near, "d")
+
+
+# --- sensitivity
+
+
+def _grid(spark, d):
+    r = A.order_results(spark, d).withColumn("rel_error", X.relative_error("measured", "target")).withColumn("fit_r2", F.lit(1.0) - F.col("discount") * 5)
+    share = {"area_cv": F.col("discount") * 8, "max_log_jump": F.col("tax") * 10}
+    r = r.withColumns({n: (F.lit(g) + (F.lit(b) - F.lit(g)) * share[n] if n in share else F.lit(None).cast("double")) for n, (g, b, _) in masks.COMPONENTS.items()})
+    r = r.withColumn("reasons", F.array().cast("array<string>"))
+    consistent = F.when(F.col("metric").isin(*AFFECTED) & (F.col("status") != "failed"), X.status_from_r2("fit_r2")).otherwise(F.col("status"))
+    return sensitivity.grid(r.withColumn("status", consistent), AFFECTED)
+
+
+@query
+def sensitivity_grid(spark, d):
+    rows = _grid(spark, d)
+    return rounded(sensitivity.model_macros(rows), "effective_macro", "end_to_end_macro")
+
+
+@query
+def sensitivity_changes(spark, d):
+    return sensitivity.changes(_grid(spark, d))
+
+
+@query
+def rank_stability(spark, d):
+    return rounded(sensitivity.rank_stability(sensitivity.model_macros(_grid(spark, d))), "rho")
+
+
+@query
+def weight_crossings(spark, d):
+    return rounded(sensitivity.weight_crossings(sensitivity.model_macros(_grid(spark, d))), "weight")
+
+
+@query
+def common_cohort(spark, d):
+    return rounded(sensitivity.common_cohort(_grid(spark, d)), "common_effective_macro")
+
+
+# --- candidates and data quality
+
+
+def _boxes(spark, d):
+    t = A.event_tracks(spark, d)
+    return t.select(F.col("object_id").alias("video"), F.col("frame").alias("candidate"), F.col("x").alias("score"), F.col("y").alias("x1"), F.col("t").alias("y1"), (F.col("y") + 20).alias("x2"), (F.col("t") + 20).alias("y2"))
+
+
+@query
+def nms_topk(spark, d):
+    return candidates.distinct_candidates(_boxes(spark, d), 3, 10.0)
+
+
+@query
+def cluster_candidates(spark, d):
+    t = A.event_tracks(spark, d)
+    points = t.select(F.col("object_id").alias("video"), F.col("frame").alias("candidate"), F.col("area").alias("score"), "x", "y")
+    return candidates.cluster_candidates(points, 40.0)
+
+
+@query
+def near_best(spark, d):
+    return candidates.near_best(_boxes(spark, d), ["video"], 0.6).select("video", "candidate", "score")
+
+
+@query
+def init_fallback(spark, d):
+    t = A.event_tracks(spark, d)
+    expected = t.select(F.col("object_id").alias("video")).distinct().withColumn("expected", F.lit(20).cast("long"))
+    first, second = (t.filter(F.col("event_type") == e).select(F.col("object_id").alias("video"), "frame") for e in ("view", "click"))
+    expected = expected.withColumn("expected", (F.lit(8) + F.col("video") % 5).cast("long"))
+    return candidates.choose_detector(first, second, expected).groupBy("source").agg(F.count_distinct("video").alias("videos"), F.count("frame").alias("prompts"))
+
+
+@query
+def dq_preflight(spark, d):
+    """Rows of pages and documents that break a rule, by rule."""
+    docs, pages = A.table(spark, d, "documents"), A.table(spark, d, "pages")
+    rules = [
+        docs.select(F.lit("documents").alias("source"), F.when(F.col("text").isNull() | (F.trim("text") == ""), "empty text").when(F.length("text") < 20, "short text").when(~F.col("source").rlike(r"^[A-Za-z0-9_-]+$"), "source name").alias("rule")),
+        docs.groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit("documents").alias("source"), F.when(F.col("n") > 1, "repeated id").alias("rule")),
+        pages.select(F.lit("pages").alias("source"), F.when(F.col("url").isNull() | ~F.col("url").rlike(r"^https?://"), "not a URL").alias("rule")),
+    ]
+    every = rules[0].unionByName(rules[1]).unionByName(rules[2]).filter("rule is not null")
+    return every.groupBy("source", "rule").agg(F.count("*").alias("n"))
+
+
+@query
+def event_windows(spark, d):
+    """The streaming aggregate run as a batch: counts by hour and type."""
+    e = A.table(spark, d, "events")
+    out = e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("start"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return rounded(out.withColumn("start", F.unix_timestamp("start")), "total")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(O.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["metric_summary"](spark, sf_dir)
+    return metric_summary(spark, sf_dir)
