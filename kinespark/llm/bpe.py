@@ -33,7 +33,7 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 _PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: A space before a character that isn't white space begins a new pretoken whatever came before.
 _ODD, _CUT = re.compile(r" (?!\S)"), re.compile(r" (?=\S)")
-MEMO_PIECES, MEMO_BYTES, TEXTS = 600_000, 64, 256
+MEMO_PIECES, MEMO_BYTES, TEXTS = 200_000, 64, 256
 
 
 def _printable() -> dict[str, int]:
@@ -182,6 +182,11 @@ class Transducer:
         return out
 
 
+def pieces(text: str) -> list[str]:
+    """The text cut where a space stands before a character that isn't white space; the spaces are left out."""
+    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+
+
 class Lookup:
     """Whole numbers to small ones in arrays, by open addressing; -1 for what isn't there."""
 
@@ -218,7 +223,7 @@ class Batch:
     FACTOR = np.uint64(0x5851F42D4C957F2D)
 
     def __init__(self, table: MergeTable):
-        self.table, self.tokens, self.pairs = table, Lookup(18), Lookup(22)
+        self.table, self.tokens, self.pairs = table, Lookup(18), Lookup(20)
         with np.errstate(over="ignore"):
             self.powers = np.cumprod(np.r_[np.uint64(1), np.full(256, self.FACTOR)], dtype=np.uint64)
             self.tokens.put(np.array([self._hash(b) for b in table.ids], np.uint64), [*table.ids.values()])
@@ -295,12 +300,10 @@ class Encoder:
 
     def _learn(self, memory: dict[str, bytes], pieces: set[str], before: str) -> None:
         """Fills memory with the encodings of the pieces, each with what stands before it."""
-        if len(memory) + len(pieces) > MEMO_PIECES:
-            memory.clear()
         if len(self.words) > MEMO_PIECES:
             self.words.clear()
         cut = {p: [before + p] if p.isalpha() else _PRETOKEN.findall(before + p) for p in pieces}
-        new = {w for words in cut.values() for w in words} - self.words.keys()
+        new = {w for words in cut.values() for w in words if w not in self.words}
         short: dict[str, bytes] = {}
         for word in new:
             data = word.encode("utf-8", "replace")
@@ -332,16 +335,16 @@ class Encoder:
             for _, _, rest in own:
                 laters.update(rest)
         for memory, pieces, before in ((self.first, firsts, ""), (self.later, laters, " ")):
-            if len(memory) > MEMO_PIECES // 2 and len(pieces - memory.keys()) + len(memory) > MEMO_PIECES:
+            if len(memory) > MEMO_PIECES:
                 memory.clear()
-            if new := pieces - memory.keys():
+            if new := {p for p in pieces if p not in memory}:
                 self._learn(memory, new, before)
         get = self.later.__getitem__
         return [b"".join([known or self.first[first] + b"".join(map(get, rest)) for known, first, rest in own]) for own in spans]
 
     @staticmethod
     def _split(text: str) -> tuple[bytes, str, list[str]]:
-        parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+        parts = pieces(text)
         return b"", parts[0], parts[1:]
 
     def encode(self, text: str | None) -> bytes:

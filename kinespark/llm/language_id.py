@@ -28,7 +28,7 @@ from kinespark.llm.bpe import Lookup, vocabulary_path
 from kinespark.llm.common import id_bucket, map_arrow, materialise
 
 SAMPLE, ROUNDS, SMOOTH = 800, 3, 0.01
-MEMO, WORD, TEXTS = 1_000_000, 24, 256
+MEMO, WORD, TEXTS = 600_000, 24, 256
 #: Fixed value: the mark that the vocabulary file puts before words.
 MARK = "▁"
 
@@ -215,7 +215,7 @@ class _Words:
 
     def _learn(self, tokens: set[str]) -> None:
         cut = {t: [t] if t.isalpha() else _letters(t) for t in tokens}
-        new = [*({w for own in cut.values() for w in own} - self.words.keys())]
+        new = [*{w for own in cut.values() for w in own if w not in self.words}]
         logs = np.ones((len(new), len(self.p) + 1))
         short = [i for i, w in enumerate(new) if len(w) < WORD]
         if short:
@@ -236,7 +236,7 @@ class _Words:
         cut = [(t or "").lower().split() for t in texts]
         if self.size > MEMO:
             self._empty()
-        if new := set().union(*cut) - self.tokens.keys():
+        if new := {t for t in set().union(*cut) if t not in self.tokens}:
             self._learn(new)
         return [self.rows[[*map(self.tokens.__getitem__, own)]].sum(axis=0) if own else self.rows[0] for own in cut]
 

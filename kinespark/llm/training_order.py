@@ -16,14 +16,17 @@ an error and never a wrong slot. Spark's commit protocol writes the files, so lo
 shard.
 
 A null or empty text is one sequence with the end token alone. Rows with a null id are marked in the header. Repeated
-rows are sequences of their own. Vocabularies of over 65,536 ids are refused. Other columns are ignored; an empty table
+rows are sequences of their own. Strings of special tokens in a
+text are ordinary text. Vocabularies of over 65,536 ids are refused. Other columns are ignored; an empty table
 writes nothing and gives an empty result.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from kinespark.llm.bpe import TEXTS, encoded, merge_table
+from kinespark.llm.bpe import MEMO_PIECES, TEXTS, pieces
 from kinespark.llm.common import new_path
 from kinespark.session import ship_package
 
-LENGTH, SPAN, ROUNDS = 256, 65_536, 6
+#: END is free in the rank file.
+LENGTH, SPAN, ROUNDS, END = 256, 65_536, 6, 50_256
 _HEAD = np.dtype([("doc_id", "<i8"), ("part", "<u4"), ("tokens", "<u2"), ("known", "u1"), ("spare", "u1")])
 
 
@@ -83,21 +87,65 @@ class Permutation:
         return self._walk(slot, True)
 
 
+class Tokens:
+    """Ids of texts as little-endian unsigned 16-bit integers, by the library of the rank file. Pieces between spaces are
+    encoded once, those that are new all at once, and remembered up to a bound."""
+
+    def __init__(self, ranks: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(ranks, "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        self.size = np.zeros(max(table.values()) + 1, np.int64)
+        for token, i in table.items():
+            self.size[i] = len(token)
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+
+    def _learn(self, memory: dict[str, bytes], new: list[str], before: str) -> None:
+        ids = np.asarray(self.encoding.encode_ordinary("".join(before + p for p in new)), np.int64)
+        ends = np.cumsum([len((before + p).encode()) for p in new])
+        cuts = np.searchsorted(np.cumsum(self.size[ids]), ends, "left") + 1
+        data, at = ids.astype("<u2").tobytes(), 0
+        for p, cut in zip(new, (2 * cuts).tolist(), strict=True):
+            memory[p], at = data[at:cut], cut
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        cut = [pieces((t or "").encode("utf-8", "replace").decode()) for t in texts]
+        if len(self.later) > MEMO_PIECES:
+            self.later.clear()
+        if new := [p for p in {p for own in cut for p in own[1:]} if p not in self.later]:
+            self._learn(self.later, new, " ")
+        if len(self.first) > MEMO_PIECES // 10:
+            self.first.clear()
+        for own in cut:
+            if own[0] and own[0] not in self.first:
+                self._learn(self.first, [own[0]], "")
+        get = self.later.__getitem__
+        return [(self.first[own[0]] if own[0] else b"") + b"".join(map(get, own[1:])) for own in cut]
+
+
+@lru_cache(maxsize=2)
+def tokens(ranks: str) -> Tokens:
+    """One for each Python worker."""
+    return Tokens(ranks)
+
+
 def _sequences(ids: bytes, end: int, length: int) -> np.ndarray:
     """Rows of a text's ids, filled up with the end token."""
-    tokens = np.append(np.frombuffer(ids, "<u4"), end).astype("<u2")
+    tokens = np.append(np.frombuffer(ids, "<u2"), np.uint16(end))
     rows = -(-len(tokens) // length)
     return np.pad(tokens, (0, rows * length - len(tokens)), constant_values=end).reshape(rows, length)
 
 
-def materialise_order(docs: DataFrame, path: str, vocabulary: str, key: str = "kinespark", length: int = LENGTH, span: int = SPAN, end_token: str = "<|endoftext|>") -> bool:
+def materialise_order(docs: DataFrame, path: str, vocabulary: str, key: str = "kinespark", length: int = LENGTH, span: int = SPAN, end: int = END) -> bool:
     """Writes the shards below path; false if there is nothing to write."""
     spark = docs.sparkSession
     ship_package(spark)
-    table = merge_table(vocabulary)
-    if max(table.text) >= 1 << 16:
+    if max(len(tokens(vocabulary).size), end) >= 1 << 16:
         raise ValueError("ids don't fit 16 bits")
-    end = table.special[end_token]
     reserved = F.expr(f"coalesce(octet_length(text), 0) div {length} + 1").alias("reserved")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", reserved)
     counts = {r["part"]: r["n"] for r in texts.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("reserved").alias("n")).collect()}
@@ -116,12 +164,12 @@ def materialise_order(docs: DataFrame, path: str, vocabulary: str, key: str = "k
         for batch in batches:
             for k in range(0, batch.num_rows, TEXTS):
                 some, made, numbers = batch.slice(k, TEXTS), [], []
-                for doc, ids, kept in zip(some.column(0).to_pylist(), encoded(some.column(1), vocabulary), some.column(2).to_pylist(), strict=True):
+                for doc, ids, kept in zip(some.column(0).to_pylist(), tokens(vocabulary).encode(some.column(1).to_pylist()), some.column(2).to_pylist(), strict=True):
                     rows = _sequences(ids, end, length)
                     out = np.zeros(len(rows), kind)
                     out["head"]["doc_id"], out["head"]["known"] = (-1, 0) if doc is None else (doc, 1)
                     out["head"]["part"] = np.arange(len(rows))
-                    out["head"]["tokens"] = np.minimum(length, len(ids) // 4 + 1 - length * np.arange(len(rows)))
+                    out["head"]["tokens"] = np.minimum(length, len(ids) // 2 + 1 - length * np.arange(len(rows)))
                     out["ids"], out["line"] = rows, b"\n"
                     made.append(out)
                     numbers.append(first + n + np.arange(len(rows)))
