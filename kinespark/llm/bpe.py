@@ -347,6 +347,10 @@ class Encoder:
         parts = pieces(text)
         return b"", parts[0], parts[1:]
 
+    def forget(self) -> None:
+        for memory in (self.first, self.later, self.words):
+            memory.clear()
+
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
@@ -386,7 +390,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column(0), "ids": [*encoded(batch.column(1), path)]}
 
-    return map_arrow(docs.select(docs[id_col].cast("long"), docs[text_col]), run, "doc_id long, ids binary")
+    return map_arrow(docs.select(docs[id_col].cast("long"), docs[text_col]), run, "doc_id long, ids binary", lambda: encoder(path).forget())
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", step: int = 1 << 16) -> DataFrame:
@@ -404,4 +408,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             out["decoded_sha256"].append(said.hexdigest())
         return out
 
-    return map_arrow(docs.select(docs[id_col].cast("long"), docs[text_col]), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select(docs[id_col].cast("long"), docs[text_col]), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: encoder(path).forget())

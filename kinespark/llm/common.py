@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from kinespark.session import ship_package
 
 _LOCAL: dict[str, str] = {}
+_BATCH_BYTES, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,9 +49,15 @@ def id_bucket(modulus: int, name: str = "doc_id") -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % modulus
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """fn makes columns from each record batch; a batch's rows never leave their partition."""
-    ship_package(df.sparkSession)
+def ready(spark: SparkSession) -> None:
+    """Workers get the package, and texts in batches that are small however long the texts are."""
+    ship_package(spark)
+    spark.conf.set(_BATCH_BYTES, _BYTES)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """fn makes columns from each record batch; a batch's rows never leave their partition. done is called after the last."""
+    ready(df.sparkSession)
     out = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,6 +65,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
             made = fn(batch)
             if made is not None:
                 yield pa.RecordBatch.from_pydict(made, schema=out)
+        if done:
+            done()
 
     return df.mapInArrow(run, schema)
 

@@ -36,8 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.taskcontext import TaskContext
 
-from kinespark.llm.common import id_bucket, materialise, words_of
-from kinespark.session import ship_package
+from kinespark.llm.common import id_bucket, materialise, ready, words_of
 
 BLOCK, KEYS, K = 1_000_000, 1_000_000, 5
 #: Neither can be a word: words hold no line feed.
@@ -280,7 +279,7 @@ def _discount(answers: DataFrame) -> Discount:
 def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; learns from the rest."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     schema = to_arrow_schema(T._parse_datatype_string(_BLOCKS))
     held = F.coalesce(id_bucket(modulus) == held_out, F.lit(False))
     blocks = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text").mapInArrow(lambda x: _blocks(x, schema), _BLOCKS), "blocks")

@@ -31,7 +31,7 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.digest(_table(spark, sf_dir, "documents"), bpe.vocabulary_path("byte_bpe_50k.tiktoken"))
+    return training_order.digest(_table(spark, sf_dir, "documents"), bpe.vocabulary_path("byte_bpe_50k.tiktoken"), stored=True)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

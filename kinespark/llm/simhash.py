@@ -22,9 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import map_arrow, materialise, words_of
+from kinespark.llm.common import map_arrow, materialise, ready, words_of
 from kinespark.llm.components import star_components
-from kinespark.session import ship_package
 
 BLOCK = 4096
 _STEP = 1 << 16
@@ -138,7 +137,7 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
     """(a, b): links whose components are those of all pairs of distinct fingerprints within so many bits."""
     if not 0 <= bits <= 3:
         raise ValueError("two segments with one bit left out reach three bits")
-    ship_package(fps.sparkSession)
+    ready(fps.sparkSession)
     dealt = _variants(fps).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
     found = materialise(dealt.mapInArrow(lambda x: _runs(x, bits), "hot boolean, a long, b long, block long"), "runs")
     hot = found.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("fp"), "block")

@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.session import ship_package
+from kinespark.llm.common import ready
+
 
 BASE, ROWS, QUERIES, FEW = 64, 4096, 1024, 64
 
@@ -80,7 +81,7 @@ def _tile(key, queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFram
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     """(vec_id, x) of whole numbers in; query_id, rank, vec_id, score out: the k best rows of each query, ties to the smaller id."""
-    ship_package(rows.sparkSession)
+    ready(rows.sparkSession)
     queries, rows = queries.select("vec_id", "x"), rows.select("vec_id", "x")
     shards = F.lit(max(1, -(-rows.count() // ROWS)))
     blocks = F.lit(max(1, -(-queries.count() // QUERIES)))

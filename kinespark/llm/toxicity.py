@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinespark.llm.common import map_arrow, whole_text
-from kinespark.session import ship_package
+from kinespark.llm.common import map_arrow, ready, whole_text
 
 SAMPLE, FOLDS, BITS, PENALTY, SIGNIFICANT, STEPS = 6_000, 3, 18, 2.0, 3.0, 60
 
@@ -217,7 +216,7 @@ def score(docs: DataFrame, chain: Chain, cut: float = 0.5) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """The rows of docs, as they were, that are not toxic."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     state = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches):

@@ -35,8 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from kinespark.llm.bpe import MEMO_PIECES, TEXTS, pieces
-from kinespark.llm.common import new_path
-from kinespark.session import ship_package
+from kinespark.llm.common import materialise, new_path, ready
 
 #: END is free in the rank file.
 LENGTH, SPAN, ROUNDS, END = 256, 65_536, 6, 50_256
@@ -140,10 +139,13 @@ def _sequences(ids: bytes, end: int, length: int) -> np.ndarray:
     return np.pad(tokens, (0, rows * length - len(tokens)), constant_values=end).reshape(rows, length)
 
 
-def materialise_order(docs: DataFrame, path: str, vocabulary: str, key: str = "kinespark", length: int = LENGTH, span: int = SPAN, end: int = END) -> bool:
-    """Writes the shards below path; false if there is nothing to write."""
+def materialise_order(docs: DataFrame, path: str, vocabulary: str, key: str = "kinespark", length: int = LENGTH, span: int = SPAN, end: int = END, stored: bool = False) -> bool:
+    """Writes the shards below path; false if there is nothing to write. stored: docs is read from files, so its partitions
+    are the same each time; other inputs are written first."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
+    if not stored:
+        docs = materialise(docs.select("doc_id", "text"), "texts")
     if max(len(tokens(vocabulary).size), end) >= 1 << 16:
         raise ValueError("ids don't fit 16 bits")
     reserved = F.expr(f"coalesce(octet_length(text), 0) div {length} + 1").alias("reserved")
@@ -178,6 +180,7 @@ def materialise_order(docs: DataFrame, path: str, vocabulary: str, key: str = "k
                 body = np.ascontiguousarray(records.view(np.uint8).reshape(len(records), kind.itemsize)[:, :-1])
                 data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(kind.itemsize - 1), len(records), [None, pa.py_buffer(body)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(order.slot(np.concatenate(numbers))), data], ["place", "value"])
+        tokens(vocabulary).later.clear()
         if n != there:
             raise RuntimeError(f"partition {part} had {there} numbers and now needs {n}: its input isn't stable")
 
@@ -200,7 +203,7 @@ def shard_starts(spark: SparkSession, path: str, length: int = LENGTH) -> dict[i
 
 def read_order(spark: SparkSession, path: str, from_slot: int = 0, length: int = LENGTH) -> DataFrame:
     """slot, shard, record, doc_id, part, ids of all records from a slot on; earlier shards aren't opened."""
-    ship_package(spark)
+    ready(spark)
     starts = shard_starts(spark, path, length)
     first_shard = max((s for s, at in starts.items() if at <= from_slot), default=0)
     files = spark.read.format("binaryFile").load(path)
@@ -226,10 +229,10 @@ def read_order(spark: SparkSession, path: str, from_slot: int = 0, length: int =
     return files.mapInArrow(run, "slot long, shard long, record long, doc_id long, part long, ids binary")
 
 
-def digest(docs: DataFrame, vocabulary: str, path: str | None = None) -> DataFrame:
+def digest(docs: DataFrame, vocabulary: str, path: str | None = None, stored: bool = False) -> DataFrame:
     """Writes the shards and reads them: slot, shard, record, doc_id, part, n_tokens, ids_sha256."""
     spark = docs.sparkSession
     path = path or new_path(spark, "training-order")
-    if not materialise_order(docs, path, vocabulary):
+    if not materialise_order(docs, path, vocabulary, stored=stored):
         return spark.createDataFrame([], "slot long, shard long, record long, doc_id long, part long, n_tokens long, ids_sha256 string")
     return read_order(spark, path).select("slot", "shard", "record", "doc_id", "part", (F.length("ids") / 2).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
