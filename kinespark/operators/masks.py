@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,23 @@ COMPONENTS = {
 GAMMA, WINDOW, MIN_VALID = 0.35, (0.15, 0.85), 6
 
 
+def rules(components: dict = COMPONENTS, gamma: float = GAMMA, window: tuple[float, float] = WINDOW) -> dict:
+    """The scoring rules as a document, checked."""
+    if not (math.isfinite(gamma) and gamma > 0):
+        raise ValueError("gamma must be a positive number")
+    if not 0 <= window[0] < window[1] <= 1 or not components:
+        raise ValueError("a window inside 0 .. 1 and components are needed")
+    for name, (good, bad, high) in components.items():
+        if not (math.isfinite(good) and math.isfinite(bad)) or (good >= bad if high else good <= bad):
+            raise ValueError(f"{name}: good and bad value contradict the direction")
+    each = {n: {"good_value": g, "bad_value": b, "direction": "high_bad" if h else "low_bad"} for n, (g, b, h) in components.items()}
+    return {"gamma": gamma, "window_fractions": list(window), "components": each}
+
+
+def rules_hash(document: dict) -> str:
+    return hashlib.sha256(json.dumps(document, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
+
+
 def diagnostics(rows: DataFrame, keys: list[str], ious: DataFrame | None = None) -> DataFrame:
     """One row an object from its listed frames (keys, frame, area, box_w, box_h, cx, cy; nulls where there is no mask): the
     statistics of the middle window, reasons and decision. ious: keys and iou_median, from the pixels."""

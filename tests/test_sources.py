@@ -7,7 +7,8 @@ import zlib
 import numpy as np
 import pytest
 
-from kinespark.sources import metadata, tracking
+from kinespark.operators import masks
+from kinespark.sources import metadata, preflight, tracking
 from kinespark.streaming import landing
 
 DOCS = {
@@ -79,3 +80,31 @@ def test_stream_lands_whole_videos(spark, tmp_path):
     q = landing.land_tracks(landing.stream_documents(spark, str(tmp_path / "in")), str(tmp_path / "cp"), lambda df, i: seen.append((i, df.count())))
     q.awaitTermination(60)
     assert seen == [(0, 2)]
+
+
+def test_prompts(spark):
+    good = [{"object_id": 1, "point": [3, 4], "box": [0, 0, 9, 9]}]
+    rows = [
+        ("a", json.dumps(good), 1), ("b", json.dumps(good), 2), ("c", "{", 1), ("d", json.dumps([{"points": [[1, 2], [3, -4]]}]), 1), ("e", json.dumps([{"point": [30, 4], "box": [0, 0, 9, 9]}]), 1), ("f", json.dumps([{"box": [0, 0, 9, 9]}]), 1),
+    ]
+    got = {r.id: r for r in preflight.prompts(spark.createDataFrame(rows, "id string, Tracking_Prompts_JSON string, Num_Objects int")).collect()}
+    assert got["a"].error is None and got["a"].positive_points == [[3.0, 4.0]] and got["a"].source == "manual"
+    assert got["b"].error == "prompt count differs from the number of objects" and got["c"].error == "prompts are no JSON list"
+    assert got["d"].error == "points are pairs of numbers that are not negative" and got["e"].error == "box leaves out a positive point" and got["f"].error == "no positive point"
+
+
+def test_video_report(spark, tmp_path):
+    body = b"\0\0\0\x18ftypisom" + b"\0" * 20 + b"stsz" + b"\0" * 8 + struct.pack(">I", 42) + b"\0\0"
+    (tmp_path / "a.mp4").write_bytes(body)
+    (tmp_path / "b.mp4").write_bytes(b"version of something else")
+    videos = preflight.read_videos(spark, str(tmp_path))
+    a = {r.name: r for r in videos.collect()}["a.mp4"]
+    assert a.header_ok and 42 in a.sample_counts and a.size == len(body)
+    manifest = spark.createDataFrame([("a.mp4", len(body), a.sha256.lower()), ("b.mp4", 1, "x"), ("c.mp4", 1, "x")], "name string, size long, sha256 string")
+    assert {(r.name, r.problem) for r in preflight.video_report(videos, manifest).collect()} == {("b.mp4", "size differs"), ("c.mp4", "missing")}
+
+
+def test_hash_of_the_rules():
+    assert masks.rules_hash(masks.rules()) == "bd6de9c8be36f3499ca2e55c1d3c0a99021dcccdecbaa24d45a535eda8dffc08"
+    with pytest.raises(ValueError):
+        masks.rules(gamma=0)
