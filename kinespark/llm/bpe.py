@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from kinespark.llm.common import map_arrow
 
 #: The pattern that splits text before merging (PATTERN of the vocabulary files), with its white space written out.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: A space before a character that isn't white space begins a new pretoken whatever came before.
 _ODD, _CUT = re.compile(r" (?!\S)"), re.compile(r" (?=\S)")

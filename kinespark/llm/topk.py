@@ -10,7 +10,7 @@ are few. They are then rescored exactly, with ties at the edge kept.
 Shards of rows meet blocks of queries, each group bounded; only k rows a query and shard go on. Queries whose vector is
 null, or holds a null or a component that isn't finite, take no part, neither do such rows; vectors of another length
 than the most common are refused as an error. Ids that repeat stand for themselves, but a query is never its own
-candidate: rows with its id are left out. A null id takes no part. An empty table gives an empty result.
+candidate: rows with its id are left out; queries that repeat an id ask together. A null id takes no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
