@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from kinespark.session import ship_package
 
 _LOCAL: dict[str, str] = {}
+#: Shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_BYTES, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)
 
 
@@ -33,9 +35,15 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Writes df in the shared folder and reads it back: later steps start from files that outlive any executor."""
+    """Writes df in the shared folder and reads it back: later steps start from files that outlive any executor, so the
+    shuffle files behind them are freed."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
