@@ -38,7 +38,7 @@ from pyspark.taskcontext import TaskContext
 
 from kinespark.llm.common import id_bucket, materialise, ready, words_of
 
-BLOCK, KEYS, K = 1_000_000, 1_000_000, 5
+BLOCK, KEYS, K = 2_000_000, 1_000_000, 5
 #: Neither can be a word: words hold no line feed.
 END, START = b"\n end", b"\n start"
 _BLOCKS = "block long, docs array<long>, held array<boolean>, sizes array<int>, words binary, tokens binary, n_words long, n_pairs long"
@@ -46,6 +46,16 @@ _ASKED = "part int, block long, keys binary, counts binary, extra binary"
 _ANSWER = "kind int, block long, part int, counts binary, extra binary, stats array<long>"
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second ones, and so on: sorted hashes and small counts shrink that way."""
+    return zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 3)
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
@@ -56,7 +66,7 @@ def _pack(block: int, docs: list, held: list, ends: list[int], index: dict[bytes
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     ids = rank[np.concatenate(tokens)]
-    row = {"block": block, "docs": docs, "held": held, "sizes": ends, "words": hashes[order].tobytes(), "tokens": zstandard.compress(ids.tobytes(), 3), "n_words": len(order), "n_pairs": 0}
+    row = {"block": block, "docs": docs, "held": held, "sizes": ends, "words": _packed(hashes[order]), "tokens": zstandard.compress(ids.tobytes(), 3), "n_words": len(order), "n_pairs": 0}
     row["n_pairs"] = len(Block(row).pairs)
     return row
 
@@ -90,7 +100,7 @@ class Block:
     """What a block row says: tokens, where documents begin, distinct bigrams in order of their hash."""
 
     def __init__(self, row):
-        self.words = np.frombuffer(row["words"], np.uint64)
+        self.words = _unpacked(row["words"], np.uint64)
         self.tokens = np.frombuffer(zstandard.decompress(row["tokens"]), np.uint32).astype(np.int64)
         self.sizes = np.asarray(row["sizes"], np.int64)
         self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]]
@@ -117,7 +127,7 @@ def _ask(block: int, keys: np.ndarray, counts: np.ndarray, extra: np.ndarray | N
     edges = np.r_[0, np.searchsorted(keys, (np.arange(1, parts, dtype=object) * (2**64) // parts).astype(np.uint64)), len(keys)]
     for p in np.flatnonzero(np.diff(edges)):
         own = slice(edges[p], edges[p + 1])
-        yield {"part": int(p), "block": block, "keys": keys[own].tobytes(), "counts": counts[own].tobytes(), "extra": extra[own].tobytes() if extra is not None else b""}
+        yield {"part": int(p), "block": block, "keys": _packed(keys[own]), "counts": _packed(counts[own]), "extra": _packed(extra[own]) if extra is not None else b""}
 
 
 def _questions(frame: DataFrame, what: str, parts: int) -> DataFrame:
@@ -140,14 +150,14 @@ def _answers(asked: DataFrame, kind: int) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("block")
-        keys = [np.frombuffer(x, np.uint64) for x in group["keys"]]
+        keys = [_unpacked(x, np.uint64) for x in group["keys"]]
         every, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        sums = np.bincount(place, np.concatenate([np.frombuffer(x, np.uint32) for x in group["counts"]])).astype(np.int64)
+        sums = np.bincount(place, np.concatenate([_unpacked(x, np.uint32) for x in group["counts"]])).astype(np.int64)
         mine = np.zeros(len(place), bool)
         mine[first] = True
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         out = pd.DataFrame({"kind": kind, "block": group["block"].to_numpy(), "part": group["part"].to_numpy()})
-        out["counts"] = [x.tobytes() for x in np.split(sums[place].astype(np.uint32), cuts)]
+        out["counts"] = [_packed(x) for x in np.split(sums[place].astype(np.uint32), cuts)]
         out["extra"] = [np.packbits(x).tobytes() for x in np.split(mine, cuts)]
         stats = [*np.bincount(np.minimum(sums, K + 2), minlength=K + 3)[1 : K + 2], (sums > 0).sum(), sums.sum()]
         out["stats"] = [list(map(int, stats)), *[None] * (len(out) - 1)]
@@ -161,13 +171,13 @@ def _sums(asked: DataFrame) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("block")
-        keys = [np.frombuffer(x, np.uint64) for x in group["keys"]]
+        keys = [_unpacked(x, np.uint64) for x in group["keys"]]
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         out = pd.DataFrame({"kind": 2, "block": group["block"].to_numpy(), "part": group["part"].to_numpy()})
         for name in ("counts", "extra"):
-            total = np.bincount(place, np.concatenate([np.frombuffer(x, np.float64) for x in group[name]]))
-            out[name] = [x.tobytes() for x in np.split(total[place], cuts)]
+            total = np.bincount(place, np.concatenate([_unpacked(x, np.float64) for x in group[name]]))
+            out[name] = [_packed(x) for x in np.split(total[place], cuts)]
         out["stats"] = None
         return out
 
@@ -223,7 +233,7 @@ class Model:
 
 def _joined(answers: pd.DataFrame, kind: int, name: str, dtype) -> np.ndarray:
     own = answers[answers["kind"] == kind].sort_values("part")
-    return np.concatenate([np.frombuffer(x, dtype) for x in own[name]])
+    return np.concatenate([_unpacked(x, dtype) for x in own[name]])
 
 
 def _known(row, answers: pd.DataFrame, model: Model):
@@ -240,7 +250,7 @@ def _contexts(blocks: DataFrame, answers: DataFrame, model: Model, parts: int) -
         row = one.to_dict("records")[0]
         b, _, p1, r, _ = _known(row, told, model)
         own = told[told["kind"] == 1].sort_values("part")
-        mine = np.concatenate([np.unpackbits(np.frombuffer(e, np.uint8), count=len(x) // 4).astype(bool) for x, e in zip(own["counts"], own["extra"], strict=True)])
+        mine = np.concatenate([np.unpackbits(np.frombuffer(e, np.uint8), count=len(_unpacked(x, np.uint32))).astype(bool) for x, e in zip(own["counts"], own["extra"], strict=True)])
         at = np.flatnonzero(mine & (r > 0))
         kept = np.bincount(b.first[at], model.pairs.kept(r[at]), len(b.words))
         p = np.bincount(b.first[at], p1[b.second[at]], len(b.words))
