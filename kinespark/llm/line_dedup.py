@@ -2,7 +2,9 @@
 
 Lines that occur in two documents or more are found by their hash. A rare line, in ``RARE`` documents at most, pairs each
 of its documents with each earlier one; any other shared line pairs each of its documents with the first, so a line that
-is everywhere gives one pair a document. Each pair is aligned with patience diff: lines that occur once on both sides, in
+is everywhere gives one pair a document. So that a passage of common lines is not lost where each of them came first in
+another document, each window, the shortest run of lines from a line on that has ``MIN_WORDS`` words, also pairs its
+documents with the first that holds it; every line of a common block is in such a window. Each pair is aligned with patience diff: lines that occur once on both sides, in
 the longest ascending run, are anchors, between which the same is done again. Runs of aligned lines that follow each other
 in both documents are common blocks; blocks of ``MIN_WORDS`` words or more are deleted from the later document. What is
 left is aligned again until nothing is found, which catches blocks that changed places. Every deleted line stands in an
@@ -18,6 +20,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from kinespark.llm.common import map_arrow, materialise
 
 MIN_WORDS, ANCHOR_WORDS, RARE = 50, 4, 8
+_FACTOR = 0x5851F42D4C957F2D
 Item = tuple[int, int, int]
 
 
@@ -100,6 +104,20 @@ def common_blocks(a: list[Item], b: list[Item], min_words: int = MIN_WORDS) -> l
     return sorted(gone)
 
 
+def windows(row: np.ndarray, pos: np.ndarray, line: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(first item, hash) of each window in the items of some documents, which follow each other in order of row and pos."""
+    n = len(row)
+    powers, back = (np.cumprod(np.r_[np.uint64(1), np.full(n, f & (2**64 - 1), np.uint64)], dtype=np.uint64) for f in (_FACTOR, pow(_FACTOR, -1, 2**64)))
+    sums = np.r_[np.uint64(0), np.cumsum(line.astype(np.int64).view(np.uint64) * powers[:n], dtype=np.uint64)]
+    reach = np.r_[0, np.cumsum(words, dtype=np.int64)]
+    last = np.searchsorted(reach, reach[:-1] + min_words) - 1
+    at = np.flatnonzero(last < n)
+    last = last[at]
+    whole = (row[last] == row[at]) & (pos[last] - pos[at] == last - at)
+    at, last = at[whole], last[whole]
+    return at, ((sums[last + 1] - sums[at]) * back[at]).view(np.int64)
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -125,12 +143,24 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rare = anchors.filter(F.col("n") <= RARE).select("line", who.alias("who")).distinct()
     others = rare.select("line", F.col("who").alias("earlier"))
     with_rare = rare.join(others, "line").filter(F.col("earlier") < F.col("who")).select(F.col("who").alias("later"), "earlier")
-    pairs = with_first.unionByName(with_rare).distinct()
-    pairs = materialise(pairs.select(F.col("later.doc_id").alias("doc_id"), F.col("later.text_key").alias("text_key"), F.col("earlier.doc_id").alias("first_id"), F.col("earlier.text_key").alias("first_key")), "pairs")
 
     # rows of one document may repeat, so its lines are a set
     texts = held.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("pos", "line", "words"))).alias("items"))
     texts = materialise(texts, "items")
+
+    def keys(batch: pa.RecordBatch) -> dict:
+        items = batch.column(2)
+        flat, row = items.flatten(), np.repeat(np.arange(batch.num_rows), items.value_lengths().to_numpy())
+        at, key = windows(row, *(flat.field(k).to_numpy() for k in range(3)), min_words)
+        return {"doc_id": batch.column(0).take(pa.array(row[at])), "text_key": batch.column(1).take(pa.array(row[at])), "window": key}
+
+    runs = materialise(map_arrow(texts, keys, "doc_id long, text_key long, window long").distinct(), "windows")
+    opened = runs.groupBy("window").agg(F.min(who).alias("first"), F.max(who).alias("last")).filter(F.col("first") != F.col("last"))
+    opened = materialise(opened.select("window", "first"), "opened")
+    with_window = runs.join(opened, "window").filter(F.col("first") < who).select(later, F.col("first").alias("earlier"))
+    pairs = with_first.unionByName(with_rare).unionByName(with_window).distinct()
+    pairs = materialise(pairs.select(F.col("later.doc_id").alias("doc_id"), F.col("later.text_key").alias("text_key"), F.col("earlier.doc_id").alias("first_id"), F.col("earlier.text_key").alias("first_key")), "pairs")
+
     firsts = texts.select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"), F.col("items").alias("before"))
     both = pairs.join(firsts, ["first_id", "first_key"]).join(texts, ["doc_id", "text_key"])
 

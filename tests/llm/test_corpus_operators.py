@@ -395,6 +395,33 @@ def test_line_dedup(spark, docs):
     assert line_dedup.digest(docs).count() == docs.count()
 
 
+def test_passages_of_common_lines_are_found(spark):
+    """Each line came first in another document and is in more than RARE of them; only the passage as a whole repeats."""
+    lines = [words(70 + k, 8, 500) for k in range(8)]
+    rows = [(10 * k + j, f"own {k} {j} here\n{line}") for k, line in enumerate(lines) for j in range(line_dedup.RARE + 1)]
+    rows += [(i, "\n".join([f"start of {i}", *lines, f"end of {i}"])) for i in (900, 901, 902)]
+    got = {r.doc_id: r for r in line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[900].n_deleted == 0 and got[901].deleted_lines == got[902].deleted_lines == [*range(1, 9)]
+    assert all(r.n_deleted == 0 for i, r in got.items() if i < 900)
+
+
+def test_windows_are_the_shortest_runs():
+    rng = np.random.default_rng(4)
+    docs = [[(p, int(rng.integers(0, 3)), int(rng.integers(1, 30))) for p in range(12) if rng.random() < 0.9] for _ in range(40)]
+    row = np.repeat(np.arange(40), [*map(len, docs)])
+    pos, line, n = (np.array([x[k] for d in docs for x in d]) for k in range(3))
+    at, key = line_dedup.windows(row, pos, line, n)
+    want = {}
+    for i in range(len(row)):
+        for j in range(i, len(row)):
+            if row[j] != row[i] or pos[j] - pos[i] != j - i:
+                break
+            if n[i : j + 1].sum() >= 50:
+                want[i] = tuple(line[i : j + 1])
+                break
+    assert at.tolist() == [*want] and all((want[a] == want[b]) == (x == y) for a, x in zip(at, key, strict=True) for b, y in zip(at, key, strict=True))
+
+
 def test_patience_matches_are_common_and_ascend():
     rng = np.random.default_rng(0)
     for _ in range(300):
