@@ -407,7 +407,8 @@ def test_passages_of_common_lines_are_found(spark):
 
 def test_windows_are_the_shortest_runs():
     rng = np.random.default_rng(4)
-    docs = [[(p, int(rng.integers(0, 3)), int(rng.integers(1, 30))) for p in range(12) if rng.random() < 0.9] for _ in range(40)]
+    hashes = rng.integers(-(2**63), 2**63 - 1, 3)
+    docs = [[(p, int(rng.choice(hashes)), int(rng.integers(1, 30))) for p in range(12) if rng.random() < 0.9] for _ in range(40)]
     row = np.repeat(np.arange(40), [*map(len, docs)])
     pos, line, n = (np.array([x[k] for d in docs for x in d]) for k in range(3))
     at, key = line_dedup.windows(row, pos, line, n)
