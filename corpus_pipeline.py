@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinespark.llm import bpe, line_dedup, mixing, simhash, toxicity
+from kinespark.llm import bpe, line_dedup, mixing, near_copies, toxicity
 from kinespark.llm.common import materialise
 
 
@@ -25,8 +25,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.representatives(docs)
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return near_copies.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, bpe.vocabulary_path())
 
 
-STAGES = [("toxicity", reject_toxic), ("line dedup", dedup_lines), ("simhash near-dedup", dedup_near), ("mixing", mix_sources), ("bpe", encode)]
+STAGES = [("toxicity", reject_toxic), ("line dedup", dedup_lines), ("near-dedup", dedup_near), ("mixing", mix_sources), ("bpe", encode)]
 #: Classifiers, alignments and merges are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from kinespark.llm import bpe, fingerprints, katz, language_id, line_dedup, mixing, simhash, topk, toxicity, training_order
+from kinespark.llm import bpe, fingerprints, katz, language_id, line_dedup, mixing, near_copies, simhash, topk, toxicity, training_order
 from kinespark.llm.components import star_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, mark int"
@@ -259,6 +259,59 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
 
 
+def brute_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def brute_similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_near_copies_are_those_of_similar_shingles(spark, monkeypatch):
+    """Copies edited more or less, in runs longer than a block; the pipeline's stage keeps one of each group."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    rng, texts = np.random.default_rng(8), ["", None, "one", "One", "a b c d e", "a b c d f"]
+    for base in range(6):
+        one = words(200 + base, 200, 10**5).split()
+        texts.append(" ".join(one))
+        for _ in range(12):
+            copy = list(one)
+            for at in rng.integers(0, 200, int(rng.integers(1, 8))):
+                copy[at] = f"new{rng.integers(10**6)}"
+            texts.append(" ".join(copy))
+    sets = [brute_shingles(t) for t in texts]
+    want = brute_components(range(len(texts)), lambda a, b: brute_similar(sets[a], sets[b]))
+    df = spark.createDataFrame([(i, t, None, None, 0, i) for i, t in enumerate(texts)], SCHEMA)
+    kept = [r.doc_id for r in dict(corpus_pipeline.STAGES)["near-dedup"](spark, df, "").collect()]
+    assert sorted(kept) == sorted(set(want.values())) and 10 < len(kept) < 60
+
+
+def test_pairs_at_the_limit_share_a_band():
+    rng, found = np.random.default_rng(9), 0
+    for _ in range(400):
+        pool = rng.integers(0, 2**64, 120, np.uint64)
+        a, b = near_copies.bands([np.unique(pool[:108]), np.unique(pool[12:])])  # 96 of 120: 0.8
+        found += bool((a == b).any())
+    assert found >= 399
+
+
+def test_common_hashes():
+    rng = np.random.default_rng(10)
+    each = [np.unique(rng.integers(0, 50, int(n)).astype(np.uint64)) for n in rng.integers(0, 40, 30)]
+    assert near_copies.common(each).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in each] for a in each]
+
+
+def test_each_group_of_near_copies_keeps_one_row(spark):
+    """Rows of one id in different groups, and null ids."""
+    x, y, z = (words(220 + k, 50, 10**5) for k in range(3))
+    rows = [(1, x), (5, x), (5, y), (None, y), (None, z), (None, z), (5, y)]
+    df = spark.createDataFrame([(i, t, None, None, 0, 0) for i, t in rows], SCHEMA)
+    assert sorted((r.doc_id or 0, r.text) for r in near_copies.representatives(df).collect()) == sorted([(1, x), (5, y), (0, z)])
+
+
 # 7
 
 
