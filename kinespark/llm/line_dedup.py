@@ -11,8 +11,8 @@ left is aligned again until nothing is found, which catches blocks that changed
 earlier document, so the first one with a passage keeps it.
 
 Documents are ordered by id, then by hash of the text; rows with the same id and text are one document and share its
-decisions. Rows with a null id and null texts stay as they are. White space at a line's ends doesn't count, blank lines
-are no part of blocks. Repeats within one document are kept. Other columns are kept; an empty table gives an empty result.
+decisions. Rows with a null id and null texts stay as they are. White space (\\s) at a line's ends doesn't count. Blank
+lines are no part of blocks and don't part them: lines follow each other by their place among those that aren't blank. Repeats within one document are kept. Other columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +29,12 @@ from kinespark.llm.common import map_arrow, materialise
 
 MIN_WORDS, ANCHOR_WORDS, RARE = 50, 4, 8
 _FACTOR = 0x5851F42D4C957F2D
+_BLANKS = " \t\n\x0b\f\r"  # \s
 Item = tuple[int, int, int]
 
 
 def patience(a: list[Item], b: list[Item]) -> list[tuple[int, int]]:
-    """Matched places in a and b, both ascending; items are (position, hash, words)."""
+    """Matched places in a and b, both ascending; items are (place, hash, words)."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -85,7 +86,7 @@ def _ascending(steps: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list[Item], b: list[Item], min_words: int = MIN_WORDS) -> list[int]:
-    """Positions of b's lines in common blocks of so many words."""
+    """Places of b's lines in common blocks of so many words."""
     gone: list[int] = []
     while a and b:
         blocks: list[list[tuple[int, int]]] = []
@@ -104,8 +105,8 @@ def common_blocks(a: list[Item], b: list[Item], min_words: int = MIN_WORDS) -> l
     return sorted(gone)
 
 
-def windows(row: np.ndarray, pos: np.ndarray, line: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(first item, hash) of each window in the items of some documents, which follow each other in order of row and pos."""
+def windows(row: np.ndarray, place: np.ndarray, line: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(first item, hash) of each window in the items of some documents, which follow each other in order of row and place."""
     n = len(row)
     powers, back = (np.cumprod(np.r_[np.uint64(1), np.full(n, f & (2**64 - 1), np.uint64)], dtype=np.uint64) for f in (_FACTOR, pow(_FACTOR, -1, 2**64)))
     sums = np.r_[np.uint64(0), np.cumsum(line.astype(np.int64).view(np.uint64) * powers[:n], dtype=np.uint64)]
@@ -113,7 +114,7 @@ def windows(row: np.ndarray, pos: np.ndarray, line: np.ndarray, words: np.ndarra
     last = np.searchsorted(reach, reach[:-1] + min_words) - 1
     at = np.flatnonzero(last < n)
     last = last[at]
-    whole = (row[last] == row[at]) & (pos[last] - pos[at] == last - at)
+    whole = (row[last] == row[at]) & (place[last] - place[at] == last - at)
     at, last = at[whole], last[whole]
     return at, ((sums[last + 1] - sums[at]) * back[at]).view(np.int64)
 
@@ -129,13 +130,14 @@ def _key() -> Column:
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, deleted, partners): for each later document that loses lines, their places, and from whom it has them."""
     known = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("text_key"), "text")
-    each = known.select("doc_id", "text_key", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).select("doc_id", "text_key", "pos", F.trim("line").alias("line")).filter("line <> ''")
-    lines = each.select("doc_id", "text_key", "pos", F.xxhash64("line").alias("line"), F.size(F.split("line", r"\s+")).alias("words"))
+    trimmed = F.transform(_lines(F.col("text")), lambda line, pos: F.struct(pos.alias("pos"), F.btrim(line, F.lit(_BLANKS)).alias("line")))
+    each = known.select("doc_id", "text_key", F.posexplode(F.filter(trimmed, lambda x: x["line"] != "")).alias("place", "own")).select("doc_id", "text_key", "place", "own.pos", "own.line")
+    lines = each.select("doc_id", "text_key", "place", "pos", F.xxhash64("line").alias("line"), F.size(F.split("line", r"\s+")).alias("words"))
     lines = materialise(lines, "lines")
     who = F.struct("doc_id", "text_key")
     shared = lines.groupBy("line").agg(F.min(who).alias("first"), F.max(who).alias("last"), F.count("*").alias("n")).filter(F.col("first") != F.col("last"))
     shared = materialise(shared.select("line", "first", "n"), "shared")
-    held = materialise(lines.join(shared, "line").select("doc_id", "text_key", "pos", "line", "words", "first", "n"), "held")
+    held = materialise(lines.join(shared, "line").select("doc_id", "text_key", "place", "pos", "line", "words", "first", "n"), "held")
 
     later = who.alias("later")
     anchors = held.filter(F.col("words") >= ANCHOR_WORDS)
@@ -145,7 +147,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     with_rare = rare.join(others, "line").filter(F.col("earlier") < F.col("who")).select(F.col("who").alias("later"), "earlier")
 
     # rows of one document may repeat, so its lines are a set
-    texts = held.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("pos", "line", "words"))).alias("items"))
+    texts = held.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("place", "line", "words", "pos"))).alias("items"))
     texts = materialise(texts, "items")
 
     def keys(batch: pa.RecordBatch) -> dict:
@@ -167,13 +169,15 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         cols = {c: batch.column(c) for c in ("doc_id", "text_key", "first_id", "before", "items")}
         out: dict = {"doc_id": [], "text_key": [], "first_id": [], "gone": []}
-        as_items = lambda rows: [(r["pos"], r["line"], r["words"]) for r in rows]
+        as_items = lambda rows: [(r["place"], r["line"], r["words"]) for r in rows]
         for k in range(batch.num_rows):
-            gone = common_blocks(as_items(cols["before"][k].as_py()), as_items(cols["items"][k].as_py()), min_words)
+            items = cols["items"][k].as_py()
+            gone = common_blocks(as_items(cols["before"][k].as_py()), as_items(items), min_words)
             if gone:
                 for name in ("doc_id", "text_key", "first_id"):
                     out[name].append(cols[name][k].as_py())
-                out["gone"].append(gone)
+                pos = {r["place"]: r["pos"] for r in items}
+                out["gone"].append([pos[x] for x in gone])
         return out
 
     aligned = map_arrow(both, run, "doc_id long, text_key long, first_id long, gone array<int>")

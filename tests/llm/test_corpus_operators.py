@@ -458,6 +458,14 @@ def test_passages_of_common_lines_are_found(spark):
     assert all(r.n_deleted == 0 for i, r in got.items() if i < 900)
 
 
+def test_blank_lines_and_white_space_part_no_passage(spark):
+    """Short paragraphs with blank lines between, more or fewer, and lines that end in a tab or CR."""
+    parts = [words(90 + k, 20, 500) for k in range(5)]
+    rows = [(1, "own\n" + "\n\n".join(parts)), (2, "\n\n".join(parts) + "\n\nmore"), (3, "x\r\n" + "\r\n".join(parts) + "\r\n"), (4, "\t\n\n".join(f"\t{p}\t" for p in parts)), (5, f"{parts[0]}\n \nother\n{parts[1]}")]
+    got = {r.doc_id: r.deleted_lines for r in line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0, 2, 4, 6, 8], 3: [1, 2, 3, 4, 5], 4: [0, 2, 4, 6, 8], 5: []}
+
+
 def test_windows_are_the_shortest_runs():
     rng = np.random.default_rng(4)
     hashes = rng.integers(-(2**63), 2**63 - 1, 3)
