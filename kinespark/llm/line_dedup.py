@@ -6,8 +6,9 @@ is everywhere gives one pair a document. So that a passage of common lines is no
 another document, each window, the shortest run of lines from a line on that has ``MIN_WORDS`` words, also pairs its
 documents with the first that holds it; every line of a common block is in such a window. Each pair is aligned with patience diff: lines that occur once on both sides, in
 the longest ascending run, are anchors, between which the same is done again. Runs of aligned lines that follow each other
-in both documents are common blocks; blocks of ``MIN_WORDS`` words or more are deleted from the later document. What is
-left is aligned again until nothing is found, which catches blocks that changed places. Every deleted line stands in an
+in both documents are common blocks; blocks of ``MIN_WORDS`` words or more are deleted from the later document. So are
+those that the alignment breaks or passes over, as they changed places or their lines repeat: the longest match that ends
+at each line, by the suffix automaton of the earlier document, gives every run of so many words that both documents have. Every deleted line stands in an
 earlier document, so the first one with a passage keeps it.
 
 Documents are ordered by id, then by hash of the text; rows with the same id and text are one document and share its
@@ -85,24 +86,73 @@ def _ascending(steps: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def longest_matches(a: list[Item], b: list[Item]) -> list[int]:
+    """For each item of b, how many items up to it, at places that follow each other, stand so in a too: its longest match
+    by the suffix automaton of a."""
+    steps: list[dict] = [{}]
+    link, length, last, place = [-1], [0], 0, None
+    for at, h, _ in a:
+        # a gap is a token that nothing equals
+        for token in (h,) if place is None or at == place + 1 else (object(), h):
+            new = len(steps)
+            steps.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p >= 0 and token not in steps[p]:
+                steps[p][token] = new
+                p = link[p]
+            if p >= 0:
+                q = steps[p][token]
+                if length[q] > length[p] + 1:
+                    copy = len(steps)
+                    steps.append(dict(steps[q]))
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    while p >= 0 and steps[p].get(token) == q:
+                        steps[p][token] = copy
+                        p = link[p]
+                    link[q] = q = copy
+                link[new] = q
+            last = new
+        place = at
+    out, v, n, place = [], 0, 0, None
+    for at, h, _ in b:
+        if place is not None and at != place + 1:
+            v = n = 0
+        while v and h not in steps[v]:
+            v = link[v]
+            n = length[v]
+        v, n = (steps[v][h], n + 1) if h in steps[v] else (0, 0)
+        out.append(n)
+        place = at
+    return out
+
+
 def common_blocks(a: list[Item], b: list[Item], min_words: int = MIN_WORDS) -> list[int]:
     """Places of b's lines in common blocks of so many words."""
-    gone: list[int] = []
-    while a and b:
-        blocks: list[list[tuple[int, int]]] = []
-        matched = patience(a, b)
-        if not matched:
-            break
-        for x, y in matched:
-            if blocks and (a[x][0], b[y][0]) == (a[blocks[-1][-1][0]][0] + 1, b[blocks[-1][-1][1]][0] + 1):
-                blocks[-1].append((x, y))
-            else:
-                blocks.append([(x, y)])
-        found = {y for block in blocks if sum(b[y][2] for _, y in block) >= min_words for _, y in block}
-        gone += [b[y][0] for y in found]
-        used = found or {y for _, y in matched}
-        b = [item for k, item in enumerate(b) if k not in used]
-    return sorted(gone)
+    ours = {x[1] for x in b}
+    a = [x for x in a if x[1] in ours]
+    theirs = {x[1] for x in a}
+    b = [x for x in b if x[1] in theirs]
+    if sum(x[2] for x in b) < min_words:
+        return []
+    gone: set[int] = set()
+    block: list[tuple[int, int]] = []
+    for x, y in [*patience(a, b), (-1, -1)]:
+        if not block or x < 0 or (a[x][0], b[y][0]) != (a[block[-1][0]][0] + 1, b[block[-1][1]][0] + 1):
+            if sum(b[k][2] for _, k in block) >= min_words:
+                gone.update(k for _, k in block)
+            block = []
+        block.append((x, y))
+    if len(gone) < len(b):
+        reach, least = np.r_[0, np.cumsum([x[2] for x in b])].tolist(), len(b)
+        for y, n in reversed([*enumerate(longest_matches(a, b))]):
+            if reach[y + 1] - reach[y + 1 - n] >= min_words:
+                least = min(least, y + 1 - n)
+            if least <= y:
+                gone.add(y)
+    return sorted(b[y][0] for y in gone)
 
 
 def windows(row: np.ndarray, place: np.ndarray, line: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:

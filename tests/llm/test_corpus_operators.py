@@ -492,6 +492,33 @@ def test_patience_matches_are_common_and_ascend():
         assert all(a[x][1] == b[y][1] for x, y in m) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(m, m[1:], strict=False))
 
 
+def brute_blocks(a, b, least):
+    """Places of b in any run of so many words whose lines and distances stand in a too."""
+    gone = set()
+    for j in range(len(b)):
+        for i in range(len(a)):
+            k = 0
+            while j + k < len(b) and i + k < len(a) and b[j + k][1] == a[i + k][1] and b[j + k][0] - b[j][0] == a[i + k][0] - a[i][0] == k:
+                k += 1
+            if sum(x[2] for x in b[j : j + k]) >= least:
+                gone |= {x[0] for x in b[j : j + k]}
+    return sorted(gone)
+
+
+def test_blocks_are_all_common_runs():
+    p1, q, p2, p3 = range(4)
+    a, b = ([(i, h, 20) for i, h in enumerate(x)] for x in ([p1, q, p1, p2, p3], [p1, p2, p3]))
+    assert line_dedup.common_blocks(a, b) == [0, 1, 2]
+    rng, size, found = np.random.default_rng(11), [9, 20, 31, 14, 26, 50], 0
+    for _ in range(3000):
+        kinds = int(rng.integers(2, 7))
+        a, b = ([(i, int(h), size[h]) for i, h in enumerate(rng.integers(0, kinds, int(rng.integers(0, 16)))) if rng.random() < 0.9] for _ in range(2))
+        want = brute_blocks(a, b, 50)
+        assert line_dedup.common_blocks(a, b) == want
+        found += 0 < len(want) < len(b)
+    assert found > 500
+
+
 # pipeline
 
 
