@@ -7,8 +7,12 @@ prefix of an encoding is the encoding of that prefix, and each prefix has one la
 token for each position. What follows can only take back tokens that end within the lookahead of the merge list (see
 ``MergeTable.lookahead``); older ones, on which all open positions agree, are emitted and forgotten.
 
-Null and empty texts: no token. A text is never cut: a piece without white space of any length streams through a window
-of constant size. Equal texts give equal rows; repeated rows are kept; other columns are not touched. An empty table
+A text goes through in chunks of about ``CHUNK`` characters that end where a pretoken must begin, so cutting changes no
+token; a pretoken of any length streams through a window of constant size. Tokens leave as soon as they are settled and go
+straight on to the decoder, whose state is an unfinished character. So beside the text itself, and memories of pieces met
+before that are bounded, what is held doesn't grow with a text. Short pretokens run through the same machine many at once.
+
+Null and empty texts: no token. Equal texts give equal rows; repeated rows are kept; other columns are not touched. An empty table
 gives an empty result.
 """
 
@@ -33,7 +37,7 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: A space before a character that isn't white space begins a new pretoken whatever came before.
 _ODD, _CUT = re.compile(r" (?!\S)"), re.compile(r" (?=\S)")
-MEMO_PIECES, MEMO_BYTES, TEXTS = 200_000, 64, 256
+MEMO_PIECES, MEMO_BYTES, TEXTS, CHUNK = 200_000, 64, 256, 1 << 16
 
 
 def _printable() -> dict[str, int]:
@@ -342,6 +346,28 @@ class Encoder:
         get = self.later.__getitem__
         return [b"".join([known or self.first[first] + b"".join(map(get, rest)) for known, first, rest in own]) for own in spans]
 
+    def stream(self, text: str | None) -> Iterator[np.ndarray]:
+        """The ids of a text, some at a time."""
+        at = 0
+        for m in self.special.finditer(text) if text and self.special else ():
+            yield from self._plain(text, at, m.start())
+            yield np.array([self.table.special[m[0]]], "<u4")
+            at = m.end()
+        yield from self._plain(text or "", at, len(text or ""))
+
+    def _plain(self, text: str, at: int, end: int) -> Iterator[np.ndarray]:
+        """A stretch without special tokens, in chunks."""
+        while at < end:
+            cut = next((m.start() for m in _CUT.finditer(text, at + CHUNK, end)), end)
+            if cut - at <= 2 * CHUNK:
+                yield np.frombuffer(self.encode(text[at:cut]), "<u4")
+            else:
+                for m in _PRETOKEN.finditer(text, at, cut):
+                    for k in range(m.start(), m.end(), CHUNK):
+                        yield np.asarray(self.machine.feed(text[k : min(k + CHUNK, m.end())].encode("utf-8", "replace")), "<u4")
+                    yield np.asarray(self.machine.finish(), "<u4")
+            at = cut
+
     @staticmethod
     def _split(text: str) -> tuple[bytes, str, list[str]]:
         parts = pieces(text)
@@ -393,19 +419,33 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return map_arrow(docs.select(docs[id_col].cast("long"), docs[text_col]), run, "doc_id long, ids binary", lambda: encoder(path).forget())
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", step: int = 1 << 16) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: encodes, then decodes the ids in steps."""
+def _rounds(texts: list[str | None], enc: Encoder) -> Iterator[tuple[int, str, str]]:
+    """Number of tokens, sha256 of the ids and of the decoded text, of each text. The short ones are encoded together, each as
+    one chunk; a long one streams."""
+    short = [k for k, t in enumerate(texts) if len(t or "") <= CHUNK]
+    whole = dict(zip(short, enc.encode_many([texts[k] for k in short]), strict=True))
+    for k, text in enumerate(texts):
+        n, ids_said, text_said = 0, hashlib.sha256(), hashlib.sha256()
+
+        def passing(chunks: Iterable[np.ndarray], said=ids_said) -> Iterator[np.ndarray]:
+            nonlocal n
+            for ids in chunks:
+                n += len(ids)
+                said.update(ids.tobytes())
+                yield ids
+
+        for part in enc.decode_stream(passing([np.frombuffer(whole[k], "<u4")] if k in whole else enc.stream(text))):
+            text_said.update(part.encode())
+        yield n, ids_said.hexdigest(), text_said.hexdigest()
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: each chunk is encoded and decoded before the next."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        enc = encoder(path)
-        out: dict = {"doc_id": batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for ids in encoded(batch.column(1), path):
-            numbers, said = np.frombuffer(ids, "<u4"), hashlib.sha256()
-            for part in enc.decode_stream(numbers[i : i + step] for i in range(0, len(numbers), step)):
-                said.update(part.encode())
-            out["n_tokens"].append(len(numbers))
-            out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-            out["decoded_sha256"].append(said.hexdigest())
-        return out
+        enc, rows = encoder(path), []
+        for at in range(0, batch.num_rows, TEXTS):
+            rows += _rounds(batch.column(1).slice(at, TEXTS).to_pylist(), enc)
+        return {"doc_id": batch.column(0), "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]}
 
     return map_arrow(docs.select(docs[id_col].cast("long"), docs[text_col]), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: encoder(path).forget())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,19 +35,40 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/kinespark/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Writes df in the shared folder and reads it back: later steps start from files that outlive any executor, so the
-    shuffle files behind them are freed."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of queries that run inside go when each of them ends."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
+def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+    """Writes df in the shared folder and reads it back: later steps start from files that outlive any executor, so the
+    shuffle files behind them are freed."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    with shuffles_freed(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(docs: DataFrame, **own: Column) -> DataFrame:
+    """The rows of docs as one column ``row`` beside own ones, so no name of theirs can meet one of ours; ``row.*`` gives
+    them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in own.items()])
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole_text(name: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -6,21 +6,26 @@ short text is not lost. The size follows the text, so a short text's share in a
 of fixed size cannot. Sketches of parts merge into that of the whole (``merge``). As a string, a sketch is its hashes in
 ascending order, 16 hex digits each; a text without a word has the empty sketch.
 
-Likeness is containment: shared hashes over those of the smaller sketch; of two empty sketches it is 1, of one 0.
+Likeness is containment: shared hashes over those of the smaller sketch; of two empty sketches it is 1, of one 0. How many
+hashes it rests on stands beside it (0 where a sketch is a stand-in, which says little of a longer text).
 
-Null text is the empty text. Rows with a null id come first; rows with the same id are ordered by text, repeated rows
-follow each other. Other columns are ignored. An empty table gives an empty result; a single row follows itself.
+Null text is the empty text. Rows with a null id come first; rows with the same id are ordered by hash of the text, repeated
+rows follow each other. Rows are dealt by ranges of (id, hash of the text, running number), whose count follows the bytes of
+the texts: an id or a text that many rows share spans several ranges, so no task holds all rows of one. Other columns are
+ignored. An empty table gives an empty result; a single row follows itself.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespark.llm.common import whole_text
 
-FRACTION, SHINGLE = 1 / 8, 5
-_LOW = -(2**63)
+FRACTION, SHINGLE, RANGE_BYTES, MOST_RANGES = 1 / 4, 5, 32 << 20, 1 << 16
+_LOW, _HIGH = -(2**63), 2**63 - 1
 
 
 def _let(value: Column, body) -> Column:
@@ -65,56 +70,88 @@ def resemblance(a: Column, b: Column) -> Column:
     return F.when(every > 0, shared / F.greatest(every, F.lit(1))).otherwise(F.lit(1.0))
 
 
+def rests_on(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Hashes below the limit in the smaller sketch: how sure a likeness is."""
+    below = lambda x: F.when(F.get(x, F.lit(0)) < int(2**63 * fraction), F.size(x)).otherwise(F.lit(0))
+    return F.least(below(a), below(b))
+
+
 def as_string(values: Column) -> Column:
     return F.array_join(F.transform(values, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def _ranges(keys: DataFrame, parts: int) -> list[int]:
-    """Keys that cut the table into ranges of about the same number of rows."""
-    cuts = keys.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 20 * parts))).first()[0]
-    return sorted(set(cuts or []))
+def _cuts(df: DataFrame, column: str, parts: int, by: str | None = None) -> dict:
+    """Values that cut the column, in each group of by, into so many ranges of about the same number of rows."""
+    at = [i / parts for i in range(1, parts)] or [0.5]
+    cut = F.percentile_approx(column, at, max(10_000, 20 * parts)).alias("cuts")
+    rows = df.groupBy(F.col(by).alias("by") if by else F.lit(0).alias("by")).agg(cut).collect()
+    return {r["by"]: sorted(r["cuts"] or []) for r in rows}
+
+
+def borders(keys: DataFrame, parts: int, few: int = 64) -> list[tuple[int, int, int]]:
+    """Ascending (key, hash, salt) that begin ranges. A key that several cuts fall on is cut by hash, and so is a hash by salt."""
+    spark, out = keys.sparkSession, []
+    cuts = Counter(_cuts(keys, "key", parts).get(0, []))
+    inner: dict[int, list[int]] = {}
+    for hot, pieces in (([k for k, n in cuts.items() if 1 < n <= few], few), ([k for k, n in cuts.items() if n > few], parts)):
+        if hot:
+            some = keys.join(F.broadcast(spark.createDataFrame([(k,) for k in hot], "key long")), "key")
+            inner |= {k: x[:: max(1, pieces // cuts[k])] for k, x in _cuts(some, "hash", pieces, "key").items()}
+    for key in sorted(cuts):
+        out.append((key, _LOW, _LOW))
+        if key in inner:
+            for h, times in sorted(Counter(inner[key]).items()):
+                out += [(key, h, _LOW + (1 << 64) * j // times) for j in range(times)]
+            out.append((key, _HIGH, _HIGH))
+    return sorted(set(out))
 
 
 def _numbers(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def _place(key: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts are at most the key, by halving."""
-    at = _numbers(cuts)
+def _place(at: Column, cuts: list[tuple[int, int, int]]) -> Column:
+    """How many of the sorted cuts are at most the struct at, by halving."""
+    if not cuts:
+        return F.lit(0)
+    sides = F.arrays_zip(*[_numbers([c[i] for c in cuts]).alias(n) for i, n in enumerate(("key", "hash", "salt"))])
 
     def halve(s: Column, _: Column) -> Column:
         mid = ((s["lo"] + s["hi"]) / 2).cast("int")
         above = F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))
         below = F.struct(s["lo"].alias("lo"), mid.alias("hi"))
-        return F.when(s["lo"] >= s["hi"], s).when(F.element_at(at, F.least(mid + 1, F.lit(len(cuts)))) <= key, above).otherwise(below)
+        cut = F.element_at(sides, F.least(mid + 1, F.lit(len(cuts))))
+        return F.when(s["lo"] >= s["hi"], s).when(F.struct(cut["key"].alias("key"), cut["hash"].alias("hash"), cut["salt"].alias("salt")) <= at, above).otherwise(below)
 
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), start, halve, lambda s: s["lo"])
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, text, next: the text of the following row by ascending id, the first after the last.
 
-    Rows are dealt by ranges of ids, four for each shuffle partition, and ordered inside them; the first row of a range
-    also goes to the range before, as the end of it. The driver holds a few numbers for each range. Texts move once."""
+    Rows are dealt by ranges and ordered inside them; the text that begins a range also goes to the end of the range before.
+    The driver holds a few numbers for each range. Texts move once, but for those that begin a range."""
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("key"))
-    cuts = _ranges(own.select("key"), parts)
-    place = _place(F.col("key"), cuts) if cuts else F.lit(0)
-    firsts = dict(own.select("key").groupBy(place.alias("part")).agg(F.min("key")).collect())
-    if not firsts:
-        return own.select("doc_id", "text", F.col("text").alias("next"), F.lit(0).alias("part"), F.lit(0).alias("tail"), F.lit(0).alias("rn"))
+    key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)), whole_text()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key.alias("key"), F.xxhash64(text).alias("hash"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
+    size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes)))
+    cuts = borders(own.select("key", "hash"), parts)
+    own = own.withColumn("part", _place(F.struct("key", "hash", "salt"), cuts).cast("long"))
+    # rows of one (key, hash) have one text, so any of them can stand for the first of a range
+    firsts = {r["part"]: (r["least"]["key"], r["least"]["hash"]) for r in own.groupBy("part").agg(F.min(F.struct("key", "hash")).alias("least")).collect()}
     there = sorted(firsts)
-    before = {p: there[i - 1] for i, p in enumerate(there)}
-    dense = range(max(there) + 1)
-    starts, prior = _numbers([firsts.get(p, _LOW) for p in dense]), _numbers([before.get(p, 0) for p in dense])
-    dealt = own.withColumn("part", place)
-    opens = F.col("key") == F.element_at(starts, F.col("part") + 1)
-    dealt = dealt.withColumn("tail", F.explode(F.when(opens, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    dealt = dealt.withColumn("part", F.when(F.col("tail") == 1, F.element_at(prior, F.col("part") + 1)).otherwise(F.col("part").cast("long")))
-    order = Window.partitionBy("part").orderBy("tail", "key", "text")
+    if not there:
+        tails = own.select("text", "part", "key", "hash")
+    else:
+        dense, before = range(max(there) + 1), {p: there[i - 1] for i, p in enumerate(there)}
+        first_key, first_hash, prior = (F.element_at(_numbers(x), (F.col("part") + 1).cast("int")) for x in ([firsts.get(p, (_LOW, _LOW))[0] for p in dense], [firsts.get(p, (_LOW, _LOW))[1] for p in dense], [before.get(p, 0) for p in dense]))
+        tails = own.filter((F.col("key") == first_key) & (F.col("hash") == first_hash)).groupBy("part").agg(F.first("text").alias("text"))
+        tails = tails.select("text", prior.alias("part"), F.lit(_HIGH).alias("key"), F.lit(_HIGH).alias("hash"))
+    tails = tails.select(F.lit(None).cast("long").alias("doc_id"), "text", "key", "hash", "part", F.lit(1).alias("tail"))
+    dealt = own.select("doc_id", "text", "key", "hash", "part", F.lit(0).alias("tail")).unionByName(tails).repartition(parts, "part")
+    order = Window.partitionBy("part").orderBy("tail", "key", "hash")
     return dealt.select("doc_id", "text", "part", "tail", F.lead("text").over(order).alias("next"), F.row_number().over(order).alias("rn"))
 
 
@@ -131,5 +168,5 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     return following.select(
         "doc_id", "n_chars", "edited_sha256", as_string(own).alias("fingerprint"), as_string(other).alias("edited_fingerprint"),
         containment(own, other).alias("near_edited"), containment(own, after).alias("near_next"),
-        resemblance(own, other).alias("jaccard_edited"), resemblance(own, after).alias("jaccard_next"),
+        resemblance(own, other).alias("jaccard_edited"), resemblance(own, after).alias("jaccard_next"), rests_on(own, other).alias("rests_on_edited"), rests_on(own, after).alias("rests_on_next"),
     )

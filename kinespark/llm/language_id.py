@@ -4,7 +4,8 @@ Each language has a probability for each piece of a fixed public vocabulary. A w
 ways to cut it into pieces, by the forward algorithm; a text's is the product over its words. Words are runs of letters,
 in lower case, with the vocabulary's mark before them. The probabilities come from expectation maximisation: expected
 counts of pieces over all segmentations (forward and backward), added up by Spark, from a bounded sample of the labelled
-texts, ``SAMPLE`` documents of a language in expectation, chosen by hash of the id. Every text is predicted whole.
+texts, ``SAMPLE`` documents of a language in expectation, chosen by hash of the id; of those, words of any length count.
+Every text is predicted whole. The driver and each worker hold one number for each language and piece (0.26 MB a language).
 
 The prediction is the language of the highest probability, of equal ones the first by code point; the score is its
 posterior with equal priors. A text that is null or has no letter is ``und`` with score 0, and so is every text where
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -60,40 +62,27 @@ class Lattice:
         return out
 
 
-def _forward(arcs: list[list[tuple[int, int]]], p: list[float]) -> tuple[list[float], float]:
-    """Probability up to each place, kept in range by common factors, and the log of the whole."""
-    alpha, scale = [1.0], 0.0
+def _forward(arcs: list[list[tuple[int, int]]], p: list[float]) -> list[float]:
+    """The log of the probability up to each place; the last is that of the whole word."""
+    logs = [0.0]
     for own in arcs:
-        total = 0.0
-        for start, k in own:
-            total += alpha[start] * p[k]
-        if total < 1e-150:
-            total = max(total, 1e-290)
-            factor = 1 / total
-            alpha = [x * factor for x in alpha]
-            scale -= math.log(factor)
-            total = 1.0
-        alpha.append(total)
-    return alpha, math.log(alpha[-1]) + scale
-
-
-def _backward(arcs: list[list[tuple[int, int]]], p: list[float]) -> list[float]:
-    beta = [0.0] * len(arcs) + [1.0]
-    for end in range(len(arcs), 0, -1):
-        for start, k in arcs[end - 1]:
-            beta[start] += p[k] * beta[end]
-    return beta
+        top = max(logs[start] for start, _ in own)
+        logs.append(top + math.log(sum(math.exp(max(logs[start] - top, -690.0)) * p[k] for start, k in own)))
+    return logs
 
 
 def expected_counts(lattice: Lattice, word: str, p: list[float]) -> list[tuple[int, float]]:
-    """How often each piece is expected in the word. Words of over 64 letters say too little to be learnt from."""
-    if not 0 < len(word) <= 64:
-        return []
+    """How often each piece is expected in the word, whatever its length. An arc's share is the probability that the last
+    piece before its end is this one; read from the end, it passes on to its start how likely a cut is there."""
     arcs = lattice.arcs(word)
-    alpha, beta = _forward(arcs, p)[0], _backward(arcs, p)
-    if not alpha[-1] > 0 or not beta[0] > 0:
-        return []
-    return [(k, alpha[start] * p[k] * beta[end + 1] / beta[0]) for end, own in enumerate(arcs) for start, k in own]
+    logs = _forward(arcs, p)
+    cut, out = [0.0] * len(arcs) + [1.0], []
+    for end in range(len(arcs), 0, -1):
+        for start, k in arcs[end - 1]:
+            n = cut[end] * p[k] * math.exp(min(logs[start] - logs[end], 690.0))
+            cut[start] += n
+            out.append((k, n))
+    return out
 
 
 class LanguageModel:
@@ -107,6 +96,23 @@ def _letters(text: str) -> list[str]:
     return "".join(c if c.isalpha() else " " for c in text).split()
 
 
+def words(text: str) -> list[str]:
+    """Runs of letters, in lower case: the same in training and in use."""
+    return _letters(text.lower())
+
+
+def counted_words(texts: DataFrame) -> DataFrame:
+    """(lang, word, n) from (lang, text): each batch adds up its own words before they move."""
+
+    def count(batch: pa.RecordBatch) -> dict:
+        n: Counter = Counter()
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n.update((lang, w) for w in words(text))
+        return {"lang": [k[0] for k in n], "word": [k[1] for k in n], "n": [*n.values()]}
+
+    return map_arrow(texts, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
 def train(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> LanguageModel:
     """docs: doc_id, text, lang; rows without a language or a text say nothing."""
     spark = docs.sparkSession
@@ -117,8 +123,7 @@ def train(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS
         return LanguageModel([], np.zeros((0, 0)), path)
     rate = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(min(1.0, sample / sizes[lang]) * (1 << 30)))])[F.col("lang")]
     picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < rate)
-    words = picked.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> ''")
-    counts = materialise(words.groupBy("lang", "word").agg(F.count("*").alias("n")).repartition("word"), "words")
+    counts = materialise(counted_words(picked.select("lang", "text")).repartition("word"), "words")
 
     vocabulary = pieces(path)
     table = np.full((len(languages), len(vocabulary) + 1), 1.0)
@@ -222,7 +227,7 @@ class _Words:
             logs[short, :-1] = self.batch.logs([MARK + new[i] for i in short])
         for i, w in enumerate(new):
             if len(w) >= WORD:
-                logs[i, :-1] = [_forward(self.lattice.arcs(MARK + w), p)[1] for p in self.p]
+                logs[i, :-1] = [_forward(self.lattice.arcs(MARK + w), p)[-1] for p in self.p]
         if new:
             self.words.update(zip(new, self._add(logs), strict=True))
         for token, own in cut.items():

@@ -1,19 +1,21 @@
 """Line dedup by pairwise alignment.
 
-Lines that occur in two documents or more are found by their hash. A rare line, in ``RARE`` documents at most, pairs each
-of its documents with each earlier one; any other shared line pairs each of its documents with the first, so a line that
-is everywhere gives one pair a document. So that a passage of common lines is not lost where each of them came first in
-another document, each window, the shortest run of lines from a line on that has ``MIN_WORDS`` words, also pairs its
-documents with the first that holds it; every line of a common block is in such a window. Each pair is aligned with patience diff: lines that occur once on both sides, in
-the longest ascending run, are anchors, between which the same is done again. Runs of aligned lines that follow each other
-in both documents are common blocks; blocks of ``MIN_WORDS`` words or more are deleted from the later document. So are
-those that the alignment breaks or passes over, as they changed places or their lines repeat: the longest match that ends
-at each line, by the suffix automaton of the earlier document, gives every run of so many words that both documents have. Every deleted line stands in an
-earlier document, so the first one with a passage keeps it.
+Lines that occur in two documents or more are found by their hash. A passage is the shortest run of such lines, from a
+line on or up to a line, that has ``MIN_WORDS`` words; what pairs documents is the hash of its rarest line together with
+that of the passage, and each document is paired with the first one that holds it. Every line of a common block of so many
+words is in such a passage, so no block is missed however frequent its lines are, and a line that is everywhere makes no
+pair alone. Each pair is aligned with patience diff: lines that occur once on both sides, in the longest ascending run, are
+anchors, between which the same is done again. Runs of aligned lines that follow each other in both documents are common
+blocks; blocks of ``MIN_WORDS`` words or more are deleted from the later document. So are those that the alignment breaks
+or passes over, as they changed places or their lines repeat: the longest match that ends at each line, by the suffix
+automaton of the earlier document, gives every run of so many words that both documents have. Lines are equal if two
+independent 64-bit hashes of their text are. So the lines that go are just those in a run of so many words that stands in
+any earlier document, and the first one with a passage keeps it.
 
 Documents are ordered by id, then by hash of the text; rows with the same id and text are one document and share its
 decisions. Rows with a null id and null texts stay as they are. White space (\\s) at a line's ends doesn't count. Blank
-lines are no part of blocks and don't part them: lines follow each other by their place among those that aren't blank. Repeats within one document are kept. Other columns are kept; an empty table gives an empty result.
+lines are no part of blocks and don't part them: lines follow each other by their place among those that aren't blank.
+Repeats within one document are kept. Other columns are kept, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import map_arrow, materialise
+from kinespark.llm.common import carried, map_arrow, materialise
 
-MIN_WORDS, ANCHOR_WORDS, RARE = 50, 4, 8
+MIN_WORDS = 50
 _FACTOR = 0x5851F42D4C957F2D
 _BLANKS = " \t\n\x0b\f\r"  # \s
-Item = tuple[int, int, int]
+Item = tuple  # place, hash, words
 
 
 def patience(a: list[Item], b: list[Item]) -> list[tuple[int, int]]:
@@ -155,18 +157,26 @@ def common_blocks(a: list[Item], b: list[Item], min_words: int = MIN_WORDS) -> l
     return sorted(b[y][0] for y in gone)
 
 
-def windows(row: np.ndarray, place: np.ndarray, line: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(first item, hash) of each window in the items of some documents, which follow each other in order of row and place."""
+def passages(row: np.ndarray, place: np.ndarray, line: np.ndarray, words: np.ndarray, holders: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first item, rarest line, hash) of each passage in the items of some documents, which follow each other in order of
+    row and place: the shortest runs from an item on, and those up to one."""
     n = len(row)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     powers, back = (np.cumprod(np.r_[np.uint64(1), np.full(n, f & (2**64 - 1), np.uint64)], dtype=np.uint64) for f in (_FACTOR, pow(_FACTOR, -1, 2**64)))
     sums = np.r_[np.uint64(0), np.cumsum(line.astype(np.int64).view(np.uint64) * powers[:n], dtype=np.uint64)]
     reach = np.r_[0, np.cumsum(words, dtype=np.int64)]
-    last = np.searchsorted(reach, reach[:-1] + min_words) - 1
-    at = np.flatnonzero(last < n)
-    last = last[at]
-    whole = (row[last] == row[at]) & (place[last] - place[at] == last - at)
-    at, last = at[whole], last[whole]
-    return at, ((sums[last + 1] - sums[at]) * back[at]).view(np.int64)
+    first = np.r_[np.arange(n), np.searchsorted(reach, reach[1:] - min_words, "right") - 1]
+    last = np.r_[np.searchsorted(reach, reach[:-1] + min_words) - 1, np.arange(n)]
+    there = (first >= 0) & (last < n)
+    first, last = first[there], last[there]
+    whole = (row[last] == row[first]) & (place[last] - place[first] == last - first)
+    first, last = np.unique(np.stack([first[whole], last[whole]]), axis=1)
+    order = np.lexsort((line, holders))
+    rank = np.empty(n + 1, np.int64)
+    rank[order], rank[n] = np.arange(n), n
+    rarest = np.minimum.reduceat(rank, np.stack([first, last + 1], axis=1).ravel())[::2] if len(first) else first
+    return first, line[order[rarest]], ((sums[last + 1] - sums[first]) * back[first]).view(np.int64)
 
 
 def _lines(text: Column) -> Column:
@@ -178,39 +188,30 @@ def _key() -> Column:
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, deleted, partners): for each later document that loses lines, their places, and from whom it has them."""
+    """(doc_id, text_key, deleted, partners): for each later document that loses lines, their places, and the first documents
+    that hold them."""
     known = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("text_key"), "text")
     trimmed = F.transform(_lines(F.col("text")), lambda line, pos: F.struct(pos.alias("pos"), F.btrim(line, F.lit(_BLANKS)).alias("line")))
     each = known.select("doc_id", "text_key", F.posexplode(F.filter(trimmed, lambda x: x["line"] != "")).alias("place", "own")).select("doc_id", "text_key", "place", "own.pos", "own.line")
-    lines = each.select("doc_id", "text_key", "place", "pos", F.xxhash64("line").alias("line"), F.size(F.split("line", r"\s+")).alias("words"))
+    lines = each.select("doc_id", "text_key", "place", "pos", F.xxhash64("line").alias("line"), F.xxhash64(F.lit("again"), "line").alias("check"), F.size(F.split("line", r"\s+")).alias("words"))
     lines = materialise(lines, "lines")
     who = F.struct("doc_id", "text_key")
     shared = lines.groupBy("line").agg(F.min(who).alias("first"), F.max(who).alias("last"), F.count("*").alias("n")).filter(F.col("first") != F.col("last"))
-    shared = materialise(shared.select("line", "first", "n"), "shared")
-    held = materialise(lines.join(shared, "line").select("doc_id", "text_key", "place", "pos", "line", "words", "first", "n"), "held")
-
-    later = who.alias("later")
-    anchors = held.filter(F.col("words") >= ANCHOR_WORDS)
-    with_first = anchors.filter(F.col("first") < who).select(later, F.col("first").alias("earlier"))
-    rare = anchors.filter(F.col("n") <= RARE).select("line", who.alias("who")).distinct()
-    others = rare.select("line", F.col("who").alias("earlier"))
-    with_rare = rare.join(others, "line").filter(F.col("earlier") < F.col("who")).select(F.col("who").alias("later"), "earlier")
-
+    shared = materialise(shared.select("line", "n"), "shared")
     # rows of one document may repeat, so its lines are a set
-    texts = held.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("place", "line", "words", "pos"))).alias("items"))
-    texts = materialise(texts, "items")
+    held = lines.join(shared, "line").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("place", "line", "words", "n", "check", "pos"))).alias("items"))
+    texts = materialise(held, "items")
 
     def keys(batch: pa.RecordBatch) -> dict:
         items = batch.column(2)
         flat, row = items.flatten(), np.repeat(np.arange(batch.num_rows), items.value_lengths().to_numpy())
-        at, key = windows(row, *(flat.field(k).to_numpy() for k in range(3)), min_words)
-        return {"doc_id": batch.column(0).take(pa.array(row[at])), "text_key": batch.column(1).take(pa.array(row[at])), "window": key}
-
-    runs = materialise(map_arrow(texts, keys, "doc_id long, text_key long, window long").distinct(), "windows")
-    opened = runs.groupBy("window").agg(F.min(who).alias("first"), F.max(who).alias("last")).filter(F.col("first") != F.col("last"))
-    opened = materialise(opened.select("window", "first"), "opened")
-    with_window = runs.join(opened, "window").filter(F.col("first") < who).select(later, F.col("first").alias("earlier"))
-    pairs = with_first.unionByName(with_rare).unionByName(with_window).distinct()
+        at, rare, key = passages(row, *(flat.field(k).to_numpy() for k in range(4)), min_words)
+        return {"doc_id": batch.column(0).take(pa.array(row[at])), "text_key": batch.column(1).take(pa.array(row[at])), "rare": rare, "passage": key}
+
+    runs = materialise(map_arrow(texts, keys, "doc_id long, text_key long, rare long, passage long").distinct(), "passages")
+    opened = runs.groupBy("rare", "passage").agg(F.min(who).alias("first"), F.max(who).alias("last")).filter(F.col("first") != F.col("last"))
+    opened = materialise(opened.select("rare", "passage", "first"), "opened")
+    pairs = runs.join(opened, ["rare", "passage"]).filter(F.col("first") < who).select(who.alias("later"), F.col("first").alias("earlier")).distinct()
     pairs = materialise(pairs.select(F.col("later.doc_id").alias("doc_id"), F.col("later.text_key").alias("text_key"), F.col("earlier.doc_id").alias("first_id"), F.col("earlier.text_key").alias("first_key")), "pairs")
 
     firsts = texts.select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"), F.col("items").alias("before"))
@@ -219,7 +220,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         cols = {c: batch.column(c) for c in ("doc_id", "text_key", "first_id", "before", "items")}
         out: dict = {"doc_id": [], "text_key": [], "first_id": [], "gone": []}
-        as_items = lambda rows: [(r["place"], r["line"], r["words"]) for r in rows]
+        as_items = lambda rows: [(r["place"], (r["line"], r["check"]), r["words"]) for r in rows]
         for k in range(batch.num_rows):
             items = cols["items"][k].as_py()
             gone = common_blocks(as_items(cols["before"][k].as_py()), as_items(items), min_words)
@@ -235,27 +236,27 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows of docs, with columns deleted (places of lines) and partners; text is what is left."""
-    gone = materialise(deletions(docs, min_words), "deleted").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "deleted", "partners")
+    """row (all of docs' columns), text (what is left of it), deleted (places of lines) and partners, for each row of docs."""
+    gone = materialise(deletions(docs, min_words), "deleted")
+    own = carried(docs, doc_id=F.col("doc_id").cast("long"), text_key=_key())
     # always by shuffle, so the plan is the same at any size; the small side is hashed, the texts are not sorted
-    joined = docs.join(gone.hint("shuffle_hash"), (docs["doc_id"].cast("long") == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left")
-    left = F.array_join(F.filter(_lines(docs["text"]), lambda _, i: ~F.array_contains("deleted", i)), "\n")
-    text = F.when(F.col("deleted").isNull(), docs["text"]).otherwise(left)
+    joined = own.join(gone.hint("shuffle_hash"), ["doc_id", "text_key"], "left")
+    left = F.array_join(F.filter(_lines(F.col("row.text")), lambda _, i: ~F.array_contains("deleted", i)), "\n")
+    text = F.when(F.col("deleted").isNull(), F.col("row.text")).otherwise(left)
     empty = lambda kind: F.array().cast(f"array<{kind}>")
-    own = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return joined.select(*own, F.coalesce("deleted", empty("int")).alias("_deleted"), F.coalesce("partners", empty("bigint")).alias("_partners"))
+    return joined.select("row", text.alias("text"), F.coalesce("deleted", empty("int")).alias("deleted"), F.coalesce("partners", empty("bigint")).alias("partners"))
 
 
 def digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_deleted, deleted_lines, partners and the sha256 of what is left, for each row."""
     rows = without_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words)
-    return rows.select("doc_id", F.size("_deleted").cast("long").alias("n_deleted"), F.col("_deleted").alias("deleted_lines"), F.col("_partners").alias("partners"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return rows.select("row.doc_id", F.size("deleted").cast("long").alias("n_deleted"), F.col("deleted").alias("deleted_lines"), "partners", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs with repeated blocks gone; n_chars, if there, follows the text."""
-    rows = without_repeats(docs, min_words)
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        changed = F.size("_deleted") > 0
-        rows = rows.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(F.size("deleted") > 0, length).otherwise(F.col("row.n_chars")))
+    return without_repeats(docs, min_words).select(row.alias("row")).select("row.*")

@@ -5,13 +5,13 @@ to the others by weight until no source is above its cap. Then every document of
 times, and those first in a seeded order once more, up to the words that are left; one more document, the one whose size
 fits the remainder best, is added if that comes nearer to the target. Documents are taken whole.
 
-The seeded order is the md5 of seed and id. Its running sums are taken in two steps, over 4,096 ranges of the hash and
+The seeded order is the md5 of seed, id and text. Its running sums are taken in two steps, over 4,096 ranges of the hash and
 then inside the one range where the target is reached, so no task holds a source. Only the table of sources, one row
-each, is ordered as a whole.
+each, is ordered as a whole, by one task: millions of sources are fine, billions are not.
 
-Null text has size 0; null sources are one source, last in order; sources of size 0 have target 0. Rows with a null id
-or the same id and size share one place in the order and one decision, so a target may be passed by such repeats.
-An empty table gives an empty result.
+Null text has size 0; null sources are one source, last in order; sources of size 0 have target 0. Rows that repeat id
+(or have none) and text share one place in the order and one decision, so a target may be passed by the words of one such
+repeated document. Other columns are kept, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import materialise, whole_text
+from kinespark.llm.common import carried, materialise, whole_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,11 +52,15 @@ def water_fill(sources: DataFrame, max_epochs: float = 3.0, share: float = 1.0)
     return filled.withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("level")), F.col("cap"))).drop("cap", "level")
 
 
+def mark_of(seed: str) -> Column:
+    """The seeded place of a row in its source's order: rows of the same id and text share it."""
+    return F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(whole_text())))
+
+
 def mix(docs: DataFrame, weights=cycle_weights, max_epochs: float = 3.0, share: float = 1.0, seed: str = "kinespark") -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of each row. ``weights`` adds the column weight to a
     table of sources and their sizes."""
-    mark = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_in_words().alias("size"), mark.alias("mark")), "sizes")
+    sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_in_words().alias("size"), mark_of(seed).alias("mark")), "sizes")
     sums = sized.groupBy("source", F.substring("mark", 1, 3).alias("range")).agg(F.sum("size").alias("words"))
     sums = materialise(sums, "ranges")
     sources = water_fill(weights(sums.groupBy("source").agg(F.sum("words").alias("source_size"))), max_epochs, share)
@@ -97,7 +101,7 @@ def mix(docs: DataFrame, weights=cycle_weights, max_epochs: float = 3.0, share:
 SQL = r"""
 with sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-         md5('kinespark:' || coalesce(cast(doc_id as varchar), 'null')) as mark
+         md5('kinespark:' || coalesce(cast(doc_id as varchar), 'null') || ':' || md5(coalesce(text, ''))) as mark
   from documents
 ), sums as (
   select source, sum(size)::bigint as source_size from sized group by source
@@ -134,9 +138,7 @@ from firsts f left join fits b on f.source is not distinct from b.source
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    plan = mix(docs, **options).filter("copies > 0").select("mark", F.col("size").alias("_size"), F.col("source").alias("_source"), F.col("copies").cast("int").alias("_copies")).distinct()
-    seed = options.get("seed", "kinespark")
-    mark = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    own = docs.withColumn("mark", mark).withColumn("_size", size_in_words())
-    taken = own.join(plan.withColumnRenamed("_size", "size_"), (own["mark"] == plan["mark"]) & (F.col("_size") == F.col("size_")) & own["source"].eqNullSafe(F.col("_source")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*(own[c] for c in docs.columns))
+    plan = mix(docs, **options).filter("copies > 0").select("mark", "source", F.col("copies").cast("int").alias("copies")).distinct()
+    own = carried(docs, mark=mark_of(options.get("seed", "kinespark")), kind=F.col("source").cast("string"))
+    taken = own.join(plan, (own["mark"] == plan["mark"]) & own["kind"].eqNullSafe(plan["source"]))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")

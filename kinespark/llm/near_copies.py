@@ -1,14 +1,15 @@
-"""Near copies by the Jaccard similarity of five-word shingles.
+"""The near-dedup stage: SimHash links, and near copies that 64 bits can't reach.
 
-Two documents are near copies if the sets of their shingles have a similarity of ``SIMILAR`` (4/5) or more; groups are the
-connected components of near copies. Candidates share one of ``BANDS`` bands of ``DEPTH`` minima each: a pair of similarity
+Documents link if their SimHash fingerprints differ in three bits at most (``simhash``), or if the sets of their five-word
+shingles have a Jaccard similarity of ``SIMILAR`` (4/5) or more, as SimHash tells such pairs only from about 0.97 up; groups
+are the connected components of both. For the second, candidates share one of ``BANDS`` bands of ``DEPTH`` minima each: a pair of similarity
 s is missed with probability (1 - s ** DEPTH) ** BANDS, 0.00003 at 0.8 and less above. Each candidate is verified on the
 two texts, so nothing that is less similar links. All of a band's run are compared, long runs in pairs of blocks of ``BLOCK``
 on average. Texts of the same words, and bands with the same texts in a run, count once.
 
 Null text counts as empty, and texts without a word are copies of each other; a text of under five words is one shingle.
 Of each group one row stays: that of the smallest id (null last), then of the smallest hash of the text. Other columns
-are kept; an empty table gives an empty result.
+are kept, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import map_arrow, materialise, words_of
+from kinespark.llm import simhash
+from kinespark.llm.common import carried, map_arrow, materialise, words_of
 from kinespark.llm.components import star_components
 
 WORDS, SIMILAR, BANDS, DEPTH = 5, (4, 5), 20, 4
@@ -144,31 +146,41 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return members.join(texts, "words_key").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+def simhash_links(distinct: DataFrame) -> DataFrame:
+    """(a, b): each text with the first of its component of fingerprints within three bits."""
+    fps = materialise(distinct.select("words_key", "fp"), "fingerprints")
+    roots = star_components(simhash.links(fps.select("fp").distinct()), "simhash").withColumnRenamed("node", "fp")
+    rooted = materialise(fps.join(roots, "fp", "left").select("words_key", F.coalesce("root", "fp").alias("root")), "rooted")
+    first = rooted.groupBy("root").agg(F.min("words_key").alias("first"))
+    return rooted.join(first, "root").filter(F.col("words_key") != F.col("first")).select(F.col("words_key").alias("a"), F.col("first").alias("b"))
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs that stand for their group of near copies, one each."""
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = [words_of(t.as_py()) for t in batch.column(2)]
         keys = np.fromiter((xxhash.xxh64_intdigest(b" ".join(t)) for t in texts), np.uint64, len(texts))
+        fps = np.fromiter(map(simhash.fingerprint, texts), np.uint64, len(texts))
         some = [k for k, t in enumerate(texts) if t]
         found: list = [[]] * len(texts)
         if some:
             for k, row in zip(some, bands(shingles([texts[k] for k in some])).tolist(), strict=True):
                 found[k] = row
-        return {"doc_id": batch.column(0), "text_key": batch.column(1), "words_key": keys.view(np.int64), "bands": found}
+        return {"doc_id": batch.column(0), "text_key": batch.column(1), "words_key": keys.view(np.int64), "fp": fps.view(np.int64), "bands": found}
 
-    own = materialise(map_arrow(_known(docs), run, "doc_id long, text_key long, words_key long, bands array<long>"), "bands")
+    own = materialise(map_arrow(_known(docs), run, "doc_id long, text_key long, words_key long, fp long, bands array<long>"), "bands")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best")
-    distinct = materialise(own.groupBy("words_key").agg(first, F.first("bands").alias("bands")), "distinct")
-    roots = star_components(links(docs, distinct), "near")
+    distinct = materialise(own.groupBy("words_key").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
+    roots = star_components(links(docs, distinct).unionByName(simhash_links(distinct)), "near")
     groups = distinct.join(roots.withColumnRenamed("node", "words_key"), "words_key", "left").groupBy(F.coalesce("root", "words_key").alias("root")).agg(F.min("best").alias("best"))
-    return rows_of(docs, groups.select(F.col("best.doc_id").alias("_id"), F.col("best.text_key").alias("_key")))
+    return rows_of(docs, groups.select(F.col("best.doc_id").alias("id"), F.col("best.text_key").alias("key")))
 
 
 def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """One row of docs for each (_id, _key) that is chosen."""
-    chosen = materialise(chosen.select(F.col("_id").alias("_chosen_id"), F.col("_key").alias("_chosen_key")), "chosen")
-    own = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64("text"))
-    kept = own.join(chosen.hint("shuffle_hash"), own["_id"].eqNullSafe(chosen["_chosen_id"]) & (own["_key"] == chosen["_chosen_key"]), "left_semi")
-    place = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.xxhash64(*docs.columns)))
-    return kept.withColumn("_place", place).filter("_place = 1").select(*docs.columns)
+    """One row of docs for each (id, key) that is chosen."""
+    chosen = materialise(chosen.select(F.col("id").alias("chosen_id"), F.col("key").alias("chosen_key")), "chosen")
+    own = carried(docs, id=F.col("doc_id").cast("long"), key=F.xxhash64("text"), tie=F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    kept = own.join(chosen.hint("shuffle_hash"), own["id"].eqNullSafe(chosen["chosen_id"]) & (own["key"] == chosen["chosen_key"]), "left_semi")
+    place = F.row_number().over(Window.partitionBy("id", "key").orderBy("tie"))
+    return kept.select("row", place.alias("place")).filter("place = 1").select("row.*")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import map_arrow, materialise, ready, words_of
+from kinespark.llm.common import carried, map_arrow, materialise, ready, words_of
 from kinespark.llm.components import star_components
 
 BLOCK = 4096
@@ -170,8 +170,9 @@ def representatives(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
     """The rows of docs that stand for their component: those of the smallest id. Rows that repeat an id are one document,
     of which the text with the smallest hash stays. Rows with a null id all stay."""
     groups = near_duplicates(docs, size, bits)
-    stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    own = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    kept = own.join(stays.hint("shuffle_hash"), "_id", "left_semi")
-    place = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("_place", place).filter("_place = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    own = carried(docs, id=F.col("doc_id").cast("long"), tie=F.xxhash64("text"))
+    kept = own.join(stays.hint("shuffle_hash"), "id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("tie"))
+    kept = kept.select("row", place.alias("place")).filter("place = 1").select("row")
+    return kept.unionByName(own.filter("id is null").select("row")).select("row.*")

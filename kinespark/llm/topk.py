@@ -1,16 +1,18 @@
 """Exact top-k search by inner product with an impact-ordered score-at-a-time index.
 
-A vector's components are whole numbers. Less the least value of its dimension in the shard, a component is written in
-base ``BASE``; a posting segment holds one digit place of one dimension, and its quantised impact is the digit times the
-place's power. All vectors of a shard are scored for all queries of a block, impact level by impact level, the largest
-power first. After a level every score is known up to a bound on what the smaller impacts can add. A level is the last
-once proof is there that no other vector can reach the k best: those whose upper bound reaches the k-th best lower bound
-are few. They are then rescored exactly, with ties at the edge kept.
-
-Shards of rows meet blocks of queries, each group bounded; only k rows a query and shard go on. Queries whose vector is
-null, or holds a null or a component that isn't finite, take no part, neither do such rows; vectors of another length
-than the most common are refused as an error. Ids that repeat stand for themselves, but a query is never its own
-candidate: rows with its id are left out; queries that repeat an id ask together. A null id takes no part. An empty table gives an empty result.
+A vector's components are whole numbers. The impact of a component is its size, quantised down to the sizes that
+``SHARES`` of the shard's components reach; a posting segment holds the components of one impact. Segments are scored in descending impact, for
+all queries of a block together: what a vector has scored so far is known exactly, and what its smaller components can still
+add is bounded by Cauchy and Schwarz, and by the largest of them times the query's sum of sizes, whichever is less. A
+vector whose upper bound is below the k-th best lower bound is out, on proof. A query stops where ``FEW`` in a hundred or
+fewer are left, or none smaller comes; those left are rescored exactly, with ties at the edge kept. ``skipped`` tells what
+share of the postings a search leaves unread.
+
+Rows are dealt to shards of ``ROWS``, queries to blocks of ``QUERIES``; a shard's rows go once to each block, so what moves
+is rows x blocks + queries x shards, and only k rows a query and shard go on. Queries and rows whose vector is null, or
+holds a null or a component that isn't finite, take no part; vectors meet those of their own length alone. Ids that repeat
+stand for themselves, but a query is never its own candidate: rows with its id are left out; queries that repeat an id ask
+together. A null id takes no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from kinespark.llm.common import ready
 
 
-BASE, ROWS, QUERIES, FEW = 64, 4096, 1024, 64
+ROWS, QUERIES, FEW, STEP = 32_768, 4096, 3, 128
+SHARES = (0.5, 0.65, 0.7, 0.75, 0.8, 0.9)
 
 
 def scaled(name: str = "embedding", by: int = 256) -> Column:
@@ -37,41 +40,55 @@ def usable(name: str = "embedding") -> Column:
 
 
 class ImpactIndex:
-    """One shard's segments: digit places of the shifted components, the largest impact first."""
+    """One shard's posting segments, the largest impact first."""
 
     def __init__(self, rows: np.ndarray):
-        self.rows, self.least = rows.astype(np.float64), rows.min(axis=0).astype(np.float64)
-        shifted = rows - rows.min(axis=0)
-        places = 1
-        while BASE**places <= shifted.max(initial=0):
-            places += 1
-        self.levels = [(BASE**p, ((shifted // BASE**p) % BASE).astype(np.float64)) for p in reversed(range(places))]
-
-    def search(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the places and scores of all rows that can be among its k best; own marks rows left out."""
+        self.rows = rows.astype(np.float64)
+        size = np.abs(self.rows)
+        edges = np.unique(np.r_[0.0, np.quantile(size, [1 - s for s in SHARES]) if size.size else []])[::-1]
+        self.segments, left, above = [], (self.rows**2).sum(axis=1), np.inf
+        for edge in edges:
+            own = (size >= edge) & (size < above)
+            part = np.where(own, self.rows, 0.0)
+            left = np.maximum(left - (part**2).sum(axis=1), 0.0)
+            # what is below the edge: its norm, a hair more than computed, and its largest size
+            self.segments.append((part, np.sqrt(left * (1 + 1e-9)), float(size[size < edge].max(initial=0)), int(own.sum())))
+            above = edge
+
+    def search(self, queries: np.ndarray, k: int, own: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """For each query the places and scores of all rows that can be among its k best, and how many postings were read;
+        own marks rows left out."""
         q = queries.astype(np.float64)
-        up, down = np.maximum(q, 0).sum(axis=1), np.minimum(q, 0).sum(axis=1)
-        got = np.repeat((q @ self.least)[:, None], len(self.rows), axis=1)
+        norm, total = np.sqrt((q**2).sum(axis=1) * (1 + 1e-9)), np.abs(q).sum(axis=1)
+        got, read = np.zeros((len(q), len(self.rows))), 0
         k = min(k, len(self.rows))
-        for power, digits in self.levels:
-            got += power * (q @ digits.T)
-            low = np.where(own, -np.inf, got + (down * (power - 1))[:, None])
+        for part, left, most, n in self.segments:
+            got += q @ part.T
+            read += n * len(q)
+            more = np.minimum(norm[:, None] * left[None, :], (total * most)[:, None])
+            low = np.where(own, -np.inf, got - more)
             edge = -np.partition(-low, k - 1, axis=1)[:, k - 1]
-            open_ = ~own & (got + (up * (power - 1))[:, None] >= edge[:, None])
-            if power == 1 or open_.sum() <= FEW * len(q):
+            open_ = ~own & (got + more >= edge[:, None])
+            if open_.sum() * 100 <= FEW * got.size or open_.sum() <= 2 * k * len(q):
                 break
-        return [(at := np.flatnonzero(o), (self.rows[at] @ one).astype(np.int64)) for o, one in zip(open_, q, strict=True)]
+        return [(at := np.flatnonzero(o), (self.rows[at] @ one).astype(np.int64)) for o, one in zip(open_, q, strict=True)], read
 
 
-def _tile(key, queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+def skipped(queries: np.ndarray, rows: np.ndarray, k: int) -> float:
+    """The share of postings that a search over one shard leaves unread."""
+    read = ImpactIndex(rows).search(queries, k, np.zeros((len(queries), len(rows)), bool))[1]
+    return 1 - read / (len(queries) * rows.size)
+
+
+def _tile(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     out = {"query_id": [], "vec_id": [], "score": []}
     if len(queries) and len(rows):
         ids, asked = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
         index = ImpactIndex(np.stack(rows["x"].to_numpy()))
         wanted = np.stack(queries["x"].to_numpy())
-        for at in range(0, len(asked), 256):
-            own = asked[at : at + 256, None] == ids[None, :]
-            for query, (places, scores) in zip(asked[at : at + 256], index.search(wanted[at : at + 256], k, own), strict=True):
+        for at in range(0, len(asked), STEP):
+            own = asked[at : at + STEP, None] == ids[None, :]
+            for query, (places, scores) in zip(asked[at : at + STEP], index.search(wanted[at : at + STEP], k, own)[0], strict=True):
                 best = np.lexsort((ids[places], -scores))[:k]
                 out["query_id"].append(np.full(len(best), query))
                 out["vec_id"].append(ids[places][best])
@@ -82,15 +99,17 @@ def _tile(key, queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFram
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     """(vec_id, x) of whole numbers in; query_id, rank, vec_id, score out: the k best rows of each query, ties to the smaller id."""
     ready(rows.sparkSession)
-    queries, rows = queries.select("vec_id", "x"), rows.select("vec_id", "x")
-    shards = F.lit(max(1, -(-rows.count() // ROWS)))
+    queries, rows = (df.select("vec_id", "x", F.size("x").alias("length")).filter("length > 0") for df in (queries, rows))
+    # at least as many shards as tasks can run, whole ones of ROWS beyond
+    n, least = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    shards = F.lit(max(1, min(least, -(-n // 1024)), -(-n // ROWS)))
     blocks = F.lit(max(1, -(-queries.count() // QUERIES)))
     part = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
-    asked = queries.select("vec_id", "x", part(blocks, 1).alias("block"), all_of(shards).alias("shard"))
-    there = rows.select("vec_id", "x", part(shards, 2).alias("shard"), all_of(blocks).alias("block"))
-    tiles = asked.groupBy("shard", "block").cogroup(there.groupBy("shard", "block"))
-    some = tiles.applyInPandas(lambda key, a, b: _tile(key, a, b, k), "query_id long, vec_id long, score long")
+    asked = queries.select("vec_id", "x", "length", part(blocks, 1).alias("block"), all_of(shards).alias("shard"))
+    there = rows.select("vec_id", "x", "length", part(shards, 2).alias("shard"), all_of(blocks).alias("block"))
+    tile = ["length", "shard", "block"]
+    some = asked.groupBy(*tile).cogroup(there.groupBy(*tile)).applyInPandas(lambda a, b: _tile(a, b, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return some.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

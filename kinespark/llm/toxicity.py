@@ -11,9 +11,9 @@ bounded sample, ``SAMPLE`` labelled rows in expectation, chosen by hash of the i
 driver. Every text is scored whole, on the executors.
 
 Null and empty texts have no feature, so they get the base rate, and are not rejected. Labels that are null are not
-learnt from; several labels of an id count as its largest. A category with one value only is a constant. Without labels
-every probability is 0. Ids that repeat or are null are scored like others; other columns stay out. An empty table
-gives an empty result.
+learnt from; of several labels of an id the worse one counts. A category with one value only is a constant. Without labels
+every probability is 0. Ids that repeat or are null are scored like others; other columns are kept as they are by the
+stage, whatever their names, and not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinespark.llm.common import map_arrow, ready, whole_text
+from kinespark.llm.common import fresh, map_arrow, ready, whole_text
 
 SAMPLE, FOLDS, BITS, PENALTY, SIGNIFICANT, STEPS = 6_000, 3, 18, 2.0, 3.0, 60
 
@@ -223,5 +223,5 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFr
         for batch in batches:
             yield batch.filter(pa.array(_scored(batch, state.value)[1] < cut)).select(list(range(batch.num_columns - 1)))
 
-    rows = docs.withColumn("_places", features(whole_text()))
+    rows = docs.select("*", features(whole_text()).alias(fresh(docs, "places")))
     return rows.mapInArrow(run, T.StructType(docs.schema.fields))

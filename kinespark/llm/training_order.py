@@ -1,24 +1,22 @@
 """Training-order materialisation of token ids.
 
 Each text becomes its token ids and an end token, cut into sequences of ``length`` tokens; the last of a text is filled
-up. A text of n bytes has n tokens at most, so n // length + 1 numbers are reserved for it before it is encoded: a scan of
-text lengths alone gives the range of numbers 0 .. D - 1 and each partition's share. A keyed Feistel network on the next
-power of four, walked until it falls below D, permutes the numbers; sequences follow each other in training by permuted
-number. Numbers that no sequence has leave no gap: a sequence's slot is how many sequences come before it.
+up. Texts are encoded once and written, each partition counting its sequences; so the sequences have numbers 0 .. N - 1 in
+order of partitions, and the driver knows N from one number for each partition. A keyed Feistel network on the next power of
+four, walked until it falls below N, permutes 0 .. N - 1: a sequence's permuted number is its slot, without gaps.
 
-Permuted numbers are dealt by ranges of ``span`` into shards. A shard is a file of records of one fixed stride: a header
-(id of the text, place of the sequence in it, tokens that count), the ids as little-endian unsigned 16-bit integers, a
-line feed. Shard s begins at the slot that is the sum of the sizes of those before it, over the stride; so each slot has a
-known byte, and a reader goes on where it stopped. Texts are encoded once and records move once.
+Shard s holds the slots from s x ``span`` on, so all shards but the last have ``span`` records. A shard is a file of records
+of one fixed stride: a header (id of the text, place of the sequence in it, tokens that count), the ids as little-endian
+unsigned 16-bit integers, a line feed. A slot's shard and byte follow from the slot alone, and a reader goes on where it
+stopped. Records move to their shard once, packed in runs; the shards are written in ``waves``, each from the encoded texts,
+so no more than a share of the records is in shuffle files at once. A task holds one shard (35 MB by default).
 
-The driver keeps one number for each partition. Encoding checks it, so an input whose partitions changed in between is
-an error and never a wrong slot. Spark's commit protocol writes the files, so lost tasks and executors leave no half
-shard.
+Everything that is numbered comes from written files, so a lost executor's work gives the same slots again. Spark's commit
+protocol writes the shards, so lost tasks leave no half shard.
 
 A null or empty text is one sequence with the end token alone. Rows with a null id are marked in the header. Repeated
-rows are sequences of their own. Strings of special tokens in a
-text are ordinary text. Vocabularies of over 65,536 ids are refused. Other columns are ignored; an empty table
-writes nothing and gives an empty result.
+rows are sequences of their own. Strings of special tokens in a text are ordinary text. Vocabularies of over 65,536 ids are
+refused. Other columns are ignored; an empty table writes nothing and gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,16 +27,21 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.taskcontext import TaskContext
 
 from kinespark.llm.bpe import MEMO_PIECES, TEXTS, pieces
-from kinespark.llm.common import materialise, new_path, ready
+from kinespark.llm.common import materialise, new_path, ready, shuffles_freed
 
 #: END is free in the rank file.
-LENGTH, SPAN, ROUNDS, END = 256, 65_536, 6, 50_256
+LENGTH, SPAN, ROUNDS, END, WAVES, HELD = 256, 65_536, 6, 50_256, 2, 64 << 20
+_ENCODED = "part int, first long, n long, docs array<long>, sizes array<int>, ids binary"
 _HEAD = np.dtype([("doc_id", "<i8"), ("part", "<u4"), ("tokens", "<u2"), ("known", "u1"), ("spare", "u1")])
 
 
@@ -132,96 +135,117 @@ def tokens(ranks: str) -> Tokens:
     return Tokens(ranks)
 
 
-def _sequences(ids: bytes, end: int, length: int) -> np.ndarray:
-    """Rows of a text's ids, filled up with the end token."""
-    tokens = np.append(np.frombuffer(ids, "<u2"), np.uint16(end))
-    rows = -(-len(tokens) // length)
-    return np.pad(tokens, (0, rows * length - len(tokens)), constant_values=end).reshape(rows, length)
+def _encoded(batches: Iterator[pa.RecordBatch], schema: pa.Schema, vocabulary: str, end: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Some texts a row: their ids end to end, each text with its end token; first is the number of the row's first
+    sequence among those of its partition."""
+    part, first = TaskContext.get().partitionId(), 0
+    stop = np.uint16(end).tobytes()
+    for batch in batches:
+        for k in range(0, batch.num_rows, TEXTS):
+            some = batch.slice(k, TEXTS)
+            ids = tokens(vocabulary).encode(some.column(1).to_pylist())
+            sizes = [len(x) // 2 + 1 for x in ids]
+            n = sum(-(-size // length) for size in sizes)
+            data = zstandard.compress(b"".join(x + stop for x in ids), 3)
+            yield pa.RecordBatch.from_pydict({"part": [part], "first": [first], "n": [n], "docs": [some.column(0).to_pylist()], "sizes": [sizes], "ids": [data]}, schema=schema)
+            first += n
+    tokens(vocabulary).later.clear()
+
+
+def _records(docs: list, sizes: np.ndarray, ids: np.ndarray, end: int, length: int) -> np.ndarray:
+    """The sequences of some texts, filled up with the end token."""
+    rows = -(-sizes // length)
+    of, part = np.repeat(np.arange(len(sizes)), rows), np.concatenate([np.arange(n) for n in rows])
+    out = np.zeros(len(of), record_type(length))
+    out["head"]["doc_id"] = np.array([-1 if d is None or d != d else d for d in docs], np.int64)[of]
+    out["head"]["known"] = np.array([not (d is None or d != d) for d in docs], np.uint8)[of]
+    out["head"]["part"], out["head"]["tokens"], out["line"] = part, np.minimum(length, sizes[of] - length * part), b"\n"
+    filled = np.full(len(of) * length, end, "<u2")
+    start = np.repeat(np.cumsum(rows) - rows, sizes) * length
+    filled[start + np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = ids
+    out["ids"] = filled.reshape(-1, length)
+    return out
+
 
+def _packed(shard: np.ndarray, place: np.ndarray, records: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each shard that some records go to."""
+    order = np.argsort(shard, kind="stable")
+    shard, place, records = shard[order], place[order], records[order]
+    edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+    rows = [(int(shard[a]), place[a:b].astype("<u4").tobytes(), zstandard.compress(records[a:b].tobytes(), 3)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    yield pa.RecordBatch.from_pydict({"shard": [r[0] for r in rows], "places": [r[1] for r in rows], "records": [r[2] for r in rows]}, schema=pa.schema([("shard", pa.int64()), ("places", pa.binary()), ("records", pa.binary())]))
 
-def materialise_order(docs: DataFrame, path: str, vocabulary: str, key: str = "kinespark", length: int = LENGTH, span: int = SPAN, end: int = END, stored: bool = False) -> bool:
-    """Writes the shards below path; false if there is nothing to write. stored: docs is read from files, so its partitions
-    are the same each time; other inputs are written first."""
+
+def materialise_order(docs: DataFrame, path: str, vocabulary: str, key: str = "kinespark", length: int = LENGTH, span: int = SPAN, end: int = END, waves: int = WAVES) -> int:
+    """Writes the shards below path; gives the number of sequences."""
     spark = docs.sparkSession
     ready(spark)
-    if not stored:
-        docs = materialise(docs.select("doc_id", "text"), "texts")
     if max(len(tokens(vocabulary).size), end) >= 1 << 16:
         raise ValueError("ids don't fit 16 bits")
-    reserved = F.expr(f"coalesce(octet_length(text), 0) div {length} + 1").alias("reserved")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", "text", reserved)
-    counts = {r["part"]: r["n"] for r in texts.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("reserved").alias("n")).collect()}
-    total = sum(counts.values())
-    if not total:
-        return False
-    firsts, at = {}, 0
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = to_arrow_schema(T._parse_datatype_string(_ENCODED))
+    encoded = materialise(texts.mapInArrow(lambda x: _encoded(x, schema, vocabulary, end, length), _ENCODED), "encoded", "none")
+    counts = {r["part"]: r["n"] for r in encoded.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    total, starts = 0, {}
     for part in sorted(counts):
-        firsts[part], at = at, at + counts[part]
-    state, kind = spark.sparkContext.broadcast((firsts, counts)), record_type(length)
+        starts[part], total = total, total + counts[part]
+    if not total:
+        return 0
+    shards, kind = -(-total // span), record_type(length)
+    state = spark.sparkContext.broadcast(starts)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, order = TaskContext.get().partitionId(), Permutation(total, key)
-        first, there = (x.get(part, 0) for x in state.value)
-        n = 0
+    def place(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
+        order, held, size = Permutation(total, key), [], 0
         for batch in batches:
-            for k in range(0, batch.num_rows, TEXTS):
-                some, made, numbers = batch.slice(k, TEXTS), [], []
-                for doc, ids, kept in zip(some.column(0).to_pylist(), tokens(vocabulary).encode(some.column(1).to_pylist()), some.column(2).to_pylist(), strict=True):
-                    rows = _sequences(ids, end, length)
-                    out = np.zeros(len(rows), kind)
-                    out["head"]["doc_id"], out["head"]["known"] = (-1, 0) if doc is None else (doc, 1)
-                    out["head"]["part"] = np.arange(len(rows))
-                    out["head"]["tokens"] = np.minimum(length, len(ids) // 2 + 1 - length * np.arange(len(rows)))
-                    out["ids"], out["line"] = rows, b"\n"
-                    made.append(out)
-                    numbers.append(first + n + np.arange(len(rows)))
-                    n += kept
-                records = np.concatenate(made)
-                body = np.ascontiguousarray(records.view(np.uint8).reshape(len(records), kind.itemsize)[:, :-1])
-                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(kind.itemsize - 1), len(records), [None, pa.py_buffer(body)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(order.slot(np.concatenate(numbers))), data], ["place", "value"])
-        tokens(vocabulary).later.clear()
-        if n != there:
-            raise RuntimeError(f"partition {part} had {there} numbers and now needs {n}: its input isn't stable")
-
-    placed = texts.mapInArrow(place, "place long, value binary").withColumn("shard", F.expr(f"place div {span}"))
-    shards = -(-total // span)
-    dealt = placed.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "place")
-    # a binary is its bytes as a string too, and the text sink ends each with a line feed
-    dealt.select(F.col("value").cast("string").alias("value"), "shard").write.partitionBy("shard").option("compression", "none").text(path)
-    return True
-
-
-def shard_starts(spark: SparkSession, path: str, length: int = LENGTH) -> dict[int, int]:
-    """The first slot of each shard, from the files' sizes."""
-    files = spark.read.format("binaryFile").load(path).groupBy(F.col("shard").cast("long").alias("shard")).agg(F.sum("length").alias("bytes"))
-    out, at = {}, 0
-    for r in sorted(files.collect()):
-        out[r["shard"]], at = at, at + r["bytes"] // record_type(length).itemsize
-    return out
-
-
-def read_order(spark: SparkSession, path: str, from_slot: int = 0, length: int = LENGTH) -> DataFrame:
+            for part, first, n, ids_of, sizes, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                slots = order.slot(state.value[part] + first + np.arange(n))
+                records = _records(ids_of, np.array(sizes), np.frombuffer(zstandard.decompress(data), "<u2"), end, length)
+                own = (slots >= low * span) & (slots < high * span)
+                held.append((slots[own], records[own]))
+                size += int(own.sum())
+                if size * kind.itemsize > HELD:
+                    slots, records = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+                    yield from _packed(slots // span, slots % span, records)
+                    held, size = [], 0
+        if size:
+            slots, records = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            yield from _packed(slots // span, slots % span, records)
+
+    def shard(group: pd.DataFrame) -> pd.DataFrame:
+        places = np.concatenate([np.frombuffer(x, "<u4") for x in group["places"]])
+        out = np.zeros(len(places), kind)
+        at = 0
+        for data in group["records"]:
+            some = np.frombuffer(zstandard.decompress(data), kind)
+            out[places[at : at + len(some)]] = some
+            at += len(some)
+        # a binary is its bytes as a string too, and the text sink ends it with a line feed
+        return pd.DataFrame({"value": [out.tobytes()[:-1]], "shard": [group["shard"].iloc[0]]})
+
+    for w in range(min(waves, shards)):
+        low, high = (shards * x // min(waves, shards) for x in (w, w + 1))
+        dealt = encoded.mapInArrow(lambda x, low=low, high=high: place(x, low, high), "shard long, places binary, records binary")
+        whole = dealt.repartition(min(high - low, 100_000), "shard").groupBy("shard").applyInPandas(shard, "value binary, shard long")
+        with shuffles_freed(spark):
+            whole.select(F.col("value").cast("string").alias("value"), "shard").write.mode("append" if w else "errorifexists").partitionBy("shard").option("compression", "none").text(path)
+    return total
+
+
+def read_order(spark: SparkSession, path: str, from_slot: int = 0, length: int = LENGTH, span: int = SPAN) -> DataFrame:
     """slot, shard, record, doc_id, part, ids of all records from a slot on; earlier shards aren't opened."""
     ready(spark)
-    starts = shard_starts(spark, path, length)
-    first_shard = max((s for s, at in starts.items() if at <= from_slot), default=0)
-    files = spark.read.format("binaryFile").load(path)
-    files = files.filter(F.col("shard") >= first_shard).select(F.col("shard").cast("long").alias("shard"), "content")
-    state, kind = spark.sparkContext.broadcast(starts), record_type(length)
+    files = spark.read.format("binaryFile").load(path).filter(F.col("shard") >= from_slot // span)
+    files, kind = files.select(F.col("shard").cast("long").alias("shard"), "content"), record_type(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 records = np.frombuffer(content.as_buffer(), kind)
-                for at in range(0, len(records), 2000):
+                for at in range(max(0, from_slot - shard * span), len(records), 2000):
                     some = records[at : at + 2000]
-                    number = at + np.arange(len(some))
-                    kept = state.value[shard] + number >= from_slot
-                    some, number = some[kept], number[kept]
-                    head = some["head"]
+                    number, head = at + np.arange(len(some)), some["head"]
                     yield pa.RecordBatch.from_pydict({
-                        "slot": pa.array(state.value[shard] + number), "shard": pa.array(np.full(len(some), shard)), "record": pa.array(number),
+                        "slot": pa.array(shard * span + number), "shard": pa.array(np.full(len(some), shard)), "record": pa.array(number),
                         "doc_id": pa.array(head["doc_id"], mask=head["known"] == 0), "part": pa.array(head["part"].astype(np.int64)),
                         "ids": pa.array([ids[:n].tobytes() for ids, n in zip(some["ids"], head["tokens"], strict=True)], pa.binary()),
                     })
@@ -229,10 +253,10 @@ def read_order(spark: SparkSession, path: str, from_slot: int = 0, length: int =
     return files.mapInArrow(run, "slot long, shard long, record long, doc_id long, part long, ids binary")
 
 
-def digest(docs: DataFrame, vocabulary: str, path: str | None = None, stored: bool = False) -> DataFrame:
+def digest(docs: DataFrame, vocabulary: str, path: str | None = None) -> DataFrame:
     """Writes the shards and reads them: slot, shard, record, doc_id, part, n_tokens, ids_sha256."""
     spark = docs.sparkSession
     path = path or new_path(spark, "training-order")
-    if not materialise_order(docs, path, vocabulary, stored=stored):
+    if not materialise_order(docs, path, vocabulary):
         return spark.createDataFrame([], "slot long, shard long, record long, doc_id long, part long, n_tokens long, ids_sha256 string")
     return read_order(spark, path).select("slot", "shard", "record", "doc_id", "part", (F.length("ids") / 2).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
