@@ -2,7 +2,7 @@
 
 All stages but the last give rows of the table documents. A stage works on every row that it gets and passes rows on as
 they are but for its own decision: toxic documents go; repeated passages are cut from later documents; of each group of
-near copies the document with the smallest id stays; each source is taken as often as its target says (rows may come
+copies and near copies the document with the smallest id stays; each source is taken as often as its target says (rows may come
 more than once); every text is encoded and decoded.
 """
 
@@ -25,7 +25,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group stays: SimHash links, and five-word shingles of similarity 0.8 or more."""
     return near_copies.representatives(docs)
 
 
@@ -40,7 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", reject_toxic), ("line dedup", dedup_lines), ("near-dedup", dedup_near), ("mixing", mix_sources), ("bpe", encode)]
-#: Classifiers, alignments and merges are beyond SQL; tests hold each stage against a brute-force version.
+#: Classifiers, alignments and merges are beyond SQL; a test holds run()'s rows against plain versions of all stages.
 ORACLE_SQL = None
 
 
