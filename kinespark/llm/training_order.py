@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +39,7 @@ from kinespark.llm.bpe import MEMO_PIECES, TEXTS, pieces
 from kinespark.llm.common import materialise, new_path, ready, shuffles_freed
 
 #: END is free in the rank file.
-LENGTH, SPAN, ROUNDS, END, WAVES, HELD = 256, 65_536, 6, 50_256, 2, 64 << 20
+LENGTH, SPAN, ROUNDS, END, WAVES, HELD = 256, 65_536, 6, 50_256, 2, 24 << 20
 _ENCODED = "part int, first long, n long, docs array<long>, sizes array<int>, ids binary"
 _HEAD = np.dtype([("doc_id", "<i8"), ("part", "<u4"), ("tokens", "<u2"), ("known", "u1"), ("spare", "u1")])
 
@@ -211,23 +210,23 @@ def materialise_order(docs: DataFrame, path: str, vocabulary: str, key: str = "k
             slots, records = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             yield from _packed(slots // span, slots % span, records)
 
-    def shard(group: pd.DataFrame) -> pd.DataFrame:
-        places = np.concatenate([np.frombuffer(x, "<u4") for x in group["places"]])
-        out = np.zeros(len(places), kind)
-        at = 0
-        for data in group["records"]:
-            some = np.frombuffer(zstandard.decompress(data), kind)
-            out[places[at : at + len(some)]] = some
-            at += len(some)
-        # a binary is its bytes as a string too, and the text sink ends it with a line feed
-        return pd.DataFrame({"value": [out.tobytes()[:-1]], "shard": [group["shard"].iloc[0]]})
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition holds the runs of one shard: its file as one value."""
+        out, shard = np.zeros(span, kind), None
+        for batch in batches:
+            for shard, places, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                out[np.frombuffer(places, "<u4")] = np.frombuffer(zstandard.decompress(data), kind)
+        if shard is not None:
+            body = out[: min(span, total - shard * span)].tobytes()[:-1]
+            yield pa.RecordBatch.from_pydict({"value": [body], "shard": [shard]}, schema=pa.schema([("value", pa.binary()), ("shard", pa.int64())]))
 
     for w in range(min(waves, shards)):
         low, high = (shards * x // min(waves, shards) for x in (w, w + 1))
         dealt = encoded.mapInArrow(lambda x, low=low, high=high: place(x, low, high), "shard long, places binary, records binary")
-        whole = dealt.repartition(min(high - low, 100_000), "shard").groupBy("shard").applyInPandas(shard, "value binary, shard long")
+        files = dealt.repartitionById(high - low, (F.col("shard") - low).cast("int")).mapInArrow(whole, "value binary, shard long")
+        # a binary is its bytes as a string too, and the text sink ends it with a line feed
         with shuffles_freed(spark):
-            whole.select(F.col("value").cast("string").alias("value"), "shard").write.mode("append" if w else "errorifexists").partitionBy("shard").option("compression", "none").text(path)
+            files.select(F.col("value").cast("string").alias("value"), "shard").write.mode("append" if w else "errorifexists").partitionBy("shard").option("compression", "none").text(path)
     return total
 
 
