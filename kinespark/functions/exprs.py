@@ -114,17 +114,15 @@ def reason_from_r2(r2, weak=0.65, valid=0.85) -> Column:
 
 
 #: Free fall by environment, in m/s^2.
-GRAVITY = {"moon": 1.62, "mars": 3.71, "zero": 0.0}
+GRAVITY = {"moon": 1.62, "mars": 3.71, "zero": 0.0, "zero_gravity": 0.0}
 
 
 def gravity(g=None, gravity_=None, reference=None, environment=None, default: float = 9.8) -> Column:
-    """The first number given, else by the environment's name."""
+    """The first number given, else by the environment's whole name."""
     given = [finite(x) for x in (g, gravity_, reference) if x is not None]
     name = F.lower(F.coalesce(_c(environment), F.lit(""))) if environment is not None else F.lit("")
-    by_name = F.lit(default)
-    for key, value in GRAVITY.items():
-        by_name = F.when(F.contains(name, F.lit(key)), F.lit(value)).otherwise(by_name)
-    return F.coalesce(*given, by_name)
+    known = F.create_map(*[F.lit(x) for pair in GRAVITY.items() for x in pair])
+    return F.coalesce(*given, F.try_element_at(known, name), F.lit(default))
 
 
 def canonical_id(name) -> Column:

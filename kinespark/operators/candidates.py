@@ -2,59 +2,63 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kinespark.functions.exprs import box_iou
 from kinespark.session import ship_package
 
 
-def _iou(a, b) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]) + 1, min(a[3], b[3]) - max(a[1], b[1]) + 1
-    both = max(0.0, w) * max(0.0, h)
-    area = lambda r: (r[2] - r[0] + 1) * (r[3] - r[1] + 1)
-    return both / (area(a) + area(b) - both)
-
-
-def distinct_candidates(boxes: DataFrame, k: int, min_distance: float, max_iou: float = 0.20) -> DataFrame:
-    """video, candidate, score, x1, y1, x2, y2: of each video the k best that stand apart, taken greedily by score; rank is
-    the order. The greedy choice is sequential inside a video; a video's candidates are few."""
-    ship_package(boxes.sparkSession)
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        for r in group.sort_values(["score", "candidate"], ascending=[False, True]).itertuples(index=False):
-            box, cx, cy = (r.x1, r.y1, r.x2, r.y2), (r.x1 + r.x2) / 2, (r.y1 + r.y2) / 2
-            if all(((cx - o[1]) ** 2 + (cy - o[2]) ** 2) ** 0.5 >= min_distance and _iou(box, o[3]) <= max_iou for o in kept):
-                kept.append((r.candidate, cx, cy, box))
-            if len(kept) == k:
-                break
-        return pd.DataFrame({"video": group["video"].iloc[0], "candidate": [o[0] for o in kept], "rank": range(1, len(kept) + 1)})
-
-    return boxes.groupBy("video").applyInPandas(choose, "video long, candidate long, rank int")
+def distinct_candidates(boxes: DataFrame, k: int, min_distance: float, max_iou: float = 0.20, inclusive: bool = True) -> DataFrame:
+    """video, candidate, score, x1, y1, x2, y2: of each video the k best that stand apart, taken greedily by score, ties to
+    the smaller candidate; rank is the order. Each round takes the best one left of each video and drops what is too near
+    it, so a video's candidates are never gathered."""
+    box = ["x1", "y1", "x2", "y2"]
+    rest, chosen = boxes.select("video", "candidate", "score", *box), []
+    for rank in range(1, k + 1):
+        best = rest.groupBy("video").agg(F.max_by(F.struct("candidate", *box), F.struct(F.col("score"), -F.col("candidate"))).alias("b"))
+        chosen.append(best.select("video", F.col("b.candidate").alias("candidate"), F.lit(rank).alias("rank")))
+        middle = lambda a, b, of="": (F.col(f"{of}{a}") + F.col(f"{of}{b}")) / 2
+        apart = F.hypot(middle("x1", "x2") - middle("x1", "x2", "b."), middle("y1", "y2") - middle("y1", "y2", "b.")) >= min_distance
+        rest = rest.join(best, "video").filter(apart & (box_iou(box, [f"b.{c}" for c in box], inclusive) <= max_iou) & (F.col("candidate") != F.col("b.candidate"))).drop("b")
+    return reduce(DataFrame.unionByName, chosen)
 
 
 def cluster_candidates(points: DataFrame, radius: float) -> DataFrame:
-    """video, candidate, score, frame, x, y: greedy leader clusters in order of score, whose centre is the mean weighted by
-    score. Gives video, candidate, cluster."""
+    """video, candidate, score, x, y: in order of score each joins the first cluster, in order of their beginning, whose
+    centre is within the radius, or begins one; a centre is the mean weighted by score. Adds cluster. Every choice depends
+    on all before it, so a video's candidates, which a scan of some dozen frames gives, are one task's."""
     ship_package(points.sparkSession)
 
     def assign(group: pd.DataFrame) -> pd.DataFrame:
-        centres: list[list[float]] = []
-        rows = []
-        for r in group.sort_values(["score", "candidate"], ascending=[False, True]).itertuples(index=False):
-            near = [(((r.x - x / w) ** 2 + (r.y - y / w) ** 2) ** 0.5, n) for n, (x, y, w) in enumerate(centres)]
-            d, n = min(near, default=(float("inf"), -1))
-            if d > radius:
-                n = len(centres)
-                centres.append([0.0, 0.0, 0.0])
-            weight = max(r.score, 1e-6)
-            for i, v in enumerate((r.x * weight, r.y * weight, weight)):
-                centres[n][i] += v
-            rows.append((r.video, r.candidate, n))
-        return pd.DataFrame(rows, columns=["video", "candidate", "cluster"])
-
-    return points.groupBy("video").applyInPandas(assign, "video long, candidate long, cluster int")
+        group = group.sort_values(["score", "candidate"], ascending=[False, True])
+        sums, own = np.zeros((0, 3)), []
+        for x, y, score in zip(group["x"], group["y"], np.maximum(group["score"], 1e-6), strict=True):
+            near = np.flatnonzero(np.hypot(sums[:, 0] / sums[:, 2] - x, sums[:, 1] / sums[:, 2] - y) <= radius)
+            if not len(near):
+                sums, near = np.vstack([sums, np.zeros(3)]), [len(sums)]
+            sums[near[0]] += (x * score, y * score, score)
+            own.append(near[0])
+        return group.assign(cluster=np.array(own, np.int32))
+
+    return points.groupBy("video").applyInPandas(assign, T.StructType([*points.schema.fields, T.StructField("cluster", T.IntegerType())]))
+
+
+def cluster_scores(clustered: DataFrame, preferred_frame: int | None = None, stable_share: float = 0.65) -> DataFrame:
+    """One row a cluster: its score (median of its candidates' scores times ln(1 + frames)), frames, candidates, and the
+    stable one among those of at least a share of its best score: the earliest, or the nearest to the preferred frame."""
+    best = F.max("score").over(Window.partitionBy("video", "cluster"))
+    order = F.struct("frame", "candidate") if preferred_frame is None else F.struct(F.abs(F.col("frame") - preferred_frame), -F.col("score"), F.col("candidate"))
+    stable = F.col("score") >= stable_share * F.col("_best")
+    out = clustered.withColumn("_best", best).groupBy("video", "cluster").agg(
+        F.count_distinct("frame").alias("n_frames"), F.count("*").alias("n_candidates"), F.percentile("score", F.lit(0.5)).alias("median"), F.min_by(F.when(stable, F.col("candidate")), F.when(stable, order)).alias("candidate")
+    )
+    return out.withColumn("cluster_score", F.col("median") * F.log1p("n_frames")).drop("median")
 
 
 def near_best(rows: DataFrame, keys: list[str], share: float, score: str = "score") -> DataFrame:

@@ -11,30 +11,34 @@ from kinespark.operators.windows import ordered
 MIN_SHARE, MIN_EXTENT = 0.50, 0.75
 
 
-def tracking_gate(records: DataFrame, expected: DataFrame | int = 1, video: str = "video", total: str | None = None) -> DataFrame:
-    """records: video, object_id, frame, x, y, valid, diameter. An object counts when it is valid in half of the video's
-    frames. expected: objects a video, a number or a table (video, expected). total names a column with the number of
-    frame entries; without it, a video's distinct frames count."""
-    valid = F.coalesce("valid", F.lit(True)) & F.col("x").isNotNull() & F.col("y").isNotNull()
-    frames = records.groupBy(video).agg((F.max(total) if total else F.count_distinct("frame")).alias("frames"))
-    points = records.filter(valid)
+def tracking_gate(records: DataFrame, expected: DataFrame | int = 1, video: str = "video", total: str | None = None, min_share: float = MIN_SHARE, min_extent: float = MIN_EXTENT) -> DataFrame:
+    """records: video, object_id, frame, x, y, valid, diameter; a video without frame entries has rows without frame and
+    object. An object counts when it is valid in half of the video's frame entries; the one with most valid records among
+    those, the first met of equal ones, tells how far things moved. expected: objects a video, a number or a table (video,
+    expected), one at least. total names a column with the number of frame entries; without it, distinct frames count."""
+    there = F.col("frame").isNotNull()
+    valid = there & F.coalesce("valid", F.lit(True)) & F.col("x").isNotNull() & F.col("y").isNotNull()
+    frames = records.groupBy(video).agg((F.coalesce(F.max(total), F.lit(0)) if total else F.count_distinct("frame")).alias("frames"))
     w = ordered([video, "object_id"])
-    points = points.withColumn("way", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
+    points = records.filter(valid).withColumn("way", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
     moved = points.groupBy(video, "object_id").agg(
-        F.count("*").alias("n_valid"), F.coalesce(F.sum("way"), F.lit(0.0)).alias("path"), F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("extent"), F.min("frame").alias("first_frame")
+        F.count("*").alias("n_valid"), F.coalesce(F.sum("way"), F.lit(0.0)).alias("path"), F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("extent")
     )
-    sizes = records.groupBy(video, "object_id").agg(F.percentile(positive("diameter"), F.lit(0.5)).alias("diameter"))
+    sizes = records.filter(there).groupBy(video, "object_id").agg(F.percentile(positive("diameter"), F.lit(0.5)).alias("diameter"), F.min("frame").alias("first_frame"))
     objects = sizes.join(moved, [video, "object_id"], "left").join(frames, video).withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
-    objects = objects.withColumn("counted", F.col("n_valid") / F.greatest("frames", F.lit(1)) >= MIN_SHARE)
-    first = F.max_by(F.struct("object_id", "n_valid", "path", "extent", "diameter"), F.struct("n_valid", -F.coalesce("first_frame", F.lit(0)))).alias("primary")
-    told = objects.groupBy(video).agg(F.first("frames").alias("frames"), F.count_if("counted").alias("counted"), first)
-    told = told.withColumn("expected", F.lit(expected)) if isinstance(expected, int) else told.join(expected, video, "left").withColumn("expected", F.coalesce("expected", F.lit(1)))
+    counted = F.col("n_valid") / F.greatest("frames", F.lit(1)) >= min_share
+    order = F.struct(F.col("n_valid"), -F.col("first_frame"))
+    first = F.max_by(F.when(counted, F.struct("object_id", "n_valid", "path", "extent", "diameter")), F.when(counted, order)).alias("primary")
+    told = frames.join(objects.groupBy(video).agg(F.count_if(counted).alias("counted"), first), video, "left").withColumn("counted", F.coalesce("counted", F.lit(0)))
+    told = told.withColumn("expected", F.lit(expected)) if isinstance(expected, int) else told.join(expected, video, "left")
+    told = told.withColumn("expected", F.greatest(F.coalesce("expected", F.lit(1)), F.lit(1)))
     norm = lambda c: F.try_divide(F.col(f"primary.{c}"), F.col("primary.diameter"))
-    why = F.array_sort(reasons(
-        (F.col("frames") == 0, "tracking_frames_missing"), (F.col("counted") != F.col("expected"), "object_count_mismatch"),
-        (norm("extent") < MIN_EXTENT, "no_meaningful_motion"), (F.col("counted") == 0, "no_counted_object"),
-    ))
+    some = F.col("frames") > 0
+    why = reasons(
+        (some & (norm("extent") < min_extent), "no_meaningful_motion"), (some & (F.col("counted") == 0), "no_counted_object"), (some & (F.col("counted") != F.col("expected")), "object_count_mismatch"),
+        (~some, "tracking_frames_missing"),
+    )
     return told.select(
-        video, "frames", "expected", "counted", F.col("primary.object_id").alias("primary_object"), norm("path").alias("path_norm"), norm("extent").alias("extent_norm"), why.alias("reasons"),
+        video, "frames", "expected", "counted", F.col("primary.object_id").alias("primary_object"), norm("path").alias("path_norm"), norm("extent").alias("extent_norm"), F.array_sort(why).alias("reasons"),
         F.when(F.size(why) == 0, "pass").otherwise("flagged").alias("status"),
     )

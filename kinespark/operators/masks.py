@@ -127,28 +127,43 @@ def video_quality(objects: DataFrame, video: list[str], gamma: float = GAMMA) ->
     return out.withColumn("status", status)
 
 
-def pixels(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs (y, x0, x1 inclusive) as pixels."""
-    return runs.select(*keys, "frame", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-
-
-def mask_geometry(px: DataFrame, keys: list[str]) -> DataFrame:
-    """Area, inclusive box and mean place of each mask."""
-    box = [F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2")]
-    return px.groupBy(*keys, "frame").agg(F.count("*").alias("area"), *box, F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-
-
-def aligned_iou(px: DataFrame, keys: list[str], stride: int = 5) -> DataFrame:
-    """iou of each sampled mask with the middle one, moved onto it by whole pixels (halves to even)."""
-    places = mask_geometry(px, keys)
-    picked = windows.stride_sample(places, keys, stride)
-    middle = picked.filter(F.col("i") == F.floor(F.col("n") / 2)).select(*keys, F.col("frame").alias("ref"), F.col("area").alias("ref_area"), F.col("cx").alias("rx"), F.col("cy").alias("ry"))
-    pairs = picked.join(middle, keys).select(*keys, "frame", "area", "ref", "ref_area", F.bround(F.col("rx") - F.col("cx")).cast("int").alias("dx"), F.bround(F.col("ry") - F.col("cy")).cast("int").alias("dy"))
-    moved = px.join(pairs, [*keys, "frame"]).select(*keys, "frame", "ref", "area", "ref_area", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-    there = px.select(*keys, F.col("frame").alias("ref"), "x", "y")
-    both = moved.join(there, [*keys, "ref", "x", "y"]).groupBy(*keys, "frame").agg(F.count("*").alias("common"))
-    out = pairs.join(both, [*keys, "frame"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
-    return out.select(*keys, "frame", (F.col("common") / F.greatest(F.col("area") + F.col("ref_area") - F.col("common"), F.lit(EPS))).alias("iou"))
+def mask_geometry(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Area, inclusive box and mean place of each mask from its runs (y, x0, x1 inclusive)."""
+    n = F.col("x1") - F.col("x0") + 1
+    mean = lambda c: F.sum(c * n) / F.sum(n)
+    box = [F.min("x0").alias("x1"), F.min("y").alias("y1"), F.max("x1").alias("x2"), F.max("y").alias("y2")]
+    return runs.groupBy(*keys, "frame").agg(F.sum(n).cast("long").alias("area"), *box, mean((F.col("x0") + F.col("x1")) / 2).alias("cx"), mean(F.col("y")).alias("cy"))
+
+
+def aligned_iou(runs: DataFrame, keys: list[str], frames: DataFrame | None = None, stride: int = 5, window: tuple[float, float] = WINDOW, size: tuple[int, int] | None = None) -> DataFrame:
+    """frame, ref and iou of sampled masks of the middle window with the middle one of them, moved onto it by whole pixels
+    (halves to even); what falls out of the image doesn't count. frames: keys and all frames that are listed, with or
+    without a mask, which the window is taken from; size: width and height of the images. Runs meet runs of their row, so
+    no pixel is ever a row."""
+    places = mask_geometry(runs, keys)
+    listed = windows.middle(windows.numbered(frames if frames is not None else places.select(*keys, "frame"), keys), *window)
+    usable = windows.numbered(places.join(listed.select(*keys, "frame"), [*keys, "frame"]), keys)
+    mid = F.floor(F.col("n") / 2)
+    ref = usable.filter((F.col("i") == mid) & (F.col("n") >= 2)).select(*keys, F.col("frame").alias("ref"), F.col("area").alias("ref_area"), F.col("cx").alias("rx"), F.col("cy").alias("ry"))
+    shift = lambda a, b: F.bround(F.col(a) - F.col(b)).cast("int")
+    pairs = usable.filter((F.col("i") % max(1, stride) == 0) & (F.col("i") != mid)).join(ref, keys).select(*keys, "frame", "ref", "ref_area", shift("rx", "cx").alias("dx"), shift("ry", "cy").alias("dy"))
+    moved = runs.join(pairs, [*keys, "frame"]).select(*keys, "frame", "ref", "ref_area", (F.col("y") + F.col("dy")).alias("y"), (F.col("x0") + F.col("dx")).alias("a0"), (F.col("x1") + F.col("dx")).alias("a1"))
+    if size:
+        clipped = moved.withColumn("a0", F.greatest("a0", F.lit(0))).withColumn("a1", F.least("a1", F.lit(size[0] - 1)))
+        moved = clipped.withColumn("inside", (F.col("a0") <= F.col("a1")) & F.col("y").between(0, size[1] - 1))
+    else:
+        moved = moved.withColumn("inside", F.lit(True))
+    areas = moved.groupBy(*keys, "frame", "ref", "ref_area").agg(F.coalesce(F.sum(F.when(F.col("inside"), F.col("a1") - F.col("a0") + 1)), F.lit(0)).alias("area"))
+    there = runs.select(*keys, F.col("frame").alias("ref"), "y", "x0", "x1")
+    overlap = F.greatest(F.least("a1", "x1") - F.greatest("a0", "x0") + 1, F.lit(0))
+    both = moved.filter("inside").join(there, [*keys, "ref", "y"]).groupBy(*keys, "frame").agg(F.sum(overlap).alias("common"))
+    out = areas.join(both, [*keys, "frame"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
+    return out.select(*keys, "frame", "ref", (F.col("common") / F.greatest(F.col("area") + F.col("ref_area") - F.col("common"), F.lit(EPS))).alias("iou"))
+
+
+def iou_stats(ious: DataFrame, keys: list[str]) -> DataFrame:
+    """Median, least and number of an object's overlaps, and the frame they were taken with."""
+    return ious.groupBy(*keys).agg(F.percentile("iou", F.lit(0.5)).alias("iou_median"), F.min("iou").alias("iou_min"), F.count("*").alias("iou_n"), F.first("ref").alias("iou_frame"))
 
 
 def frame_details(rows: DataFrame, keys: list[str]) -> DataFrame:

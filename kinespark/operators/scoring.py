@@ -105,12 +105,41 @@ def summarise(scored: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: Columns of statuses and of lists of reasons, with the name of the map of counts that a summary has of each.
+STATUS_MAPS = {"status": "status_counts", "mask_status": "mask_qc_counts", "tracking": "tracking_quality_counts", "measurement_status": "measurement_quality_counts"}
+REASON_MAPS = {"exclusion_reasons": "score_exclusion_counts", "failure_reason": "failure_reason_counts", "mask_reasons": "mask_qc_reason_counts", "tracking_reasons": "tracking_quality_reason_counts"}
+
+
+def count_maps(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """For each group a map of counts by status and by reason, for each of those columns that is there. Values are counted
+    before they are put together, so a map holds as many entries as there are different ones."""
+    one = lambda name, value: F.struct(F.lit(name).alias("map"), value.alias("value"))
+    tokens = lambda c, name: F.transform(F.filter(F.split(F.coalesce(F.col(c), F.lit("")), ";"), lambda t: t != ""), lambda t: one(name, t))
+    statuses = [F.array(one(m, F.coalesce(F.col(c).cast("string"), F.lit("None")))) for c, m in STATUS_MAPS.items() if c in scored.columns]
+    reasons_ = [tokens(c, m) for c, m in REASON_MAPS.items() if c in scored.columns]
+    counted = scored.select(*keys, F.explode(F.concat(*statuses, *reasons_)).alias("e")).groupBy(*keys, "e.map", "e.value").agg(F.count("*").alias("n"))
+    of = lambda m: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("map") == m, F.struct("value", "n"))))).alias(m)
+    return counted.groupBy(*keys).agg(*[of(m) for c, m in (STATUS_MAPS | REASON_MAPS).items() if c in scored.columns])
+
+
+def full_summary(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """summarise with the maps of count_maps and the counts and rates of discards."""
+    overlaps = overlap_counts(scored, keys)
+    counts = overlaps.select(*keys, F.struct(*[F.col(o) for o in OVERLAPS]).alias("discard_overlap_counts"), F.struct(*[F.col(f"{o}_rate").alias(o) for o in OVERLAPS]).alias("discard_overlap_rates"))
+    return summarise(scored, keys).join(count_maps(scored, keys), keys).join(counts, keys)
+
+
 def macro(scored: DataFrame, model: str = "model", metric: str = "metric") -> DataFrame:
-    """A model's scores are the means of its metrics' scores; metrics without one don't count."""
-    by_metric = summarise(scored, [model, metric])
-    totals = summarise(scored, [model]).select(model, "n_total", "n_effective", "effective_rate", "mean_mask_score")
-    means = by_metric.groupBy(model).agg(F.avg("effective_score").alias("overall_effective_score"), F.avg("end_to_end_score").alias("overall_end_to_end_score"))
-    return totals.join(means, model)
+    """A model's scores are the means of its metrics' scores; metrics without one don't count. Sums by model and metric,
+    then by model: nothing else is gathered."""
+    sums = scored.groupBy(model, metric).agg(
+        F.count("*").alias("n"), F.count_if("effective").alias("e"), F.sum("mask_score").alias("mask"), F.count("mask_score").alias("masks"),
+        _mean("adjusted_score", F.col("effective")).alias("effective_score"), F.avg(F.coalesce("adjusted_score", F.lit(0.0))).alias("end_to_end_score"),
+    )
+    return sums.groupBy(model).agg(
+        F.sum("n").alias("n_total"), F.sum("e").alias("n_effective"), (F.sum("e") / F.sum("n")).alias("effective_rate"), F.try_divide(F.sum("mask"), F.sum("masks")).alias("mean_mask_score"),
+        F.avg("effective_score").alias("overall_effective_score"), F.avg("end_to_end_score").alias("overall_end_to_end_score"),
+    )
 
 
 def token_counts(scored: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:

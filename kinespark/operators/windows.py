@@ -56,10 +56,12 @@ def bridged_step(x: str, y: str, w) -> Column:
 
 
 def primary(df: DataFrame, video: list[str], object_id: str = "object_id", k: int = 1) -> DataFrame:
-    """The rows of each video's k objects with most points, ties to the smaller id; adds place."""
-    n = df.withColumn("_n", F.count("*").over(Window.partitionBy(*video, object_id)))
-    place = F.dense_rank().over(Window.partitionBy(*video).orderBy(F.desc("_n"), object_id))
-    return n.withColumn("place", place).filter(F.col("place") <= k).drop("_n")
+    """The rows of each video's k objects with most points, ties to the smaller id; adds place. Counts are ranked, not rows,
+    so a video of any size is no single task's."""
+    counts = df.groupBy(*video, object_id).agg(F.count("*").alias("_n"))
+    place = F.row_number().over(Window.partitionBy(*video).orderBy(F.desc("_n"), object_id))
+    chosen = counts.withColumn("place", place).filter(F.col("place") <= k).drop("_n")
+    return df.join(chosen, [*video, object_id])
 
 
 def densified(df: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
@@ -79,5 +81,3 @@ def stride_sample(df: DataFrame, keys: list[str], stride: int = 5, by: str = "fr
     """Every so many rows of each group, and the middle one."""
     d = numbered(df, keys, by)
     return d.filter((F.col("i") % stride == 0) | (F.col("i") == F.floor(F.col("n") / 2)))
-
-

@@ -101,14 +101,22 @@ def _grid() -> str:
     ac, mj = COMPONENTS["area_cv"], COMPONENTS["max_log_jump"]
     quality = f"least({curve(f'({ac[0]} + ({ac[1]} - {ac[0]}) * discount * 8)', *ac, 'gamma')}, {curve(f'({mj[0]} + ({mj[1]} - {mj[0]}) * tax * 10)', *mj, 'gamma')})"
     return f"""{RES}, sn as (select * from (values {rows}) t(scenario, family, gamma, weak_weight, weak_cutoff, valid_cutoff)),
-    b0 as (select *, 1.0 - discount * 5 as fit_r2, metric in ('1-URGENT', '2-HIGH') as aff from res),
-    b1 as (select * replace (case when aff and status <> 'failed' then {r2_status("fit_r2")} else status end as status) from b0),
-    gr as (select *, 100 * exp(-rel_error / 0.25) as raw, case when aff and status <> 'failed' then {r2_status("fit_r2", "weak_cutoff", "valid_cutoff")} else status end as new_status, {quality} as qmask from b1, sn),
+    b0 as (select * replace (case when metric = '1-URGENT' then 'gravity' else metric end as metric), 1.0 - discount * 5 as fit_r2, metric in ('1-URGENT', '2-HIGH') as aff, metric = '1-URGENT' and prompt_id % 3 = 0 and prompt_id % 5 = 0 as still from res),
+    b1 as (select * replace (case when aff and status <> 'failed' then case when still then 'valid' else {r2_status("fit_r2")} end else status end as status) from b0),
+    gr as (select *, 100 * exp(-rel_error / case metric when 'gravity' then 0.30 else 0.25 end) as raw, case when aff and status <> 'failed' then case when still then 'valid' else {r2_status("fit_r2", "weak_cutoff", "valid_cutoff")} end else status end as new_status, {quality} as qmask from b1, sn),
     g as (select *, tracking = 'pass' and new_status in ('valid', 'weak_valid') as effective, case when tracking = 'pass' and new_status in ('valid', 'weak_valid') then raw * (case when new_status = 'valid' then 1 else weak_weight end) * qmask else 0.0 end as adjusted_score from gr),
     ma as (select scenario, family, model, avg(e) as effective_macro, avg(a) as end_to_end_macro from (select scenario, family, model, metric, avg(adjusted_score) filter (effective) as e, avg(adjusted_score) as a from g group by all) group by all)"""
 
 
 GRID = _grid()
+
+
+def _left(rest: str, best: str, name: str) -> str:
+    """The boxes that stand apart from the best one of their video."""
+    w, h = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1)", "greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1)"
+    return f"""{name} as (select a.* from {rest} a join {best} b using (video) where a.candidate <> b.candidate and sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) >= 10 and {w} * {h} / (2 * 21 * 21 - {w} * {h}) <= 0.2)"""
+
+
 _tasks = ", ".join(f"('{m}', '{e}', '{k}')" for m, (e, k) in TASKS.items())
 _names = "[" + ", ".join(f"'{m}'" for m in [*TASKS, "unknown"]) + "]"
 _tols = "[" + ", ".join(f"'{m}'" for m in [*TOLERANCES, "other"]) + "]"
@@ -118,9 +126,54 @@ GOLDEN = {
     "density_from_initial_acceleration": (2000.0, "valid", ""), "fluid_viscosity": (10.888888888888898, "valid", ""), "spring_constant": (7.895683520871486, "weak_valid", "period_detection_weak"),
     "mechanical_energy_conservation": (0.991614292775941, "valid", ""), "momentum_conservation_1d": (0.0, "valid", ""),
 }
-PX = """px as (select v as video, f::integer as frame, y, x from range(30) a(f), range(1, 5) b(v), range(5, 15) c(y), range(0, 200) d(x)
+PX = """px as (select v as video, f::integer as frame, y, x from range(30) a(f), range(1, 5) b(v), range(5, 15) c(y), range(0, 100) d(x)
   where x >= f * v and x <= f * v + 9 + case when f % 3 = 0 then 4 * (v - 1) else 0 end),
   geo as (select video, frame, count(*) as area, min(x) as x1, min(y) as y1, max(x) as x2, max(y) as y2, avg(x) as cx, avg(y) as cy from px group by video, frame)"""
+# the middle window of all 30 frames is 4 .. 25; pixel by pixel
+IOU = f"""{PX}, us as (select *, row_number() over (partition by video order by frame) - 1 as i, count(*) over (partition by video) as n from geo where frame between floor(30 * 0.15) and ceil(30 * 0.85) - 1),
+  rf as (select video, frame as ref, cx as rx, cy as ry from us where i = n // 2 and n >= 2), pr as (select us.video, frame, ref, round_even(rx - cx, 0)::integer as dx, round_even(ry - cy, 0)::integer as dy from us join rf using (video) where i % 3 = 0 and i <> n // 2),
+  mv as (select pr.video, pr.frame, pr.ref, a.x + dx as x, a.y + dy as y from pr join px a on a.video = pr.video and a.frame = pr.frame where a.x + dx between 0 and 99 and a.y + dy between 0 and 39),
+  rp as (select pr.video, pr.frame, pr.ref, x, y from pr join px on px.video = pr.video and px.frame = pr.ref),
+  un as (select video, frame, ref, count(*) as u from (select * from mv union select * from rp) group by all), co as (select video, frame, count(*) as c from mv join rp using (video, frame, ref, x, y) group by all),
+  io as (select un.video, un.frame, ref, coalesce(c, 0) / u as iou from un left join co on co.video = un.video and co.frame = un.frame)"""
+
+def _slope(low: str, high: str, name: str) -> str:
+    return f"{name} as (select object_id, count(*) as n, regr_slope(x, t) as slope, regr_r2(x, t) as r2 from ww where i >= {low} and i < {high} group by object_id)"
+
+
+ESTIMATES = f"""with {TR}, {NUM}, r as (select *, ['velocity', 'acceleration', 'gravity', 'friction_coefficient', 'restitution_coefficient', 'density_from_initial_acceleration', 'fluid_viscosity', 'mechanical_energy_conservation'][object_id % 8 + 1] as metric,
+    [9.8, 1.62, 5.0][object_id % 3 + 1]::double as ga, [9.8, 9.8, 5.0][object_id % 3 + 1]::double as gp from nu),
+  fi as (select *, case when metric in ('gravity', 'density_from_initial_acceleration') then y else x end as s0 from r where metric <> 'density_from_initial_acceleration' or i < greatest(6, n // 3)),
+  c as (select object_id, t - avg(t) over (partition by object_id) as u, s0 - avg(s0) over (partition by object_id) as v from fi),
+  k as (select object_id, count(*) as fn, sum(u*u) as s2, sum(u*u*u) as s3, sum(u*u*u*u) as s4, sum(u*v) as uv, sum(u*u*v) as uuv, sum(v*v) as vv from c group by object_id),
+  k2 as (select *, s4 - s2*s2/fn as w, s2 * (s4 - s2*s2/fn) - s3*s3 as det from k), k3 as (select *, (s2*uuv - s3*uv) / det as a, (uv*w - s3*uuv) / det as b from k2),
+  fit as (select object_id, fn, uv / s2 as slope, uv * uv / (s2 * vv) as lr2, case when fn >= 4 then a end as a, 1 - (vv - b*uv - a*uuv) / vv as qr2 from k3),
+  d as (select object_id, x - avg(x) over (partition by object_id) as dx, y - avg(y) over (partition by object_id) as dy from r), e as (select object_id, sum(dx*dx) as xx, sum(dy*dy) as yy, sum(dx*dy) as xy from d group by object_id),
+  od as (select object_id, 1 - greatest((xx + yy - sqrt((xx-yy)*(xx-yy) + 4*xy*xy)) / 2, 0) / ((xx + yy + sqrt((xx-yy)*(xx-yy) + 4*xy*xy)) / 2) as one_dim from e),
+  gr as (select *, {GRADIENT.format(s="x", w=W)} as vx, {GRADIENT.format(s="y", w=W)} as vy from r), fr as (select object_id, arg_min(abs(vx), i) as v_first, arg_max(abs(vx), i) as v_last, arg_min(y, i) as y0, arg_max(i, (y, -i)) as low from gr group by object_id),
+  lo as (select gr.object_id, gr.i as low_i, (gr.y - y0) * 0.01 as fall, (gr.vx * gr.vx + gr.vy * gr.vy) * 0.0001 as speed2 from gr join fr on fr.object_id = gr.object_id and fr.low = gr.i),
+  z as (select *, case metric when 'fluid_viscosity' then vy else vx end as g from gr), sm as (select *, (sum(g) over (partition by object_id order by frame rows between 2 preceding and 2 following) + greatest(2 - i, 0) * first_value(g) over (partition by object_id order by frame)
+    + greatest(i - (n - 3), 0) * last_value(g) over (partition by object_id order by frame rows between unbounded preceding and unbounded following)) / 5 as v from z),
+  nx as (select *, lead(v) {W} as nv from sm), ev as (select object_id, arg_max(i, abs(v) + abs(nv)) + 1 as event from nx where sign(v) * sign(nv) < 0 and abs(v) > 1e-6 and abs(nv) > 1e-6 group by object_id),
+  ww as (select r.*, event, greatest(4, least(10, n // 6)) as w from r join ev using (object_id)), {_slope("event - w", "event - 1", "bf")}, {_slope("event + 1", "event + w + 2", "af")},
+  sa as (select object_id, list(v * 0.01 order by frame) as v, any_value(n) as n, greatest(5, any_value(n) // 5) as w from sm group by object_id having any_value(n) >= 10),
+  sk as (select object_id, n, v, w, unnest(range(greatest(1, n - 2*w), n - w + 1)) as start from sa), st as (select *, list_avg(list_slice(v, start + 1, start + w)) as mean, list_stddev_pop(list_slice(v, start + 1, start + w)) as sd from sk),
+  sv as (select object_id, mean, sd / abs(mean) as rel from st where abs(mean) > 1e-9 qualify row_number() over (partition by object_id order by sd / abs(mean) + 0.02 * (n - start), start) = 1),
+  al as (select m.*, fit.*, one_dim, v_first, v_last, low_i, fall, speed2, event, bf.n as bn, bf.slope as bs, bf.r2 as br2, af.n as an, af.slope as as_, af.r2 as ar2, mean, rel from (select distinct object_id as oid, metric, n, ga, gp from r) m
+    join fit on fit.object_id = oid join od on od.object_id = oid join fr on fr.object_id = oid join lo on lo.object_id = oid left join ev on ev.object_id = oid left join bf on bf.object_id = oid left join af on af.object_id = oid left join sv on sv.object_id = oid),
+  wh as (select *, case metric when 'velocity' then case when n < 4 then 'insufficient_frames' end when 'acceleration' then case when n < 5 then 'insufficient_frames' end when 'gravity' then case when n < 5 then 'insufficient_frames' end
+    when 'friction_coefficient' then case when n < 8 then 'insufficient_frames' when one_dim < 0.75 then 'motion_not_1d' end
+    when 'restitution_coefficient' then case when n < 10 then 'insufficient_frames' when event is null then 'event_not_detected' when coalesce(bn, 0) < 3 or coalesce(an, 0) < 3 then 'insufficient points in fit window' end
+    when 'density_from_initial_acceleration' then case when n < 8 then 'insufficient_frames' end when 'fluid_viscosity' then case when n < 12 then 'insufficient_frames' when rel is null or rel > 0.35 then 'terminal velocity segment not found' when mean <= 1e-12 then 'terminal_velocity_not_found' end
+    else case when n < 10 then 'insufficient_frames' when low_i <= 1 then 'event_not_detected' when fall <= 1e-5 then 'fit_failed' end end as why from al),
+  va as (select *, case metric when 'velocity' then abs(slope) * 0.01 when 'acceleration' then abs(2 * a * 0.01) when 'gravity' then abs(2 * a * 0.01) when 'friction_coefficient' then abs(2 * a * 0.01) / ga when 'restitution_coefficient' then abs(as_) / abs(bs)
+      when 'density_from_initial_acceleration' then 1000 / (1 - 2 * a * 0.01 / gp) when 'fluid_viscosity' then 2 * 0.0025 * 1000 * gp / (9 * mean) else speed2 / (2 * ga * fall) end as measured,
+    case metric when 'velocity' then lr2 when 'restitution_coefficient' then least(br2, ar2) when 'fluid_viscosity' then 1 - least(rel, 1.0) when 'mechanical_energy_conservation' then null else qr2 end as r2 from wh)
+  select oid::varchar as video, metric, {r6("case when why is null then measured end", 5)} as measured, {r6("case when why is null then r2 end", 5)} as fit_r2,
+    case when why is not null then 'failed' when metric = 'mechanical_energy_conservation' then 'valid' when metric in ('restitution_coefficient', 'fluid_viscosity') then case when r2 >= 0.75 then 'valid' else 'weak_valid' end
+      when metric = 'friction_coefficient' and r2 >= 0.85 and v_last >= v_first then 'weak_valid' else {r2_status("r2")} end as status,
+    case when why is not null then why when metric = 'mechanical_energy_conservation' then '' when metric = 'restitution_coefficient' then case when r2 >= 0.75 then '' else 'low_fit_r2' end when metric = 'fluid_viscosity' then case when r2 >= 0.75 then '' else 'terminal_velocity_weak' end
+      when metric = 'friction_coefficient' and r2 >= 0.85 and v_last >= v_first then 'velocity_not_decreasing' when r2 >= 0.85 then '' when r2 >= 0.65 then 'low_fit_r2' else 'fit_failed' end as reason from va"""
 
 SQL: dict[str, str] = {
     "velocity_fit": LINEAR,
@@ -145,15 +198,16 @@ SQL: dict[str, str] = {
       k as (select object_id, n, v, w, unnest(range(greatest(1, n - 2*w), n - w + 1)) as start from a), m as (select *, list_avg(list_slice(v, start + 1, start + w)) as mean, list_stddev_pop(list_slice(v, start + 1, start + w)) as sd from k),
       b as (select *, sd / abs(mean) as rel, sd / abs(mean) + 0.02 * (n - start) as score from m where abs(mean) > 1e-9) select object_id, start, {r6('mean')} as mean, {r6('rel')} as rel from b qualify row_number() over (partition by object_id order by score, start) = 1""",
     "golden_estimates": "select * from (values " + ", ".join(f"('{m}', round({v}::double, 9) + 0.0, '{s}', '{r}')" for m, (v, s, r) in GOLDEN.items()) + ") t(metric, measured, status, reason)",
+    "event_estimates": ESTIMATES,
     "track_normalize": f"with {TR} select object_id, frame, {r6('t')} as t, {r6('x')} as cx, {r6('y')} as cy, {r6('sqrt(4 * area / pi())')} as diameter from tr where valid",
     "scale_modes": f"""with {TR}, z as (select object_id, median(sqrt(4 * area / pi())) filter (area > 0) as dia, (median(x) filter (x > 0) + median(y) filter (y > 0)) / 2 as side, ['none', 'object_diameter', 'explicit_object_size', 'explicit_height', 'other'][cast(object_id % 5 + 1 as integer)] as scale_mode from tr group by object_id)
       select object_id, scale_mode, {r6("case scale_mode when 'object_diameter' then 0.5 / dia when 'explicit_object_size' then 0.5 / side end", 9)} as scale, case scale_mode when 'explicit_height' then 'explicit_height_not_implemented' when 'other' then 'unknown_scale_mode:other' else '' end as reason from z""",
-    "tracking_gate": f"""with {TR}, r as (select event_type as video, object_id, frame, x, y, x > 50 as ok, sqrt(area) as dia from tr), fr as (select video, count(distinct frame) as frames from r group by video),
+    "tracking_gate": f"""with {TR}, r as (select object_id % 25 as video, object_id, frame, x, y, x > 50 as ok, sqrt(area) as dia from tr), fr as (select video, count(distinct frame) as frames from r group by video),
       p as (select *, sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) as way from r where ok window w as (partition by video, object_id order by frame)),
-      o as (select video, object_id, count(*) as nv, coalesce(sum(way), 0) as path, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) as extent, min(frame) as ff from p group by all),
-      dd as (select video, object_id, quantile_cont(dia, 0.5) filter (dia > 0) as dia from r group by all), j as (select dd.*, coalesce(nv, 0) as nv, path, extent, coalesce(ff, 0) as ff, frames, coalesce(nv, 0) / greatest(frames, 1) >= 0.5 as counted from dd left join o using (video, object_id) join fr using (video)),
-      c as (select video, count(*) filter (counted) as counted from j group by video), b as (select * exclude (counted) from j qualify row_number() over (partition by video order by nv desc, ff) = 1),
-      z as (select video, frames, counted, object_id as primary_object, path / dia as pn, extent / dia as en, list_sort(list_filter([case when counted <> 1 then 'object_count_mismatch' end, case when extent / dia < 0.75 then 'no_meaningful_motion' end, case when counted = 0 then 'no_counted_object' end], lambda q: q is not null)) as rs from b join c using (video))
+      o as (select video, object_id, count(*) as nv, coalesce(sum(way), 0) as path, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) as extent from p group by all),
+      dd as (select video, object_id, quantile_cont(dia, 0.5) filter (dia > 0) as dia, min(frame) as ff from r group by all), j as (select dd.*, coalesce(nv, 0) as nv, path, extent, frames, coalesce(nv, 0) / greatest(frames, 1) >= 0.5 as counted from dd left join o using (video, object_id) join fr using (video)),
+      c as (select video, any_value(frames) as frames, count(*) filter (counted) as counted from j group by video), b as (select * exclude (counted, frames) from j where counted qualify row_number() over (partition by video order by nv desc, ff) = 1),
+      z as (select c.video, frames, counted, coalesce(object_id, -1) as primary_object, path / dia as pn, extent / dia as en, list_sort(list_filter([case when counted <> 1 then 'object_count_mismatch' end, case when extent / dia < 0.75 then 'no_meaningful_motion' end, case when counted = 0 then 'no_counted_object' end], lambda q: q is not null)) as rs from c left join b on b.video = c.video)
       select video, frames, counted, primary_object, {r6('pn')} as path_norm, {r6('en')} as extent_norm, array_to_string(rs, ';') as reasons, case when len(rs) = 0 then 'pass' else 'flagged' end as status from z""",
     "mask_reasons_decision": f"""with {TR}, {NUM}, mi as (select object_id, frame, case when valid then area end as a, case when valid then x end as w, case when valid then y + 1 end as h, case when valid then y end as cy, case when valid then x end as cx from nu where i >= floor(n * 0.15) and i < ceil(n * 0.85)),
       st as (select *, sqrt(pow(cx - lag(cx) {W}, 2) + pow(cy - lag(cy) {W}, 2)) as step, greatest(w / h, h / w) as asp from mi),
@@ -168,10 +222,8 @@ SQL: dict[str, str] = {
           when list_has_any(rs, ['large_area_ratio', 'large_area_cv', 'large_bbox_width_cv', 'large_bbox_height_cv', 'large_bbox_aspect_cv']) then 'review_or_reject_plane_motion' else 'rerun_tracking' end as decision,
         case when len(rs) = 0 then 'pass' when list_has_any(rs, ['insufficient_valid_middle_frames', 'low_middle_coverage']) then 'fail' else 'warn' end as status from y""",
     "mask_geometry": f"with {PX} select video, frame, area, x1, y1, x2, y2, {r6('cx')} as cx, {r6('cy')} as cy from geo",
-    "mask_run_iou": f"""with {PX}, nb as (select *, row_number() over (partition by video order by frame) - 1 as i, count(*) over (partition by video) as n from geo), pk as (select * from nb where i % 5 = 0 or i = n // 2), rf as (select video, frame as ref, area as ra, cx as rx, cy as ry from pk where i = n // 2),
-      pr as (select pk.video, frame, ref, area, ra, round_even(rx - cx, 0)::integer as dx, round_even(ry - cy, 0)::integer as dy from pk join rf using (video)),
-      cm as (select pr.video, pr.frame, count(*) as common from pr join px a on a.video = pr.video and a.frame = pr.frame join px b on b.video = pr.video and b.frame = pr.ref and b.x = a.x + dx and b.y = a.y + dy group by all)
-      select pr.video, pr.frame, {r6('coalesce(common, 0) / (area + ra - coalesce(common, 0))')} as iou from pr left join cm using (video, frame)""",
+    "mask_run_iou": f"with {IOU} select video, frame, ref, {r6('iou')} as iou from io",
+    "mask_iou_stats": f"with {IOU} select video, {r6('median(iou)')} as iou_median, {r6('min(iou)')} as iou_min, count(*) as iou_n, any_value(ref) as iou_frame from io group by video",
     "component_scores": " union all ".join(f"select '{n}' as component, count(*) as n, {r6('avg(s)')} as mean, {r6('min(s)')} as least, count(*) filter (s >= 1) as perfect from (select {_line_score(n)} as s from lineitem)" for n in LINE_SHARE),
     "qmask_min": f"""with o as (select l_orderkey, least({', '.join(map(_line_score, LINE_SHARE))}) as s, l_quantity > 45 as big from lineitem), v as (select l_orderkey, count(*) as objects, min(s) as score, bool_or(big) as flagged from o group by l_orderkey)
       select l_orderkey, objects, {r6('score')} as score, case when score <= 0 then 'fail' when score >= 0.999 and not flagged then 'pass' else 'weak' end as status, case when flagged then 'large_area_ratio' else '' end as reasons from v""",
@@ -193,7 +245,8 @@ SQL: dict[str, str] = {
       select m.Metric as "Metric", t.Evaluator as "Evaluator", t.Measurement_Method as "Measurement_Method", count(*) as n from m left join t on t.Metric = m.Metric group by 1, 2, 3""",
     "tolerance_lookup": f"select p_partkey, {_tols}[p_partkey % 20 + 1] as metric, {_tolv}[p_partkey % 20 + 1]::double as tau from part",
     "known_params_json": "select event_id, cast(json_extract_string(props, '$.k') as double) as k from events",
-    "g_lookup": "select p_partkey, coalesce(case when p_partkey % 7 = 0 then p_size::double end, [9.8, 1.62, 3.71, 0.0, 9.8][p_size % 5 + 1]::double) as g from part",
+    "g_lookup": """with p as (select *, ['earth', 'Moon', 'mars', 'zero_gravity', 'on the Moon', 'nonzero', 'zero', 'zero_g'][p_size % 8 + 1] as env from part)
+      select p_partkey, coalesce(case when p_partkey % 7 = 0 then p_size::double end, case lower(env) when 'moon' then 1.62 when 'mars' then 3.71 when 'zero' then 0.0 when 'zero_gravity' then 0.0 else 9.8 end::double) as g from p""",
     "canonical_ids": "with c as (select c_custkey, 'model-' || upper(substr(c_mktsegment, 1, 3)) || lpad((c_custkey % 1000)::varchar, 3, '0') as name from customer) select c_custkey, nullif(regexp_extract(name, '(?:^|[_-])([A-Z]+\\d{3})$', 1), '') as id, name as slug from c",
     "pair_alignment": f"""with {TR}, b as (select object_id // 2 as pair, frame, max(x) filter (object_id % 2 = 0) as x0, max(x) filter (object_id % 2 = 1) as x1, max(y) filter (object_id % 2 = 0) as y0, max(y) filter (object_id % 2 = 1) as y1 from tr group by all),
       d as (select pair, frame, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) as d from b where x0 is not null and x1 is not null and y0 is not null and y1 is not null), n as (select pair, count(*) as n from d group by pair)
@@ -208,6 +261,28 @@ SQL: dict[str, str] = {
       select a.model as model_a, b.model as model_b, {r6('(b.a0 - a.a0) / (a.sl - b.sl)')} as weight from k a join k b on a.model < b.model where abs(a.sl - b.sl) > 1e-12 and (b.a0 - a.a0) / (a.sl - b.sl) between 0 and 1""",
     "common_cohort": f"""with {GRID}, r as (select * from g where family = 'r2'), c as (select model, metric, prompt_id from r group by all having bool_and(effective)), m as (select scenario, model, metric, count(*) as n, avg(adjusted_score) as s from r join c using (model, metric, prompt_id) group by all)
       select scenario, model, sum(n)::bigint as n_common, {r6('avg(s)')} as common_effective_macro from m group by all""",
+    "sensitivity_problems": f"""with {RES}, r as (select *, case when lines > 1 then 1.0 - discount * 5 end as fit_r2, metric in ('1-URGENT', '2-HIGH') as aff, metric = '5-LOW' as spring from res), t as (
+      select 'no R2' as problem, count(*) filter (aff and status <> 'failed' and fit_r2 is null) as n from r
+      union all select 'status is not the baseline''s', count(*) filter (aff and status <> 'failed' and fit_r2 is not null and status <> {r2_status("fit_r2")}) from r
+      union all select 'spring without confidence', count(*) filter (spring and status <> 'failed' and fit_r2 is null) from r
+      union all select 'spring status is not its confidence''s', count(*) filter (spring and status <> 'failed' and status <> case when fit_r2 >= 0.2 then 'valid' else 'weak_valid' end) from r
+      union all select 'number of models', abs(count(distinct model) - 6) from r) select problem, n from t where n > 0""",
+    "summary_counts": f"""with {scored('0.0')}, e as (select model, 'status_counts' as map, status as value from s union all select model, 'mask_qc_counts', case when qmask >= 0.999 then 'pass' when qmask <= 0 then 'fail' else 'weak' end from s
+      union all select model, 'tracking_quality_counts', tracking from s union all select model, 'measurement_quality_counts', measurement_status from s union all select model, 'score_exclusion_counts', exclusion_reasons from s where exclusion_reasons <> '')
+      select model, map, value, count(*) as n from e group by all""",
+    "nms_topk": f"""with {TR}, b as (select object_id as video, frame as candidate, x as score, y as x1, t as y1, y + 20 as x2, t + 20 as y2, y + 10 as px, t + 10 as py from tr),
+      c1 as (select * from b qualify row_number() over (partition by video order by score desc, candidate) = 1), {_left('b', 'c1', 'r1')}, c2 as (select * from r1 qualify row_number() over (partition by video order by score desc, candidate) = 1),
+      {_left('r1', 'c2', 'r2')}, c3 as (select * from r2 qualify row_number() over (partition by video order by score desc, candidate) = 1)
+      select video, candidate, 1 as rank from c1 union all select video, candidate, 2 from c2 union all select video, candidate, 3 from c3""",
+    "end_to_end_scores": f"""with {TR}, v as (select * from tr where valid), p as (select *, sqrt(pow(x - lag(x) {W}, 2) + pow(y - lag(y) {W}, 2)) as way from v),
+      n as (select object_id, count(*) as fr, median(sqrt(4 * area / pi())) filter (area > 0) as dia from tr group by object_id), nv as (select object_id, median(sqrt(4 * area / pi())) filter (area > 0) as dv from v group by object_id),
+      g as (select object_id, count(*) as nv, regr_slope(x, t) as slope, regr_r2(x, t) as r2, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) as extent from p group by object_id),
+      j as (select n.object_id, fr, dia, dv, coalesce(nv, 0) as nv, slope, r2, extent, coalesce(nv, 0) / fr >= 0.5 as counted from n left join g using (object_id) left join nv using (object_id)),
+      k as (select *, list_sort(list_filter([case when not counted then 'object_count_mismatch' end, case when counted and extent / dia < 0.75 then 'no_meaningful_motion' end, case when not counted then 'no_counted_object' end], lambda q: q is not null)) as rs,
+        case when nv >= 4 then abs(slope) * 0.1 / dv end as measured, case when nv = 0 then 'failed' when nv < 4 then 'failed' else {r2_status("r2")} end as status from j),
+      e as (select *, abs(measured - 0.02) / 0.02 as rel, status in ('valid', 'weak_valid') as ok from k)
+      select 'm' || object_id % 3 as model, object_id::varchar as prompt_id, {r6("measured", 5)} as measured, status, case when len(rs) = 0 then 'pass' else 'flagged' end as tracking, array_to_string(rs, ';') as tracking_reasons, {r6("rel", 5)} as rel_error,
+        {r6("case when ok then 100 * exp(-rel / 0.30) end", 5)} as base_score, ok as effective from e""",
     "near_best": f"with {TR} select object_id as video, frame as candidate, x as score from tr qualify x >= 0.6 * max(x) over (partition by object_id)",
     "init_fallback": f"""with {TR}, e as (select object_id as video, 8 + object_id % 5 as expected from (select distinct object_id from tr)), a as (select object_id as video, count(*) as n from tr where event_type = 'view' group by 1), b as (select object_id as video, count(*) as n from tr where event_type = 'click' group by 1),
       c as (select e.video, case when a.n = expected then 'first' when b.n = expected then 'second' else 'none' end as source, case when a.n = expected then a.n when b.n = expected then b.n else 0 end as n from e left join a using (video) left join b using (video)) select source, count(*) as videos, sum(n)::bigint as prompts from c group by source""",

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinespark import pipeline
 from kinespark.functions import exprs as X
 from kinespark.operators import candidates, evaluators, fits, gates, masks, scoring, sensitivity, windows
 from kinespark.plans import adapters as A
 from kinespark.plans import oracle as O
+from kinespark.streaming import landing
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 USER = ["object_id"]
-AFFECTED = ("1-URGENT", "2-HIGH")
+AFFECTED = ("gravity", "2-HIGH")
 
 
 def query(f: Query) -> Query:
@@ -58,10 +61,7 @@ def gravity_fit(spark, d):
 
 @query
 def pca_axis_speed(spark, d):
-    t = A.event_tracks(spark, d)
-    axis = fits.principal_axis(t, USER).select("object_id", "axis_x", "axis_y")
-    along = t.join(axis, USER).withColumn("q", F.col("x") * F.col("axis_x") + F.col("y") * F.col("axis_y"))
-    return rounded(fits.linear_fit(along, USER, "t", "q").select("object_id", F.abs("slope").alias("speed"), "r2"), "speed", "r2")
+    return rounded(fits.axis_fit(A.event_tracks(spark, d), USER).select("object_id", F.abs("slope").alias("speed"), "r2"), "speed", "r2")
 
 
 @query
@@ -166,14 +166,15 @@ def golden_estimates(spark, d):
 
 @query
 def event_estimates(spark, d):
-    """Speed, acceleration, fall, friction and ratio of bounce from the events of each user: one metric a user, in turn."""
-    metrics = ["velocity", "acceleration", "gravity", "friction_coefficient", "restitution_coefficient", "mechanical_energy_conservation", "spring_constant"]
+    """Eight metrics from the events of each user, one metric a user, in turn; g is given, follows from the environment or
+    is the default."""
+    metrics = ["velocity", "acceleration", "gravity", "friction_coefficient", "restitution_coefficient", "density_from_initial_acceleration", "fluid_viscosity", "mechanical_energy_conservation"]
     t = A.event_tracks(spark, d).select(F.col("object_id").cast("string").alias("video"), F.lit("1").alias("object_id"), "frame", "t", F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(10.0).alias("diameter"), F.lit(10.0).alias("box_w"), F.lit(10.0).alias("box_h"))
-    place = F.pmod(F.col("video").cast("long"), F.lit(len(metrics))).cast("int")
-    meta = t.select("video").distinct().select("video", F.array(*map(F.lit, metrics))[place].alias("metric"))
-    none = F.lit(None).cast("double")
-    meta = meta.select("video", "metric", F.lit("x").alias("motion_axis"), F.lit("object_diameter").alias("scale_mode"), F.lit("").alias("calibration_dimension"), F.lit(0.1).alias("calibration_value"), F.lit(1.0).alias("target_value"), F.lit(9.8).alias("g"), F.lit(9.8).alias("reference_g"), none.alias("liquid_density"), none.alias("solid_density"), F.lit(0.2).alias("mass"), none.alias("m1"), none.alias("m2"))
-    return rounded(evaluators.estimate(t, meta).select("video", "metric", "measured", "fit_r2", "status", "reason"), "measured", "fit_r2")
+    user = F.col("video").cast("long")
+    meta = t.select("video").distinct().select("video", F.array(*map(F.lit, metrics))[(user % len(metrics)).cast("int")].alias("metric"), F.when(user % 3 == 2, 5.0).alias("g"), F.when(user % 3 == 1, "moon").alias("gravity_environment"))
+    same = {"motion_axis": "x", "scale_mode": "object_diameter", "calibration_value": 0.1, "target_value": 1.0, "liquid_density": 1000.0, "solid_density": 2000.0}
+    meta = meta.withColumns({n: F.lit(v) for n, v in same.items()})
+    return rounded(evaluators.estimate(t, meta).select("video", "metric", "measured", "fit_r2", "status", "reason"), "measured", "fit_r2", digits=5)
 
 
 @query
@@ -202,9 +203,9 @@ def scale_modes(spark, d):
 
 @query
 def tracking_gate(spark, d):
-    t = A.event_tracks(spark, d).select(F.col("event_type").alias("video"), "object_id", "frame", "x", "y", (F.col("x") > 50).alias("valid"), F.sqrt("area").alias("diameter"))
+    t = A.event_tracks(spark, d).select((F.col("object_id") % 25).alias("video"), "object_id", "frame", "x", "y", (F.col("x") > 50).alias("valid"), F.sqrt("area").alias("diameter"))
     g = gates.tracking_gate(t, 1)
-    return rounded(g.select("video", "frames", "counted", "primary_object", "path_norm", "extent_norm", F.concat_ws(";", "reasons").alias("reasons"), "status"), "path_norm", "extent_norm")
+    return rounded(g.select("video", "frames", "counted", F.coalesce("primary_object", F.lit(-1)).alias("primary_object"), "path_norm", "extent_norm", F.concat_ws(";", "reasons").alias("reasons"), "status"), "path_norm", "extent_norm")
 
 
 def _diagnostics(spark, d):
@@ -220,23 +221,32 @@ def mask_reasons_decision(spark, d):
     return rounded(out, "middle_coverage", "area_ratio_p95_p05", "area_cv", "bbox_width_cv", "max_log_jump", "trend_scale_ratio", "trend_r2", "max_centroid_step_norm_by_diameter")
 
 
-def _grid_pixels(spark):
-    """Squares of 10 pixels that move and, in every third frame, are 4 pixels wider."""
+def _grid_runs(spark):
+    """Squares of 10 pixels that move out of an image of 100 and, in every third frame, are 4 pixels wider or more."""
     f = spark.range(30).withColumn("video", F.explode(F.sequence(F.lit(1), F.lit(4))))
     x0 = (F.col("id") * F.col("video")).cast("int")
     wide = F.when(F.col("id") % 3 == 0, 4 * (F.col("video") - 1)).otherwise(0)
-    runs = f.select("video", F.col("id").cast("int").alias("frame"), x0.alias("x0"), (x0 + 9 + wide).cast("int").alias("x1")).withColumn("y", F.explode(F.sequence(F.lit(5), F.lit(14))))
-    return masks.pixels(runs, ["video"])
+    runs = f.select("video", F.col("id").cast("int").alias("frame"), x0.alias("x0"), F.least(x0 + 9 + wide, F.lit(99)).cast("int").alias("x1")).filter("x0 <= x1")
+    return runs.withColumn("y", F.explode(F.sequence(F.lit(5), F.lit(14))))
 
 
 @query
 def mask_run_iou(spark, d):
-    return rounded(masks.aligned_iou(_grid_pixels(spark), ["video"]), "iou")
+    runs = _grid_runs(spark)
+    listed = spark.range(30).select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("video"), F.col("id").cast("int").alias("frame"))
+    return rounded(masks.aligned_iou(runs, ["video"], listed, stride=3, size=(100, 40)).select("video", "frame", "ref", "iou"), "iou")
+
+
+@query
+def mask_iou_stats(spark, d):
+    listed = spark.range(30).select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("video"), F.col("id").cast("int").alias("frame"))
+    stats = masks.iou_stats(masks.aligned_iou(_grid_runs(spark), ["video"], listed, stride=3, size=(100, 40)), ["video"])
+    return rounded(stats, "iou_median", "iou_min")
 
 
 @query
 def mask_geometry(spark, d):
-    return rounded(masks.mask_geometry(_grid_pixels(spark), ["video"]).withColumns({c: F.col(c).cast("long") for c in ("x1", "y1", "x2", "y2")}), "cx", "cy")
+    return rounded(masks.mask_geometry(_grid_runs(spark), ["video"]).withColumns({c: F.col(c).cast("long") for c in ("x1", "y1", "x2", "y2")}), "cx", "cy")
 
 
 def _line_objects(spark, d):
@@ -323,6 +333,15 @@ def reason_token_counts(spark, d):
     return scoring.token_counts(_scored(spark, d).withColumn("exclusion_reasons", both), "exclusion_reasons")
 
 
+@query
+def summary_counts(spark, d):
+    """The maps of counts of a summary as rows."""
+    maps = scoring.full_summary(_scored(spark, d), ["model"])
+    names = [m for c, m in (scoring.STATUS_MAPS | scoring.REASON_MAPS).items() if m in maps.columns]
+    each = [maps.select("model", F.lit(m).alias("map"), F.explode(m).alias("value", "n")) for m in names]
+    return reduce(DataFrame.unionByName, each)
+
+
 @query
 def discard_overlap(spark, d):
     out = scoring.overlap_counts(_scored(spark, d), ["model"])
@@ -362,7 +381,7 @@ def known_params_json(spark, d):
 
 @query
 def g_lookup(spark, d):
-    env = F.element_at(F.array(*map(F.lit, ["earth", "on the Moon", "mars", "zero_g", ""])), (F.col("p_size") % 5 + 1).cast("int"))
+    env = F.element_at(F.array(*map(F.lit, ["earth", "Moon", "mars", "zero_gravity", "on the Moon", "nonzero", "zero", "zero_g"])), (F.col("p_size") % 8 + 1).cast("int"))
     p = A.table(spark, d, "part").withColumn("env", env).withColumn("given", F.when(F.col("p_partkey") % 7 == 0, F.col("p_size").cast("double")))
     return p.select("p_partkey", X.gravity("given", None, None, "env").alias("g"))
 
@@ -391,9 +410,18 @@ def _grid(spark, d):
     r = A.order_results(spark, d).withColumn("rel_error", X.relative_error("measured", "target")).withColumn("fit_r2", F.lit(1.0) - F.col("discount") * 5)
     share = {"area_cv": F.col("discount") * 8, "max_log_jump": F.col("tax") * 10}
     r = r.withColumns({n: (F.lit(g) + (F.lit(b) - F.lit(g)) * share[n] if n in share else F.lit(None).cast("double")) for n, (g, b, _) in masks.COMPONENTS.items()})
-    r = r.withColumn("reasons", F.array().cast("array<string>"))
-    consistent = F.when(F.col("metric").isin(*AFFECTED) & (F.col("status") != "failed"), X.status_from_r2("fit_r2")).otherwise(F.col("status"))
-    return sensitivity.grid(r.withColumn("status", consistent), AFFECTED)
+    zero, low = F.when(F.col("prompt_id") % 3 == 0, 0.0).otherwise(9.8), F.when(F.col("prompt_id") % 5 == 0, 0.1).otherwise(F.col("measured"))
+    r = r.withColumns({"reasons": F.array().cast("array<string>"), "metric": F.when(F.col("metric") == "1-URGENT", "gravity").otherwise(F.col("metric")), "reference_g": zero, "measured": low})
+    r = r.withColumn("status", sensitivity.status_at(r, AFFECTED, F.lit(0.65), F.lit(0.85)))
+    return sensitivity.grid(r, AFFECTED)
+
+
+@query
+def sensitivity_problems(spark, d):
+    """What the orders as results break of a study's conditions."""
+    r = A.order_results(spark, d).withColumn("fit_r2", F.when(F.col("lines") > 1, F.lit(1.0) - F.col("discount") * 5))
+    names = F.when(F.col("metric") == "1-URGENT", "gravity").when(F.col("metric") == "5-LOW", "spring_constant").otherwise(F.col("metric"))
+    return sensitivity.problems(r.withColumn("metric", names), AFFECTED, {"models": 6})
 
 
 @query
@@ -438,8 +466,8 @@ def nms_topk(spark, d):
 @query
 def cluster_candidates(spark, d):
     t = A.event_tracks(spark, d)
-    points = t.select(F.col("object_id").alias("video"), F.col("frame").alias("candidate"), F.col("area").alias("score"), "x", "y")
-    return candidates.cluster_candidates(points, 40.0)
+    points = t.select(F.col("object_id").alias("video"), F.col("frame").alias("candidate"), "frame", F.col("area").alias("score"), "x", "y")
+    return rounded(candidates.cluster_scores(candidates.cluster_candidates(points, 40.0), preferred_frame=10), "cluster_score")
 
 
 @query
@@ -472,11 +500,22 @@ def dq_preflight(spark, d):
 @query
 def event_windows(spark, d):
     """The streaming aggregate run as a batch: counts by hour and type."""
-    e = A.table(spark, d, "events")
-    out = e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("start"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = landing.event_counts(A.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return rounded(out.withColumn("start", F.unix_timestamp("start")), "total")
 
 
+@query
+def end_to_end_scores(spark, d):
+    """Users' events written as tracking documents, measured, gated and scored: one result a user, three models."""
+    t = A.event_tracks(spark, d)
+    frame = F.struct(F.col("frame").alias("frame_idx"), F.col("t").alias("time_sec"), "x", "y", "area", "valid")
+    docs = t.groupBy("object_id").agg(F.sort_array(F.collect_list(frame)).alias("frames")).select(F.col("object_id").cast("string").alias("video"), F.to_json(F.struct(F.lit("1").alias("object_id"), "frames")).alias("text"))
+    same = {"Metric": "velocity", "Num_Objects": 1, "Motion_Axis": "x", "Scale_Mode": "object_diameter", "Calibration_Value_m": 0.1, "Target_Value": 0.02, "Target_Unit": "m/s", "Target_Type": "target_speed"}
+    meta = t.select(F.col("object_id").cast("string").alias("Prompt_ID")).distinct().withColumns({n: F.lit(v) for n, v in same.items()}).withColumn("model", F.concat(F.lit("m"), F.col("Prompt_ID").cast("long") % 3))
+    out = pipeline.score(pipeline.evaluate(meta, docs), policy="ignore")
+    return rounded(out.select("model", "prompt_id", "measured", "status", "tracking", "tracking_reasons", "rel_error", "base_score", "effective"), "measured", "rel_error", "base_score", digits=5)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

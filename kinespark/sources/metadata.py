@@ -63,12 +63,15 @@ def discover_videos(spark: SparkSession, root: str) -> DataFrame:
 
 
 def resolve_videos(wanted: DataFrame, files: DataFrame, column: str = "Video_File") -> DataFrame:
-    """For each wanted name the file with that name, else the only one whose stem ends in _stem or -stem; matches counts them."""
-    stem = F.regexp_replace(F.element_at(F.split(column, "/"), -1), r"\.[^.]+$", "")
-    w = wanted.select(column, F.element_at(F.split(column, "/"), -1).alias("_name"), stem.alias("_stem")).distinct()
+    """For each wanted name the file with that name, else the only one with its suffix whose stem ends in _stem or -stem,
+    in any case; matches counts them. Each file is listed under all ends of its stem, so this is a join by equality."""
+    stem, suffix = (lambda c: F.lower(F.regexp_replace(c, r"\.[^.]+$", ""))), (lambda c: F.regexp_extract(c, r"(\.[^.]+)?$", 0))
+    last = F.element_at(F.split(column, "/"), -1)
+    w = wanted.select(column, last.alias("_name"), stem(last).alias("_stem"), suffix(last).alias("_suffix")).distinct()
     by_name = w.join(files, w["_name"] == files["name"]).select(column, "path", F.lit(0).alias("rank"))
-    tails = files.withColumn("tail", F.explode(F.array(F.regexp_extract("stem", r"[_-]([^_-]+)$", 1))))
-    by_stem = w.join(tails, w["_stem"] == tails["tail"]).select(column, "path", F.lit(1).alias("rank"))
+    cuts = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring(F.col("low"), i, 1).isin("_", "-"))
+    ends = files.withColumn("low", stem("name")).select("path", suffix("name").alias("suffix"), F.explode(F.transform(cuts, lambda i: F.substring(F.col("low"), i + 1, F.length("low")))).alias("end"))
+    by_stem = w.join(ends, (w["_stem"] == ends["end"]) & (w["_suffix"] == ends["suffix"])).select(column, "path", F.lit(1).alias("rank"))
     both = by_name.unionByName(by_stem).groupBy(column).agg(F.min("rank").alias("rank"), F.collect_set(F.struct("rank", "path")).alias("all"))
     best = F.filter("all", lambda x: x["rank"] == F.col("rank"))
     return wanted.join(both.select(column, F.size(best).alias("matches"), F.when(F.size(best) == 1, F.array_min(best)["path"]).alias("path")), column, "left")

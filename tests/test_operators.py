@@ -74,6 +74,34 @@ def test_controls(spark):
     assert {r.reason for r in none} == {"tracking_missing"}
 
 
+def test_unknown_g_is_earths(spark):
+    """Friction, energy and gravity without g, and where the environment has none."""
+    t, m = adapters.golden(spark)
+    some = m.filter("metric in ('friction_coefficient', 'mechanical_energy_conservation', 'gravity')").drop("g", "reference_g")
+    got = {r.metric: r for r in evaluators.estimate(t, some).collect()}
+    for metric in got:
+        assert math.isclose(got[metric].measured, oracle.GOLDEN[metric][0], rel_tol=1e-12) and got[metric].status == "valid"
+    free = some.filter("metric = 'gravity'").withColumn("gravity_environment", F.lit("zero"))
+    slow = t.withColumn("cy", 80 + (F.col("cy") - 80) / 10000 + F.when(F.col("frame") % 2 == 0, 3.0).otherwise(-3.0))
+    r = evaluators.estimate(slow, free).first()
+    assert r.measured < 0.2 and r.status == "valid" and evaluators.estimate(slow, some.filter("metric = 'gravity'")).first().status == "invalid"
+
+
+def test_goldens_to_the_last_digits(spark):
+    t, m = adapters.golden(spark)
+    for r in evaluators.estimate(t, m).collect():
+        assert math.isclose(r.measured, oracle.GOLDEN[r.metric][0], rel_tol=1e-12, abs_tol=1e-12), (r.metric, r.measured)
+
+
+def test_momentum_of_objects_that_never_meet(spark):
+    t, m = adapters.golden(spark)
+    own = m.filter("metric = 'momentum_conservation_1d'")
+    apart = t.withColumn("frame", F.col("frame") + F.when(F.col("object_id") == "2", 1000).otherwise(0))
+    assert evaluators.estimate(apart, own).first().reason == "tracking_missing"
+    assert evaluators.estimate(apart, own.withColumn("m1", F.lit(None).cast("double"))).first().reason == "failed"
+    assert evaluators.estimate(t.filter("object_id = '1'"), own).first().reason == "tracking_missing"
+
+
 def test_period_by_autocorrelation():
     t = np.arange(120) / 30
     p, confidence, how = evaluators.period(t, 20 * np.sin(2 * np.pi * t), "autocorrelation")
@@ -102,9 +130,20 @@ def test_component_curve(spark):
 
 
 def test_mask_overlap_ignores_whole_shifts(spark):
+    """Frames 1 .. 9 of 11 are the middle; the reference frame isn't compared with itself."""
     runs = spark.createDataFrame([(1, f, y, 2 + f, 6 + f) for f in range(11) for y in range(3, 8)], "video int, frame int, y int, x0 int, x1 int")
-    got = masks.aligned_iou(masks.pixels(runs, ["video"]), ["video"]).collect()
-    assert {r.frame for r in got} == {0, 5, 10} and all(r.iou == 1.0 for r in got)
+    got = masks.aligned_iou(runs, ["video"], stride=2).collect()
+    assert {r.frame for r in got} == {1, 3, 7, 9} and all(r.iou == 1.0 and r.ref == 5 for r in got)
+    lone = masks.aligned_iou(runs.filter("frame = 5"), ["video"])
+    assert lone.count() == 0
+
+
+def test_masks_cut_by_the_edge(spark):
+    """A mask twice as wide, half of which falls out of the image when it is moved back, counts only what stays."""
+    runs = spark.createDataFrame([(1, 0, 0, 0, 9), (1, 1, 0, 4, 9), (1, 2, 0, 0, 9)], "video int, frame int, y int, x0 int, x1 int")
+    got = {r.frame: r.iou for r in masks.aligned_iou(runs, ["video"], stride=1, window=(0.0, 1.0), size=(10, 1)).collect()}
+    # frame 1 is the reference (4 .. 9, mean 6.5); 0 .. 9 (mean 4.5) moves by 2 to 2 .. 9
+    assert got == {0: 6 / 8, 2: 6 / 8}
 
 
 def test_gate_reasons(spark):
@@ -113,6 +152,10 @@ def test_gate_reasons(spark):
     got = {r.video: (r.status, r.reasons) for r in gates.tracking_gate(df, 1).collect()}
     assert got["moves"] == ("pass", []) and got["still"] == ("flagged", ["no_meaningful_motion"])
     assert got["lost"] == ("flagged", ["no_counted_object", "object_count_mismatch"])
+    odd = [("still lost", "1", f, 5.0, 5.0, f < 3, 10.0) for f in range(10)] + [("two", o, f, 5.0 * f * (o == "2"), 5.0, True, 10.0) for o in "12" for f in range(10)] + [("none", None, None, None, None, None, None)]
+    got = {r.video: r for r in gates.tracking_gate(spark.createDataFrame(odd, df.schema), 0).collect()}
+    assert got["still lost"].reasons == ["no_counted_object", "object_count_mismatch"] and got["still lost"].primary_object is None
+    assert got["none"].reasons == ["tracking_frames_missing"] and got["none"].expected == 1 and got["two"].primary_object == "1" and got["two"].reasons == ["no_meaningful_motion", "object_count_mismatch"]
 
 
 def test_greedy_choice(spark):
@@ -121,6 +164,41 @@ def test_greedy_choice(spark):
     assert [r.candidate for r in candidates.distinct_candidates(df, 2, 5.0).orderBy("rank").collect()] == [0, 2]
 
 
+def test_first_cluster_in_reach(spark):
+    """Against plain Python: the first cluster within the radius takes a point, not the nearest."""
+    rng = np.random.default_rng(3)
+    rows = [(v, c, int(rng.integers(0, 8)), float(rng.integers(1, 9)) / 8, float(rng.uniform(0, 60)), float(rng.uniform(0, 60))) for v in (1, 2) for c in range(60)]
+    df = spark.createDataFrame(rows, "video long, candidate long, frame long, score double, x double, y double")
+    want, best = {}, {}
+    for v in (1, 2):
+        clusters = []
+        for r in sorted((r for r in rows if r[0] == v), key=lambda r: (-r[3], r[1])):
+            for k, items in enumerate(clusters):
+                w = [i[3] for i in items]
+                if math.hypot(r[4] - np.average([i[4] for i in items], weights=w), r[5] - np.average([i[5] for i in items], weights=w)) <= 20:
+                    break
+            else:
+                k = len(clusters)
+                clusters.append([])
+            clusters[k].append(r)
+            want[v, r[1]] = k
+        for k, items in enumerate(clusters):
+            stable = [i for i in items if i[3] >= 0.65 * max(x[3] for x in items)]
+            best[v, k] = (float(np.median([i[3] for i in items]) * np.log1p(len({i[2] for i in items}))), min(stable, key=lambda i: (abs(i[2] - 4), -i[3], i[1]))[1])
+    got = candidates.cluster_candidates(df, 20.0)
+    assert {(r.video, r.candidate): r.cluster for r in got.collect()} == want and len({*want.values()}) > 3
+    scores = {(r.video, r.cluster): (r.cluster_score, r.candidate) for r in candidates.cluster_scores(got, 4).collect()}
+    assert scores.keys() == best.keys() and all(math.isclose(scores[k][0], best[k][0]) and scores[k][1] == best[k][1] for k in best)
+
+
+def test_study_conditions(spark):
+    r = spark.createDataFrame([("m", "gravity", "p1", "valid", 0.1, 0.0, 0.9), ("m", "gravity", "p2", "valid", 5.0, 0.0, 0.7), ("m", "gravity", "p3", "weak_valid", 5.0, 0.0, None), ("m", "spring_constant", "p4", "valid", 1.0, 9.8, 0.1)], "model string, metric string, prompt_id string, status string, measured double, reference_g double, fit_r2 double")
+    found = {x.problem: x.n for x in sensitivity.problems(r, ("gravity",), {"all": 5}).collect()}
+    assert found == {"status is not the baseline's": 1, "no R2": 1, "spring status is not its confidence's": 1, "number of all": 1}
+    with pytest.raises(ValueError, match="no R2: 1"):
+        sensitivity.require(r, ("gravity",))
+
+
 def test_completeness(spark):
     res = spark.createDataFrame([("kling_A001",), ("kling_A001",), ("B002",)], "id string")
     meta = spark.createDataFrame([("A001",), ("C003",)], "id string")
