@@ -512,7 +512,7 @@ def end_to_end_scores(spark, d):
     docs = t.groupBy("object_id").agg(F.sort_array(F.collect_list(frame)).alias("frames")).select(F.col("object_id").cast("string").alias("video"), F.to_json(F.struct(F.lit("1").alias("object_id"), "frames")).alias("text"))
     same = {"Metric": "velocity", "Num_Objects": 1, "Motion_Axis": "x", "Scale_Mode": "object_diameter", "Calibration_Value_m": 0.1, "Target_Value": 0.02, "Target_Unit": "m/s", "Target_Type": "target_speed"}
     meta = t.select(F.col("object_id").cast("string").alias("Prompt_ID")).distinct().withColumns({n: F.lit(v) for n, v in same.items()}).withColumn("model", F.concat(F.lit("m"), F.col("Prompt_ID").cast("long") % 3))
-    out = pipeline.score(pipeline.evaluate(meta, docs), policy="ignore")
+    out = pipeline.score(pipeline.evaluate(meta, docs), policy="ignore", allow_contract_errors=True)
     return rounded(out.select("model", "prompt_id", "measured", "status", "tracking", "tracking_reasons", "rel_error", "base_score", "effective"), "measured", "rel_error", "base_score", digits=5)
 
 
