@@ -108,3 +108,11 @@ def test_hash_of_the_rules():
     assert masks.rules_hash(masks.rules()) == "bd6de9c8be36f3499ca2e55c1d3c0a99021dcccdecbaa24d45a535eda8dffc08"
     with pytest.raises(ValueError):
         masks.rules(gamma=0)
+
+
+def test_names_with_separators_and_other_case(spark):
+    """A wanted stem may hold separators; suffix and case as in the file system's listing; two files are ambiguous."""
+    files = spark.createDataFrame([("/v/model_VEL_001.mp4", "model_VEL_001.mp4", "model_VEL_001"), ("/v/a-x_9.mov", "a-x_9.mov", "a-x_9"), ("/v/p_two.mp4", "p_two.mp4", "p_two"), ("/v/q-two.mp4", "q-two.mp4", "q-two"), ("/v/xVEL_002.mp4", "xVEL_002.mp4", "xVEL_002")], "path string, name string, stem string")
+    wanted = spark.createDataFrame([(x,) for x in ("VEL_001.mp4", "vel_001.mp4", "X_9.mov", "x_9.mp4", "two.mp4", "VEL_002.mp4", "a-x_9.mov")], "Video_File string")
+    got = {r.Video_File: (r.path, r.matches) for r in metadata.resolve_videos(wanted, files).collect()}
+    assert got == {"VEL_001.mp4": ("/v/model_VEL_001.mp4", 1), "vel_001.mp4": ("/v/model_VEL_001.mp4", 1), "X_9.mov": ("/v/a-x_9.mov", 1), "x_9.mp4": (None, None), "two.mp4": (None, 2), "VEL_002.mp4": (None, None), "a-x_9.mov": ("/v/a-x_9.mov", 1)}
