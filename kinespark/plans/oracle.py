@@ -49,6 +49,10 @@ SMOOTH = """ma as (select *, case when n < 5 then x else (sum(x) over (partition
 NUM = "nu as (select *, row_number() over (partition by object_id order by frame) - 1 as i, count(*) over (partition by object_id) as n from tr)"
 MID = f"{NUM}, mi as (select * from nu where i >= floor(n * 0.15) and i < ceil(n * 0.85))"
 
+DET = """det as (
+  select l_orderkey as video, l_linenumber as frame, l_partkey % 1500 as x1, l_suppkey * 37 % 800 as y1, l_partkey % 1500 + floor(l_quantity * 12)::bigint as x2, l_suppkey * 37 % 800 + floor(l_extendedprice / 250)::bigint as y2,
+         l_quantity as quantity, l_discount * 10 as confidence, ['air', 'rail', 'reg air', 'truck'][l_linenumber % 4 + 1] as class_name, case when l_linestatus = 'O' then 'air-standard' else 'tracking_object' end as hint, (l_returnflag = 'R')::int as pass
+  from lineitem)"""
 RES = """res as (
   select r_name as model, o_orderpriority as metric, o_orderkey as prompt_id, o_totalprice as target, l.measured, l.discount, l.quantity, l.tax, l.lines,
          case o_orderstatus when 'F' then 'valid' when 'O' then 'weak_valid' else 'failed' end as status, case when l.flag = 'R' then 'flagged' else 'pass' end as tracking,
@@ -286,6 +290,32 @@ SQL: dict[str, str] = {
     "near_best": f"with {TR} select object_id as video, frame as candidate, x as score from tr qualify x >= 0.6 * max(x) over (partition by object_id)",
     "init_fallback": f"""with {TR}, e as (select object_id as video, 8 + object_id % 5 as expected from (select distinct object_id from tr)), a as (select object_id as video, count(*) as n from tr where event_type = 'view' group by 1), b as (select object_id as video, count(*) as n from tr where event_type = 'click' group by 1),
       c as (select e.video, case when a.n = expected then 'first' when b.n = expected then 'second' else 'none' end as source, case when a.n = expected then a.n when b.n = expected then b.n else 0 end as n from e left join a using (video) left join b using (video)) select source, count(*) as videos, sum(n)::bigint as prompts from c group by source""",
+    "detector_boxes": f"""with {DET}, s as (select *, greatest(x2 - x1, 1.0) as w, greatest(y2 - y1, 1.0) as h from det where hint = 'tracking_object' or contains(class_name, 'air') or contains('air', class_name)),
+      t as (select *, w * h as area, greatest(w / h, h / w) as aspect, 1 - least(1.0, sqrt(pow((x1 + x2) / 2.0 - 960, 2) + pow((y1 + y2) / 2.0 - 540, 2)) / (sqrt(1920 * 1920 + 1080 * 1080) / 2)) as central from s)
+      select video, frame, class_name, area, {r6("aspect")} as aspect, {r6("confidence * (0.75 + 0.25 * central) * (0.7 + 0.3 * least(1.0, area / (0.18 * 1920 * 1080)))")} as score
+      from t where area > 4 and area <= 0.7 * 1920 * 1080 and aspect <= 8""",
+    "spread_penalties": f"""with {DET}, s as (select *, (x2 - x1) * (y2 - y1) as box, (x2 - x1)::double / (y2 - y1) as aspect from det), t as (select *, confidence * box / 400000 as share from s)
+      select video, frame, {r6("""least(0.95, case when share > 0.45 then least(0.85, (share - 0.45) / 0.35) else 0 end + case when box / 400000.0 > 0.55 and confidence < 0.55 then 0.35 else 0 end
+        + case when aspect > 3 and share > 0.2 then 0.25 else 0 end)::double""")} as penalty from t""",
+    "negative_points": f"""with {DET}, b as (select row_number() over () as id, * from det), p as (select id, video, frame, x1, y1, x2, y2, unnest([{{'x': (x1 + x2) / 2.0, 'y': y1 - 12.0}}, {{'x': (x1 + x2) / 2.0, 'y': y2 + 12.0}}, {{'x': x1 - 12.0, 'y': (y1 + y2) / 2.0}}, {{'x': x2 + 12.0, 'y': (y1 + y2) / 2.0}}]) as p from b),
+      q as (select *, least(greatest(p.x, 0), 1919)::double as px, least(greatest(p.y, 0), 1079)::double as py from p), k as (select *, not (px between x1 and x2 and py between y1 and y2) as out from q)
+      select video, frame, count(*) filter (out) as n, coalesce(sum(px) filter (out), 0) as x, coalesce(sum(py) filter (out), 0) as y from k group by id, video, frame""",
+    "scan_frames": f"""with {TR}, k as (select object_id, frame, frame as i, count(*) over (partition by object_id) as n from tr),
+      m as (select *, greatest(least(greatest(n // 2 - 4, 0) + 8, n) - 8, 0) as lo from k)
+      select object_id, frame, 'start' as mode from m where i < 8 union all select object_id, frame, 'middle' from m where n <= 8 or (i >= lo and i < lo + 8)
+      union all select object_id, frame, 'uniform' from m where n <= 8 or list_contains([floor(j * (n - 1) / 7)::bigint for j in range(8)], i)""",
+    "first_eligible": f"""with {DET} select video, frame, x1 as cx, y1 as cy, greatest(0, x1 - 30) as x1, greatest(0, y1 - 30) as y1, least(1919, x2 + 30) as x2, least(1079, y2 + 30) as y2
+      from det where quantity >= 10 and least(x2 - x1, y2 - y1) + 1 >= 60 and least(x1, y1, 1919 - x2, 1079 - y2) >= 20 qualify row_number() over (partition by video order by frame, det.x1, det.y1, det.x2, det.y2) = 1""",
+    "first_pass": f"""with {DET}, p as (select video % 1000 as video, frame, pass from det), f as (select video, frame, min(pass) as pass from p group by video, frame)
+      select p.video, p.frame, count(*) as n, max(p.pass) as pass from p join f on p.video = f.video and p.frame = f.frame and p.pass = f.pass group by p.video, p.frame""",
+    "tracking_overrides": """with o as (select o_orderkey, o_custkey % 4 as scan, (o_orderkey % 13) / 10.0 as conf, o_orderstatus = 'P' as flag, o_orderpriority = '5-LOW' as other from orders),
+      e as (select *, list_sort(list_filter([case when scan < 1 then 'auto_init_scan_frames must be a positive integer' end, case when conf > 1 then 'yolo_conf must be in [0, 1]' end,
+        case when flag then 'no_auto_init_box must be a boolean' end, case when other then 'unsupported setting colour' end], lambda x: x is not null)) as errors from o)
+      select o_orderkey, array_to_string(errors, '; ') as errors, case when len(errors) = 0 then scan::varchar end as scan, case when len(errors) = 0 then conf::double end as conf, case when len(errors) = 0 then 'true' end as no_box from e""",
+    "mask_controls": f"""with c(video, s0, w0, s1, w1) as (values ('correct_mask', 0, 10, 0, 10), ('stable_wrong_target_30px_offset', 30, 10, 30, 10), ('alternating_width', 0, 28, 0, 3), ('centroid_jitter', 0, 10, 15, 10)),
+      f as (select video, case when i % 2 = 1 then s1 else s0 end as s, case when i % 2 = 1 then w1 else w0 end as w from c, range(40) t(i)),
+      g as (select video, s + (w - 1) / 2.0 - 4.5 as dx, greatest(0, least(s + w, 10) - s)::double as held, w from f)
+      select video as "case", {r6("sqrt(avg(dx * dx))")} as centroid_rmse_px, {r6("avg(held / (w + 10 - held))")} as ground_truth_mask_iou from g group by video""",
     "dq_preflight": r"""with r as (select 'documents' as source, case when text is null or trim(text) = '' then 'empty text' when length(text) < 20 then 'short text' when not regexp_matches(source, '^[A-Za-z0-9_-]+$') then 'source name' end as rule from documents
       union all select 'documents', case when count(*) > 1 then 'repeated id' end from documents group by doc_id union all select 'pages', case when url is null or not regexp_matches(url, '^https?://') then 'not a URL' end from pages) select source, rule, count(*) as n from r where rule is not null group by all""",
     "event_windows": f"select cast(epoch(date_trunc('hour', ts)) as bigint) as start, event_type, count(*) as n, {r6('sum(value)')} as total from events group by 1, 2",

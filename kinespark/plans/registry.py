@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from kinespark import pipeline
 from kinespark.functions import exprs as X
-from kinespark.operators import candidates, evaluators, fits, gates, masks, scoring, sensitivity, windows
+from kinespark.operators import candidates, detections, evaluators, fits, gates, masks, scoring, sensitivity, windows
 from kinespark.plans import adapters as A
+from kinespark.plans import controls
 from kinespark.plans import oracle as O
+from kinespark.sources import overrides
 from kinespark.streaming import landing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -484,6 +486,69 @@ def init_fallback(spark, d):
     return candidates.choose_detector(first, second, expected).groupBy("source").agg(F.count_distinct("video").alias("videos"), F.count("frame").alias("prompts"))
 
 
+# --- detector output, scans, overrides and controls
+
+
+def _detections(spark, d):
+    """Lines of orders as boxes in images of 1920 by 1080 pixels."""
+    own = A.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("video"), F.col("l_linenumber").alias("frame"), (F.col("l_partkey") % 1500).alias("x1"), (F.col("l_suppkey") * 37 % 800).alias("y1"), "l_quantity", "l_extendedprice", (F.col("l_discount") * 10).alias("confidence"),
+        F.col("l_linenumber").alias("class_id"), F.get(F.array(*map(F.lit, ("air", "rail", "reg air", "truck"))), (F.col("l_linenumber") % 4).cast("int")).alias("class_name"), F.when(F.col("l_linestatus") == "O", "air-standard").otherwise("tracking_object").alias("hint"), (F.col("l_returnflag") == "R").cast("int").alias("pass"),
+    )
+    return own.withColumns({"x2": F.col("x1") + F.floor(F.col("l_quantity") * 12), "y2": F.col("y1") + F.floor(F.col("l_extendedprice") / 250), "image_w": F.lit(1920), "image_h": F.lit(1080)}).drop("l_extendedprice")
+
+
+@query
+def detector_boxes(spark, d):
+    return rounded(detections.detector_candidates(_detections(spark, d), F.col("hint")).select("video", "frame", "class_name", "area", "aspect", "score"), "aspect", "score")
+
+
+@query
+def spread_penalties(spark, d):
+    boxes = _detections(spark, d).withColumns({"box_area": (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")), "aspect": (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))})
+    boxes = boxes.withColumns({"fill": F.col("confidence"), "area": F.col("confidence") * F.col("box_area"), "region": F.lit(400000)})
+    return rounded(boxes.select("video", "frame", detections.spread_penalty("area", "box_area", "region", "aspect", "fill").alias("penalty")), "penalty")
+
+
+@query
+def negative_points(spark, d):
+    points = detections.negative_points(F.col("image_w"), F.col("image_h"))
+    total = lambda i: F.aggregate("points", F.lit(0.0), lambda a, p: a + p[i])
+    return _detections(spark, d).withColumn("points", points).select("video", "frame", F.size("points").cast("long").alias("n"), total(0).alias("x"), total(1).alias("y"))
+
+
+@query
+def scan_frames(spark, d):
+    t = A.event_tracks(spark, d).select("object_id", "frame")
+    return reduce(DataFrame.unionByName, [detections.scan_frames(t, USER, 8, m).withColumn("mode", F.lit(m)) for m in ("start", "middle", "uniform")])
+
+
+@query
+def first_eligible(spark, d):
+    shapes = _detections(spark, d).withColumns({"area": F.col("l_quantity"), "cx": F.col("x1"), "cy": F.col("y1")})
+    return detections.first_eligible(shapes, min_area=10, min_side=60, min_margin=20, padding=30)
+
+
+@query
+def first_pass(spark, d):
+    boxes = _detections(spark, d).withColumn("video", F.col("video") % 1000)
+    return detections.first_pass(boxes, ["video"]).groupBy("video", "frame").agg(F.count("*").alias("n"), F.max("pass").alias("pass"))
+
+
+@query
+def tracking_overrides(spark, d):
+    """Orders with settings written as JSON, some of them wrong."""
+    text = F.concat(F.lit('{"scan_frames": '), (F.col("o_custkey") % 4).cast("string"), F.lit(', "yolo_conf": "'), (F.col("o_orderkey") % 13 / 10).cast("string"), F.lit('", "box_disabled": '), F.when(F.col("o_orderstatus") == "P", "3").otherwise('"Yes"'), F.lit(', "'), F.when(F.col("o_orderpriority") == "5-LOW", "colour").otherwise("target_hint"), F.lit('": null}'))
+    out = overrides.tracking_overrides(A.table(spark, d, "orders").select("o_orderkey", text.alias("Tracking_Overrides_JSON")))
+    setting = lambda n: F.try_element_at("overrides", F.lit(n))
+    return out.select("o_orderkey", F.array_join("override_errors", "; ").alias("errors"), setting("auto_init_scan_frames").alias("scan"), setting("yolo_conf").cast("double").alias("conf"), setting("no_auto_init_box").alias("no_box"))
+
+
+@query
+def mask_controls(spark, d):
+    return rounded(controls.errors(controls.mask_runs(spark)).withColumnRenamed("video", "case"), "centroid_rmse_px", "ground_truth_mask_iou")
+
+
 @query
 def dq_preflight(spark, d):
     """Rows of pages and documents that break a rule, by rule."""

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinespark.functions.exprs import clean_json
+from kinespark.functions.exprs import clean_json, positive
 from kinespark.session import ship_package
 
 #: The columns that a metadata table must have.
@@ -77,6 +77,50 @@ def resolve_videos(wanted: DataFrame, files: DataFrame, column: str = "Video_Fil
     return wanted.join(both.select(column, F.size(best).alias("matches"), F.when(F.size(best) == 1, F.array_min(best)["path"]).alias("path")), column, "left")
 
 
+def videos_as_metadata(videos: DataFrame) -> DataFrame:
+    """Metadata where there is none: each video is tracked alone and not measured. Videos are numbered in order of path."""
+    order = Window.orderBy("path")  # names of files only: a listing, not data
+    return videos.select(
+        F.row_number().over(order).alias("Index"), F.col("stem").alias("Prompt_ID"), F.col("name").alias("Video_File"), F.lit("tracking_only").alias("Metric"), F.lit(1).alias("Num_Objects"),
+        F.lit("object_center").alias("Tracking_Objects"), F.lit("none").alias("Calibration_Object"), F.lit("{}").alias("Known_Parameters_JSON"),
+    )
+
+
+def first_existing(wanted: DataFrame, candidates: Column, files: DataFrame) -> DataFrame:
+    """Adds path, the first of a row's candidate paths (an array, nulls skipped) that files has, else null, and searched, the
+    candidates as text. Each candidate meets the listing by equality."""
+    own = wanted.withColumn("_candidates", F.array_compact(candidates))
+    tried = own.select("_candidates").distinct().select("_candidates", F.posexplode("_candidates").alias("place", "path"))
+    found = tried.join(files.select("path").distinct(), "path").groupBy("_candidates").agg(F.min_by("path", "place").alias("path"))
+    return own.join(found, "_candidates", "left").withColumn("searched", F.array_join("_candidates", ", ")).drop("_candidates")
+
+
+def series_from_masks(images: DataFrame) -> DataFrame:
+    """video (the folder, or the one above a folder named masks), path, frame, area, box and place of every mask image whose
+    name is a number; area and box are null where no pixel is set."""
+    parts = F.split("path", "/")
+    video = F.when(F.element_at(parts, -2) == "masks", F.element_at(parts, -3)).otherwise(F.element_at(parts, -2))
+    listed = images.withColumn("frame", F.regexp_extract("path", r"/([0-9]+)\.[^./]+$", 1).try_cast("long")).filter("frame is not null").withColumn("video", video)
+    n = F.col("x1") - F.col("x0") + 1
+    shape = mask_runs(listed).groupBy("path").agg(
+        F.sum(n).cast("double").alias("area"), F.min("x0").alias("box_x"), F.min("y").alias("box_y"), (F.max("x1") - F.min("x0") + 1).alias("box_w"), (F.max("y") - F.min("y") + 1).alias("box_h"),
+        (F.sum((F.col("x0") + F.col("x1")) / 2 * n) / F.sum(n)).alias("cx"), (F.sum(F.col("y") * n) / F.sum(n)).alias("cy"),
+    )
+    return listed.select("video", "path", "frame").join(shape, "path", "left")
+
+
+def with_mask_areas(records: DataFrame, masks: DataFrame, prefer_masks: bool = False) -> DataFrame:
+    """Tracking records, the first of each object and frame, with area from their own number, if positive, or from masks
+    (video, object_id, frame, area), whichever comes first; null for those marked invalid without an area."""
+    keys = ["video", "object_id", "frame"]
+    order = Window.partitionBy(*keys).orderBy("pos", "place")
+    own = records.filter("frame is not null").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    joined = own.join(masks.select(*keys, F.col("area").alias("_mask")), keys, "left")
+    lost = F.coalesce(F.col("valid") == F.lit(False), F.lit(False)) & (F.coalesce("area", F.lit(0.0)) == 0)
+    both = [positive("area"), F.col("_mask")]
+    return joined.withColumn("area", F.when(~lost, F.coalesce(*(both[::-1] if prefer_masks else both)))).drop("_mask")
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """First channel of a PNG with 8 bits a channel and no interlacing."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
