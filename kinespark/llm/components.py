@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from kinespark.llm.common import materialise
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _starred(links: DataFrame) -> bool:
+    """Whether every component is a star: no node has two links to smaller ones, or one to a smaller and one to a larger."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).filter("ups > 1 or (ups > 0 and least = 0)").isEmpty()
 
 
 def star_components(links: DataFrame, label: str = "links") -> DataFrame:
@@ -19,8 +21,7 @@ def star_components(links: DataFrame, label: str = "links") -> DataFrame:
     of each join come from files."""
     first = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     links = materialise(first, label)
-    state = _state(links)
-    while state[0]:
+    while not _starred(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialise(both.groupBy(F.col("a").alias("hub")).agg(F.least(F.min("b"), F.first("a")).alias("to")), label)
         large = links.join(least, F.col("b") == F.col("hub")).select("a", F.col("to").alias("b")).distinct()
@@ -28,7 +29,4 @@ def star_components(links: DataFrame, label: str = "links") -> DataFrame:
         least = materialise(large.groupBy(F.col("a").alias("hub")).agg(F.min("b").alias("to")), label)
         small = large.join(least, F.col("a") == F.col("hub")).select(F.col("b").alias("a"), F.col("to").alias("b")).filter("a > b")
         links = materialise(small.unionByName(least.select(F.col("hub").alias("a"), F.col("to").alias("b"))).distinct(), label)
-        before, state = state, _state(links)
-        if before == state:
-            break
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
