@@ -4,8 +4,10 @@ Documents link if their SimHash fingerprints differ in three bits at most (``sim
 shingles have a Jaccard similarity of ``SIMILAR`` (4/5) or more, as SimHash tells such pairs only from about 0.97 up; groups
 are the connected components of both. For the second, candidates share one of ``BANDS`` bands of ``DEPTH`` minima each: a pair of similarity
 s is missed with probability (1 - s ** DEPTH) ** BANDS, 0.00003 at 0.8 and less above. Each candidate is verified on the
-two texts, so nothing that is less similar links. All of a band's run are compared, long runs in pairs of blocks of ``BLOCK``
-on average. Texts of the same words, and bands with the same texts in a run, count once.
+two texts, so nothing that is less similar links. First each text of a band's run is compared with one lead, whichever bands
+they meet in; then, where a run is not one component yet, those outside of its largest with all others, in blocks of ``BLOCK``
+on average. So a group of near copies of one text takes work in proportion to its size, and no link is lost where it isn't one.
+Texts of the same words, and bands with the same texts in a run, count once.
 
 Null text counts as empty, and texts without a word are copies of each other; a text of under five words is one shingle.
 Of each group one row stays: that of the smallest id (null last), then of the smallest hash of the text. Other columns
@@ -122,37 +124,83 @@ def _known(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
 
-def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(a, b): links whose components are those of all verified candidates among the distinct texts."""
+def runs_of(distinct: DataFrame) -> DataFrame:
+    """(key, words_key, n, lead): the members of each band's run of two or more, and the one among them whose runs are the
+    largest together, as it is the likeliest to be near most others."""
     dealt = distinct.select("words_key", F.explode("bands").alias("key"))
     runs = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("words_key").alias("lo"), F.max("words_key").alias("hi"), F.bit_xor(F.xxhash64("words_key")).alias("all"))
     # bands whose runs have the same members count once
     runs = materialise(runs.filter("n > 1").groupBy("n", "lo", "hi", "all").agg(F.min("key").alias("key")).select("key", "n"), "runs")
-    members = dealt.join(runs, "key").withColumn("most", F.expr(f"(n - 1) div {BLOCK}"))
-    members = members.withColumn("own", F.expr("pmod(xxhash64(words_key, 1), most + 1)")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "most")))
-    members = materialise(members.select("key", "words_key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "members")
-    # each text is read from the one row that stands for it
-    wanted = members.select("words_key").distinct().join(distinct.select("words_key", "best"), "words_key")
+    members = materialise(dealt.join(runs, "key").select("key", "words_key", "n"), "members")
+    weights = materialise(members.groupBy("words_key").agg(F.sum("n").alias("weight")), "weights")
+    leads = members.join(weights, "words_key").groupBy("key").agg(F.max(F.struct("weight", "words_key"))["words_key"].alias("lead"))
+    return materialise(members.join(materialise(leads, "leads"), "key").select("key", "words_key", "n", "lead"), "led")
+
+
+def texts_of(docs: DataFrame, distinct: DataFrame, led: DataFrame) -> DataFrame:
+    """(words_key, text) of each text in a run, read from the one row that stands for it."""
+    wanted = led.select("words_key").distinct().join(distinct.select("words_key", "best"), "words_key")
     wanted = wanted.select("words_key", F.col("best.doc_id").alias("_id"), F.col("best.text_key").alias("_key"))
     own = _known(docs)
     texts = own.join(wanted.hint("shuffle_hash"), own["doc_id"].eqNullSafe(F.col("_id")) & (own["text_key"] == F.col("_key"))).select("words_key", "text")
-    texts = materialise(texts.dropDuplicates(["words_key"]), "texts")
+    return materialise(texts.dropDuplicates(["words_key"]), "texts")
+
+
+def lead_links(led: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): leads, and the members of their runs that are similar to them. What meets in several bands is compared once;
+    a lead's members are dealt in blocks, each with the lead's text."""
+    pairs = materialise(led.filter("words_key <> lead").select("lead", "words_key").distinct(), "pairs")
+    sizes = materialise(pairs.groupBy("lead").agg(F.expr(f"count(*) div {BLOCK}").alias("most")), "sizes")
+    dealt = pairs.join(sizes, "lead").select("lead", "words_key", F.expr("pmod(xxhash64(words_key, 1), most + 1)").alias("block"))
+    own = sizes.select("lead", F.col("lead").alias("words_key"), F.explode(F.sequence(F.lit(0).cast("long"), "most")).alias("block"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        ids, leads = group["words_key"].to_numpy(), group["lead"].to_numpy()
+        each = shingles([words_of(t) for t in group["text"]])
+        lead = each[int(np.flatnonzero(ids == leads)[0])]
+        both = np.array([np.isin(x, lead, assume_unique=True).sum() for x in each], np.int64)
+        near = _alike(both, np.array([*map(len, each)], np.int64), np.int64(len(lead))) & (ids != leads)
+        return pd.DataFrame({"a": leads[near], "b": ids[near]})
+
+    return dealt.unionByName(own).join(texts, "words_key").groupBy("lead", "block").applyInPandas(compare, "a long, b long")
+
+
+def rest_links(led: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): what the links up to roots (node, root) leave open. In each run, members outside of its largest component are
+    compared with all others, in blocks on both sides; two members of the largest are linked as it is."""
+    rooted = led.filter("n > 2").join(roots.withColumnRenamed("node", "words_key"), "words_key", "left").select("key", "words_key", F.coalesce("root", "words_key").alias("root"))
+    rooted = materialise(rooted, "rooted-runs")
+    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("n"))
+    parts = parts.filter("n > main.size").select("key", "main.root", F.expr(f"n div {BLOCK}").alias("rows"), F.expr(f"(n - main.size) div {BLOCK}").alias("columns"))
+    opened = rooted.join(materialise(parts.withColumnRenamed("root", "main"), "open"), "key")
+    every = opened.select("key", "words_key", F.expr("pmod(xxhash64(words_key, 1), rows + 1)").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), "columns")).alias("j"))
+    rest = opened.filter("root <> main").select("key", "words_key", F.explode(F.sequence(F.lit(0).cast("long"), "rows")).alias("i"), F.expr("pmod(xxhash64(words_key, 2), columns + 1)").alias("j"))
+    blocks = materialise(every.unionByName(rest).distinct(), "blocks")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ids = group["words_key"].to_numpy()
         found = np.array(forest(shingles([words_of(t) for t in group["text"]])), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
 
-    return members.join(texts, "words_key").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    return blocks.join(texts, "words_key").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def components(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(node, root) of the groups of texts that SimHash or a verified candidate links."""
+    led = runs_of(distinct)
+    texts = texts_of(docs, distinct, led)
+    first = star_components(lead_links(led, texts).unionByName(simhash_links(distinct)), "near")
+    return star_components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest_links(led, texts, first)), "groups")
 
 
 def simhash_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): each text with the first of its component of fingerprints within three bits."""
+    """(a, b): texts whose fingerprints are within three bits; the first of each fingerprint stands for the others."""
     fps = materialise(distinct.select("words_key", "fp"), "fingerprints")
-    roots = star_components(simhash.links(fps.select("fp").distinct()), "simhash").withColumnRenamed("node", "fp")
-    rooted = materialise(fps.join(roots, "fp", "left").select("words_key", F.coalesce("root", "fp").alias("root")), "rooted")
-    first = rooted.groupBy("root").agg(F.min("words_key").alias("first"))
-    return rooted.join(first, "root").filter(F.col("words_key") != F.col("first")).select(F.col("words_key").alias("a"), F.col("first").alias("b"))
+    first = materialise(fps.groupBy("fp").agg(F.min("words_key").alias("first")), "first")
+    linked = materialise(simhash.links(first.select("fp")), "simhash")
+    side = lambda name: first.select(F.col("fp").alias(f"{name}_fp"), F.col("first").alias(name))
+    linked = linked.select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp")).join(side("a"), "a_fp").join(side("b"), "b_fp").select("a", "b")
+    return linked.unionByName(fps.join(first, "fp").filter("words_key <> first").select(F.col("words_key").alias("a"), F.col("first").alias("b")))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -172,7 +220,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     own = materialise(map_arrow(_known(docs), run, "doc_id long, text_key long, words_key long, fp long, bands array<long>"), "bands")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best")
     distinct = materialise(own.groupBy("words_key").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
-    roots = star_components(links(docs, distinct).unionByName(simhash_links(distinct)), "near")
+    roots = components(docs, distinct)
     groups = distinct.join(roots.withColumnRenamed("node", "words_key"), "words_key", "left").groupBy(F.coalesce("root", "words_key").alias("root")).agg(F.min("best").alias("best"))
     return rows_of(docs, groups.select(F.col("best.doc_id").alias("id"), F.col("best.text_key").alias("key")))
 
