@@ -426,6 +426,23 @@ def test_near_copies_are_those_of_similar_shingles(spark, monkeypatch):
     assert sorted(kept) == sorted(set(want.values())) and 10 < len(kept) < 60
 
 
+def test_chains_that_leads_do_not_link(spark, monkeypatch):
+    """One run of two chains of texts, of which only neighbours are similar, and its largest component so far."""
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    chains = [words(240 + k, 300, 10**5).split() for k in range(2)]
+    texts = [" ".join(chain[at : at + 120]) for chain in chains for at in range(0, 120, 10)]
+    sets = [brute_shingles(t) for t in texts]
+    want = brute_components(range(len(texts)), lambda a, b: brute_similar(sets[a], sets[b]))
+    assert len(set(want.values())) == 2
+    led = spark.createDataFrame([(7, k, len(texts), 3) for k in range(len(texts))], "key long, words_key long, n long, lead long")
+    df = spark.createDataFrame(list(enumerate(texts)), "words_key long, text string")
+    first = star_components(near_copies.lead_links(led, df))
+    assert {r.node: r.root for r in first.collect()} == {3: 2, 4: 2}
+    rest = near_copies.rest_links(led, df, first).unionByName(first.selectExpr("node as a", "root as b"))
+    got = {r.node: r.root for r in star_components(rest).collect()}
+    assert got == {k: v for k, v in want.items() if k != v}
+
+
 def test_pairs_at_the_limit_share_a_band():
     rng, found = np.random.default_rng(9), 0
     for _ in range(400):
