@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinespark.llm import bpe, fingerprints, katz, language_id, line_dedup, mixing, simhash, topk, toxicity, training_order
+from kinespark.llm import bpe, conversations, fingerprints, katz, language_id, line_dedup, merkle, mixing, packing, simhash, topk, toxicity, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_edits(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_language_id, op2_document_fingerprints, op3_mix_sources, op4_toxicity_chain, op5_training_order,
         op6_simhash_near_dedup, op7_bpe_round_trip, op8_exact_top_k, op9_katz_scores, op10_line_dedup,
+        op11_merkle_manifest, op12_conversation_trie, op13_pack_sequences,
     )
     return {f.__name__: f for f in every}
 
