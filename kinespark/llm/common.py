@@ -104,3 +104,10 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
 def words_of(text: str | None) -> list[bytes]:
     """Words of [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, as UTF-8; bytes.lower and bytes.split know ASCII alone."""
     return text.encode("utf-8", "replace").lower().split() if text else []
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned crc32 of a SQL text of ASCII characters, bit by bit, for DuckDB."""
+    step = "list_reduce([xor(crc, ch), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda crc, ch: {step}), 4294967295)"

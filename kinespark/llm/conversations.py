@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import map_arrow, materialise, ready
+from kinespark.llm.common import crc32_sql, materialise, ready
 from kinespark.llm.ordered import scanned
 
 #: The two largest primes below 2^31: products fit 64 bits.
@@ -226,3 +226,31 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     """The trie of the rebuilt conversations."""
     convs, own = rebuilt(materialise(numbered(turns), "turns"))
     return trie(convs, own)
+
+
+#: Whole sequences as keys.
+SQL = f"""
+WITH own AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own) q),
+built AS (
+    SELECT c.conv_id, 0 AS part, o.i, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.i < c.h
+    UNION ALL
+    SELECT c.conv_id, 1, o.i, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.i >= c.h),
+prefixes AS (
+    SELECT conv_id, count(*) OVER w AS depth, list({{'role': role, 'text': text}}) OVER w AS turns, length(text) AS chars FROM built WINDOW w AS (PARTITION BY conv_id ORDER BY part, i ROWS UNBOUNDED PRECEDING)
+    UNION ALL
+    SELECT conv_id, 0, CAST([] AS STRUCT(role VARCHAR, text VARCHAR)[]), 0 FROM convs),
+last AS (SELECT conv_id, max(depth) AS depth FROM prefixes GROUP BY conv_id),
+nodes AS (
+    SELECT p.depth, p.turns, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(p.chars) AS chars, sha256(coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (WHERE p.depth = l.depth), '')) AS ends_sha256
+    FROM prefixes p JOIN last l ON l.conv_id = p.conv_id GROUP BY p.depth, p.turns),
+linked AS (SELECT n.*, u.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes u ON u.depth = n.depth - 1 AND u.turns = n.turns[1:n.depth - 1]),
+kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM linked WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT l.*, coalesce(k.n, 0) AS n_children FROM linked l LEFT JOIN kids k USING (conv_id, depth)),
+below AS (SELECT turns[1:d] AS turns, d AS depth, n_children, (n_convs - 1) * chars AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM full_nodes) q),
+sums AS (SELECT depth, turns, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM below GROUP BY depth, turns)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, f.parent_conv_id, f.n_convs, f.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN sums s ON s.depth = f.depth AND s.turns = f.turns
+"""

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import id_bucket, materialise
+from kinespark.llm.common import crc32_sql, id_bucket, materialise
 from kinespark.llm.ordered import scanned
 from kinespark.session import ship_package
 
@@ -177,3 +177,41 @@ def verified_edits(docs: DataFrame) -> DataFrame:
     told = proofs(docs.select("doc_id", "source", leaf().alias("leaf"), now.alias("now")))
     told = told.withColumn("folded_root", folded_root(F.coalesce("now", "leaf"), F.col("path")))
     return told.select("doc_id", "leaf", "subroot", "root", proof_of(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _leaf_sql(text: str) -> str:
+    each = {c: f"CAST({c} AS VARCHAR)" for c in FIELDS} | {"text": text}
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({v})) || ':' || {v} END" for c, v in each.items()) + ")"
+
+
+def _raised_sql(name: str, nodes: str) -> str:
+    return f"""{name} AS (
+    SELECT tree, 0 AS lvl, idx, node FROM {nodes}
+    UNION ALL
+    SELECT tree, lvl + 1, idx // 3, sha256(string_agg(node, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM {name}) q WHERE c > 1 GROUP BY tree, lvl, idx // 3)"""
+
+
+#: The trees and proofs by recursion.
+SQL = f"""
+WITH RECURSIVE leaves AS (
+    SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, row_number() OVER () AS r
+    FROM (SELECT doc_id, source, {_leaf_sql("text")} AS leaf, {_leaf_sql("CASE WHEN doc_id IS NOT NULL AND " + crc32_sql("CAST(doc_id AS VARCHAR)") + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS edited FROM documents) d),
+first AS (SELECT tree, idx, leaf AS node FROM leaves),
+{_raised_sql("inner_nodes", "first")},
+subroots AS (SELECT 0 AS tree, tree AS idx, node FROM inner_nodes QUALIFY lvl = max(lvl) OVER (PARTITION BY tree)),
+{_raised_sql("top_nodes", "subroots")},
+steps AS (
+    SELECT l.r, n.lvl, coalesce(string_agg(n.node, '' ORDER BY n.idx) FILTER (WHERE n.idx < l.idx // (3 ** n.lvl)::BIGINT), '') AS before, coalesce(string_agg(n.node, '' ORDER BY n.idx) FILTER (WHERE n.idx > l.idx // (3 ** n.lvl)::BIGINT), '') AS after
+    FROM leaves l JOIN inner_nodes n ON n.tree = l.tree AND n.idx // 3 = l.idx // (3 ** (n.lvl + 1))::BIGINT JOIN (SELECT tree, max(lvl) AS most FROM inner_nodes GROUP BY tree) m ON m.tree = l.tree AND n.lvl < m.most GROUP BY l.r, n.lvl
+    UNION ALL
+    SELECT l.r, m.most + n.lvl, coalesce(string_agg(n.node, '' ORDER BY n.idx) FILTER (WHERE n.idx < l.tree // (3 ** n.lvl)::BIGINT), ''), coalesce(string_agg(n.node, '' ORDER BY n.idx) FILTER (WHERE n.idx > l.tree // (3 ** n.lvl)::BIGINT), '')
+    FROM leaves l JOIN (SELECT tree, max(lvl) AS most FROM inner_nodes GROUP BY tree) m ON m.tree = l.tree JOIN top_nodes n ON n.idx // 3 = l.tree // (3 ** (n.lvl + 1))::BIGINT AND n.lvl < (SELECT max(lvl) FROM top_nodes) GROUP BY l.r, m.most, n.lvl),
+folds AS (
+    SELECT r, 0 AS lvl, edited AS node FROM leaves
+    UNION ALL
+    SELECT f.r, f.lvl + 1, sha256(s.before || f.node || s.after) FROM folds f JOIN steps s ON s.r = f.r AND s.lvl = f.lvl),
+ends AS (SELECT r, node FROM folds QUALIFY lvl = max(lvl) OVER (PARTITION BY r))
+SELECT l.doc_id, l.leaf, s.node AS subroot, t.node AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.node AS folded_root, e.node = t.node AS verified
+FROM leaves l JOIN subroots s ON s.idx = l.tree JOIN ends e ON e.r = l.r LEFT JOIN (SELECT r, string_agg(before || after, '' ORDER BY lvl) AS proof FROM steps GROUP BY r) p ON p.r = l.r,
+    (SELECT node FROM top_nodes ORDER BY lvl DESC LIMIT 1) t
+"""

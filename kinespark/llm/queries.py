@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.SQL, "op8_exact_top_k": topk.SQL}
+    return {"op3_mix_sources": mixing.SQL, "op8_exact_top_k": topk.SQL, "op11_merkle_manifest": merkle.SQL, "op12_conversation_trie": conversations.SQL}

@@ -315,3 +315,23 @@ def test_differencing_equals_whole_tuples(seed):
     sizes, k = rng.choice(10**9, 40, replace=False) + 1, int(rng.integers(2, 9))
     label = packing.differenced(sizes, k)
     assert sorted(np.bincount(label, sizes, k).astype(int).tolist(), reverse=True) == plain_differencing(sizes.tolist(), k)
+
+
+@pytest.mark.parametrize("name", ["op11_merkle_manifest", "op12_conversation_trie"])
+def test_sql_agrees_on_odd_rows(spark, name):
+    """The SQL on nulls, repeats and missing bases too."""
+    import duckdb
+
+    con = duckdb.connect()
+    rows = [(k, f"t{k}\n{k % 3}", ["a", "b", None, "a", "ü"][k % 5]) for k in range(60)] + [(None, None, None), (None, "\n", "a"), (3, "\n", "Z"), (3, "\n", "Z")]
+    if name.startswith("op11"):
+        own = docs_of(spark, rows)
+        con.register("documents", own.toArrow())
+        want = told(merkle.verified_edits(own))
+    else:
+        own = turns_of(spark, conversation_rows(seed=4, convs=120))
+        con.register("conversations", own.toArrow())
+        want = nodes_of(conversations.prefix_trie(own))
+    out = con.sql(queries.oracle_sql()[name])
+    columns = COLUMNS if "conv_id" in out.columns else ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    assert sorted(out.select(*columns).fetchall(), key=repr) == sorted(want, key=repr)
