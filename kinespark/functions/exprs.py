@@ -97,8 +97,9 @@ def base_score(error, tau) -> Column:
 
 
 def component_score(value, good, bad, high_is_bad, gamma) -> Column:
-    """1 at the good value or better, 0 at the bad one or worse, 1 - progress^gamma between; null for null."""
-    v, g, b = _c(value), _c(good), _c(bad)
+    """1 at the good value or better, 0 at the bad one or worse, 1 - progress^gamma between; null where there is no finite
+    number."""
+    v, g, b = finite(value), _c(good), _c(bad)
     progress = F.when(_c(high_is_bad), (v - g) / (b - g)).otherwise((g - v) / (g - b))
     return F.when(v.isNotNull(), F.lit(1.0) - F.pow(F.least(F.greatest(progress, F.lit(0.0)), F.lit(1.0)), _c(gamma)))
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespark.functions.exprs import positive, reasons
-from kinespark.operators.windows import ordered
 
 MIN_SHARE, MIN_EXTENT = 0.50, 0.75
 
@@ -14,21 +13,23 @@ MIN_SHARE, MIN_EXTENT = 0.50, 0.75
 def tracking_gate(records: DataFrame, expected: DataFrame | int = 1, video: str = "video", total: str | None = None, min_share: float = MIN_SHARE, min_extent: float = MIN_EXTENT) -> DataFrame:
     """records: video, object_id, frame, x, y, valid, diameter; a video without frame entries has rows without frame and
     object. An object counts when it is valid in half of the video's frame entries; the one with most valid records among
-    those, the first met of equal ones, tells how far things moved. expected: objects a video, a number or a table (video,
+    those tells how far things moved; of equal ones the one that was met first (by pos and place where records have them, else
+    by frame, then the smaller id). expected: objects a video, a number or a table (video,
     expected), one at least. total names a column with the number of frame entries; without it, distinct frames count."""
     there = F.col("frame").isNotNull()
     valid = there & F.coalesce("valid", F.lit(True)) & F.col("x").isNotNull() & F.col("y").isNotNull()
     frames = records.groupBy(video).agg((F.coalesce(F.max(total), F.lit(0)) if total else F.count_distinct("frame")).alias("frames"))
-    w = ordered([video, "object_id"])
+    met = ["pos", "place"] if {"pos", "place"} <= set(records.columns) else ["frame"]
+    w = Window.partitionBy(video, "object_id").orderBy(*met)
     points = records.filter(valid).withColumn("way", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
     moved = points.groupBy(video, "object_id").agg(
         F.count("*").alias("n_valid"), F.coalesce(F.sum("way"), F.lit(0.0)).alias("path"), F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("extent")
     )
-    sizes = records.filter(there).groupBy(video, "object_id").agg(F.percentile(positive("diameter"), F.lit(0.5)).alias("diameter"), F.min("frame").alias("first_frame"))
+    sizes = records.filter(there).groupBy(video, "object_id").agg(F.percentile(positive("diameter"), F.lit(0.5)).alias("diameter"), F.min(F.struct(*met)).alias("met"))
     objects = sizes.join(moved, [video, "object_id"], "left").join(frames, video).withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
     counted = F.col("n_valid") / F.greatest("frames", F.lit(1)) >= min_share
-    order = F.struct(F.col("n_valid"), -F.col("first_frame"))
-    first = F.max_by(F.when(counted, F.struct("object_id", "n_valid", "path", "extent", "diameter")), F.when(counted, order)).alias("primary")
+    order = F.struct(-F.col("n_valid"), "met", "object_id")
+    first = F.min_by(F.when(counted, F.struct("object_id", "n_valid", "path", "extent", "diameter")), F.when(counted, order)).alias("primary")
     told = frames.join(objects.groupBy(video).agg(F.count_if(counted).alias("counted"), first), video, "left").withColumn("counted", F.coalesce("counted", F.lit(0)))
     told = told.withColumn("expected", F.lit(expected)) if isinstance(expected, int) else told.join(expected, video, "left")
     told = told.withColumn("expected", F.greatest(F.coalesce("expected", F.lit(1)), F.lit(1)))

@@ -68,7 +68,8 @@ def diagnostics(rows: DataFrame, keys: list[str], ious: DataFrame | None = None)
     enough = F.col("n_valid") >= MIN_VALID
     out = out.withColumns({
         "middle_coverage": F.col("n_valid") / F.greatest("n_middle", F.lit(1)), "area_ratio_p95_p05": F.when(enough & (F.col("p05") > 0), F.col("p95") / F.col("p05")),
-        "area_cv": F.when(enough, F.col("area_cv")), "max_centroid_step_norm_by_diameter": F.try_divide("max_step", "diameter"), "translation_aligned_iou_median": F.col("iou_median"),
+        **{c: F.when(enough, F.col(c)) for c in ("area_cv", "area_mean", "p05", "p50", "p95", "trend_slope", "trend_r2", "trend_scale_ratio")},
+        "max_centroid_step_norm_by_diameter": F.try_divide("max_step", "diameter"), "translation_aligned_iou_median": F.col("iou_median"),
     }).drop("iou_median")
     found = mask_reasons()
     return out.withColumn("reasons", found).withColumn("decision", decision(F.col("reasons"))).withColumn("status", mask_status(F.col("reasons")))

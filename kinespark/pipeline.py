@@ -3,10 +3,11 @@ by video; nothing is collected but the counts that decide whether a report is re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.functions.exprs import canonical_id, mask_centre, relative_error
+from kinespark.functions.exprs import canonical_id, equivalent_diameter, finite, mask_centre, relative_error
 from kinespark.operators import evaluators, gates, masks, scoring
 from kinespark.sources import metadata as meta_source
 from kinespark.sources import sinks, tracking
@@ -20,7 +21,26 @@ def parameters(metadata: DataFrame) -> DataFrame:
     own = meta_source.with_parameters(own) if "Known_Parameters_JSON" in own.columns else own
     names = {"Motion_Axis": "motion_axis", "Scale_Mode": "scale_mode", "Calibration_Dimension": "calibration_dimension", "Calibration_Value_m": "calibration_value", "Target_Value": "target_value"}
     own = own.withColumns({b: F.col(a) for a, b in names.items() if a in own.columns})
-    return own.withColumns({"video": F.col("Prompt_ID"), "metric": F.col("Metric"), "expected": F.greatest(F.coalesce(F.col("Num_Objects").try_cast("int"), F.lit(1)), F.lit(1))})
+    return own.withColumns({"evaluator": F.col("Evaluator"), "video": F.col("Prompt_ID"), "metric": F.col("Metric"), "expected": F.greatest(F.coalesce(F.col("Num_Objects").try_cast("int"), F.lit(1)), F.lit(1))})
+
+
+def gate_records(records: DataFrame) -> DataFrame:
+    """Tracking records as the gate takes them: a place is the centroid's or else the coordinates', a diameter that of the
+    area or else of the box; entries: how many frames are listed."""
+    two = F.size("centroid") >= 2
+    place = lambda i, c: F.when(two, F.get("centroid", F.lit(i))).otherwise(F.col(c))
+    side = lambda i: F.get("box", F.lit(i + 2)) - F.get("box", F.lit(i)) + 1
+    entries = F.max(F.col("pos") + 1).over(Window.partitionBy("video"))
+    own = [finite(place(0, "x")).alias("x"), finite(place(1, "y")).alias("y"), "valid", equivalent_diameter("area", side(0), side(1)).alias("diameter")]
+    return records.select("video", "object_id", F.when(F.col("pos").isNotNull(), F.col("frame")).alias("frame"), *own, "pos", "place", F.coalesce(entries, F.lit(0)).alias("entries"))
+
+
+def without_documents(estimates: DataFrame, errors: DataFrame) -> DataFrame:
+    """Videos whose document gives no track (errors: video, error) failed, unless their evaluator isn't known."""
+    bad = F.col("format_error").isNotNull() & ~F.startswith("failure_reason", F.lit("unknown_evaluator:"))
+    out = estimates.join(errors.withColumnRenamed("error", "format_error"), "video", "left")
+    lost = {c: F.when(~bad, F.col(c)) for c in ("measured", "unit", "fit_r2", "scale_m_per_px", "given")}
+    return out.withColumns(lost | {"status": F.when(bad, "failed").otherwise(F.col("status")), "failure_reason": F.when(bad, "failed").otherwise(F.col("failure_reason"))}).drop("format_error")
 
 
 def mask_series(records: DataFrame) -> DataFrame:
@@ -38,14 +58,14 @@ def evaluate(metadata: DataFrame, documents: DataFrame, ious: DataFrame | None =
     iou_median from the pixels. One result for each row of metadata: measurement, its error, the tracking gate and the
     quality of the masks. unstable="skip" makes a video fail whose masks are to be kept out, with mask_area_unstable."""
     own = parameters(metadata)
-    raw = tracking.records(documents, "video", "text")
+    # four branches read the records: parsed once, by video, and kept as far as memory and disk allow
+    raw = tracking.records(documents, "video", "text").repartition("video").persist(StorageLevel.MEMORY_AND_DISK)
     points = tracking.normalised(raw)
-    estimates = evaluators.estimate(points, own, strict).select("video", F.col("status").alias("status"), "measured", "unit", "fit_r2", F.col("scale").alias("scale_m_per_px"), F.col("reason").alias("failure_reason"))
-    sized = raw.withColumn("diameter", F.coalesce("given_diameter", F.sqrt(4 * F.when(F.col("area") > 0, F.col("area")) / F.pi())))
-    entries = raw.groupBy("video").agg(F.count_distinct("pos").alias("entries"))
-    with_total = sized.join(entries, "video").select("video", "object_id", "frame", F.coalesce(F.get("centroid", F.lit(0)), "x").alias("x"), F.coalesce(F.get("centroid", F.lit(1)), "y").alias("y"), "valid", "diameter", "entries")
-    gate = gates.tracking_gate(with_total, own.select("video", "expected"), total="entries")
-    gate = gate.select("video", F.col("status").alias("tracking"), F.concat_ws(";", "reasons").alias("tracking_reasons"), F.col("counted").alias("actual_objects"), "path_norm", "extent_norm")
+    estimates = evaluators.estimate(points, own, strict).select("video", "status", "measured", "unit", "fit_r2", F.col("scale").alias("scale_m_per_px"), F.col("reason").alias("failure_reason"), F.col("error").alias("given"))
+    estimates = without_documents(estimates, tracking.track_errors(raw, points))
+    gate = gates.tracking_gate(gate_records(raw), own.select("video", "expected"), total="entries")
+    broken = raw.groupBy("video").agg(F.max(F.when(F.col("error") == tracking.NOT_JSON, "tracking_json_unreadable:JSONDecodeError").when(F.col("error") == tracking.NO_DOCUMENT, "tracking_json_unreadable:ValueError")).alias("broken"))
+    gate = gate.join(broken, "video").select("video", F.col("status").alias("tracking"), F.coalesce("broken", F.concat_ws(";", "reasons")).alias("tracking_reasons"), F.col("counted").alias("actual_objects"), "path_norm", "extent_norm")
     objects = masks.diagnostics(mask_series(raw), ["video", "object_id"], ious)
     keep = F.bool_and(F.col("decision") == "keep").alias("stable")
     quality = masks.video_quality(objects, ["video"]).join(objects.groupBy("video").agg(keep), "video")
@@ -57,11 +77,11 @@ def evaluate(metadata: DataFrame, documents: DataFrame, ious: DataFrame | None =
     out = out.withColumns({"tracking": F.coalesce("tracking", F.lit("flagged")), "tracking_reasons": F.when(lost, "tracking_json_missing").otherwise(F.col("tracking_reasons"))})
     if unstable == "skip":
         bad = F.coalesce(~F.col("stable"), F.lit(False))
-        gone = {"measured": F.when(~bad, F.col("measured")), "fit_r2": F.when(~bad, F.col("fit_r2")), "status": F.when(bad, "failed").otherwise(F.col("status")), "failure_reason": F.when(bad, "mask_area_unstable").otherwise(F.col("failure_reason"))}
+        gone = {"given": F.when(~bad, F.col("given")), "measured": F.when(~bad, F.col("measured")), "fit_r2": F.when(~bad, F.col("fit_r2")), "status": F.when(bad, "failed").otherwise(F.col("status")), "failure_reason": F.when(bad, "mask_area_unstable").otherwise(F.col("failure_reason"))}
         out = out.withColumns(gone)
     energy = F.col("metric").isin("energy", "mechanical_energy_conservation") | (F.coalesce(F.col("Target_Type"), F.lit("")) == "energy_conservation_ratio" if "Target_Type" in own.columns else F.lit(False))
-    error = relative_error("measured", "target", None, "unit", "Target_Unit" if "Target_Unit" in own.columns else None, energy)
-    return out.withColumn("rel_error", error).drop("video", "stable")
+    error = relative_error("measured", "target", "given", "unit", "Target_Unit" if "Target_Unit" in own.columns else None, energy)
+    return out.withColumn("rel_error", error).drop("video", "stable", "given")
 
 
 def score(results: DataFrame, metadata: DataFrame | None = None, **options) -> DataFrame:

@@ -92,12 +92,13 @@ SUM = f"""count(*) as n_total, count(*) filter (both_) as n_both_gates_pass, cou
   {r6("quantile_cont(relative_error, 0.5) filter (both_)")} as median_error_both_gates, {r6("quantile_cont(relative_error, 0.9) filter (effective)")} as p90_error_effective,
   {r6("count(*) filter (effective) / count(*)")} as effective_rate, {r6("count(*) filter (tp) / count(*)")} as tracking_pass_rate"""
 
-LINE_SHARE = {"area_ratio_p95_p05": "l_quantity / 50", "area_cv": "l_discount * 10", "max_log_jump": "l_tax * 10", "translation_aligned_iou_median": "l_quantity / 60", "middle_coverage": "l_discount * 5"}
+LINE_SHARE = {"area_ratio_p95_p05": "l_quantity / 50", "area_cv": "l_discount * 10", "max_log_jump": "case when l_linenumber < 5 or l_linenumber > 6 then l_tax * 10 end", "translation_aligned_iou_median": "l_quantity / 60", "middle_coverage": "l_discount * 5"}
 
 
 def _line_score(n: str) -> str:
     g, b, h = COMPONENTS[n]
-    return curve(f"({g} + ({b} - {g}) * ({LINE_SHARE[n]}))", g, b, h)
+    value = f"({g} + ({b} - {g}) * ({LINE_SHARE[n]}))"
+    return f"case when {value} is not null then {curve(value, g, b, h)} end"
 
 
 def _grid() -> str:
@@ -141,6 +142,18 @@ IOU = f"""{PX}, us as (select *, row_number() over (partition by video order by
   un as (select video, frame, ref, count(*) as u from (select * from mv union select * from rp) group by all), co as (select video, frame, count(*) as c from mv join rp using (video, frame, ref, x, y) group by all),
   io as (select un.video, un.frame, ref, coalesce(c, 0) / u as iou from un left join co on co.video = un.video and co.frame = un.frame)"""
 
+EDGES = f"""with {TR}, c as (select *, object_id % 12 as k, sqrt(4 * area / pi()) as da from tr),
+  p as (select *, sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) as way from c where valid window w as (partition by object_id order by frame)),
+  s as (select object_id, any_value(k) as k, count(*) as n, median(case when k = 2 then sqrt(50) when area > 0 then da end) as gate_dia from c group by object_id),
+  e as (select object_id, count(*) as nv, regr_slope(case when k = 3 then x / 1000 else x end, t) as slope, regr_r2(case when k = 3 then x / 1000 else x end, t) as r2, coalesce(sum(way), 0) as path, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) as extent,
+    median(case when k = 2 then sqrt(50) when k = 7 then 40.0 when area > 0 then da end) as dia from p group by object_id),
+  j as (select s.*, coalesce(nv, 0) as nv, slope, r2, path, extent, dia, coalesce(nv, 0) / n >= 0.5 as counted, k in (4, 11) as unread from s left join e using (object_id)),
+  m as (select *, case when k = 9 then 'unknown_evaluator:eval_x' when k in (4, 5, 10, 11) or nv = 0 then 'failed' when nv < 4 then 'insufficient_frames' end as why from j),
+  v as (select *, case when why is null then abs(slope) * 0.1 / dia end as measured, case when why is not null then 'failed' else {r2_status("r2")} end as status,
+    coalesce(why, case when r2 >= 0.85 then '' when r2 >= 0.65 then 'low_fit_r2' else 'fit_failed' end) as reason,
+    list_sort(list_filter([case when not counted or k = 3 then 'object_count_mismatch' end, case when counted and extent / gate_dia < 0.75 then 'no_meaningful_motion' end, case when not counted then 'no_counted_object' end], lambda q: q is not null)) as rs from m)"""
+
+
 def _slope(low: str, high: str, name: str) -> str:
     return f"{name} as (select object_id, count(*) as n, regr_slope(x, t) as slope, regr_r2(x, t) as r2 from ww where i >= {low} and i < {high} group by object_id)"
 
@@ -210,15 +223,15 @@ SQL: dict[str, str] = {
       p as (select *, sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) as way from r where ok window w as (partition by video, object_id order by frame)),
       o as (select video, object_id, count(*) as nv, coalesce(sum(way), 0) as path, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) as extent from p group by all),
       dd as (select video, object_id, quantile_cont(dia, 0.5) filter (dia > 0) as dia, min(frame) as ff from r group by all), j as (select dd.*, coalesce(nv, 0) as nv, path, extent, frames, coalesce(nv, 0) / greatest(frames, 1) >= 0.5 as counted from dd left join o using (video, object_id) join fr using (video)),
-      c as (select video, any_value(frames) as frames, count(*) filter (counted) as counted from j group by video), b as (select * exclude (counted, frames) from j where counted qualify row_number() over (partition by video order by nv desc, ff) = 1),
+      c as (select video, any_value(frames) as frames, count(*) filter (counted) as counted from j group by video), b as (select * exclude (counted, frames) from j where counted qualify row_number() over (partition by video order by nv desc, ff, object_id) = 1),
       z as (select c.video, frames, counted, coalesce(object_id, -1) as primary_object, path / dia as pn, extent / dia as en, list_sort(list_filter([case when counted <> 1 then 'object_count_mismatch' end, case when extent / dia < 0.75 then 'no_meaningful_motion' end, case when counted = 0 then 'no_counted_object' end], lambda q: q is not null)) as rs from c left join b on b.video = c.video)
       select video, frames, counted, primary_object, {r6('pn')} as path_norm, {r6('en')} as extent_norm, array_to_string(rs, ';') as reasons, case when len(rs) = 0 then 'pass' else 'flagged' end as status from z""",
-    "mask_reasons_decision": f"""with {TR}, {NUM}, mi as (select object_id, frame, case when valid then area end as a, case when valid then x end as w, case when valid then y + 1 end as h, case when valid then y end as cy, case when valid then x end as cx from nu where i >= floor(n * 0.15) and i < ceil(n * 0.85)),
+    "mask_reasons_decision": f"""with {TR}, {NUM}, mi as (select object_id, frame, case when ok then area end as a, case when ok then x end as w, case when ok then y + 1 end as h, case when ok then y end as cy, case when ok then x end as cx from (select *, valid and (object_id % 10 <> 0 or frame % 9 = 0) as ok from nu) where i >= floor(n * 0.15) and i < ceil(n * 0.85)),
       st as (select *, sqrt(pow(cx - lag(cx) {W}, 2) + pow(cy - lag(cy) {W}, 2)) as step, greatest(w / h, h / w) as asp from mi),
       sh as (select object_id, count(*) as n_middle, count(a) as n_valid, quantile_cont(a, 0.05) as p05, quantile_cont(a, 0.95) as p95, stddev_pop(a) / avg(a) as area_cv, stddev_pop(w) / avg(w) as wcv, stddev_pop(h) / avg(h) as hcv, stddev_pop(asp) / avg(asp) as acv, max(step) as ms, median(sqrt(4 * a / pi())) as dia from st group by object_id),
       va as (select *, row_number() {W} - 1 as k, count(*) over (partition by object_id) as m, abs(ln(a) - ln(lag(a) {W})) as jump from mi where a is not null),
       ju as (select object_id, max(jump) as mj, exp(abs(arg_max(ln(a), k) - arg_min(ln(a), k))) as tsr, regr_r2(ln(a), k / greatest(m - 1, 1)) as tr2 from va group by object_id),
-      z as (select object_id, n_middle, n_valid, n_valid / n_middle as mc, case when n_valid >= 6 and p05 > 0 then p95 / p05 end as ratio, case when n_valid >= 6 then area_cv end as area_cv, case when n_valid >= 2 then wcv end as wcv, case when n_valid >= 2 then hcv end as hcv, case when n_valid >= 2 then acv end as acv, mj, tsr, coalesce(tr2, 0) as tr2, ms / dia as cs from sh left join ju using (object_id)),
+      z as (select object_id, n_middle, n_valid, n_valid / n_middle as mc, case when n_valid >= 6 and p05 > 0 then p95 / p05 end as ratio, case when n_valid >= 6 then area_cv end as area_cv, case when n_valid >= 2 then wcv end as wcv, case when n_valid >= 2 then hcv end as hcv, case when n_valid >= 2 then acv end as acv, mj, case when n_valid >= 6 then tsr end as tsr, case when n_valid >= 6 then coalesce(tr2, 0) end as tr2, ms / dia as cs from sh left join ju using (object_id)),
       y as (select *, list_filter([case when n_valid < 6 then 'insufficient_valid_middle_frames' end, case when mc < 0.7 then 'low_middle_coverage' end, case when ratio > 2 then 'large_area_ratio' end, case when area_cv > 0.25 then 'large_area_cv' end, case when mj > 0.45 then 'sudden_area_jump' end,
         case when wcv > 0.2 then 'large_bbox_width_cv' end, case when hcv > 0.2 then 'large_bbox_height_cv' end, case when acv > 0.2 then 'large_bbox_aspect_cv' end, case when cs > 2.5 then 'large_centroid_jump' end, case when tsr >= 1.6 and tr2 >= 0.65 and not coalesce(mj > 0.45, false) then 'smooth_scale_change_possible_depth_motion' end], lambda q: q is not null) as rs from z)
       select object_id, n_middle, n_valid, {r6('mc')} as middle_coverage, {r6('ratio')} as area_ratio_p95_p05, {r6('area_cv')} as area_cv, {r6('wcv')} as bbox_width_cv, {r6('mj')} as max_log_jump, {r6('tsr')} as trend_scale_ratio, {r6('tr2')} as trend_r2, {r6('cs')} as max_centroid_step_norm_by_diameter, array_to_string(rs, ';') as reasons,
@@ -228,7 +241,7 @@ SQL: dict[str, str] = {
     "mask_geometry": f"with {PX} select video, frame, area, x1, y1, x2, y2, {r6('cx')} as cx, {r6('cy')} as cy from geo",
     "mask_run_iou": f"with {IOU} select video, frame, ref, {r6('iou')} as iou from io",
     "mask_iou_stats": f"with {IOU} select video, {r6('median(iou)')} as iou_median, {r6('min(iou)')} as iou_min, count(*) as iou_n, any_value(ref) as iou_frame from io group by video",
-    "component_scores": " union all ".join(f"select '{n}' as component, count(*) as n, {r6('avg(s)')} as mean, {r6('min(s)')} as least, count(*) filter (s >= 1) as perfect from (select {_line_score(n)} as s from lineitem)" for n in LINE_SHARE),
+    "component_scores": " union all ".join(f"select '{n}' as component, count(*) as n, {r6('avg(s)')} as mean, {r6('min(s)')} as least, count(*) filter (s >= 1) as perfect from (select {_line_score(n)} as s from lineitem) where s is not null" for n in LINE_SHARE),
     "qmask_min": f"""with o as (select l_orderkey, least({', '.join(map(_line_score, LINE_SHARE))}) as s, l_quantity > 45 as big from lineitem), v as (select l_orderkey, count(*) as objects, min(s) as score, bool_or(big) as flagged from o group by l_orderkey)
       select l_orderkey, objects, {r6('score')} as score, case when score <= 0 then 'fail' when score >= 0.999 and not flagged then 'pass' else 'weak' end as status, case when flagged then 'large_area_ratio' else '' end as reasons from v""",
     "relative_error_rules": f"""with {RES} select prompt_id, {r6('''coalesce(case when lines = 7 then 0.5 end, case when lines % 3 = 0 then abs(measured) else
@@ -287,6 +300,11 @@ SQL: dict[str, str] = {
       e as (select *, abs(measured - 0.02) / 0.02 as rel, status in ('valid', 'weak_valid') as ok from k)
       select 'm' || object_id % 3 as model, object_id::varchar as prompt_id, {r6("measured", 5)} as measured, status, case when len(rs) = 0 then 'pass' else 'flagged' end as tracking, array_to_string(rs, ';') as tracking_reasons, {r6("rel", 5)} as rel_error,
         {r6("case when ok then 100 * exp(-rel / 0.30) end", 5)} as base_score, ok as effective from e""",
+    "document_edges": f"""{EDGES} select object_id::varchar as prompt_id, case when k = 8 then 'speed' else 'velocity' end as metric, {r6("measured", 5)} as measured, status, reason as failure_reason,
+        {r6("case when k = 6 then abs(measured) else abs(measured - 0.02) / 0.02 end", 5)} as rel_error, case when unread or len(rs) > 0 then 'flagged' else 'pass' end as tracking,
+        case when k = 4 then 'tracking_json_unreadable:JSONDecodeError' when k = 11 then 'tracking_json_unreadable:ValueError' else array_to_string(rs, ';') end as tracking_reasons,
+        {r6("case when counted and not unread then path / gate_dia end", 5)} as path_norm, {r6("case when counted and not unread then extent / gate_dia end", 5)} as extent_norm from v""",
+    "strict_reasons": f"""{EDGES} select object_id::varchar as prompt_id, case when status in ('weak_valid', 'invalid') then 'invalid' else status end as status, case when status in ('weak_valid', 'invalid') and reason = '' then 'strict_quality_check' else reason end as failure_reason from v""",
     "near_best": f"with {TR} select object_id as video, frame as candidate, x as score from tr qualify x >= 0.6 * max(x) over (partition by object_id)",
     "init_fallback": f"""with {TR}, e as (select object_id as video, 8 + object_id % 5 as expected from (select distinct object_id from tr)), a as (select object_id as video, count(*) as n from tr where event_type = 'view' group by 1), b as (select object_id as video, count(*) as n from tr where event_type = 'click' group by 1),
       c as (select e.video, case when a.n = expected then 'first' when b.n = expected then 'second' else 'none' end as source, case when a.n = expected then a.n when b.n = expected then b.n else 0 end as n from e left join a using (video) left join b using (video)) select source, count(*) as videos, sum(n)::bigint as prompts from c group by source""",

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from kinespark.functions.exprs import clean_json, equivalent_diameter, track_centre
 
 
+NOT_JSON, NO_DOCUMENT = "not JSON", "neither object nor list"
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of every file below path."""
     return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -20,20 +23,21 @@ def _first(v: str, kind: str, *names: str) -> Column:
 
 def records(documents: DataFrame, video: str = "path", text: str = "text") -> DataFrame:
     """A row for each frame and object as written, invalid ones too: video, pos, place, frame, object_id, t, valid, x, y,
-    centroid, box, area, diameter, fps, total_frames; error says why a document has none."""
-    d = documents.select(F.col(video).alias("video"), F.try_parse_json(clean_json(text)).alias("doc"))
+    centroid, box, area, given_diameter, fps, total_frames; error says why a document has none. A frame without an index has
+    its place in the list; objects of a frame share its index and time."""
+    d = documents.select(F.col(video).alias("video"), F.try_parse_json(clean_json(text)).alias("doc"), F.substring(F.regexp_replace(text, r"^\s+", ""), 1, 1).isin("{", "[").alias("nested"))
     frames = F.coalesce(F.try_variant_get("doc", "$.frames", "array<variant>"), F.try_variant_get("doc", "$", "array<variant>"))
     d = d.withColumn("frames", frames).withColumns({
         "fps": _first("doc", "double", "video_info.fps", "fps"), "total_frames": _first("doc", "long", "video_info.total_frames", "video_info.num_frames", "total_frames"), "doc_object": _first("doc", "string", "object_id"),
-        "error": F.when(F.col("doc").isNull(), "not JSON").when(frames.isNull(), "no list of frames"),
+        "error": F.when(F.col("doc").isNull(), NOT_JSON).when(~F.col("nested"), NO_DOCUMENT).when(frames.isNull(), "no list of frames"),
     })
     each = d.select("video", "fps", "total_frames", "doc_object", "error", F.posexplode_outer("frames").alias("pos", "f"))
     own = F.coalesce(F.try_variant_get("f", "$.objects", "array<variant>"), F.array(F.col("f")))
-    each = each.withColumns({"frame_outer": _first("f", "long", "frame_idx", "frame"), "t_outer": _first("f", "double", "time_sec", "t")})
+    each = each.withColumns({"frame_outer": F.coalesce(_first("f", "long", "frame_idx", "frame"), F.col("pos").cast("long")), "t_outer": _first("f", "double", "time_sec", "t")})
     o = each.select("*", F.posexplode_outer(own).alias("place", "o"))
     return o.select(
-        "video", "pos", "place", F.coalesce(_first("o", "long", "frame_idx", "frame"), "frame_outer").alias("frame"), F.coalesce(_first("o", "string", "object_id", "obj_id"), "doc_object", F.lit("1")).alias("object_id"),
-        F.coalesce(_first("o", "double", "time_sec", "t"), "t_outer").alias("t"), _first("o", "boolean", "valid").alias("valid"), _first("o", "double", "x", "cx", "cx_px").alias("x"), _first("o", "double", "y", "cy", "cy_px").alias("y"),
+        "video", "pos", "place", F.col("frame_outer").alias("frame"), F.coalesce(_first("o", "string", "object_id", "obj_id"), "doc_object", F.lit("1")).alias("object_id"),
+        F.col("t_outer").alias("t"), _first("o", "boolean", "valid").alias("valid"), _first("o", "double", "x", "cx", "cx_px").alias("x"), _first("o", "double", "y", "cy", "cy_px").alias("y"),
         _first("o", "array<double>", "centroid").alias("centroid"), _first("o", "array<double>", "bbox").alias("box"), _first("o", "double", "area", "area_px2").alias("area"), _first("o", "double", "equivalent_diameter_px").alias("given_diameter"),
         "fps", "total_frames", "error",
     )
