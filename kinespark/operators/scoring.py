@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.functions.exprs import base_score, canonical_id, reasons
+from kinespark.operators import selection
 
 #: Tolerance of each metric; others have 0.25.
 TOLERANCES = {
@@ -92,17 +93,30 @@ def _mean(c: str, when: Column | None = None) -> Column:
     return F.avg(F.when(when, F.col(c)) if when is not None else F.col(c))
 
 
-def summarise(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts, rates, means, medians and the 90th percentile of a group, all in one pass."""
+#: Rows of a group whose values one task may hold.
+GATHERED = 1 << 20
+
+
+def summarise(scored: DataFrame, keys: list[str], gathered: bool | None = None) -> DataFrame:
+    """Counts, rates, means, medians and the 90th percentile of a group. Percentiles are exact: where no group has over
+    ``GATHERED`` rows (counted first, unless the caller knows), from a group's values in one task; else selected by counts of
+    all groups at once (``selection``)."""
+    if gathered is None:
+        gathered = (scored.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= GATHERED
     flags = {"both_gates_pass": F.col("both_gates_pass"), "physics_pass": F.col("physics_pass"), "tracking_pass": F.col("tracking_pass"), "mask_pass": F.col("mask_pass"), "measurement_pass": F.col("measurement_status") == "pass", "effective": F.col("effective")}
     counts = [F.count_if(v).alias(f"n_{n}") for n, v in flags.items()]
     rates = [(F.count_if(v) / F.count("*")).alias(f"{n}_rate") for n, v in flags.items()]
-    err = F.when(F.col("effective"), F.col("relative_error"))
-    return scored.groupBy(*keys).agg(
+    errors = {"effective": F.when(F.col("effective"), F.col("relative_error")), "both": F.when(F.col("both_gates_pass"), F.col("relative_error"))}
+    stats = {"median_error_effective": ("effective", 0.5), "median_error_both_gates": ("both", 0.5), "p90_error_effective": ("effective", 0.9)}
+    own = [F.percentile(errors[e], F.lit(share)).alias(name) for name, (e, share) in stats.items()] if gathered else []
+    out = scored.groupBy(*keys).agg(
         F.count("*").alias("n_total"), *counts, *rates, _mean("adjusted_score", F.col("effective")).alias("effective_score"), _mean("base_score", F.col("effective")).alias("effective_base_score"),
-        F.avg(F.coalesce("adjusted_score", F.lit(0.0))).alias("end_to_end_score"), F.avg("mask_score").alias("mean_mask_score"), F.avg("measurement_multiplier").alias("mean_measurement_multiplier"),
-        F.percentile(err, F.lit(0.5)).alias("median_error_effective"), F.percentile(F.when(F.col("both_gates_pass"), F.col("relative_error")), F.lit(0.5)).alias("median_error_both_gates"), F.percentile(err, F.lit(0.9)).alias("p90_error_effective"),
+        F.avg(F.coalesce("adjusted_score", F.lit(0.0))).alias("end_to_end_score"), F.avg("mask_score").alias("mean_mask_score"), F.avg("measurement_multiplier").alias("mean_measurement_multiplier"), *own,
     )
+    if gathered:
+        return out
+    found = selection.percentiles(scored, keys, stats, errors).select(F.struct(*keys).alias("_group"), *stats)
+    return out.withColumn("_group", F.struct(*keys)).join(found, "_group", "left").drop("_group")
 
 
 #: Columns of statuses and of lists of reasons, with the name of the map of counts that a summary has of each.

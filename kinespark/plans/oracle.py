@@ -250,6 +250,8 @@ SQL: dict[str, str] = {
     "policy_penalty": videos("0.5"),
     "policy_ignore": videos("1.0"),
     "metric_summary": f"with {scored('0.0')} select model, metric, {SUM} from s group by model, metric",
+    "selected_percentiles": f"""select l_returnflag, l_linestatus, {r6('quantile_cont(l_extendedprice, 0.05)')} as p05, {r6('quantile_cont(l_extendedprice, 0.5)')} as p50, {r6('quantile_cont(l_extendedprice, 0.95)')} as p95,
+      {r6('quantile_cont(l_extendedprice * (l_discount - 0.05), 0.5)')} as net_p50 from lineitem group by all""",
     "model_macro_summary": f"""with {scored('0.0')}, m as (select model, metric, avg(adjusted_score) filter (effective) as e, avg(adjusted_score) as a from s group by all)
       select s.model, count(*) as n_total, count(*) filter (effective) as n_effective, {r6('count(*) filter (effective) / count(*)')} as effective_rate, {r6('avg(mask_score)')} as mean_mask_score, {r6('any_value(k.e)')} as overall_effective_score, {r6('any_value(k.a)')} as overall_end_to_end_score
       from s join (select model, avg(e) as e, avg(a) as a from m group by model) k on k.model = s.model group by s.model""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinespark import pipeline
 from kinespark.functions import exprs as X
-from kinespark.operators import candidates, detections, evaluators, fits, gates, masks, scoring, sensitivity, windows
+from kinespark.operators import candidates, detections, evaluators, fits, gates, masks, scoring, selection, sensitivity, windows
 from kinespark.plans import adapters as A
 from kinespark.plans import controls
 from kinespark.plans import oracle as O
@@ -327,6 +327,15 @@ def metric_summary(spark, d):
     return rounded(s.select("model", "metric", "n_total", "n_both_gates_pass", "n_physics_pass", "n_tracking_pass", "n_mask_pass", "n_measurement_pass", "n_effective", *SUMMARY), *SUMMARY)
 
 
+@query
+def selected_percentiles(spark, d):
+    """Percentiles of few large groups by distributed selection."""
+    li = A.table(spark, d, "lineitem")
+    stats = {"p05": ("price", 0.05), "p50": ("price", 0.5), "p95": ("price", 0.95), "net_p50": ("net", 0.5)}
+    out = selection.percentiles(li, ["l_returnflag", "l_linestatus"], stats, {"price": F.col("l_extendedprice"), "net": F.col("l_extendedprice") * (F.col("l_discount") - 0.05)})
+    return rounded(out, *stats)
+
+
 @query
 def model_macro_summary(spark, d):
     return rounded(scoring.macro(_scored(spark, d)), "effective_rate", "mean_mask_score", "overall_effective_score", "overall_end_to_end_score")
