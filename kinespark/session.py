@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,3 +36,11 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
     spark = b.config(map=own | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; a temporary one only where that is unset and the session is local."""
+    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not set_dir and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(set_dir or tempfile.mkdtemp(prefix='kinespark-')).rstrip('/')}/kinespark/{label}-{uuid.uuid4().hex}"
