@@ -27,6 +27,12 @@ def tracking_gate(records: DataFrame, expected: DataFrame | int = 1, video: str
     )
     sizes = records.filter(there).groupBy(video, "object_id").agg(F.percentile(positive("diameter"), F.lit(0.5)).alias("diameter"), F.min(F.struct(*met)).alias("met"))
     objects = sizes.join(moved, [video, "object_id"], "left").join(frames, video).withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
+    return decided(objects, frames, expected, video, min_share, min_extent)
+
+
+def decided(objects: DataFrame, frames: DataFrame, expected: DataFrame | int = 1, video: str = "video", min_share: float = MIN_SHARE, min_extent: float = MIN_EXTENT) -> DataFrame:
+    """The gate from what is known of each object (video, object_id, n_valid, path, extent, diameter, met, frames) and each
+    video (video, frames)."""
     counted = F.col("n_valid") / F.greatest("frames", F.lit(1)) >= min_share
     order = F.struct(-F.col("n_valid"), "met", "object_id")
     first = F.min_by(F.when(counted, F.struct("object_id", "n_valid", "path", "extent", "diameter")), F.when(counted, order)).alias("primary")

@@ -307,6 +307,12 @@ SQL: dict[str, str] = {
         case when k = 4 then 'tracking_json_unreadable:JSONDecodeError' when k = 11 then 'tracking_json_unreadable:ValueError' else array_to_string(rs, ';') end as tracking_reasons,
         {r6("case when counted and not unread then path / gate_dia end", 5)} as path_norm, {r6("case when counted and not unread then extent / gate_dia end", 5)} as extent_norm from v""",
     "strict_reasons": f"""{EDGES} select object_id::varchar as prompt_id, case when status in ('weak_valid', 'invalid') then 'invalid' else status end as status, case when status in ('weak_valid', 'invalid') and reason = '' then 'strict_quality_check' else reason end as failure_reason from v""",
+    "own_evaluator": f"""with {TR} select object_id, {r6("abs(regr_slope(x, t))")} as speed, {r6("regr_r2(x, t)")} as r2, case when regr_r2(x, t) >= 0.85 then 'valid' when regr_r2(x, t) >= 0.65 then 'weak_valid' else 'invalid' end as status from tr group by object_id""",
+    "own_table_function": f"""with {TR} select object_id, count(*) as n, {r6("abs(regr_slope(x, t))")} as speed, {r6("regr_r2(x, t)")} as r2 from tr group by object_id""",
+    "frame_stream_gate": f"""with {TR}, p as (select *, sqrt(pow(x - lag(x) {W}, 2) + pow(y - lag(y) {W}, 2)) as way from tr where valid), s as (select object_id, count(*) as frames, median(sqrt(area)) filter (area > 0) as dia from tr group by object_id),
+      e as (select object_id, count(*) as nv, coalesce(sum(way), 0) as path, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) as extent from p group by object_id), j as (select s.*, path, extent, coalesce(nv, 0) / frames >= 0.5 as counted from s left join e using (object_id)),
+      z as (select *, list_sort(list_filter([case when not counted then 'object_count_mismatch' end, case when counted and extent / dia < 0.75 then 'no_meaningful_motion' end, case when not counted then 'no_counted_object' end], lambda q: q is not null)) as rs from j)
+      select object_id as video, frames, counted::bigint as counted, {r6("case when counted then path / dia end")} as path_norm, {r6("case when counted then extent / dia end")} as extent_norm, array_to_string(rs, ';') as reasons, case when len(rs) = 0 then 'pass' else 'flagged' end as status from z""",
     "near_best": f"with {TR} select object_id as video, frame as candidate, x as score from tr qualify x >= 0.6 * max(x) over (partition by object_id)",
     "init_fallback": f"""with {TR}, e as (select object_id as video, 8 + object_id % 5 as expected from (select distinct object_id from tr)), a as (select object_id as video, count(*) as n from tr where event_type = 'view' group by 1), b as (select object_id as video, count(*) as n from tr where event_type = 'click' group by 1),
       c as (select e.video, case when a.n = expected then 'first' when b.n = expected then 'second' else 'none' end as source, case when a.n = expected then a.n when b.n = expected then b.n else 0 end as n from e left join a using (video) left join b using (video)) select source, count(*) as videos, sum(n)::bigint as prompts from c group by source""",

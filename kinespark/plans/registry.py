@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from kinespark import pipeline
 from kinespark.functions import exprs as X
-from kinespark.operators import candidates, detections, evaluators, fits, gates, masks, scoring, selection, sensitivity, windows
+from kinespark.operators import candidates, detections, evaluators, fits, gates, masks, own, scoring, selection, sensitivity, windows
 from kinespark.plans import adapters as A
 from kinespark.plans import controls
 from kinespark.plans import oracle as O
 from kinespark.sources import overrides
-from kinespark.streaming import landing
+from kinespark.session import scratch
+from kinespark.streaming import frames, landing
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -624,6 +625,45 @@ def strict_reasons(spark, d):
     return pipeline.evaluate(*_edge_documents(spark, d), strict=True).select("prompt_id", "status", "failure_reason")
 
 
+def _user_tracks(spark, d):
+    t = A.event_tracks(spark, d)
+    return t.select(F.col("object_id").cast("string").alias("video"), F.lit("1").alias("object_id"), "frame", "t", F.col("x").alias("cx"), F.col("y").alias("cy"))
+
+
+@query
+def own_evaluator(spark, d):
+    """Velocity by a user's function of a whole track."""
+    t = _user_tracks(spark, d)
+    meta = t.select("video").distinct().withColumn("evaluator", F.lit("line_speed"))
+    out = own.estimate(t, meta, {"line_speed": own.line_speed})
+    return rounded(out.select(F.col("video").cast("long").alias("object_id"), F.col("measured").alias("speed"), F.col("fit_r2").alias("r2"), "status"), "speed", "r2")
+
+
+@query
+def own_table_function(spark, d):
+    """The same by a table function over each video's rows."""
+    out = own.rows(own.table_function(own.LineWorker, own.LineWorker.SCHEMA), _user_tracks(spark, d))
+    return rounded(out.select(F.col("video").cast("long").alias("object_id"), "n", "speed", "r2"), "speed", "r2")
+
+
+@query
+def frame_stream_gate(spark, d):
+    """Events streamed as frames, one object a user; the gate from what they came to."""
+    for k, v in frames.STORE.items():
+        spark.conf.set(k, v)
+    table, where = A.table(spark, d, "events"), scratch(spark, "frame-stream")
+    stream = spark.readStream.schema(table.schema).parquet(f"{d}/event[s].parquet")  # a glob, so that a table of one file streams too
+    rows = stream.select(
+        F.col("user_id").alias("video"), F.col("user_id").alias("object_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("frame"), F.col("value").alias("x"),
+        F.get_json_object("props", "$.k").cast("double").alias("y"), (F.col("event_type") != "error").alias("valid"), F.sqrt("value").alias("diameter"),
+    )
+    done = frames.running_objects(rows, silence_ms=90 * 86_400_000)
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{where}/out/batch={number}")
+    done.writeStream.outputMode("update").option("checkpointLocation", f"{where}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    g = frames.gate_of(frames.latest(spark.read.parquet(f"{where}/out").drop("batch")))
+    return rounded(g.select(F.col("video").cast("long").alias("video"), "frames", "counted", "path_norm", "extent_norm", F.concat_ws(";", "reasons").alias("reasons"), "status"), "path_norm", "extent_norm")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

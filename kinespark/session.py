@@ -32,6 +32,7 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
     own = {
         "spark.sql.shuffle.partitions": str(partitions), "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": memory, "spark.sql.adaptive.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # else each column function asks the driver's JVM for its caller
     }
     spark = b.config(map=own | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
