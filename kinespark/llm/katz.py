@@ -170,7 +170,7 @@ def _questions(blocks: DataFrame, order: int, parts: int) -> DataFrame:
 
 
 def _answers(asked: DataFrame, kind: int, parts: int) -> DataFrame:
-    """Adds up what all blocks say of a key; each block gets the sum for each of its keys, and whether it is the first to
+    """Adds up what all blocks say of a key, exactly up to 2^53; each block gets the sum (64 bits) for each of its keys, and whether it is the first to
     hold it. One row of each range is its table, with the counts of counts: keys with count 1 to K+1, all keys, the sum."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -183,7 +183,7 @@ def _answers(asked: DataFrame, kind: int, parts: int) -> DataFrame:
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         out = pd.DataFrame({"kind": kind, "block": pd.array([*group["block"], None], "Int64"), "part": int(group["part"].iloc[0])})
         seen = sums > 0
-        out["counts"] = [*(_packed(x) for x in np.split(sums[place].astype(np.uint32), cuts)), _packed(sums[seen].astype(np.uint32))]
+        out["counts"] = [*(_packed(x) for x in np.split(sums[place].astype(np.uint64), cuts)), _packed(sums[seen].astype(np.uint64))]
         out["extra"] = [*(np.packbits(x).tobytes() for x in np.split(mine, cuts)), _packed(every[seen])]
         stats = [*np.bincount(np.minimum(sums, K + 2), minlength=K + 3)[1 : K + 2], seen.sum(), sums.sum()]
         out["stats"] = [*[None] * (len(out) - 1), list(map(int, stats))]
@@ -264,7 +264,7 @@ class Told:
 
     def __init__(self, row, answers: pd.DataFrame, model: Model, order: int):
         self.block, self.model, self.answers = Block(row, order), model, answers
-        self.counts = [self._joined(n, "counts", np.uint32) for n in range(1, order + 1)]
+        self.counts = [self._joined(n, "counts", np.uint64) for n in range(1, order + 1)]
 
     def _joined(self, kind: int, name: str, dtype) -> np.ndarray:
         own = self.answers[self.answers["kind"] == kind].sort_values("part")
@@ -273,7 +273,7 @@ class Told:
     def first(self, n: int) -> np.ndarray:
         """Whether this block is the first to hold each n-gram."""
         own = self.answers[self.answers["kind"] == n].sort_values("part")
-        return np.concatenate([np.unpackbits(np.frombuffer(e, np.uint8), count=len(_unpacked(x, np.uint32))).astype(bool) for x, e in zip(own["counts"], own["extra"], strict=True)])
+        return np.concatenate([np.unpackbits(np.frombuffer(e, np.uint8), count=len(_unpacked(x, np.uint64))).astype(bool) for x, e in zip(own["counts"], own["extra"], strict=True)])
 
     def context_counts(self, n: int) -> np.ndarray:
         """How often each context of the order n is followed by a token; what ends a text isn't."""
@@ -346,7 +346,7 @@ def ngrams(counted: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in frames:
             for keys, counts in zip(some["extra"], some["counts"], strict=True):
-                yield pd.DataFrame({"gram": _unpacked(keys, np.uint64).view(np.int64), "n": _unpacked(counts, np.uint32).astype(np.int64)})
+                yield pd.DataFrame({"gram": _unpacked(keys, np.uint64).view(np.int64), "n": _unpacked(counts, np.uint64).astype(np.int64)})
 
     return counted.filter("block is null").select("extra", "counts").mapInPandas(run, "gram long, n long").withColumnRenamed("n", "count")
 

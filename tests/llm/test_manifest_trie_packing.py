@@ -1,4 +1,4 @@
-"""Manifest, prefix trie and packing against plain versions that hold everything at once."""
+"""Manifest, prefix trie and packing against plain versions that hold everything at once; n-gram counts beyond 32 bits."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinespark.llm import bpe, conversations, merkle, ordered, packing, queries
+from kinespark.llm import bpe, conversations, katz, merkle, ordered, packing, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, leaf string, part int, key string"
 
@@ -335,3 +335,19 @@ def test_sql_agrees_on_odd_rows(spark, name):
     out = con.sql(queries.oracle_sql()[name])
     columns = COLUMNS if "conv_id" in out.columns else ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
     assert sorted(out.select(*columns).fetchall(), key=repr) == sorted(want, key=repr)
+
+
+# --- n-gram counts
+
+
+def test_counts_over_32_bits_are_summed_whole(spark):
+    """Three blocks that saw the same n-grams over three thousand million times each."""
+    keys, counts = np.array([5, 9, 2**63 + 1], np.uint64), np.array([3_000_000_000, 1, 4_294_967_295], np.uint32)
+    katz.ready(spark)
+    asked = spark.createDataFrame([(0, b, bytearray(katz._packed(keys)), bytearray(katz._packed(counts)), bytearray(b"")) for b in range(3)], katz._ASKED)
+    told = katz._answers(asked, 1, 1)
+    table = {r["gram"]: r["count"] for r in katz.ngrams(told).collect()}
+    assert table == {5: 9_000_000_000, 9: 3, 1 - 2**63: 12_884_901_885}
+    for r in told.filter("block is not null").collect():
+        assert katz._unpacked(bytes(r["counts"]), np.uint64).tolist() == [9_000_000_000, 3, 12_884_901_885]
+    assert told.filter("stats is not null").first()["stats"][-2:] == [3, 21_884_901_888]
