@@ -167,6 +167,16 @@ def iou_stats(ious: DataFrame, keys: list[str]) -> DataFrame:
     return ious.groupBy(*keys).agg(F.percentile("iou", F.lit(0.5)).alias("iou_median"), F.min("iou").alias("iou_min"), F.count("*").alias("iou_n"), F.first("ref").alias("iou_frame"))
 
 
+def target_errors(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """For masks whose target is known (keys, frame, y, x0, x1 of the mask and t0, t1 of the target): root mean square of the
+    distance of their places, and mean overlap."""
+    n, m = F.col("x1") - F.col("x0") + 1, F.col("t1") - F.col("t0") + 1
+    common = F.greatest(F.least("x1", "t1") - F.greatest("x0", "t0") + 1, F.lit(0))
+    mean = lambda a, b, k: F.sum((F.col(a) + F.col(b)) / 2 * k) / F.sum(k)
+    frames = runs.groupBy(*keys, "frame").agg((mean("x0", "x1", n) - mean("t0", "t1", m)).alias("dx"), (F.sum(F.col("y") * n) / F.sum(n) - F.sum(F.col("y") * m) / F.sum(m)).alias("dy"), (F.sum(common) / F.sum(n + m - common)).alias("iou"))
+    return frames.groupBy(*keys).agg(F.sqrt(F.avg(F.col("dx") ** 2 + F.col("dy") ** 2)).alias("centroid_rmse_px"), F.avg("iou").alias("ground_truth_mask_iou"))
+
+
 def frame_details(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per frame: change of the logarithm of area, way since the last place that is known, over the diameter."""
     w = windows.ordered(keys)

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinespark import pipeline
 from kinespark.functions import exprs as X
 from kinespark.operators import candidates, detections, evaluators, fits, gates, masks, own, scoring, selection, sensitivity, windows
 from kinespark.plans import adapters as A
-from kinespark.plans import controls
 from kinespark.plans import oracle as O
 from kinespark.sources import overrides
 from kinespark.session import scratch
@@ -162,9 +161,24 @@ def steady_velocity(spark, d):
 
 @query
 def golden_estimates(spark, d):
-    """The ten analytic controls."""
-    t, m = A.golden(spark)
-    return rounded(evaluators.estimate(t, m).select("metric", F.col("measured").alias("measured"), "status", "reason"), "measured", digits=9)
+    """Motions with known results, one of ten a user, a frame for each event: their size is the mean of the user's values, so
+    each result follows from it in closed form."""
+    e = A.event_tracks(spark, d)
+    u, n, of = F.col("object_id"), F.col("n"), Window.partitionBy("object_id")
+    own = e.select(u, "frame", (F.col("frame") / 30).alias("t"), F.count("*").over(of).alias("n"), F.avg("x").over(of).alias("a")).withColumn("hit", F.floor(n / 2) / 30)
+    t, a, after = F.col("t"), F.col("a"), F.greatest(F.col("t") - F.col("hit"), F.lit(0.0))
+    before = F.least("t", "hit")
+    x = [100 + a * t, 100 + a * t * t, 100, 100 + 200 * t - a / 3 * t * t, 100 + 60 * before - (20 + u % 17) * after, 100, 100, F.round(100 + 30 * F.sin(5 * F.pi() * t), 9), 100, 100 + 60 * before]
+    y = [80, 80, 80 + 10 * a * t * t, 80, 80, 80 + a * t * t, 80 + a * t, 80, 80 + a * t * t, 80]
+    pick = lambda values: F.get(F.array(*[(v if isinstance(v, Column) else F.lit(v)).cast("double") for v in values]), (u % 10).cast("int"))
+    one = own.select(u.cast("string").alias("video"), F.lit("1").alias("object_id"), "frame", "t", pick(x).alias("cx"), pick(y).alias("cy"))
+    two = own.filter(u % 10 == 9).select(u.cast("string").alias("video"), F.lit("2").alias("object_id"), "frame", "t", (105 + 60 * F.col("hit") + 60 * after).alias("cx"), F.lit(80.0).alias("cy"))
+    tracks = one.unionByName(two).withColumns({c: F.lit(20.0) for c in ("diameter", "box_w", "box_h")})
+    v = F.col("video").cast("long")
+    meta = e.select(u.cast("string").alias("video")).distinct().withColumns({"metric": F.get(F.array(*map(F.lit, evaluators.TASKS)), (v % 10).cast("int")), "m2": 1 + v % 5 / 10})
+    same = {"motion_axis": "x", "scale_mode": "object_diameter", "calibration_value": 0.1, "target_value": 1.0, "g": 9.8, "liquid_density": 1000.0, "solid_density": 2000.0, "mass": 0.2, "m1": 1.0}
+    out = evaluators.estimate(tracks, meta.withColumns({k: F.lit(x) for k, x in same.items()}))
+    return rounded(out.select("video", "metric", "measured", "status", "reason"), "measured")
 
 
 @query
@@ -225,32 +239,31 @@ def mask_reasons_decision(spark, d):
     return rounded(out, "middle_coverage", "area_ratio_p95_p05", "area_cv", "bbox_width_cv", "max_log_jump", "trend_scale_ratio", "trend_r2", "max_centroid_step_norm_by_diameter")
 
 
-def _grid_runs(spark):
-    """Squares of 10 pixels that move out of an image of 100 and, in every third frame, are 4 pixels wider or more."""
-    f = spark.range(30).withColumn("video", F.explode(F.sequence(F.lit(1), F.lit(4))))
-    x0 = (F.col("id") * F.col("video")).cast("int")
-    wide = F.when(F.col("id") % 3 == 0, 4 * (F.col("video") - 1)).otherwise(0)
-    runs = f.select("video", F.col("id").cast("int").alias("frame"), x0.alias("x0"), F.least(x0 + 9 + wide, F.lit(99)).cast("int").alias("x1")).filter("x0 <= x1")
-    return runs.withColumn("y", F.explode(F.sequence(F.lit(5), F.lit(14))))
+def _grid_runs(spark, d):
+    """Users as videos: where an event isn't an error, a mask of ten rows, its place and width by the event, in an image of 100."""
+    own = A.event_tracks(spark, d).filter("valid").select(F.col("object_id").alias("video"), F.col("frame").cast("int").alias("frame"), F.floor(F.col("x") % 95).cast("int").alias("x0"), F.col("y"))
+    runs = own.select("video", "frame", "x0", F.least(F.col("x0") + 9 + F.col("y").cast("int") % 5, F.lit(99)).alias("x1"), F.floor(F.col("y") % 20).cast("int").alias("top"))
+    return runs.select("video", "frame", "x0", "x1", F.explode(F.sequence("top", F.col("top") + 9)).alias("y"))
+
+
+def _grid_ious(spark, d):
+    listed = A.event_tracks(spark, d).select(F.col("object_id").alias("video"), F.col("frame").cast("int").alias("frame"))
+    return masks.aligned_iou(_grid_runs(spark, d), ["video"], listed, stride=3, size=(100, 30))
 
 
 @query
 def mask_run_iou(spark, d):
-    runs = _grid_runs(spark)
-    listed = spark.range(30).select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("video"), F.col("id").cast("int").alias("frame"))
-    return rounded(masks.aligned_iou(runs, ["video"], listed, stride=3, size=(100, 40)).select("video", "frame", "ref", "iou"), "iou")
+    return rounded(_grid_ious(spark, d).select("video", "frame", "ref", "iou"), "iou")
 
 
 @query
 def mask_iou_stats(spark, d):
-    listed = spark.range(30).select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("video"), F.col("id").cast("int").alias("frame"))
-    stats = masks.iou_stats(masks.aligned_iou(_grid_runs(spark), ["video"], listed, stride=3, size=(100, 40)), ["video"])
-    return rounded(stats, "iou_median", "iou_min")
+    return rounded(masks.iou_stats(_grid_ious(spark, d), ["video"]), "iou_median", "iou_min")
 
 
 @query
 def mask_geometry(spark, d):
-    return rounded(masks.mask_geometry(_grid_runs(spark), ["video"]).withColumns({c: F.col(c).cast("long") for c in ("x1", "y1", "x2", "y2")}), "cx", "cy")
+    return rounded(masks.mask_geometry(_grid_runs(spark, d), ["video"]).withColumns({c: F.col(c).cast("long") for c in ("x1", "y1", "x2", "y2")}), "cx", "cy")
 
 
 def _line_objects(spark, d):
@@ -559,7 +572,13 @@ def tracking_overrides(spark, d):
 
 @query
 def mask_controls(spark, d):
-    return rounded(controls.errors(controls.mask_runs(spark)).withColumnRenamed("video", "case"), "centroid_rmse_px", "ground_truth_mask_iou")
+    """Users' places as targets of ten pixels, with masks that are right, off by 30 pixels, of changing width, or jumping."""
+    u, odd = F.col("object_id"), F.col("frame") % 2 == 1
+    own = A.event_tracks(spark, d).select(u, "frame", F.floor("x").cast("int").alias("t0"), F.floor("y").cast("int").alias("top"))
+    shift = F.when(u % 4 == 1, 30).when((u % 4 == 3) & odd, 15).otherwise(0)
+    width = F.when((u % 4 == 2) & odd, 3).when(u % 4 == 2, 28).otherwise(10)
+    runs = own.withColumns({"x0": F.col("t0") + shift, "t1": F.col("t0") + 9, "y": F.explode(F.sequence("top", F.col("top") + 9))}).withColumn("x1", F.col("x0") + width - 1)
+    return rounded(masks.target_errors(runs, ["object_id"]), "centroid_rmse_px", "ground_truth_mask_iou")
 
 
 @query

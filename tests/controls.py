@@ -27,19 +27,10 @@ def mask_runs(spark: SparkSession) -> DataFrame:
     return own.select("video", F.lit("1").alias("object_id"), "frame", F.explode(F.sequence(F.lit(ROWS[0]), F.lit(ROWS[1]))).alias("y"), "x0", (F.col("x0") + F.col("w") - 1).alias("x1"), "t0", (F.col("t0") + SIDE - 1).alias("t1"))
 
 
-def errors(runs: DataFrame) -> DataFrame:
-    """Root mean square of the distance of the masks' places from the target's, and mean overlap with it, by video."""
-    n, m = F.col("x1") - F.col("x0") + 1, F.col("t1") - F.col("t0") + 1
-    common = F.greatest(F.least("x1", "t1") - F.greatest("x0", "t0") + 1, F.lit(0))
-    mean = lambda a, b, k: F.sum((F.col(a) + F.col(b)) / 2 * k) / F.sum(k)
-    frames = runs.groupBy("video", "frame").agg((mean("x0", "x1", n) - mean("t0", "t1", m)).alias("dx"), (F.sum(F.col("y") * n) / F.sum(n) - F.sum(F.col("y") * m) / F.sum(m)).alias("dy"), (F.sum(common) / F.sum(n + m - common)).alias("iou"))
-    return frames.groupBy("video").agg(F.sqrt(F.avg(F.col("dx") ** 2 + F.col("dy") ** 2)).alias("centroid_rmse_px"), F.avg("iou").alias("ground_truth_mask_iou"))
-
-
 def mask_controls(spark: SparkSession) -> DataFrame:
     """case, centroid_rmse_px, ground_truth_mask_iou and the score that the masks get without knowing the target."""
     keys, runs = ["video", "object_id"], mask_runs(spark)
     shapes = masks.mask_geometry(runs, keys).withColumns({"box_w": F.col("x2") - F.col("x1") + 1, "box_h": F.col("y2") - F.col("y1") + 1})
     ious = masks.iou_stats(masks.aligned_iou(runs.select(*keys, "frame", "y", "x0", "x1"), keys, size=SIZE), keys)
     scored = masks.video_quality(masks.diagnostics(shapes, keys, ious.select(*keys, "iou_median")), ["video"])
-    return errors(runs).join(scored.select("video", F.col("score").alias("mask_quality_score")), "video").withColumnRenamed("video", "case")
+    return masks.target_errors(runs, ["video"]).join(scored.select("video", F.col("score").alias("mask_quality_score")), "video").withColumnRenamed("video", "case")

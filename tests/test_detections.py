@@ -3,11 +3,11 @@
 import json
 
 import numpy as np
+import controls
 import pytest
 from pyspark.sql import functions as F
 
 from kinespark.operators import detections
-from kinespark.plans import controls
 from kinespark.sources import metadata, overrides, tracking
 from test_sources import png
 
