@@ -344,6 +344,12 @@ SQL: dict[str, str] = {
       f as (select object_id, case when frame % 2 = 1 then s1 else s0 end as s, case when frame % 2 = 1 then w1 else w0 end as w from tr join c on k = object_id % 4),
       g as (select object_id, s + (w - 1) / 2.0 - 4.5 as dx, greatest(0, least(s + w, 10) - s)::double as held, w from f)
       select object_id, {r6("sqrt(avg(dx * dx))")} as centroid_rmse_px, {r6("avg(held / (w + 10 - held))")} as ground_truth_mask_iou from g group by object_id""",
+    "mask_regions": f"""with recursive {TR}, px as (select distinct object_id as video, frame // 12 as frame, floor(y % 12)::bigint as y, unnest(range(floor(x % 40)::bigint, floor(x % 40 + y % 7)::bigint + 1)) as x from tr),
+      ed as (select a.video, a.frame, a.y * 1000 + a.x as p, b.y * 1000 + b.x as q from px a join px b on a.video = b.video and a.frame = b.frame and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1),
+      re as (select video, frame, y * 1000 + x as p, y * 1000 + x as q from px union select re.video, re.frame, re.p, ed.q from re join ed on ed.video = re.video and ed.frame = re.frame and ed.p = re.q),
+      la as (select video, frame, p, min(q) as l from re group by all)
+      select video, frame, dense_rank() over (partition by video, frame order by l) - 1 as region, count(*) as area, min(p % 1000) as x1, min(p // 1000) as y1, max(p % 1000) as x2, max(p // 1000) as y2, {r6("avg(p % 1000)")} as cx, {r6("avg(p // 1000)")} as cy from la group by video, frame, l""",
+    "changed_inputs": """select case when n = 4 then -o_orderkey else o_orderkey end as o_orderkey, ['changed', 'lost', 'repeated', 'new'][n] as change, [1, 1, 1, 0][n]::bigint as n_before, [1, 0, 2, 1][n]::bigint as n_after from (select o_orderkey, o_orderkey % 1000 as n from orders) q where n between 1 and 4""",
     "dq_preflight": r"""with r as (select 'documents' as source, case when text is null or trim(text) = '' then 'empty text' when length(text) < 20 then 'short text' when not regexp_matches(source, '^[A-Za-z0-9_-]+$') then 'source name' end as rule from documents
       union all select 'documents', case when count(*) > 1 then 'repeated id' end from documents group by doc_id union all select 'pages', case when url is null or not regexp_matches(url, '^https?://') then 'not a URL' end from pages) select source, rule, count(*) as n from r where rule is not null group by all""",
     "event_windows": f"select cast(epoch(date_trunc('hour', ts)) as bigint) as start, event_type, count(*) as n, {r6('sum(value)')} as total from events group by 1, 2",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinespark import pipeline
 from kinespark.functions import exprs as X
-from kinespark.operators import candidates, detections, evaluators, fits, gates, masks, own, scoring, selection, sensitivity, windows
+from kinespark.operators import candidates, detections, evaluators, fits, gates, masks, own, regions, scoring, selection, sensitivity, unchanged, windows
 from kinespark.plans import adapters as A
 from kinespark.plans import oracle as O
 from kinespark.sources import overrides
@@ -581,6 +581,26 @@ def mask_controls(spark, d):
     return rounded(masks.target_errors(runs, ["object_id"]), "centroid_rmse_px", "ground_truth_mask_iou")
 
 
+@query
+def mask_regions(spark, d):
+    """Connected regions of masks whose runs are users' events, twelve a frame."""
+    runs = A.event_tracks(spark, d).select(
+        F.col("object_id").alias("video"), F.floor(F.col("frame") / 12).alias("frame"), F.floor(F.col("y") % 12).alias("y"), F.floor(F.col("x") % 40).alias("x0"), F.floor(F.col("x") % 40 + F.col("y") % 7).alias("x1")
+    )
+    return rounded(regions.regions(runs, ["video"]), "cx", "cy")
+
+
+@query
+def changed_inputs(spark, d):
+    """Orders against an edited copy: some totals changed, some rows lost, repeated or new."""
+    o = A.table(spark, d, "orders")
+    k = F.col("o_orderkey") % 1000
+    copies = F.when(k == 2, 0).when(k == 3, 2).otherwise(1)
+    after = o.withColumn("o_totalprice", F.col("o_totalprice") + F.when(k == 1, 1).otherwise(0)).withColumn("copy", F.explode(F.expr("sequence(1, 2)"))).filter(F.col("copy") <= copies).drop("copy")
+    after = after.unionByName(o.filter(k == 4).withColumn("o_orderkey", -F.col("o_orderkey")))
+    return unchanged.differing(o, after, ["o_orderkey"])
+
+
 @query
 def dq_preflight(spark, d):
     """Rows of pages and documents that break a rule, by rule."""
