@@ -11,7 +11,7 @@ bounded sample, ``SAMPLE`` labelled rows in expectation, chosen by hash of the i
 driver. Every text is scored whole, on the executors.
 
 Null and empty texts have no feature, so they get the base rate, and are not rejected. Labels that are null are not
-learnt from; of several labels of an id the worse one counts. A category with one value only is a constant. Without labels
+learnt from; of several labels of an id the worse one counts, of its texts the smallest. A category with one value only is a constant. Without labels
 every probability is 0. Ids that repeat or are null are scored like others; other columns are kept as they are by the
 stage, whatever their names, and not looked at. An empty table gives an empty result.
 """
@@ -186,6 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    own = own.groupBy("doc_id", *CATEGORIES).agg(F.min("text").alias("text"))  # a row for each id, however often it comes
     got = own.select(fold, *CATEGORIES, features(whole_text()).alias("places")).toArrow().combine_chunks()
     if not got.num_rows:
         return Chain([])

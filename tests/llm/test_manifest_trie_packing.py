@@ -1,4 +1,4 @@
-"""Manifest, prefix trie and packing against plain versions that hold everything at once; n-gram counts beyond 32 bits."""
+"""Manifest, prefix trie and packing against plain versions that hold everything at once; n-gram counts beyond 32 bits; what a classifier chain is trained on."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinespark.llm import bpe, conversations, katz, merkle, ordered, packing, queries
+from kinespark.llm import bpe, conversations, katz, merkle, ordered, packing, queries, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, leaf string, part int, key string"
 
@@ -351,3 +351,42 @@ def test_counts_over_32_bits_are_summed_whole(spark):
     for r in told.filter("block is not null").collect():
         assert katz._unpacked(bytes(r["counts"]), np.uint64).tolist() == [9_000_000_000, 3, 12_884_901_885]
     assert told.filter("stats is not null").first()["stats"][-2:] == [3, 21_884_901_888]
+
+
+# --- classifier chain
+
+
+def test_a_later_model_is_trained_with_probabilities_of_models_that_did_not_see_the_row(monkeypatch):
+    """Each row has a word of its own, so a model can tell which rows it saw."""
+    fits = []
+
+    class Remembers:
+        def __init__(self, rows, label, earlier):
+            self.seen = set(rows.place.tolist())
+            fits.append((self.seen, earlier.copy()))
+
+        def probability(self, rows, earlier):
+            return np.array([0.9 if p in self.seen else 0.1 for p in rows.place.tolist()])
+
+    monkeypatch.setattr(toxicity, "Linear", Remembers)
+    n = 60
+    rows = toxicity.Rows(np.arange(n), np.arange(n + 1))
+    fold = np.arange(n) % toxicity.FOLDS
+    chain = toxicity.Chain(["a", "b"]).fit(rows, [np.zeros(n), np.zeros(n)], fold)
+    assert len(chain.models) == 2 and len(fits) == 2 + toxicity.FOLDS
+    everything, *folds, last = fits
+    assert everything[0] == last[0] == set(range(n))
+    assert sorted(tuple(sorted(set(range(n)) - seen)) for seen, _ in folds) == sorted(tuple(np.flatnonzero(fold == f)) for f in range(toxicity.FOLDS))
+    assert last[1].shape == (n, 1) and (last[1] == 0.1).all()  # in training: none saw its row
+    assert (chain.predict(rows)[:, 1] == 0.9).all()  # in use: the models of all rows
+
+
+def test_an_id_that_repeats_is_one_training_row(spark, monkeypatch):
+    """However often a labelled id comes, the driver gets one row of it."""
+    got = []
+    fit = toxicity.Chain.fit
+    monkeypatch.setattr(toxicity.Chain, "fit", lambda self, rows, labels, fold: got.append(rows.n) or fit(self, rows, labels, fold))
+    docs = spark.createDataFrame([(i % 40, f"word{i % 40} plain text {'good' if i % 2 else 'bad'}") for i in range(400)] + [(7, None)] * 200, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] + [(7, None, 1), (7, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    assert got == [40] and toxicity.score(docs, chain).count() == 600
