@@ -349,6 +349,15 @@ SQL: dict[str, str] = {
       re as (select video, frame, y * 1000 + x as p, y * 1000 + x as q from px union select re.video, re.frame, re.p, ed.q from re join ed on ed.video = re.video and ed.frame = re.frame and ed.p = re.q),
       la as (select video, frame, p, min(q) as l from re group by all)
       select video, frame, dense_rank() over (partition by video, frame order by l) - 1 as region, count(*) as area, min(p % 1000) as x1, min(p // 1000) as y1, max(p % 1000) as x2, max(p // 1000) as y2, {r6("avg(p % 1000)")} as cx, {r6("avg(p // 1000)")} as cy from la group by video, frame, l""",
+    "moving_regions": f"""with recursive {TR}, pr as (select distinct object_id // 6 as video, frame // 8 as frame, object_id % 6 as y from tr), im as (select pr.video, pr.frame, pr.y, i as x, coalesce(floor(tr.x), 0)::bigint as v from pr, range(8) c(i) left join tr on tr.object_id = pr.video * 6 + pr.y and tr.frame = pr.frame * 8 + i),
+      bg as (select video, y, x, floor(quantile_cont(v, 0.5)) as b from im group by all), df as (select im.*, abs(v - b) as d, abs(v - lag(v) over (partition by video, y, x order by frame)) as e from im join bg using (video, y, x)),
+      on_ as (select 'median_background' as method, video, frame, y * 8 + x as p, y, x from df where d > 110 union all select 'pairwise_frame_difference', video, frame, y * 8 + x, y, x from df where e > 110),
+      ed as (select a.method, a.video, a.frame, a.p, b.p as q from on_ a join on_ b on a.method = b.method and a.video = b.video and a.frame = b.frame and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1),
+      re as (select method, video, frame, p, p as q from on_ union select re.method, re.video, re.frame, re.p, ed.q from re join ed on ed.method = re.method and ed.video = re.video and ed.frame = re.frame and ed.p = re.q),
+      la as (select method, video, frame, p, min(q) as l from re group by all), rg as (select method, video, frame, count(*) as area, min(p % 8) as x1, min(p // 8) as y1, max(p % 8) as x2, max(p // 8) as y2, {r6("avg(p % 8)")} as cx, {r6("avg(p // 8)")} as cy from la group by method, video, frame, l having count(*) >= 4)
+      select * from rg where method = 'median_background' or video not in (select video from rg where method = 'median_background')""",
+    "result_tree_metrics": f"""with {RES}, g as (select metric, 'c' || o_custkey % 20 as prompt_id, round(sum(measured), 2) as m, round(sum(target), 2) as t, count(*) filter (tracking = 'flagged') as f from res join orders on o_orderkey = prompt_id where metric in ('1-URGENT', '4-NOT SPECIFIED') group by all)
+      select metric, prompt_id, 'valid' as status, {r6("m", 1)} as measured, {r6("t", 1)} as target, {r6("abs(m - t) / t", 5)} as rel_error, case when f > 0 then 'flagged' else 'pass' end as tracking, case when f > 0 then 'no_meaningful_motion' else '' end as tracking_reasons from g""",
     "changed_inputs": """select case when n = 4 then -o_orderkey else o_orderkey end as o_orderkey, ['changed', 'lost', 'repeated', 'new'][n] as change, [1, 1, 1, 0][n]::bigint as n_before, [1, 0, 2, 1][n]::bigint as n_after from (select o_orderkey, o_orderkey % 1000 as n from orders) q where n between 1 and 4""",
     "dq_preflight": r"""with r as (select 'documents' as source, case when text is null or trim(text) = '' then 'empty text' when length(text) < 20 then 'short text' when not regexp_matches(source, '^[A-Za-z0-9_-]+$') then 'source name' end as rule from documents
       union all select 'documents', case when count(*) > 1 then 'repeated id' end from documents group by doc_id union all select 'pages', case when url is null or not regexp_matches(url, '^https?://') then 'not a URL' end from pages) select source, rule, count(*) as n from r where rule is not null group by all""",

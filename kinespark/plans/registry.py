@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from kinespark import pipeline
 from kinespark.functions import exprs as X
-from kinespark.operators import candidates, detections, evaluators, fits, gates, masks, own, regions, scoring, selection, sensitivity, unchanged, windows
+from kinespark.operators import background, candidates, detections, evaluators, fits, gates, masks, own, regions, scoring, selection, sensitivity, unchanged, windows
 from kinespark.plans import adapters as A
 from kinespark.plans import oracle as O
-from kinespark.sources import overrides
+from kinespark.sources import overrides, result_tree, results
 from kinespark.session import scratch
 from kinespark.streaming import frames, landing
 
@@ -590,6 +590,31 @@ def mask_regions(spark, d):
     return rounded(regions.regions(runs, ["video"]), "cx", "cy")
 
 
+@query
+def moving_regions(spark, d):
+    """Users' values as small images, six users an image's rows and eight events a row: what differs from the median."""
+    t = A.event_tracks(spark, d)
+    cell = F.struct((F.col("frame") % 8).alias("i"), F.floor("x").cast("int").alias("v"))
+    rows = t.groupBy(F.floor(F.col("object_id") / 6).alias("video"), F.floor(F.col("frame") / 8).alias("frame"), (F.col("object_id") % 6).alias("y")).agg(F.map_from_entries(F.collect_list(cell)).alias("cells"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.coalesce(F.try_element_at("cells", i.cast("long")), F.lit(0)))
+    found = background.moving_regions(rows.select("video", "frame", "y", values.alias("values")), ["video"], 110, 4, clean=False)
+    return rounded(found.drop("region"), "cx", "cy")
+
+
+@query
+def result_tree_metrics(spark, d):
+    """Orders as result documents, a file for each priority and group of customers, written as a tree; two metrics read back."""
+    r, o = A.order_results(spark, d), A.table(spark, d, "orders").select(F.col("o_orderkey").alias("prompt_id"), "o_custkey")
+    sums = r.join(o, "prompt_id").groupBy("metric", F.concat(F.lit("c"), F.col("o_custkey") % 20).alias("prompt_id")).agg(F.round(F.sum("measured"), 2).alias("m"), F.round(F.sum("target"), 2).alias("t"), F.count_if(F.col("tracking") == "flagged").alias("flagged"))
+    physics = F.struct(F.lit("valid").alias("Status"), F.col("m").alias("Measured_Value"), F.col("t").alias("Target_Value"), (F.abs(F.col("m") - F.col("t")) / F.col("t")).alias("Relative_Error"))
+    gate = F.struct(F.when(F.col("flagged") > 0, "flagged").otherwise("pass").alias("status"), F.when(F.col("flagged") > 0, F.array(F.lit("no_meaningful_motion"))).otherwise(F.array().cast("array<string>")).alias("reasons"))
+    body = F.to_json(F.struct("metric", "prompt_id", physics.alias("physics_result"), gate.alias("tracking_quality")))
+    root = scratch(spark, "result-tree")
+    result_tree.write_tree(sums.select("metric", "prompt_id", body.alias("document")), root)
+    read = result_tree.read_tree(spark, root).filter(F.col("metric").isin("1-URGENT", "4-NOT SPECIFIED"))
+    return rounded(results.parsed(read), "measured", "target", digits=1).withColumn("rel_error", r6("rel_error", 5))
+
+
 @query
 def changed_inputs(spark, d):
     """Orders against an edited copy: some totals changed, some rows lost, repeated or new."""
