@@ -12,7 +12,9 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, partitions=4, memory="4g")
+    # tables are tiny here: compiling a plan's code would take longer than running it (the queries' own run compiles it)
+    interpreted = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    return local_session(4, partitions=4, memory="4g", **interpreted)
 
 
 @pytest.fixture(scope="session")
