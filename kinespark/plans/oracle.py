@@ -358,6 +358,12 @@ SQL: dict[str, str] = {
       select * from rg where method = 'median_background' or video not in (select video from rg where method = 'median_background')""",
     "result_tree_metrics": f"""with {RES}, g as (select metric, 'c' || o_custkey % 20 as prompt_id, round(sum(measured), 2) as m, round(sum(target), 2) as t, count(*) filter (tracking = 'flagged') as f from res join orders on o_orderkey = prompt_id where metric in ('1-URGENT', '4-NOT SPECIFIED') group by all)
       select metric, prompt_id, 'valid' as status, {r6("m", 1)} as measured, {r6("t", 1)} as target, {r6("abs(m - t) / t", 5)} as rel_error, case when f > 0 then 'flagged' else 'pass' end as tracking, case when f > 0 then 'no_meaningful_motion' else '' end as tracking_reasons from g""",
+    "cluster_candidates": f"""with recursive {TR}, o as (select object_id as video, frame as candidate, area as score, greatest(area, 1e-6) as w, x, y, row_number() over (partition by object_id order by area desc, frame) as i from tr),
+      st as (select video, i, candidate, score, 0::bigint as cluster, [{{'sx': x * w, 'sy': y * w, 'sw': w}}] as s from o where i = 1
+        union all select video, i, candidate, score, c, case when c = len(s) then list_append(s, {{'sx': x * w, 'sy': y * w, 'sw': w}}) else list_concat(list_append(s[:c], {{'sx': s[c + 1].sx + x * w, 'sy': s[c + 1].sy + y * w, 'sw': s[c + 1].sw + w}}), s[c + 2:]) end
+        from (select o.*, st.s, coalesce(list_position(list_transform(st.s, lambda q: sqrt(pow(q.sx / q.sw - o.x, 2) + pow(q.sy / q.sw - o.y, 2)) <= 40), true), len(st.s) + 1)::bigint - 1 as c from st join o on o.video = st.video and o.i = st.i + 1) n),
+      b as (select *, score >= 0.65 * max(score) over (partition by video, cluster) as stable from st)
+      select video, cluster::integer as cluster, count(distinct candidate) as n_frames, count(*) as n_candidates, first(candidate order by abs(candidate - 10), score desc, candidate) filter (stable) as candidate, {r6("median(score) * ln(1 + count(distinct candidate))")} as cluster_score from b group by video, cluster""",
     "changed_inputs": """select case when n = 4 then -o_orderkey else o_orderkey end as o_orderkey, ['changed', 'lost', 'repeated', 'new'][n] as change, [1, 1, 1, 0][n]::bigint as n_before, [1, 0, 2, 1][n]::bigint as n_after from (select o_orderkey, o_orderkey % 1000 as n from orders) q where n between 1 and 4""",
     "dq_preflight": r"""with r as (select 'documents' as source, case when text is null or trim(text) = '' then 'empty text' when length(text) < 20 then 'short text' when not regexp_matches(source, '^[A-Za-z0-9_-]+$') then 'source name' end as rule from documents
       union all select 'documents', case when count(*) > 1 then 'repeated id' end from documents group by doc_id union all select 'pages', case when url is null or not regexp_matches(url, '^https?://') then 'not a URL' end from pages) select source, rule, count(*) as n from r where rule is not null group by all""",
