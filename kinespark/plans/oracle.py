@@ -367,5 +367,28 @@ SQL: dict[str, str] = {
     "changed_inputs": """select case when n = 4 then -o_orderkey else o_orderkey end as o_orderkey, ['changed', 'lost', 'repeated', 'new'][n] as change, [1, 1, 1, 0][n]::bigint as n_before, [1, 0, 2, 1][n]::bigint as n_after from (select o_orderkey, o_orderkey % 1000 as n from orders) q where n between 1 and 4""",
     "dq_preflight": r"""with r as (select 'documents' as source, case when text is null or trim(text) = '' then 'empty text' when length(text) < 20 then 'short text' when not regexp_matches(source, '^[A-Za-z0-9_-]+$') then 'source name' end as rule from documents
       union all select 'documents', case when count(*) > 1 then 'repeated id' end from documents group by doc_id union all select 'pages', case when url is null or not regexp_matches(url, '^https?://') then 'not a URL' end from pages) select source, rule, count(*) as n from r where rule is not null group by all""",
+    "container_tables": f"""with u as (select user_id as object_id, count(*) as n, count(*) filter (event_type = 'error') as few, epoch(date_trunc('second', max(ts)))::bigint - epoch(date_trunc('second', min(ts)))::bigint as span from events group by 1)
+      select object_id, true as header_ok, 2 as tracks, 'vide' as handler, n as samples, few as sounds, case when span > 0 then {r6("n * 600 / span::double")} end as rate, array_to_string(list_filter([n, few], lambda v: v > 0), ',') as counts from u""",
+    "metadata_preflight": r"""with m as (select case when k % 50 = 1 then -(w % 20) when k % 50 <> 2 then k end as ix, case when k % 40 = 3 then 'P' || w || ['.', '_', '/', ''][k % 4 + 1] when k % 40 <> 5 then 'Q' || k end as id,
+        case when k % 9 = 4 then ['eval_speed', 'eval_oracle_tracking'][k % 2 + 1] else 'known' end as ev, (k % 7)::int as par, (k % 6)::int as num, case when k % 8 = 6 then (k % 5)::int end as bad, case when k % 5 <> 0 then k % 4 end as fr, w from (select o_orderkey as k, o_custkey as w from orders)),
+      v as (select o_custkey as w, count(*) as n, o_custkey * 100 >= 1024 and o_custkey % 13 <> 0 as fine, o_custkey % 7 <> 0 as listed from orders where o_custkey % 10 <> 0 group by 1),
+      j as (select m.*, v.n, v.w is not null and bad is null as found, coalesce(v.fine, false) and bad is null as fine, listed from m left join v using (w)),
+      r as (select 'index_given' as rule, 'error' as severity, id as subject, 'no index' as detail from j where ix is null
+        union all select 'id_given', 'error', id, 'no id' from j where id is null
+        union all select 'id_safe', 'error', id, 'id is not safe in paths' from j where id is null or contains(id, '.') or contains(id, '/')
+        union all select 'evaluator_known', 'error', id, 'unknown evaluator ' || ev from j where ev <> 'known'
+        union all select 'parameters', 'error', id, 'parameters are no JSON object' from j where par in (3, 4)
+        union all select 'objects_positive', 'error', id, 'number of objects is not positive' from j where num in (4, 5)
+        union all select 'video_path', 'error', id, ['path is empty', 'path has backslashes', 'path is not relative', 'path is not relative', 'path leaves its folder'][bad + 1] from j where bad is not null
+        union all select 'video_there', 'error', id, 'video missing' from j where bad is null and not found
+        union all select 'video_plausible', 'error', id, 'no plausible MP4' from j where found and not fine
+        union all select 'frames_match', 'error', id, 'expected ' || fr || ' frames, declared ' || n from j where fine and listed and fr <> n
+        union all select 'frames_declared', 'warning', id, 'no frame count declared' from j where fine and not listed and fr is not null
+        union all select 'renderer', 'error', id, case when par in (0, 1, 3, 4, 5) then 'mask pattern has no frame' else 'colour is not of bytes' end from j where fine and ev = 'eval_oracle_tracking' and par <> 6
+        union all select 'videos_verified', 'ok', null, 'plausible MP4' from j where fine union all select 'frames_verified', 'ok', null, 'frame count declared' from j where fine and listed and fr = n),
+      g as (select 'index_unique' as rule, 'error' as severity, ix::varchar as subject, coalesce(id, '') as value from m where ix is not null union all select 'id_unique', 'error', id, id from m where id is not null
+        union all select 'folder_unique', 'error', regexp_replace(regexp_replace(coalesce(id, ''), '[./]', '_'), '_+$', ''), coalesce(id, '') from m union all select 'video_once', 'warning', 'v/' || w || '.mp4', coalesce(id, '') from m where bad is null)
+      select rule, severity, 'row' as scope, subject, detail, count(*) as n from r group by all union all
+      select rule, severity, 'table', subject, nullif(case when min(value) = max(value) then min(value) else min(value) || ' and ' || max(value) end, ''), count(*) from g group by rule, severity, subject having case when rule = 'folder_unique' then min(value) <> max(value) else count(*) > 1 end""",
     "event_windows": f"select cast(epoch(date_trunc('hour', ts)) as bigint) as start, event_type, count(*) as n, {r6('sum(value)')} as total from events group by 1, 2",
 }

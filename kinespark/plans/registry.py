@@ -13,7 +13,7 @@ from kinespark.functions import exprs as X
 from kinespark.operators import background, candidates, detections, evaluators, fits, gates, masks, own, regions, scoring, selection, sensitivity, unchanged, windows
 from kinespark.plans import adapters as A
 from kinespark.plans import oracle as O
-from kinespark.sources import overrides, result_tree, results
+from kinespark.sources import containers, overrides, preflight, result_tree, results
 from kinespark.session import scratch
 from kinespark.streaming import frames, landing
 
@@ -710,6 +710,47 @@ def own_table_function(spark, d):
     return rounded(out.select(F.col("video").cast("long").alias("object_id"), "n", "speed", "r2"), "speed", "r2")
 
 
+def _box(kind: str, *content) -> Column:
+    """An MP4 box as hexadecimal text."""
+    body = F.concat(*content)
+    return F.concat(F.lpad(F.hex((F.length(body) / 2 + 8).cast("long")), 8, "0"), F.hex(F.lit(kind)), body)
+
+
+@query
+def container_tables(spark, d):
+    """Users' events as videos: an MP4 of two tracks a user, made with columns, walked by its boxes."""
+    u = A.table(spark, d, "events").groupBy(F.col("user_id").alias("object_id")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("few"), (F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))).alias("span"),
+    )
+    u32, zeros = lambda c: F.lpad(F.hex(c.cast("long")), 8, "0"), lambda k: F.lit("00" * k)
+    track = lambda handler, samples: _box("trak", _box("mdia", _box("mdhd", zeros(12), u32(F.lit(600)), u32(F.col("span")), zeros(4)), _box("hdlr", zeros(8), F.hex(F.lit(handler)), zeros(13)), _box("minf", _box("stbl", _box("stsz", zeros(8), u32(samples))))))
+    file = F.concat(_box("ftyp", F.hex(F.lit("isom"))), _box("mdat", F.hex(F.lit("stsz")), zeros(64)), _box("moov", track("vide", F.col("n")), track("soun", F.col("few"))))
+    out = containers.container_facts(u.select("object_id", F.unhex(file).alias("content")))
+    first = F.get("tracks", F.lit(0))
+    return out.select(
+        "object_id", "header_ok", F.size("tracks").alias("tracks"), first["handler"].alias("handler"), first["samples"].alias("samples"), F.get("tracks", F.lit(1))["samples"].alias("sounds"),
+        r6(containers.frame_rate(first)).alias("rate"), F.array_join(F.transform("sample_counts", lambda n: n.cast("string")), ",").alias("counts"),
+    )
+
+
+@query
+def metadata_preflight(spark, d):
+    """Orders as rows of metadata, some of which break rules, against their customers' files."""
+    o, k, who = A.table(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda c, *texts: F.element_at(F.array(*[F.lit(t) for t in texts]), (c % len(texts) + 1).cast("int"))
+    meta = o.select(
+        F.when(k % 50 == 1, -(who % 20)).when(k % 50 != 2, k).alias("Index"), F.when(k % 40 == 3, F.concat(F.lit("P"), who.cast("string"), pick(k, ".", "_", "/", ""))).when(k % 40 != 5, F.concat(F.lit("Q"), k.cast("string"))).alias("Prompt_ID"),
+        F.when(k % 9 == 4, pick(k, "eval_speed", "eval_oracle_tracking")).otherwise(pick(k, "eval_velocity", "eval_gravity", "eval_momentum_1d")).alias("Evaluator"), pick(k, '{"g": 9.8}', "", '{"gt_mask_pattern": "m/{frame:04d}.png", "gt_rgba": [1, 2, 300]}', "[1]", "{", '{"gt_mask_pattern": "m.png"}', '{"gt_mask_pattern": "m/{frame}.png", "gt_rgba": [255, 0, 0]}').alias("Known_Parameters_JSON"),
+        pick(k, "1", "2", "", "0", "-1", "x").alias("Num_Objects"), F.when(k % 8 == 6, pick(k, "", "a\\b.mp4", "/a.mp4", "C:a.mp4", "../a.mp4")).otherwise(F.concat(F.lit("v/"), who.cast("string"), F.lit(".mp4"))).alias("Video_File"),
+        F.when(k % 5 != 0, (k % 4).cast("string")).alias("Expected_Frame_Count"),
+    )
+    n = F.count("*")
+    videos = o.filter(who % 10 != 0).groupBy("o_custkey").agg(n.alias("n")).select(
+        F.concat(F.lit("v/"), who.cast("string"), F.lit(".mp4")).alias("relative"), (who * 100).cast("long").alias("size"), (who % 13 != 0).alias("header_ok"), F.when(who % 7 == 0, F.array().cast("array<bigint>")).otherwise(F.array("n")).alias("sample_counts"),
+    )
+    return preflight.metadata_report(meta, videos)
+
+
 @query
 def frame_stream_gate(spark, d):
     """Events streamed as frames, one object a user; the gate from what they came to."""

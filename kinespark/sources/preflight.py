@@ -1,4 +1,5 @@
-"""Checks before a run: videos against a manifest, and starting prompts. Each rule is a column; reports are rows."""
+"""Checks before a run: metadata with its videos, videos against a manifest, and starting prompts. Each rule is a column;
+reports are rows."""
 
 from __future__ import annotations
 
@@ -6,18 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinespark.functions.exprs import clean_json
+from kinespark.operators import evaluators
+from kinespark.operators.rules import GroupRule, Rule, RowRule, report
+from kinespark.sources.containers import read_containers
 
 
 def read_videos(spark: SparkSession, root: str) -> DataFrame:
     """path, name, size, sha256, whether it begins like an MP4 and the sample counts its tables declare."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mp4").load(root)
-    text = F.hex("content")
-    after = F.filter(F.transform(F.split(text, F.hex(F.lit("stsz"))), lambda s: F.conv(F.substring(s, 17, 8), 16, 10).cast("long")), lambda n: n > 0)
-    first = F.contains(F.hex(F.substring("content", 1, 32)), F.hex(F.lit("ftyp")))
-    return f.select(
-        "path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.upper(F.sha2("content", 256)).alias("sha256"), ((F.col("length") >= 12) & first).alias("header_ok"),
-        F.when(F.contains(text, F.hex(F.lit("stsz"))), F.slice(after, 1, F.greatest(F.size(after), F.lit(1)))).alias("sample_counts"),
-    )
+    return read_containers(spark, root).select("path", "name", "size", "sha256", "header_ok", "sample_counts")
 
 
 def video_report(videos: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -64,3 +61,79 @@ def prompts(rows: DataFrame, column: str = "Tracking_Prompts_JSON", expected: st
         .when(F.coalesce(bad_box, F.lit(True)) & box.isNotNull(), "box is no x1, y1, x2, y2").when(outside, "box leaves out a positive point")
     )
     return own.withColumn("error", error).drop("_whole", "_k", "_p")
+
+
+#: The least bytes of a plausible video, and the evaluator whose tracks come from a renderer's masks.
+LEAST_BYTES, RENDERED = 1024, "eval_oracle_tracking"
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text.cast("string"), r"^\s+|\s+$", "")
+
+
+def path_problem(path: Column) -> Column:
+    """Why a path can't be used on another machine, else null."""
+    text = _stripped(F.coalesce(path.cast("string"), F.lit("")))
+    return (
+        F.when(text == "", "path is empty").when(F.contains(text, F.lit("\\")), "path has backslashes").when(text.rlike("^(/|[A-Za-z]:)"), "path is not relative")
+        .when(F.array_contains(F.split(text, "/"), ".."), "path leaves its folder")
+    )
+
+
+def folder_name(name: Column) -> Column:
+    """The name with _ for all but letters, digits, - and _, and none of these at the ends."""
+    return F.regexp_replace(F.regexp_replace(name, r"[^\p{L}\p{N}_-]", "_"), "^_+|_+$", "")
+
+
+def renderer_problem(known: Column) -> Column:
+    """What a renderer's masks lack in the parameters (variant): a pattern with a frame, and a colour of 3 or 4 bytes."""
+    pattern = F.when(F.schema_of_variant(F.try_variant_get(known, "$.gt_mask_pattern", "variant")) == "STRING", F.try_variant_get(known, "$.gt_mask_pattern", "string"))
+    colour = F.try_variant_get(known, "$.gt_rgba", "array<variant>")
+    byte = lambda v: F.schema_of_variant(v).rlike("^(BIGINT|BOOLEAN)$") & F.coalesce(F.try_variant_get(v, "$", "int").between(0, 255), F.lit(False))
+    return (
+        F.when(~F.coalesce(F.contains(pattern, F.lit("{frame")), F.lit(False)), "mask pattern has no frame").when(colour.isNull() | ~F.size(colour).isin(3, 4), "colour is no list of 3 or 4")
+        .when(~F.forall(colour, lambda v: F.coalesce(byte(v), F.lit(False))), "colour is not of bytes")
+    )
+
+
+def metadata_rules() -> list[Rule]:
+    """The rules for rows of metadata joined with their containers (found, _size, _header, _counts)."""
+    c, no = F.col, F.lit(None).cast("string")
+    name = _stripped(F.coalesce(c("Prompt_ID").cast("string"), F.lit("")))
+    given = F.nullif(F.trim("Known_Parameters_JSON"), F.lit(""))
+    known = F.try_parse_json(clean_json(given))
+    number = F.nullif(F.trim(c("Num_Objects").cast("string")), F.lit(""))
+    evaluator = F.coalesce(c("Evaluator").cast("string"), F.lit(""))
+    expected, listed = F.trim(c("Expected_Frame_Count").cast("string")).try_cast("double").try_cast("long"), F.size("_counts") > 0
+    path, plausible = path_problem(c("Video_File")), c("_found") & (c("_size") >= LEAST_BYTES) & c("_header")
+    verified = plausible & F.array_contains("_counts", expected)
+    at = F.when(path.isNull(), _stripped(c("Video_File")))
+    return [
+        RowRule("index_given", "error", F.when(c("Index").isNull(), "no index")), GroupRule("index_unique", "error", c("Index"), name),
+        RowRule("id_given", "error", F.when(c("Prompt_ID").isNull(), "no id")), GroupRule("id_unique", "error", c("Prompt_ID"), name),
+        RowRule("id_safe", "error", F.when(~name.rlike(r"\A[A-Za-z0-9_-]+\z"), "id is not safe in paths")), GroupRule("folder_unique", "error", folder_name(name), name, differ=True),
+        RowRule("evaluator_known", "error", F.when(~evaluator.isin(*evaluators.NAMES), F.concat(F.lit("unknown evaluator "), evaluator))),
+        RowRule("parameters", "error", F.when(given.isNotNull() & ~F.coalesce(F.schema_of_variant(known).startswith("OBJECT"), F.lit(False)), "parameters are no JSON object")),
+        RowRule("objects_positive", "error", F.when(number.isNotNull() & (F.coalesce(number.try_cast("double"), F.lit(-1.0)) != 0) & (F.coalesce(number.try_cast("double"), F.lit(-1.0)) < 1), "number of objects is not positive")),
+        RowRule("video_path", "error", path), GroupRule("video_once", "warning", at, name),
+        RowRule("video_there", "error", F.when(at.isNotNull() & ~c("_found"), "video missing")), RowRule("video_plausible", "error", F.when(c("_found") & ~plausible, "no plausible MP4")),
+        RowRule("frames_match", "error", F.when(plausible & listed & ~F.array_contains("_counts", expected), F.concat(F.lit("expected "), expected, F.lit(" frames, declared "), F.array_join(F.transform("_counts", lambda n: n.cast("string")), ", ")))),
+        RowRule("frames_declared", "warning", F.when(plausible & ~listed & expected.isNotNull(), "no frame count declared")),
+        RowRule("renderer", "error", F.when(plausible & (evaluator == RENDERED), renderer_problem(known)).otherwise(no)),
+        RowRule("videos_verified", "ok", F.when(plausible, "plausible MP4")), RowRule("frames_verified", "ok", F.when(verified, "frame count declared")),
+    ]
+
+
+def metadata_report(metadata: DataFrame, videos: DataFrame, extra: list[Rule] | None = None) -> DataFrame:
+    """Lines (``rules.report``) of metadata against the containers of its videos (relative, size, header_ok, sample_counts, as
+    ``read_containers`` gives them). Columns that metadata lacks count as null; of rows of one path in videos the largest
+    counts. Video rules stop at the first that fails: path, file, header, frames. One join and one grouping."""
+    for column in ("Index", "Prompt_ID", "Evaluator", "Known_Parameters_JSON", "Num_Objects", "Video_File", "Expected_Frame_Count"):
+        if column not in metadata.columns:
+            metadata = metadata.withColumn(column, F.lit(None).cast("string"))
+    own = videos.groupBy(F.col("relative").alias("_path")).agg(F.max(F.struct("size", "header_ok", "sample_counts")).alias("_v"))
+    rows = metadata.withColumn("_path", F.when(path_problem(F.col("Video_File")).isNull(), _stripped(F.col("Video_File"))))
+    both = rows.join(own, "_path", "left").withColumns({
+        "_found": F.col("_v").isNotNull(), "_size": F.col("_v.size"), "_header": F.coalesce("_v.header_ok", F.lit(False)), "_counts": F.coalesce("_v.sample_counts", F.array().cast("array<bigint>")),
+    })
+    return report(both, metadata_rules() + (extra or []), F.col("Prompt_ID"))
