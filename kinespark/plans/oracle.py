@@ -390,5 +390,7 @@ SQL: dict[str, str] = {
         union all select 'folder_unique', 'error', regexp_replace(regexp_replace(coalesce(id, ''), '[./]', '_'), '_+$', ''), coalesce(id, '') from m union all select 'video_once', 'warning', 'v/' || w || '.mp4', coalesce(id, '') from m where bad is null)
       select rule, severity, 'row' as scope, subject, detail, count(*) as n from r group by all union all
       select rule, severity, 'table', subject, nullif(case when min(value) = max(value) then min(value) else min(value) || ' and ' || max(value) end, ''), count(*) from g group by rule, severity, subject having case when rule = 'folder_unique' then min(value) <> max(value) else count(*) > 1 end""",
+    "exact_colours": f"""with {TR}, px as (select distinct object_id as video, frame // 10 as frame, floor(y)::bigint % 16 as y, floor(x)::bigint % 24 as x from tr)
+      select video, frame, 24 as image_w, 16 as image_h, count(*) as area, min(x)::int as x1, min(y)::int as y1, max(x)::int as x2, max(y)::int as y2, {r6("avg(x)")} as cx, {r6("avg(y)")} as cy from px group by video, frame""",
     "event_windows": f"select cast(epoch(date_trunc('hour', ts)) as bigint) as start, event_type, count(*) as n, {r6('sum(value)')} as total from events group by 1, 2",
 }

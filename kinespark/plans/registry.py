@@ -13,7 +13,7 @@ from kinespark.functions import exprs as X
 from kinespark.operators import background, candidates, detections, evaluators, fits, gates, masks, own, regions, scoring, selection, sensitivity, unchanged, windows
 from kinespark.plans import adapters as A
 from kinespark.plans import oracle as O
-from kinespark.sources import containers, overrides, preflight, result_tree, results
+from kinespark.sources import containers, metadata, overrides, preflight, result_tree, results
 from kinespark.session import scratch
 from kinespark.streaming import frames, landing
 
@@ -751,6 +751,13 @@ def metadata_preflight(spark, d):
     return preflight.metadata_report(meta, videos)
 
 
+@query
+def exact_colours(spark, d):
+    """Shapes of an exact colour in images drawn from events."""
+    out = metadata.colour_shapes(A.coloured_frames(spark, d))
+    return rounded(out.select("video", "frame", "image_w", "image_h", "area", "x1", "y1", "x2", "y2", "cx", "cy"), "cx", "cy")
+
+
 @query
 def frame_stream_gate(spark, d):
     """Events streamed as frames, one object a user; the gate from what they came to."""

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinespark.functions.exprs import clean_json, positive
 from kinespark.session import ship_package
+from kinespark.sources import png
 
 #: The columns that a metadata table must have.
 REQUIRED = ("Index", "Prompt_ID", "Video_File", "Module", "Metric", "Tracking_Objects", "Num_Objects", "View", "Motion_Axis", "Scale_Mode", "Target_Type", "Target_Value", "Target_Unit")
@@ -122,42 +122,8 @@ def with_mask_areas(records: DataFrame, masks: DataFrame, prefer_masks: bool = F
 
 
 def decode_png(data: bytes) -> np.ndarray:
-    """First channel of a PNG with 8 bits a channel and no interlacing."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("not a PNG")
-    at, body, width, height, channels = 8, b"", 0, 0, 1
-    while at < len(data):
-        size, kind = int.from_bytes(data[at : at + 4]), data[at + 4 : at + 8]
-        chunk = data[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
-            width, height = int.from_bytes(chunk[:4]), int.from_bytes(chunk[4:8])
-            if chunk[8] != 8 or chunk[12]:
-                raise ValueError("only 8 bits a channel and no interlacing")
-            channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[chunk[9]]
-        elif kind == b"IDAT":
-            body += chunk
-        at += size + 12
-    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height, width * channels), np.uint8)
-    before = np.zeros(width * channels, np.int64)
-    for y in range(height):
-        kind, line = rows[y, 0], rows[y, 1:].astype(np.int64)
-        if kind == 1:
-            line = np.cumsum(line.reshape(width, channels), axis=0).reshape(-1) & 255
-        elif kind == 2:
-            line = (line + before) & 255
-        elif kind in (3, 4):
-            for x in range(len(line)):
-                left = line[x - channels] if x >= channels else 0
-                up, corner = before[x], before[x - channels] if x >= channels else 0
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    guess = min((left, up, corner), key=lambda v: abs(p - v))
-                line[x] = (line[x] + guess) & 255
-        out[y], before = line, line
-    return out[:, ::channels]
+    """First channel of a PNG."""
+    return png.first_channel(data)
 
 
 def mask_runs(images: DataFrame) -> DataFrame:
@@ -172,3 +138,35 @@ def mask_runs(images: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"path": path, "y": y.astype("int32"), "x0": x0.astype("int32"), "x1": (np.nonzero(edges == -1)[1] - 1).astype("int32")})
 
     return images.select("path", "content").mapInPandas(run, "path string, y int, x0 int, x1 int")
+
+
+SHAPE = "image_w int, image_h int, area long, x1 int, y1 int, x2 int, y2 int, cx double, cy double, error string"
+
+
+def colour_shapes(images: DataFrame, content: str = "content", colour: str = "rgba", opened: Callable[[object], bytes] = bytes) -> DataFrame:
+    """Rows of images with the pixels that have exactly the row's colour (four bytes; three mean opaque): size of the image,
+    area, inclusive box, mean place. No such pixel: area 0, no box. Null content or colour: all null. What is no image, or no
+    colour, has an error. opened turns what the column content holds, as a path, into bytes, within the task."""
+    ship_package(images.sparkSession)
+    fields = [f.split() for f in SHAPE.split(", ")]
+
+    def shape(v, want) -> tuple:
+        if v is None or want is None:
+            return (None,) * len(fields)
+        if len(want) not in (3, 4) or any(c is None or not 0 <= c <= 255 for c in want):
+            return (None,) * (len(fields) - 1) + ("colour is not of bytes",)
+        try:
+            pixels = png.rgba(opened(v))
+        except FileNotFoundError:
+            return (None,) * len(fields)
+        except ValueError as e:
+            return (None,) * (len(fields) - 1) + (str(e),)
+        y, x = np.nonzero((pixels == np.array([*want, 255][:4], np.uint8)).all(axis=2))
+        size = (pixels.shape[1], pixels.shape[0], len(x))
+        return (*size, int(x.min()), int(y.min()), int(x.max()), int(y.max()), float(x.mean()), float(y.mean()), None) if len(x) else (*size, *[None] * 7)
+
+    @F.pandas_udf(f"struct<{','.join(f'{n}:{t}' for n, t in fields)}>")
+    def look(contents: pd.Series, colours: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shape(v, c) for v, c in zip(contents, colours, strict=True)], columns=[n for n, _ in fields]).astype({n: {"int": "Int32", "long": "Int64", "double": "Float64"}[t] for n, t in fields[:-1]})
+
+    return images.withColumn("_shape", look(content, F.col(colour).cast("array<int>"))).select(*images.columns, "_shape.*")
