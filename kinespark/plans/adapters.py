@@ -93,7 +93,7 @@ def coloured_frames(spark: SparkSession, sf_dir: str, width: int = 24, height: i
         def one(video: int, at) -> bytes:
             image = np.zeros((height + 1, width + 1, 4), np.int64)
             image[1:, 1:] = (200, video % 256, 0, 254)
-            image[1:, 1:].reshape(-1, 4)[np.asarray(at), 3] = 255
+            image[1 + np.asarray(at) // width, 1 + np.asarray(at) % width, 3] = 255
             here, left, up, corner = image[1:, 1:], image[1:, :-1], image[:-1, 1:], image[:-1, :-1]
             far = [np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)]
             guess = np.choose(np.argmin(far, axis=0), [left, up, corner])
