@@ -392,5 +392,15 @@ SQL: dict[str, str] = {
       select rule, severity, 'table', subject, nullif(case when min(value) = max(value) then min(value) else min(value) || ' and ' || max(value) end, ''), count(*) from g group by rule, severity, subject having case when rule = 'folder_unique' then min(value) <> max(value) else count(*) > 1 end""",
     "exact_colours": f"""with {TR}, px as (select distinct object_id as video, frame // 10 as frame, floor(y)::bigint % 16 as y, floor(x)::bigint % 24 as x from tr)
       select video, frame, 24 as image_w, 16 as image_h, count(*) as area, min(x)::int as x1, min(y)::int as y1, max(x)::int as x2, max(y)::int as y2, {r6("avg(x)")} as cx, {r6("avg(y)")} as cy from px group by video, frame""",
+    "tracking_initialisation": f"""with {TR}, v as (select object_id as v, count(*) as n, floor(arg_min(x, frame))::bigint as fx, floor(arg_min(y, frame))::bigint as fy from tr group by 1),
+      px as (select distinct object_id as v, frame // 10 as f, floor(y)::bigint % 16 as y, floor(x)::bigint % 24 as x from tr where object_id % 4 = 2),
+      sh as (select v, f, count(*) as area, min(x) as x1, min(y) as y1, max(x) as x2, max(y) as y2, avg(x) as cx, avg(y) as cy from px group by v, f),
+      el as (select *, row_number() over (partition by v order by f) as i, case when v % 8 = 2 then 0 else 2 end as pad from sh where v % 8 = 2 or area >= 9),
+      e as (select v.*, el.*, coalesce(case when v.v % 20 = 9 then 2 end, 1) as expected, case when v.v % 12 = 3 then 'unsupported setting conf' when v.v % 4 = 1 and v.v % 20 = 9 then 'prompt count differs from the number of objects'
+        when v.v % 4 = 2 and el.v is null then 'no visible mask passes the gates' end as err from v left join el on el.v = v.v and el.i = 1)
+      select v as video, err as init_error, case when err is null then expected else 0 end as expected, case when err is null then case v % 4 when 1 then case when v % 8 = 1 and v % 12 <> 5 then 'one_frame_manual_point_box' else 'one_frame_manual_point' end
+          when 2 then case when v % 8 = 2 then 'renderer_first_visible_gt_point_box' else 'renderer_first_eligible_gt_point_box' end else 'video_only_auto' end end as protocol,
+        coalesce(case when err is null then case v % 4 when 1 then 0 when 2 then f end end, -1) as frame_idx, case when err is null then case v % 4 when 1 then fx + 0.0 when 2 then {r6("cx")} end end as px, case when err is null then case v % 4 when 1 then fy + 0.0 when 2 then {r6("cy")} end end as py,
+        case when err is null then case when v % 8 = 1 then '0,0,100000,100000' when v % 4 = 2 then greatest(0, x1 - pad) || ',' || greatest(0, y1 - pad) || ',' || least(23, x2 + pad) || ',' || least(15, y2 + pad) end end as box from e""",
     "event_windows": f"select cast(epoch(date_trunc('hour', ts)) as bigint) as start, event_type, count(*) as n, {r6('sum(value)')} as total from events group by 1, 2",
 }

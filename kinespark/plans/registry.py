@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinespark import pipeline
 from kinespark.functions import exprs as X
-from kinespark.operators import background, candidates, detections, evaluators, fits, gates, masks, own, regions, scoring, selection, sensitivity, unchanged, windows
+from kinespark.operators import background, candidates, detections, evaluators, fits, gates, initialisation, masks, own, regions, scoring, selection, sensitivity, unchanged, windows
 from kinespark.plans import adapters as A
 from kinespark.plans import oracle as O
 from kinespark.sources import containers, metadata, overrides, preflight, result_tree, results
@@ -758,6 +758,31 @@ def exact_colours(spark, d):
     return rounded(out.select("video", "frame", "image_w", "image_h", "area", "x1", "y1", "x2", "y2", "cx", "cy"), "cx", "cy")
 
 
+@query
+def tracking_initialisation(spark, d):
+    """How the tracking of users as videos begins: by hand at their first event, by masks drawn from events, or refused."""
+    t, v = A.event_tracks(spark, d), F.col("object_id")
+    x, y = F.floor("x").cast("string"), F.floor("y").cast("string")
+    first = t.groupBy("object_id").agg(F.count("*").alias("n"), F.min_by(F.struct(x.alias("x"), y.alias("y")), "frame").alias("p"))
+    box = F.when(v % 8 == 1, F.lit(', "box": [0, 0, 100000, 100000]')).otherwise(F.lit(""))
+    gates = F.when(v % 8 == 2, F.lit("")).otherwise(F.lit('"min_mask_area_px": 9, "min_border_margin_px": 0, "box_padding_px": 2, '))
+    colour = F.concat(F.lit('"gt_rgba": [200, '), (v % 256).cast("string"), F.lit(", 0, 255]"))
+    meta = first.select(
+        v.alias("video"), F.element_at(F.array(*[F.lit(m) for m in ("", "manual", "Renderer_GT", "auto ")]), (v % 4 + 1).cast("int")).alias("Tracking_Init_Mode"),
+        F.when(v % 4 == 1, F.concat(F.lit('[{"point": ['), "p.x", F.lit(", "), "p.y", F.lit("]"), box, F.lit("}]"))).alias("Tracking_Prompts_JSON"),
+        F.when(v % 4 == 2, F.concat(F.lit('{"gt_mask_pattern": "./'), v.cast("string"), F.lit('/m/../{frame:03d}.png", '), colour, F.lit(', "tracking_init": {'), gates, F.lit('"x": 1}}'))).alias("Known_Parameters_JSON"),
+        F.when(v % 12 == 3, '{"conf": 2}').when(v % 12 == 5, '{"box_disabled": "yes"}').alias("Tracking_Overrides_JSON"), F.when(v % 20 == 9, 2).alias("Num_Objects"), F.ceil(F.col("n") / 10).cast("string").alias("Expected_Frame_Count"),
+    )
+    images = A.coloured_frames(spark, d).select(F.concat(F.col("video").cast("string"), F.lit("/"), F.lpad(F.col("frame").cast("string"), 3, "0"), F.lit(".png")).alias("path"), "content")
+    out = initialisation.resolve(meta, "video", images, allow_renderer=True)
+    p = F.get("init.prompts", F.lit(0))
+    out = out.select(
+        "video", F.col("init.protocol").alias("protocol"), "init_error", F.coalesce("init.num_objects", F.lit(0)).alias("expected"), F.coalesce(p["frame_idx"], F.lit(-1)).alias("frame_idx"), p["positive_points"][0][0].alias("px"), p["positive_points"][0][1].alias("py"),
+        F.array_join(F.transform(p["box"], lambda b: b.cast("int").cast("string")), ",").alias("box"),
+    )
+    return rounded(out, "px", "py")
+
+
 @query
 def frame_stream_gate(spark, d):
     """Events streamed as frames, one object a user; the gate from what they came to."""

@@ -114,6 +114,12 @@ def _open(path: str) -> BinaryIO:
     return store.open_input_file(f"{top.rstrip('/')}/{name}")
 
 
+def open_file(path: str) -> bytes:
+    """All bytes of a small file, as an image."""
+    with _open(path) as f:
+        return f.read()
+
+
 def _length(f: BinaryIO) -> int:
     return f.seek(0, os.SEEK_END)
 

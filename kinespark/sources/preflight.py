@@ -40,27 +40,45 @@ def _place_ok(p: Column) -> Column:
     return (F.size(p) == 2) & F.forall(p, lambda x: x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < float("inf")))
 
 
+def checked_prompts(listed: Column) -> Column:
+    """A list of prompts (array of variant) as structs: object_id, frame_idx, positive_points, negative_points, box, source, error."""
+    get = lambda p, kind, *names: F.coalesce(*[F.try_variant_get(p, f"$.{x}", kind) for x in names])
+    read = F.transform(
+        listed,
+        lambda p, k: F.struct(
+            F.coalesce(get(p, "int", "object_id"), k + 1).alias("object_id"), F.coalesce(get(p, "int", "frame_idx", "frame"), F.lit(0)).alias("frame_idx"), _points(p, "positive_points", "points", "point").alias("positive_points"),
+            F.coalesce(_points(p, "negative_points"), F.array().cast("array<array<double>>")).alias("negative_points"), get(p, "array<double>", "box").alias("box"), F.coalesce(get(p, "string", "source"), F.lit("manual")).alias("source"),
+            F.schema_of_variant(p).startswith("OBJECT").alias("is_object"),
+        ),
+    )
+
+    def error(p: Column) -> Column:
+        box, pos, points = p["box"], p["positive_points"], F.concat(p["positive_points"], p["negative_points"])
+        bad_box = box.isNotNull() & ~((F.size(box) == 4) & F.forall(box, lambda x: x >= 0) & (F.get(box, F.lit(2)) >= F.get(box, F.lit(0))) & (F.get(box, F.lit(3)) >= F.get(box, F.lit(1))))
+        outside = box.isNotNull() & F.exists(pos, lambda q: ~(q[0].between(box[0], box[2]) & q[1].between(box[1], box[3])))
+        return (
+            F.when(~p["is_object"], "prompt is no object").when(p["object_id"] < 1, "object ids are positive").when(p["frame_idx"] < 0, "frames are not negative")
+            .when(F.coalesce(F.size(pos), F.lit(0)) < 1, "no positive point").when(F.exists(points, lambda q: ~F.coalesce(_place_ok(q), F.lit(False))), "points are pairs of numbers that are not negative")
+            .when(F.coalesce(bad_box, F.lit(True)) & box.isNotNull(), "box is no x1, y1, x2, y2").when(outside, "box leaves out a positive point")
+        )
+
+    names = ("object_id", "frame_idx", "positive_points", "negative_points", "box", "source")
+    return F.transform(read, lambda p: F.struct(*[p[n].alias(n) for n in names], error(p).alias("error")))
+
+
+def prompt_list(text: Column, expected: Column) -> tuple[Column, Column]:
+    """The list in a JSON text, and what is wrong with it as a whole."""
+    listed = F.try_variant_get(F.try_parse_json(clean_json(text)), "$", "array<variant>")
+    return listed, F.when(listed.isNull(), "prompts are no JSON list").when(F.size(listed) != expected, "prompt count differs from the number of objects")
+
+
 def prompts(rows: DataFrame, column: str = "Tracking_Prompts_JSON", expected: str = "Num_Objects") -> DataFrame:
     """Each row's prompts, one row a prompt: all columns of rows, object_id, frame_idx, positive_points, negative_points, box
     and source; error says what is wrong with the row's prompts as a whole or with this one."""
-    listed = F.try_variant_get(F.try_parse_json(clean_json(column)), "$", "array<variant>")
-    n = F.greatest(F.coalesce(F.col(expected).cast("int"), F.lit(1)), F.lit(1))
-    whole = F.when(listed.isNull(), "prompts are no JSON list").when(F.size(listed) != n, "prompt count differs from the number of objects")
-    each = rows.withColumn("_whole", whole).select("*", F.posexplode_outer(listed).alias("_k", "_p"))
-    get = lambda kind, *names: F.coalesce(*[F.try_variant_get(F.col("_p"), f"$.{x}", kind) for x in names])
-    own = each.withColumns({
-        "object_id": F.coalesce(get("int", "object_id"), F.col("_k") + 1), "frame_idx": F.coalesce(get("int", "frame_idx", "frame"), F.lit(0)), "positive_points": _points(F.col("_p"), "positive_points", "points", "point"),
-        "negative_points": F.coalesce(_points(F.col("_p"), "negative_points"), F.array().cast("array<array<double>>")), "box": get("array<double>", "box"), "source": F.coalesce(get("string", "source"), F.lit("manual")),
-    })
-    box, pos = F.col("box"), F.col("positive_points")
-    bad_box = box.isNotNull() & ~((F.size(box) == 4) & F.forall(box, lambda x: x >= 0) & (F.get(box, F.lit(2)) >= F.get(box, F.lit(0))) & (F.get(box, F.lit(3)) >= F.get(box, F.lit(1))))
-    outside = box.isNotNull() & F.exists(pos, lambda p: ~(p[0].between(box[0], box[2]) & p[1].between(box[1], box[3])))
-    error = (
-        F.when(F.col("_whole").isNotNull(), F.col("_whole")).when(F.col("object_id") < 1, "object ids are positive").when(F.col("frame_idx") < 0, "frames are not negative")
-        .when(F.coalesce(F.size(pos), F.lit(0)) < 1, "no positive point").when(F.exists(F.concat(pos, "negative_points"), lambda p: ~F.coalesce(_place_ok(p), F.lit(False))), "points are pairs of numbers that are not negative")
-        .when(F.coalesce(bad_box, F.lit(True)) & box.isNotNull(), "box is no x1, y1, x2, y2").when(outside, "box leaves out a positive point")
-    )
-    return own.withColumn("error", error).drop("_whole", "_k", "_p")
+    listed, whole = prompt_list(F.col(column), F.greatest(F.coalesce(F.col(expected).cast("int"), F.lit(1)), F.lit(1)))
+    each = rows.withColumns({"_whole": whole, "_list": checked_prompts(listed)}).select("*", F.explode_outer("_list").alias("_p"))
+    fields = [F.col(f"_p.{n}").alias(n) for n in ("object_id", "frame_idx", "positive_points", "negative_points", "box", "source")]
+    return each.select(*rows.columns, *fields, F.coalesce("_whole", "_p.error").alias("error"))
 
 
 #: The least bytes of a plausible video, and the evaluator whose tracks come from a renderer's masks.
