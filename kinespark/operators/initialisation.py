@@ -89,14 +89,15 @@ def requests(rows: DataFrame, allow_renderer: bool = False) -> DataFrame:
     ]
     own = own.withColumn("init_error", F.nullif(_first([(c, F.nullif(t, F.lit("")) if isinstance(t, Column) else t) for c, t in rules]), F.lit("")))
     given = F.when(is_mode("manual") & F.col("init_error").isNull(), F.transform("_hand", lambda p: p.dropFields("error"))).otherwise(F.array().cast(PROMPTS))
-    named = {"prompts": given.cast(PROMPTS), "frames": F.when(is_mode("renderer_gt"), frames), "pattern": at("gt_mask_pattern", "string"), "rgba": at("gt_rgba", "array<int>")}
+    named = {"prompts": given.cast(PROMPTS), "frames": F.when(is_mode("renderer_gt") & F.col("init_error").isNull(), frames), "pattern": at("gt_mask_pattern", "string"), "rgba": at("gt_rgba", "array<int>")}
     return own.withColumns(named).drop("_given", "_known", "_init", "_hand", "_wrong")
 
 
 def renderer_prompts(asked: DataFrame, id: str, images: DataFrame | None, root: str | None) -> DataFrame:
     """id, prompt, mask_error: the first frame, in the order given, whose exact colour passes the row's gates, or what
     stopped the search before."""
-    each = asked.filter((F.col("mode") == "renderer_gt") & F.col("init_error").isNull()).select(id, "pattern", "rgba", "padding", *GATES, F.posexplode("frames").alias("pos", "frame"))
+    # no filter on the mode or the error: Catalyst would push it down to the rows and write all rules out in it
+    each = asked.select(id, "pattern", "rgba", "padding", *GATES, F.posexplode_outer("frames").alias("pos", "frame")).filter("pos is not null")
     each = each.withColumn("named", frame_path(F.col("pattern"), F.col("frame"))).withColumn("path", inside(F.when(~F.contains("named", F.lit("{")), F.col("named"))))
     if images is not None:
         shaped = metadata.colour_shapes(each.join(images.select("path", "content"), "path", "left"))
@@ -128,21 +129,21 @@ def resolve(rows: DataFrame, id: str = "Prompt_ID", images: DataFrame | None = N
     selector = F.when(plain, "first_visible").otherwise("first_eligible")
     source = F.when(plain, SOURCE.format("first_visible")).otherwise(SOURCE.format("first_eligible"))
     own = F.when(renderer & c("prompt").isNotNull(), F.array(c("prompt").withField("source", source))).otherwise(c("prompts"))
-    asked = asked.withColumn("prompts", own)
-    boxes = F.size(F.filter("prompts", lambda p: p["box"].isNotNull()))
+    asked = asked.withColumn("prompts", own).withColumn("_boxes", F.size(F.filter("prompts", lambda p: p["box"].isNotNull())))
     error = _first([
-        (c("init_error").isNotNull(), c("init_error")), (renderer, c("mask_error")), (renderer & c("prompt").isNull(), "no visible mask passes the gates"), ((boxes > 0) & (boxes < F.size("prompts")), "prompts of a row have boxes or have none"),
+        (c("init_error").isNotNull(), c("init_error")), (renderer, c("mask_error")), (renderer & c("prompt").isNull(), "no visible mask passes the gates"), ((c("_boxes") > 0) & (c("_boxes") < F.size("prompts")), "prompts of a row have boxes or have none"),
     ])
-    used = (boxes > 0) & ~F.lit(no_box) & (F.coalesce(F.try_element_at("overrides", F.lit("no_auto_init_box")), F.lit("false")) != "true")
-    row = F.when(renderer, selector).otherwise(c("mode"))
-    protocol = F.coalesce(*[F.when((row == m) & (used if k else ~used), F.lit(names[k])) for m, names in PROTOCOLS.items() for k in (0, 1)])
+    used = (c("_boxes") > 0) & ~F.lit(no_box) & (F.coalesce(F.try_element_at("overrides", F.lit("no_auto_init_box")), F.lit("false")) != "true")
+    asked = asked.withColumns({"_error": error, "_used": used})
+    names = F.create_map(*[F.lit(x) for m, pair in PROTOCOLS.items() for k in (0, 1) for x in (f"{m} {'ft'[k]}", pair[k])])
+    protocol = F.try_element_at(names, F.concat(F.when(renderer, selector).otherwise(c("mode")), F.when(c("_used"), " t").otherwise(" f")))
     counted = F.when(c("mode") != "auto", F.size("prompts"))
     told = F.struct(
         F.lit(1).alias("schema_version"), c("mode"), protocol.alias("protocol"), c("expected").alias("num_objects"), c("prompts"), F.coalesce(c("overrides"), F.create_map().cast("map<string,string>")).alias("tracking_overrides"), renderer.alias("uses_renderer_ground_truth"),
-        F.lit(False).alias("uses_ground_truth_after_initialization"), used.alias("box_prompts_used"), F.when(renderer, F.struct(*GATES)).alias("renderer_gt_eligibility"),
+        F.lit(False).alias("uses_ground_truth_after_initialization"), c("_used").alias("box_prompts_used"), F.when(renderer, F.struct(*GATES)).alias("renderer_gt_eligibility"),
         F.coalesce(F.nullif("Tracking_Objects", F.lit("")), F.nullif("Calibration_Object", F.lit(""))).alias("target_description"), counted.alias("resolved_prompt_count"), (counted == c("expected")).alias("prompt_count_matches_expected"),
     )
-    return asked.withColumn("_error", error).select(*rows.columns, F.when(c("_error").isNull(), told).alias("init"), c("_error").alias("init_error"))
+    return asked.select(*rows.columns, F.when(c("_error").isNull(), told).alias("init"), c("_error").alias("init_error"))
 
 
 def tracker_prompts(resolved: DataFrame, first_id: int = 1, label: int = 1) -> DataFrame:
@@ -150,7 +151,7 @@ def tracker_prompts(resolved: DataFrame, first_id: int = 1, label: int = 1) -> D
     negative_points, box (null where none is used), and what stands in for a detector's findings: bbox (four pixels about the
     point without a box), area, aspect_ratio, method. Rows for detectors (auto) and refused rows have none."""
     keep = [x for x in resolved.columns if x not in ("init", "init_error")]
-    each = resolved.filter("init is not null").select(*keep, F.col("init.mode").alias("_mode"), F.col("init.box_prompts_used").alias("_boxes"), F.posexplode("init.prompts").alias("_k", "_p"))
+    each = resolved.select(*keep, F.col("init.mode").alias("_mode"), F.col("init.box_prompts_used").alias("_boxes"), F.posexplode_outer("init.prompts").alias("_k", "_p")).filter("_k is not null")
     point = F.col("_p.positive_points")[0]
     bbox = F.coalesce("_p.box", F.array(point[0] - 2, point[1] - 2, point[0] + 2, point[1] + 2))
     w, h = (F.greatest(F.lit(1.0), bbox[i + 2] - bbox[i] + 1) for i in (0, 1))
