@@ -6,7 +6,7 @@ import hashlib
 import json
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespark.functions.exprs import EPS, component_score, positive, reasons
@@ -139,26 +139,32 @@ def mask_geometry(runs: DataFrame, keys: list[str]) -> DataFrame:
 def aligned_iou(runs: DataFrame, keys: list[str], frames: DataFrame | None = None, stride: int = 5, window: tuple[float, float] = WINDOW, size: tuple[int, int] | None = None) -> DataFrame:
     """frame, ref and iou of sampled masks of the middle window with the middle one of them, moved onto it by whole pixels
     (halves to even); what falls out of the image doesn't count. frames: keys and all frames that are listed, with or
-    without a mask, which the window is taken from; size: width and height of the images. Runs meet runs of their row, so
-    no pixel is ever a row."""
-    places = mask_geometry(runs, keys)
-    listed = windows.middle(windows.numbered(frames if frames is not None else places.select(*keys, "frame"), keys), *window)
-    usable = windows.numbered(places.join(listed.select(*keys, "frame"), [*keys, "frame"]), keys)
+    without a mask, which the window is taken from; size: width and height of the images. Runs meet the reference's runs of
+    their row, so no pixel is ever a row."""
+    places = mask_geometry(runs, keys).select(*keys, "frame", F.struct("frame", "area", "cx", "cy").alias("m"))
+    there = F.first("m", ignorenulls=True).alias("m")
+    if frames is not None:  # a listed frame and its mask become one row by grouping, without a join
+        listed = frames.select(*keys, "frame").withColumn("listed", F.lit(True)).unionByName(places, allowMissingColumns=True)
+        listed = listed.groupBy(*keys, "frame").agg(there, F.max("listed").alias("listed")).filter("listed").drop("listed")
+    else:
+        listed = places
+    usable = windows.numbered(windows.middle(windows.numbered(listed, keys), *window).filter("m is not null").drop("i", "n"), keys)
     mid = F.floor(F.col("n") / 2)
-    ref = usable.filter((F.col("i") == mid) & (F.col("n") >= 2)).select(*keys, F.col("frame").alias("ref"), F.col("area").alias("ref_area"), F.col("cx").alias("rx"), F.col("cy").alias("ry"))
-    shift = lambda a, b: F.bround(F.col(a) - F.col(b)).cast("int")
-    pairs = usable.filter((F.col("i") % max(1, stride) == 0) & (F.col("i") != mid)).join(ref, keys).select(*keys, "frame", "ref", "ref_area", shift("rx", "cx").alias("dx"), shift("ry", "cy").alias("dy"))
-    moved = runs.join(pairs, [*keys, "frame"]).select(*keys, "frame", "ref", "ref_area", (F.col("y") + F.col("dy")).alias("y"), (F.col("x0") + F.col("dx")).alias("a0"), (F.col("x1") + F.col("dx")).alias("a1"))
+    ref = F.max(F.when((F.col("i") == mid) & (F.col("n") >= 2), F.col("m"))).over(Window.partitionBy(*keys))
+    chosen = usable.withColumn("ref", ref).filter(((F.col("i") % max(1, stride) == 0) | (F.col("i") == mid)) & F.col("ref").isNotNull())
+    shift = lambda c: F.bround(F.col("ref")[c] - F.col("m")[c]).cast("int").alias(f"d{c[1]}")
+    chosen = chosen.select(*keys, "frame", (F.col("i") == mid).alias("is_ref"), F.col("ref.frame").alias("ref"), F.col("ref.area").alias("ref_area"), shift("cx"), shift("cy"))
+    # merges: tables that look small on disk are many times that as runs, too much to go to the driver and out again
+    own = runs.select(*keys, "frame", "y", "x0", "x1").join(chosen.hint("merge"), [*keys, "frame"])
+    rows = own.filter("is_ref").groupBy(*keys, "y").agg(F.collect_list(F.struct("x0", "x1")).alias("there"))
+    moved = own.filter(~F.col("is_ref")).select(*keys, "frame", "ref", "ref_area", (F.col("y") + F.col("dy")).alias("y"), (F.col("x0") + F.col("dx")).alias("a0"), (F.col("x1") + F.col("dx")).alias("a1"))
     if size:
-        clipped = moved.withColumn("a0", F.greatest("a0", F.lit(0))).withColumn("a1", F.least("a1", F.lit(size[0] - 1)))
-        moved = clipped.withColumn("inside", (F.col("a0") <= F.col("a1")) & F.col("y").between(0, size[1] - 1))
-    else:
-        moved = moved.withColumn("inside", F.lit(True))
-    areas = moved.groupBy(*keys, "frame", "ref", "ref_area").agg(F.coalesce(F.sum(F.when(F.col("inside"), F.col("a1") - F.col("a0") + 1)), F.lit(0)).alias("area"))
-    there = runs.select(*keys, F.col("frame").alias("ref"), "y", "x0", "x1")
-    overlap = F.greatest(F.least("a1", "x1") - F.greatest("a0", "x0") + 1, F.lit(0))
-    both = moved.filter("inside").join(there, [*keys, "ref", "y"]).groupBy(*keys, "frame").agg(F.sum(overlap).alias("common"))
-    out = areas.join(both, [*keys, "frame"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
+        moved = moved.withColumn("a0", F.greatest("a0", F.lit(0))).withColumn("a1", F.least("a1", F.lit(size[0] - 1)))
+        moved = moved.withColumn("a1", F.when(F.col("y").between(0, size[1] - 1), F.col("a1")).otherwise(F.col("a0") - 1))
+    overlap = lambda r: F.greatest(F.least("a1", r["x1"]) - F.greatest("a0", r["x0"]) + 1, F.lit(0)).cast("long")
+    common = F.coalesce(F.aggregate("there", F.lit(0).cast("long"), lambda n, r: n + overlap(r)), F.lit(0))
+    both = moved.join(rows.hint("merge"), [*keys, "y"], "left")
+    out = both.groupBy(*keys, "frame", "ref", "ref_area").agg(F.sum(F.greatest(F.col("a1") - F.col("a0") + 1, F.lit(0))).alias("area"), F.sum(common).alias("common"))
     return out.select(*keys, "frame", "ref", (F.col("common") / F.greatest(F.col("area") + F.col("ref_area") - F.col("common"), F.lit(EPS))).alias("iou"))
 
 

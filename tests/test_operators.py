@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinespark.functions import exprs as X
 from kinespark.operators import candidates, evaluators, fits, gates, masks, scoring, sensitivity, windows
-from kinespark.plans import adapters
+from kinespark.plans import adapters, registry
 
 
 @pytest.fixture(scope="module")
@@ -218,3 +218,8 @@ def test_completeness(spark):
 
 def test_grid_size():
     assert len(sensitivity.scenarios()) == 25
+
+
+def test_aligned_iou_sends_no_runs_to_the_driver(spark, sf):
+    plan = registry.queries()["mask_run_iou"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
