@@ -23,6 +23,12 @@ def positive(x) -> Column:
     return F.when(v > 0, v)
 
 
+def ln(x) -> Column:
+    """The logarithm; of 0 it is minus infinity."""
+    v = _c(x)
+    return F.when(v == 0, F.lit(float("-inf"))).otherwise(F.ln(v))
+
+
 def integral_text(x) -> Column:
     """A number as text, without the fraction if it is whole."""
     v = _c(x)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinespark.functions.exprs import ln
+
 
 def ordered(keys: list[str], by: str = "frame"):
     return Window.partitionBy(*keys).orderBy(by)
@@ -40,8 +42,8 @@ def middle(df: DataFrame, low: float = 0.15, high: float = 0.85) -> DataFrame:
 
 
 def log_jump(area: str, w) -> Column:
-    """Change of the logarithm from the last row."""
-    return F.abs(F.ln(area) - F.ln(F.lag(area).over(w)))
+    """Change of the logarithm from the last row; infinite to or from 0."""
+    return F.abs(ln(area) - ln(F.lag(area).over(w)))
 
 
 def step(x: str, y: str, w) -> Column:
