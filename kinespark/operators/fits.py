@@ -100,8 +100,10 @@ def axis_fit(df: DataFrame, keys: list[str], t: str = "t", x: str = "x", y: str
     return m.withColumn("g", line_of("n", "uu", "uv", "vv")).select(*keys, "n", "g.slope", "g.r2")
 
 
-def variation(c) -> Column:
-    """Standard deviation over mean of the positive values; null below two."""
+def variation(c, zero: bool = False) -> Column:
+    """Standard deviation over mean of the positive values, or with zero of all values; null below two (with zero, below one)."""
+    if zero:
+        return F.stddev_pop(c) / F.greatest(F.avg(c), F.lit(EPS))
     v = positive(c)
     return F.when(F.count(v) >= 2, F.stddev_pop(v) / F.greatest(F.avg(v), F.lit(EPS)))
 
