@@ -9,7 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinespark.functions.exprs import EPS, component_score, positive, reasons
+from kinespark.functions.exprs import EPS, component_score, finite, ln, positive, reasons
 from kinespark.operators import fits, windows
 
 #: Good and bad value of each component, and whether a high value is bad.
@@ -45,25 +45,32 @@ def rules_hash(document: dict) -> str:
     return hashlib.sha256(json.dumps(document, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
 
 
-def diagnostics(rows: DataFrame, keys: list[str], ious: DataFrame | None = None) -> DataFrame:
+def diagnostics(rows: DataFrame, keys: list[str], ious: DataFrame | None = None, zero: bool = False) -> DataFrame:
     """One row an object from its listed frames (keys, frame, area, box_w, box_h, cx, cy; nulls where there is no mask): the
-    statistics of the middle window, reasons and decision. ious: keys and iou_median, from the pixels."""
+    statistics of the middle window, reasons and decision. ious: keys and iou_median, from the pixels. zero: areas and sides of 0 are a mask's too, with an
+    infinite aspect, jump and logarithm; else they are none."""
     own = windows.middle(windows.numbered(rows, keys), *WINDOW)
     w = windows.ordered(keys)
-    own = own.withColumn("a", positive("area")).withColumn("step", windows.step("cx", "cy", w))
+    a = F.when(finite("area") >= 0, finite("area")) if zero else positive("area")
+    own = own.withColumn("a", a).withColumn("step", windows.step("cx", "cy", w))
     aspect = F.greatest(F.try_divide("box_w", "box_h"), F.try_divide("box_h", "box_w"))
+    if zero:
+        aspect = F.when((F.col("box_w") == 0) | (F.col("box_h") == 0), F.lit(float("inf"))).otherwise(aspect)
+    varies = lambda c: fits.variation(c, zero)
+    diameter = F.sqrt(4 * F.col("a") / F.pi())
     shape = own.groupBy(*keys).agg(
         F.count("*").alias("n_middle"), F.count("a").alias("n_valid"), F.percentile("a", F.lit(0.05)).alias("p05"), F.percentile("a", F.lit(0.5)).alias("p50"), F.percentile("a", F.lit(0.95)).alias("p95"),
-        F.avg("a").alias("area_mean"), fits.variation("a").alias("area_cv"), fits.variation("box_w").alias("bbox_width_cv"), fits.variation("box_h").alias("bbox_height_cv"), fits.variation(aspect).alias("bbox_aspect_cv"),
-        F.max("step").alias("max_step"), fits.median_positive(F.sqrt(4 * F.col("a") / F.pi())).alias("diameter"),
+        F.avg("a").alias("area_mean"), varies("a").alias("area_cv"), varies("box_w").alias("bbox_width_cv"), varies("box_h").alias("bbox_height_cv"), varies(aspect).alias("bbox_aspect_cv"),
+        F.max("step").alias("max_step"), (F.percentile(diameter, F.lit(0.5)) if zero else fits.median_positive(diameter)).alias("diameter"), F.min("a").alias("least"),
     )
     valid = windows.numbered(own.filter("a is not null").drop("i", "n"), keys).withColumn("jump", windows.log_jump("a", w))
-    valid = valid.withColumn("u", F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))).withColumn("ln_a", F.ln("a"))
+    valid = valid.withColumn("u", F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))).withColumn("ln_a", ln("a"))
     jumps = valid.groupBy(*keys).agg(
         F.max("jump").alias("max_log_jump"), F.max_by("frame", F.struct("jump", -F.col("i"))).alias("jump_frame"), F.exp(F.abs(F.max_by("ln_a", "i") - F.min_by("ln_a", "i"))).alias("trend_scale_ratio")
     )
     trend = fits.linear_fit(valid, keys, "u", "ln_a").select(*keys, F.coalesce("slope", F.lit(0.0)).alias("trend_slope"), F.coalesce("r2", F.lit(0.0)).alias("trend_r2"))
     out = shape.join(jumps, keys, "left").join(trend, keys, "left")
+    out = out.withColumn("trend_r2", F.when(F.col("least") == 0, float("nan")).otherwise(F.col("trend_r2"))).drop("least")
     out = out.join(ious, keys, "left") if ious is not None else out.withColumn("iou_median", F.lit(None).cast("double"))
     enough = F.col("n_valid") >= MIN_VALID
     out = out.withColumns({
