@@ -1,12 +1,15 @@
 """Regions of masks: 8-connected components of runs (y, x0, x1 inclusive), without a row for any pixel.
 
 Runs of a row that overlap or touch become one first. Two runs of neighbouring rows are of one region when they overlap or
-meet at a corner. A frame's runs go to one task (a frame's height times the runs of a row at most), where a sweep over
-neighbouring rows joins them by union-find; frames, not videos, are what is dealt.
+meet at a corner. A frame's runs go to one task (a frame's height times the runs of a row at most), where a search finds
+the neighbours of all runs at once and roots spread along them, for the many frames of a batch together; frames, not videos,
+are what is dealt.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,31 +27,28 @@ def merged_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     return own.groupBy(*keys, "frame", "y", "island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("island")
 
 
-def joined(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
-    """For each run (in order of row and place) the first run of its region."""
-    root = np.arange(len(y))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    starts = {int(v): k for k, v in zip(*np.unique(y, return_index=True)[::-1], strict=True)}
-    ends = {v: k + int((y == v).sum()) for v, k in starts.items()}
-    for v, k in starts.items():
-        if v + 1 not in starts:
-            continue
-        a, b = k, starts[v + 1]
-        while a < ends[v] and b < ends[v + 1]:
-            if x0[a] <= x1[b] + 1 and x0[b] <= x1[a] + 1:
-                i, j = find(a), find(b)
-                root[max(i, j)] = min(i, j)
-            if x1[a] < x1[b]:
-                a += 1
-            else:
-                b += 1
-    return np.array([find(i) for i in range(len(y))], np.int64)
+def joined(frame: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """For each run (in order of frame, row and place) the first run of its region."""
+    root, n = np.arange(len(y)), len(y)
+    if not n:
+        return root
+    row = np.cumsum(np.r_[False, (frame[1:] != frame[:-1]) | (y[1:] != y[:-1])])
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    # rows laid out one after the other on a line, so that one search finds the runs of the next row that each run meets
+    low, width = int(x0.min()), int(x1.max()) - int(x0.min()) + 5
+    follows = np.r_[(frame[first][1:] == frame[first][:-1]) & (y[first][1:] == y[first][:-1] + 1), False][row]
+    at, left, right = row * width, x0 - low + 2, x1 - low + 2
+    begin = np.searchsorted(at + right, at + width + left - 1, "left")
+    count = np.where(follows, np.maximum(np.searchsorted(at + left, at + width + right + 1, "right") - begin, 0), 0)
+    a = np.repeat(np.arange(n), count)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+    while True:  # each run takes the least root that it or a neighbour has, and roots are followed to their ends
+        i, j = root[a], root[b]
+        if (i == j).all():
+            return root
+        np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def labelled(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,12 +57,30 @@ def labelled(runs: DataFrame, keys: list[str]) -> DataFrame:
     own = merged_runs(runs, keys)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", region long"
 
-    def frame(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "x0"])
-        root = joined(*(rows[c].to_numpy() for c in ("y", "x0", "x1")))
-        return rows.assign(region=np.unique(root, return_inverse=True)[1])
-
-    return own.groupBy(*keys, "frame").applyInPandas(frame, schema)
+    def numbered(rows: pd.DataFrame, of: np.ndarray) -> pd.DataFrame:
+        root = joined(of, *(rows[c].to_numpy() for c in ("y", "x0", "x1")))
+        new = root == np.arange(len(root))
+        before = np.cumsum(new) - new  # regions that begin before a run
+        return rows.assign(region=(before[root] - before[np.flatnonzero(np.r_[True, of[1:] != of[:-1]])][of]))
+
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A partition's rows in order of frames: all frames that a batch ends are labelled together."""
+        held = None
+        for rows in batches:
+            rows = pd.concat([held, rows], ignore_index=True) if held is not None else rows
+            names = rows[[*keys, "frame"]]
+            differs = ~((names == names.shift()) | (names.isna() & names.shift().isna())).all(axis=1).to_numpy()
+            differs[:1] = False
+            of = np.cumsum(differs)
+            last = int(np.searchsorted(of, of[-1])) if len(of) else 0
+            if last:
+                yield numbered(rows.iloc[:last], of[:last])
+            held = rows.iloc[last:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield numbered(held, np.zeros(len(held), np.int64))
+
+    dealt = own.repartition(*keys, "frame").sortWithinPartitions(*keys, "frame", "y", "x0")
+    return dealt.mapInPandas(frames, schema)
 
 
 def regions(runs: DataFrame, keys: list[str], least: int = 1) -> DataFrame:

@@ -80,3 +80,10 @@ def test_regions_equal_a_flood_fill(spark):
     best = {r.frame: r.area for r in regions.largest(found, ["v"]).collect()}
     assert best == {f: max(v[0] for (g, _), v in want.items() if g == f) for f in {f for f, _ in want}}
     assert regions.regions(spark.createDataFrame([], "v string, frame long, y int, x0 int, x1 int"), ["v"]).count() == 0
+
+
+def test_frames_are_labelled_many_at_a_time(spark):
+    runs = spark.createDataFrame([(v, f, y, 3 * y, 3 * y + 2) for v in (0, None) for f in range(40) for y in (0, 1, 2, 4)], "video int, frame int, y int, x0 int, x1 int")
+    found = regions.regions(runs, ["video"])
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()  # a call for each frame
+    assert sorted((r.frame, r.region, r.area) for r in found.collect()) == sorted(2 * [(f, k, n) for f in range(40) for k, n in ((0, 9), (1, 3))])
