@@ -114,25 +114,31 @@ def renderer_problem(known: Column) -> Column:
     )
 
 
+def with_terms(rows: DataFrame) -> DataFrame:
+    """Rows with what several rules look at, read once: _name, _given, _known (variant), _number, _evaluator, _expected."""
+    number = F.nullif(F.trim(F.col("Num_Objects").cast("string")), F.lit(""))
+    given = F.nullif(F.trim("Known_Parameters_JSON"), F.lit(""))
+    return rows.withColumns({
+        "_name": _stripped(F.coalesce(F.col("Prompt_ID").cast("string"), F.lit(""))), "_given": given, "_known": F.try_parse_json(clean_json(given)), "_number": F.when(number.isNotNull(), F.coalesce(number.try_cast("double"), F.lit(-1.0))),
+        "_evaluator": F.coalesce(F.col("Evaluator").cast("string"), F.lit("")), "_expected": F.trim(F.col("Expected_Frame_Count").cast("string")).try_cast("double").try_cast("long"),
+    })
+
+
 def metadata_rules() -> list[Rule]:
-    """The rules for rows of metadata joined with their containers (found, _size, _header, _counts)."""
+    """The rules for rows of metadata (``with_terms``) joined with their containers (_path_problem, _path, _found, _size,
+    _header, _counts)."""
     c, no = F.col, F.lit(None).cast("string")
-    name = _stripped(F.coalesce(c("Prompt_ID").cast("string"), F.lit("")))
-    given = F.nullif(F.trim("Known_Parameters_JSON"), F.lit(""))
-    known = F.try_parse_json(clean_json(given))
-    number = F.nullif(F.trim(c("Num_Objects").cast("string")), F.lit(""))
-    evaluator = F.coalesce(c("Evaluator").cast("string"), F.lit(""))
-    expected, listed = F.trim(c("Expected_Frame_Count").cast("string")).try_cast("double").try_cast("long"), F.size("_counts") > 0
-    path, plausible = path_problem(c("Video_File")), c("_found") & (c("_size") >= LEAST_BYTES) & c("_header")
+    name, given, known, number, evaluator, expected = [c(f"_{n}") for n in ("name", "given", "known", "number", "evaluator", "expected")]
+    path, at, listed = c("_path_problem"), c("_path"), F.size("_counts") > 0
+    plausible = c("_found") & (c("_size") >= LEAST_BYTES) & c("_header")
     verified = plausible & F.array_contains("_counts", expected)
-    at = F.when(path.isNull(), _stripped(c("Video_File")))
     return [
         RowRule("index_given", "error", F.when(c("Index").isNull(), "no index")), GroupRule("index_unique", "error", c("Index"), name),
         RowRule("id_given", "error", F.when(c("Prompt_ID").isNull(), "no id")), GroupRule("id_unique", "error", c("Prompt_ID"), name),
         RowRule("id_safe", "error", F.when(~name.rlike(r"\A[A-Za-z0-9_-]+\z"), "id is not safe in paths")), GroupRule("folder_unique", "error", folder_name(name), name, differ=True),
         RowRule("evaluator_known", "error", F.when(~evaluator.isin(*evaluators.NAMES), F.concat(F.lit("unknown evaluator "), evaluator))),
         RowRule("parameters", "error", F.when(given.isNotNull() & ~F.coalesce(F.schema_of_variant(known).startswith("OBJECT"), F.lit(False)), "parameters are no JSON object")),
-        RowRule("objects_positive", "error", F.when(number.isNotNull() & (F.coalesce(number.try_cast("double"), F.lit(-1.0)) != 0) & (F.coalesce(number.try_cast("double"), F.lit(-1.0)) < 1), "number of objects is not positive")),
+        RowRule("objects_positive", "error", F.when(number.isNotNull() & (number != 0) & (number < 1), "number of objects is not positive")),
         RowRule("video_path", "error", path), GroupRule("video_once", "warning", at, name),
         RowRule("video_there", "error", F.when(at.isNotNull() & ~c("_found"), "video missing")), RowRule("video_plausible", "error", F.when(c("_found") & ~plausible, "no plausible MP4")),
         RowRule("frames_match", "error", F.when(plausible & listed & ~F.array_contains("_counts", expected), F.concat(F.lit("expected "), expected, F.lit(" frames, declared "), F.array_join(F.transform("_counts", lambda n: n.cast("string")), ", ")))),
@@ -150,7 +156,7 @@ def metadata_report(metadata: DataFrame, videos: DataFrame, extra: list[Rule] |
         if column not in metadata.columns:
             metadata = metadata.withColumn(column, F.lit(None).cast("string"))
     own = videos.groupBy(F.col("relative").alias("_path")).agg(F.max(F.struct("size", "header_ok", "sample_counts")).alias("_v"))
-    rows = metadata.withColumn("_path", F.when(path_problem(F.col("Video_File")).isNull(), _stripped(F.col("Video_File"))))
+    rows = with_terms(metadata).withColumn("_path_problem", path_problem(F.col("Video_File"))).withColumn("_path", F.when(F.col("_path_problem").isNull(), _stripped(F.col("Video_File"))))
     both = rows.join(own, "_path", "left").withColumns({
         "_found": F.col("_v").isNotNull(), "_size": F.col("_v.size"), "_header": F.coalesce("_v.header_ok", F.lit(False)), "_counts": F.coalesce("_v.sample_counts", F.array().cast("array<bigint>")),
     })
