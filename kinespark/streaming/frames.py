@@ -13,8 +13,7 @@ import math
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,6 +24,7 @@ ROW = "ms long, frame long, x double, y double, valid boolean, diameter double"
 SUMMARY = "frames long, n_valid long, path double, x0 double, x1 double, y0 double, y1 double, x double, y double, first_ms long, first_frame long"
 OUT = "video string, object_id string, frames long, n_valid long, coverage double, path double, extent double, diameter double, first_ms long, first_frame long, closed boolean"
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+_OUT = Row(*[c.split()[0] for c in OUT.split(", ")])
 
 
 class Frames(StatefulProcessor):
@@ -80,22 +80,20 @@ class Frames(StatefulProcessor):
         at = lambda k: next(d for d, n in _through(sorted(counts.items())) if k < n)
         return (at((total - 1) // 2) + at(total // 2)) / 2
 
-    def _told(self, key: tuple, waiting: list[tuple], closed: bool) -> Iterator[pd.DataFrame]:
+    def _told(self, key: tuple, waiting: list[tuple], closed: bool) -> Iterator[Row]:
         """What is known now, with the rows that wait."""
         s, more = self._folded(self._known(), waiting)
         if s is None:
             return
         frames, n = s["frames"], s["n_valid"]
         extent = math.hypot(s["x1"] - s["x0"], s["y1"] - s["y0"]) if n else None
-        row = (key[0], key[1], frames, n, n / frames, s["path"], extent, self._median(more), s["first_ms"], s["first_frame"], closed)
-        yield pd.DataFrame([row], columns=[c.split()[0] for c in OUT.split(", ")]).astype({"extent": "float64", "diameter": "float64"})
+        yield _OUT(key[0], key[1], frames, n, n / frames, s["path"], extent, self._median(more), s["first_ms"], s["first_frame"], closed)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        # rows as they are: a pandas table an object costs more than all the rest
         mark = timerValues.getCurrentWatermarkInMs()
         held = [tuple(r) for r in self.waiting.get()]
-        for part in rows:
-            part = part.astype(object).where(part.notna(), None)
-            held += list(zip(*(part[c] for c in ("ms", "frame", "x", "y", "valid", "diameter")), strict=True))
+        held += [tuple(None if v != v else v for v in r[-6:]) for r in rows]
         held.sort(key=lambda r: r[:2])
         last = held[-1][0]
         self._fold([r for r in held if r[0] < mark])
@@ -109,7 +107,7 @@ class Frames(StatefulProcessor):
             self.due.update((last + self.silence,))
         yield from self._told(key, left, False)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
         self._fold(sorted(tuple(r) for r in self.waiting.get()))
         yield from self._told(key, [], True)
         for state in (self.summary, self.waiting, self.sizes, self.due):
@@ -131,11 +129,11 @@ def running_objects(frames: DataFrame, late: str = "10 minutes", silence_ms: int
     micro-batch touches or closes; write it in update mode. The session must keep state by RocksDB (``STORE``)."""
     ship_package(frames.sparkSession)
     own = frames.select(
-        F.col("video").cast("string").alias("video"), F.col("object_id").cast("string").alias("object_id"), F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
+        F.col("video").cast("string").alias("video"), F.col("object_id").cast("string").alias("object_id"), F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),  # from here on as in ROW
         F.col("frame").cast("long").alias("frame"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "valid", F.col("diameter").cast("double").alias("diameter"),
     )
     keyed = own.filter("ts is not null").withWatermark("ts", late).groupBy("video", "object_id")
-    return keyed.transformWithStateInPandas(statefulProcessor=Frames(silence_ms), outputStructType=OUT, outputMode="update", timeMode="eventtime")
+    return keyed.transformWithState(statefulProcessor=Frames(silence_ms), outputStructType=OUT, outputMode="update", timeMode="eventtime")
 
 
 def latest(objects: DataFrame) -> DataFrame:
