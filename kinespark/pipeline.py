@@ -58,8 +58,8 @@ def evaluate(metadata: DataFrame, documents: DataFrame, ious: DataFrame | None =
     iou_median from the pixels. One result for each row of metadata: measurement, its error, the tracking gate and the
     quality of the masks. unstable="skip" makes a video fail whose masks are to be kept out, with mask_area_unstable."""
     own = parameters(metadata)
-    # four branches read the records: parsed once, by video, and kept as far as memory and disk allow
-    raw = tracking.records(documents, "video", "text").repartition("video").persist(StorageLevel.MEMORY_AND_DISK)
+    # four branches read the records: texts are dealt by video, parsed once and kept as far as memory and disk allow
+    raw = tracking.records(documents.select("video", "text").repartition("video"), "video", "text").persist(StorageLevel.MEMORY_AND_DISK)
     points = tracking.normalised(raw)
     estimates = evaluators.estimate(points, own, strict).select("video", "status", "measured", "unit", "fit_r2", F.col("scale").alias("scale_m_per_px"), F.col("reason").alias("failure_reason"), F.col("error").alias("given"))
     estimates = without_documents(estimates, tracking.track_errors(raw, points))

@@ -17,28 +17,42 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+#: What an object's record may hold, and a frame; what can't be read as its kind is null.
+RECORD = (
+    "object_id string, obj_id string, valid boolean, x double, cx double, cx_px double, y double, cy double, cy_px double, "
+    "centroid array<double>, bbox array<double>, area double, area_px2 double, equivalent_diameter_px double"
+)
+FRAME = f"frame_idx long, frame long, time_sec double, t double, objects array<struct<{RECORD}>>, {RECORD}"
+
+
 def _first(v: str, kind: str, *names: str) -> Column:
     return F.coalesce(*[F.try_variant_get(v, f"$.{n}", kind) for n in names])
 
 
+def _of(v: str, *names: str) -> Column:
+    return F.coalesce(*[F.col(f"{v}.{n}") for n in names])
+
+
 def records(documents: DataFrame, video: str = "path", text: str = "text") -> DataFrame:
     """A row for each frame and object as written, invalid ones too: video, pos, place, frame, object_id, t, valid, x, y,
     centroid, box, area, given_diameter, fps, total_frames; error says why a document has none. A frame without an index has
     its place in the list; objects of a frame share its index and time."""
-    d = documents.select(F.col(video).alias("video"), F.try_parse_json(clean_json(text)).alias("doc"), F.substring(F.regexp_replace(text, r"^\s+", ""), 1, 1).isin("{", "[").alias("nested"))
-    frames = F.coalesce(F.try_variant_get("doc", "$.frames", "array<variant>"), F.try_variant_get("doc", "$", "array<variant>"))
+    bare = F.contains(F.col(text), F.lit("NaN")) | F.contains(F.col(text), F.lit("Infinity"))  # few texts need cleaning
+    d = documents.select(F.col(video).alias("video"), F.try_parse_json(F.when(bare, clean_json(text)).otherwise(F.col(text))).alias("doc"), F.rlike(text, F.lit(r"^\s*[{\[]")).alias("nested"))
+    # a frame's fields are read in one walk over what it has, not looked up one by one
+    frames = F.coalesce(*[F.try_variant_get("doc", p, f"array<struct<{FRAME}>>") for p in ("$.frames", "$")])
     d = d.withColumn("frames", frames).withColumns({
         "fps": _first("doc", "double", "video_info.fps", "fps"), "total_frames": _first("doc", "long", "video_info.total_frames", "video_info.num_frames", "total_frames"), "doc_object": _first("doc", "string", "object_id"),
         "error": F.when(F.col("doc").isNull(), NOT_JSON).when(~F.col("nested"), NO_DOCUMENT).when(frames.isNull(), "no list of frames"),
     })
     each = d.select("video", "fps", "total_frames", "doc_object", "error", F.posexplode_outer("frames").alias("pos", "f"))
-    own = F.coalesce(F.try_variant_get("f", "$.objects", "array<variant>"), F.array(F.col("f")))
-    each = each.withColumns({"frame_outer": F.coalesce(_first("f", "long", "frame_idx", "frame"), F.col("pos").cast("long")), "t_outer": _first("f", "double", "time_sec", "t")})
+    own = F.coalesce("f.objects", F.array(F.struct(*[F.col(f"f.{c.split()[0]}") for c in RECORD.split(", ")])))
+    each = each.withColumns({"frame_outer": F.coalesce("f.frame_idx", "f.frame", F.col("pos").cast("long")), "t_outer": _of("f", "time_sec", "t")})
     o = each.select("*", F.posexplode_outer(own).alias("place", "o"))
     return o.select(
-        "video", "pos", "place", F.col("frame_outer").alias("frame"), F.coalesce(_first("o", "string", "object_id", "obj_id"), "doc_object", F.lit("1")).alias("object_id"),
-        F.col("t_outer").alias("t"), _first("o", "boolean", "valid").alias("valid"), _first("o", "double", "x", "cx", "cx_px").alias("x"), _first("o", "double", "y", "cy", "cy_px").alias("y"),
-        _first("o", "array<double>", "centroid").alias("centroid"), _first("o", "array<double>", "bbox").alias("box"), _first("o", "double", "area", "area_px2").alias("area"), _first("o", "double", "equivalent_diameter_px").alias("given_diameter"),
+        "video", "pos", "place", F.col("frame_outer").alias("frame"), F.coalesce("o.object_id", "o.obj_id", "doc_object", F.lit("1")).alias("object_id"),
+        F.col("t_outer").alias("t"), F.col("o.valid").alias("valid"), _of("o", "x", "cx", "cx_px").alias("x"), _of("o", "y", "cy", "cy_px").alias("y"),
+        F.col("o.centroid").alias("centroid"), F.col("o.bbox").alias("box"), _of("o", "area", "area_px2").alias("area"), F.col("o.equivalent_diameter_px").alias("given_diameter"),
         "fps", "total_frames", "error",
     )
 
