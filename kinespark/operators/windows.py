@@ -12,6 +12,11 @@ def ordered(keys: list[str], by: str = "frame"):
     return Window.partitionBy(*keys).orderBy(by)
 
 
+def whole(w):
+    """All rows of the group, in w's order: one pass over the rows then serves these and w's own functions."""
+    return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def gradient(s: str, t: str, w) -> Column:
     """Second order inside, by uneven steps; one-sided at the ends; null for a single row."""
     before, after = F.col(t) - F.lag(t).over(w), F.lead(t).over(w) - F.col(t)
@@ -23,8 +28,8 @@ def gradient(s: str, t: str, w) -> Column:
 def moving_average(s: str, keys: list[str], width: int = 5, by: str = "frame") -> Column:
     """Box filter with the end values repeated beyond the ends; series shorter than the width stay."""
     half = width // 2
-    w, every = ordered(keys, by), Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    i, n = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy(*keys))
+    w, every = ordered(keys, by), whole(ordered(keys, by))
+    i, n = F.row_number().over(w) - 1, F.count("*").over(every)
     inside = F.sum(s).over(w.rowsBetween(-half, half))
     low = F.greatest(half - i, F.lit(0)) * F.first(s).over(every)
     high = F.greatest(i - (n - 1 - half), F.lit(0)) * F.last(s).over(every)
@@ -33,7 +38,8 @@ def moving_average(s: str, keys: list[str], width: int = 5, by: str = "frame") -
 
 def numbered(df: DataFrame, keys: list[str], by: str = "frame") -> DataFrame:
     """Adds i, the place of a row, and n, the rows of its group."""
-    return df.withColumn("i", F.row_number().over(ordered(keys, by)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    w = ordered(keys, by)
+    return df.withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(whole(w))})
 
 
 def middle(df: DataFrame, low: float = 0.15, high: float = 0.85) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinespark.operators.windows import whole
+
 #: The analytic control tracks, as place in pixels at t seconds over 120 frames at 30 a second.
 GOLDEN_TRACKS = {
     "velocity": ("100 + 100 * t", "80"),
@@ -50,11 +52,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as objects, their events as frames: t in hours from the first, x the value, y the number in props."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("y"))
+    e = table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("object_id"), "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("y"))
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    w = Window.partitionBy("user_id")
+    w = Window.partitionBy("object_id").orderBy("ts", "event_id")  # by its final name: groupings by object keep this partitioning
     return e.select(
-        F.col("user_id").alias("object_id"), (F.row_number().over(w.orderBy("ts", "event_id")) - 1).cast("long").alias("frame"), ((seconds - F.min(seconds).over(w)) / 3600).alias("t"),
+        "object_id", (F.row_number().over(w) - 1).cast("long").alias("frame"), ((seconds - F.min(seconds).over(whole(w))) / 3600).alias("t"),
         F.col("value").alias("x"), "y", F.col("value").alias("area"), (F.col("event_type") != "error").alias("valid"), "event_type",
     )
 
